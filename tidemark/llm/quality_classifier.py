@@ -6,7 +6,7 @@ into ``DIM`` buckets. A bucket's value is log(1 + count), and a text's values ar
 score is the sigmoid of the sparse dot product with the weights.
 
 Training takes at most ``train_rows`` labelled rows, those with the smallest hashes of their ids, so it costs
-the same at any corpus size. They are dealt to ``SHARDS`` tasks; in each epoch every task runs FTRL-proximal
+the same at any corpus size. They are dealt to ``SHARDS`` groups; in each epoch every group runs FTRL-proximal
 updates from the common state, and the driver averages the states (``SHARDS`` x 2 MB).
 
 Edge cases: a null text scores as the empty text; an empty text has no features, so its score is the sigmoid
@@ -30,7 +30,7 @@ from .shared import cut
 DIM = 1 << 18
 SHARDS = 8
 TRAIN_ROWS = 16384
-EPOCHS = 4
+EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 #: Length of a text's vector.
 LENGTH = 6.0
@@ -162,24 +162,20 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "y", "index", "value"])
 
     sparse = texts.mapInArrow(vectors, f"id {dict(documents.dtypes)['doc_id']}, y int, index array<int>, value array<float>")
-    sparse = cut(sparse.repartition(SHARDS, "id"))
+    sparse = cut(sparse.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS))))
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
     for epoch in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))
 
-        def shard(batches: Iterator[pa.RecordBatch], state=state, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            rows, keys = [], []
-            for batch in batches:
-                for i, y, index, value in zip(*(batch.column(c).to_pylist() if c < 2 else batch.column(c) for c in range(4)), strict=True):
-                    at_bias = np.append(np.asarray(index.values), DIM), np.append(np.asarray(value.values), np.float32(1))
-                    rows.append((*at_bias, y))
-                    keys.append((i * 0x9E3779B1 + epoch * 0x85EBCA6B) & 0xFFFFFFFF)
-            if rows:
-                z, n = (x.copy() for x in state.value)
-                ftrl([rows[k] for k in sorted(range(len(rows)), key=lambda k: (keys[k], len(rows[k][0]), rows[k][2]))], z, n)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([z.astype("<f4").tobytes()]), pa.array([n.astype("<f4").tobytes()])], ["rows", "z", "n"])
-
-        states = sparse.mapInArrow(shard, "rows long, z binary, n binary").collect()
+        def shard(rows):
+            ids, labels_ = rows["id"].to_pylist(), rows["y"].to_pylist()
+            vectors = [(np.append(i.values.to_numpy(), DIM), np.append(v.values.to_numpy(), np.float32(1)), y) for i, v, y in zip(rows["index"], rows["value"], labels_, strict=True)]
+            order = sorted(range(len(ids)), key=lambda k: ((ids[k] * 0x9E3779B1 + epoch * 0x85EBCA6B) & 0xFFFFFFFF, len(vectors[k][0]), labels_[k]))
+            z, n = (x.copy() for x in state.value)
+            ftrl([vectors[k] for k in order], z, n)
+            return pa.table({"rows": [len(ids)], "z": [z.astype("<f4").tobytes()], "n": [n.astype("<f4").tobytes()]})
+
+        states = sparse.groupBy("shard").applyInArrow(shard, "rows long, z binary, n binary").collect()
         if states:
             share = np.array([s["rows"] for s in states], float)
             z, n = (np.average([np.frombuffer(s[c], "<f4").astype(float) for s in states], axis=0, weights=share) for c in ("z", "n"))
