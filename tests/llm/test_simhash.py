@@ -73,9 +73,14 @@ def test_long_text_in_steps(monkeypatch):
     assert simhash.fingerprint(text.encode()) == whole
 
 
-@pytest.mark.parametrize("block", [1, 4, 1000])
-def test_links_in_blocks_of_any_size(spark, monkeypatch, block):
+LAYOUTS = [None, [(list(range(32)), 1), (list(range(32, 64)), 0)], [(list(range(0, 64, 2)), 2)], [(list(range(k, 64, 3)), 0) for k in range(3)]]
+
+
+@pytest.mark.parametrize(("block", "layout"), [(1, 0), (4, 1), (1000, 1), (1000, 2), (4, 3)])
+def test_links_in_blocks_of_any_size(spark, monkeypatch, block, layout):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    if layout:
+        monkeypatch.setattr(simhash, "layout", lambda sample, total: LAYOUTS[layout])
     rng = random.Random(block)
     fps = set()
     for _ in range(12):

@@ -163,6 +163,10 @@ def _flips(value: Column, bits: list[int], t: int) -> Column:
     return F.transform(F.array(*map(F.lit, masks)), lambda m: value.bitwiseXOR(m))
 
 
+def _probe(part: int):
+    return lambda value: F.struct(F.lit(part).alias("part"), value.alias("value"), F.lit(False).alias("own"))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect every two of the distinct fingerprints (column fp) within DISTANCE bits, directly or by way of others."""
     total = distinct.count()
@@ -174,7 +178,7 @@ def links(distinct: DataFrame) -> DataFrame:
         value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
         entries.append(F.array(F.struct(F.lit(k).alias("part"), value.alias("value"), F.lit(True).alias("own"))))
         if t:
-            entries.append(F.transform(_flips(value, bits, t), lambda v, k=k: F.struct(F.lit(k).alias("part"), v.alias("value"), F.lit(False).alias("own"))))
+            entries.append(F.transform(_flips(value, bits, t), _probe(k)))
     entered = distinct.select("fp", F.explode(F.concat(*entries)).alias("e")).select("fp", "e.*")
     sizes = entered.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
     live = cut(entered.join(sizes.select("part", "value", "n"), ["part", "value"]))
