@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, packing, quality_classifier, quality_rules, simhash, tokencount, urlfilter
+from . import bpe, license_scan, packing, quality_classifier, quality_rules, simhash, tokencount, toxicity, urlfilter
 
 
 #: (host, path, action)
@@ -54,7 +54,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_byte_bpe, op5_url_filter, op6_packing, op7_token_counts, op8_license_scan, op9_quality_rules)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_byte_bpe, op5_url_filter, op6_packing, op7_token_counts, op8_license_scan, op9_quality_rules, op10_toxicity)}
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 ORACLE_SQL = {
     "op5_url_filter": f"""
