@@ -17,7 +17,7 @@ longer than 4 MB, pairs across the 4 MB pieces it is read in are not counted; al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from .shared import cut
 
 DIM = 1 << 18
 SHARDS = 8
-TRAIN_ROWS = 16384
+TRAIN_ROWS = 8192
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 #: Length of a text's vector.
@@ -116,7 +116,7 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
+def ftrl(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
     """One pass of updates in place; the last place of z and n is the bias."""
     for index, value, label in rows:
         zi, ni = z[index], n[index]
@@ -140,6 +140,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums[offsets[1:]] - sums[offsets[:-1]] + self.weights[DIM], -35, 35)))
 
 
+def _packed(rows):
+    """A group's rows as one: vectors back to back, in an order that depends on the rows alone."""
+    ids, labels, index, value = (rows[c].to_pylist() if c in ("id", "y") else rows[c] for c in ("id", "y", "index", "value"))
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] * 0x9E3779B1 & 0xFFFFFFFF, ids[k], len(index[k]), labels[k]))
+    vectors = [(index[k].values.to_numpy().astype("<i4"), value[k].values.to_numpy().astype("<f4")) for k in order]
+    blobs = np.array([labels[k] for k in order], "<i4").tobytes(), np.array([len(i) for i, _ in vectors], "<i8").tobytes(), b"".join(i.tobytes() for i, _ in vectors), b"".join(v.tobytes() for _, v in vectors)
+    return pa.table({"rows": [len(ids)]} | dict(zip(("y", "sizes", "index", "value"), ([b] for b in blobs), strict=True)))
+
+
+def _unpacked(shard: dict, epoch: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The vectors of a group, with the bias as one more bucket, in another order each epoch."""
+    labels, ends = np.frombuffer(shard["y"], "<i4"), np.cumsum(np.frombuffer(shard["sizes"], "<i8"))
+    index, value = np.frombuffer(shard["index"], "<i4"), np.frombuffer(shard["value"], "<f4")
+    for k in np.random.default_rng(epoch).permutation(len(labels)).tolist():
+        a, b = ends[k - 1] if k else 0, ends[k]
+        yield np.append(index[a:b], DIM), np.append(value[a:b], np.float32(1)), int(labels[k])
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from the at most ``train_rows`` labelled rows, outside the held-out fifth, with the smallest id hashes.
 
@@ -162,20 +180,20 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "y", "index", "value"])
 
     sparse = texts.mapInArrow(vectors, f"id {dict(documents.dtypes)['doc_id']}, y int, index array<int>, value array<float>")
-    sparse = cut(sparse.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS))))
+    sparse = sparse.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)))
+    shards = cut(sparse.groupBy("shard").applyInArrow(_packed, "rows long, y binary, sizes binary, index binary, value binary"))
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
     for epoch in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))
 
-        def shard(rows):
-            ids, labels_ = rows["id"].to_pylist(), rows["y"].to_pylist()
-            vectors = [(np.append(i.values.to_numpy(), DIM), np.append(v.values.to_numpy(), np.float32(1)), y) for i, v, y in zip(rows["index"], rows["value"], labels_, strict=True)]
-            order = sorted(range(len(ids)), key=lambda k: ((ids[k] * 0x9E3779B1 + epoch * 0x85EBCA6B) & 0xFFFFFFFF, len(vectors[k][0]), labels_[k]))
-            z, n = (x.copy() for x in state.value)
-            ftrl([vectors[k] for k in order], z, n)
-            return pa.table({"rows": [len(ids)], "z": [z.astype("<f4").tobytes()], "n": [n.astype("<f4").tobytes()]})
+        def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    z, n = (x.copy() for x in state.value)
+                    ftrl(_unpacked(row, epoch), z, n)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["rows"]]), pa.array([z.astype("<f4").tobytes()]), pa.array([n.astype("<f4").tobytes()])], ["rows", "z", "n"])
 
-        states = sparse.groupBy("shard").applyInArrow(shard, "rows long, z binary, n binary").collect()
+        states = shards.mapInArrow(learned, "rows long, z binary, n binary").collect()
         if states:
             share = np.array([s["rows"] for s in states], float)
             z, n = (np.average([np.frombuffer(s[c], "<f4").astype(float) for s in states], axis=0, weights=share) for c in ("z", "n"))
