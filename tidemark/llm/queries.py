@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, packing, quality_classifier, quality_rules, simhash, tokencount, toxicity, urlfilter
+from . import bpe, license_scan, packing, quality_classifier, quality_rules, simhash, spotsigs, tokencount, toxicity, urlfilter
 
 
 #: (host, path, action)
@@ -34,6 +34,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -59,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_byte_bpe, op5_url_filter, op6_packing, op7_token_counts, op8_license_scan, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_byte_bpe, op4_spotsigs, op5_url_filter, op6_packing, op7_token_counts, op8_license_scan, op9_quality_rules, op10_toxicity)}
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 ORACLE_SQL = {
     "op5_url_filter": f"""
