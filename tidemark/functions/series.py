@@ -86,3 +86,14 @@ def running(df: DataFrame, keys: Keys, order: Keys, micros: str, chunk: int, col
     join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
     out = spread.withColumns({name: kinds[kind](c).over(within) for name, (kind, c) in columns.items()}).join(carried, [*keys, "_chunk"])
     return out.withColumns({name: join[kind](F.col(name), F.col(f"_{name}")) for name, (kind, _) in columns.items()}).drop("_chunk", *(f"_{name}" for name in columns))
+
+
+def lagged(df: DataFrame, keys: Keys, order: Keys, micros: str, chunk: int, column: str, name: str) -> DataFrame:
+    """``df`` with the column's previous value in each series. Chunks of time are ordered side by side; a chunk's first row takes
+    the last value of the chunk before it, of which there is a row a chunk."""
+    spread = df.withColumn("_chunk", F.floor(F.col(micros) / chunk).cast("long"))
+    ends = spread.groupBy(*keys, "_chunk").agg(F.max(F.struct(*order, F.col(column).alias("_end"))).alias("_last"))
+    carried = ends.select(*keys, "_chunk", F.lag("_last._end").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_before"))
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    marked = spread.withColumns({"_own": F.lag(column).over(within), "_n": F.row_number().over(within)})
+    return marked.join(carried, [*keys, "_chunk"]).withColumn(name, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_own"))).drop("_chunk", "_own", "_n", "_before")

@@ -153,8 +153,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
     """The events as ticks: symbol, ts, us (microseconds), price, quantity, trade_id, is_buyer_maker."""
     events = table(spark, folder, "events")
-    ts = F.col("ts").cast("timestamp_ntz").cast("timestamp")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
     return events.select(
-        F.col("event_type").alias("symbol"), ts.alias("ts"), F.unix_micros(ts).alias("us"), F.col("value").alias("price"),
+        F.col("event_type").alias("symbol"), F.timestamp_micros(us).alias("ts"), us.alias("us"), F.col("value").alias("price"),
         (F.get_json_object("props", "$.k").cast("double") + 1).alias("quantity"), F.col("event_id").alias("trade_id"), (F.col("user_id") % 2 == 1).alias("is_buyer_maker"),
     )
