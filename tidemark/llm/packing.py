@@ -18,6 +18,7 @@ retried task reads the same split and gives the same sequences.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections import deque
@@ -39,6 +40,8 @@ GAP = 256
 EXEMPT = (1024, 2048)
 END = 2
 KEPT = 800_000
+#: Trailing signs that a word can be parted from; an apostrophe may begin a token with what follows it.
+PUNCTUATION = b".,!?;:#$%&*|"
 
 
 class Chunks:
@@ -54,43 +57,52 @@ class Chunks:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.parts: dict[bytes, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 15, np.int64)
         self.ends = np.zeros(1 << 15, bool)
 
     def _learn(self, chunks: list[bytes]) -> None:
-        encoded = [e.ids for e in self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        """Adds chunks to the table. A word and the punctuation after it are separate tokens, so each is encoded once."""
+        cut = []
+        for c in chunks:
+            base = c.rstrip(PUNCTUATION)
+            cut.append((base, c[len(base) :]) if base and len(base) < len(c) and base[-1:].isalnum() and self.special not in c else (c,))
+        new = list({p for ps in cut for p in ps} - self.parts.keys())
+        self.parts.update(zip(new, (e.ids for e in self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)), strict=True))
+        encoded = [self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]] for ps in cut]
         k = len(self.known)
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         while k + len(chunks) + 1 > len(self.begin):
             self.begin, self.ends = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.ends, 2 * len(self.ends))
-        total = int(self.begin[k])
-        while total + int(sizes.sum()) > len(self.flat):
+        total, more = int(self.begin[k]), int(sizes.sum())
+        while total + more > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[total : total + int(sizes.sum())] = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
+        self.flat[total : total + more] = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, more)
         self.begin[k + 1 : k + 1 + len(chunks)] = total + np.cumsum(sizes)
         self.ends[k : k + len(chunks)] = [c[-1] in b".!?" for c in chunks]
         self.known.update(zip(chunks, range(k, k + len(chunks)), strict=True))
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(ids with the end token, places in them after which a sentence ends)."""
+    def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids with the end token, places in them after which a sentence ends) of each text."""
         if len(self.known) > KEPT:
             self._forget()
         # lower-casing is the tokenizer's own; done first, it makes fewer chunks. Special strings are matched before it.
-        chunks = (text if self.special in text else text.lower()).split()
-        places = list(map(self.known.get, chunks))
-        if None in places:
-            self._learn(list({c for c, p in zip(chunks, places, strict=True) if p is None}))
-            places = list(map(self.known.__getitem__, chunks))
-        at_chunk = np.array(places, np.int64)
-        first = self.begin[at_chunk]
-        counts = self.begin[at_chunk + 1] - first
-        after = np.cumsum(counts)
-        total = int(after[-1]) if len(after) else 0
-        ids = np.empty(total + 1, np.uint32)
-        ids[:total] = self.flat[np.repeat(first - (after - counts), counts) + np.arange(total)]
-        ids[total] = END
-        return ids, after[self.ends[at_chunk]]
+        chunked = [(t if self.special in t else t.lower()).split() for t in texts]
+        unknown = set().union(*chunked) - self.known.keys()
+        if unknown:
+            self._learn(list(unknown))
+        place_of = self.known.__getitem__
+        for chunks in chunked:
+            at_chunk = np.fromiter(map(place_of, chunks), np.int64, len(chunks))
+            first = self.begin[at_chunk]
+            counts = self.begin[at_chunk + 1] - first
+            after = np.cumsum(counts)
+            total = int(after[-1]) if len(after) else 0
+            ids = np.empty(total + 1, np.uint32)
+            ids[:total] = self.flat[np.repeat(first - (after - counts), counts) + np.arange(total)]
+            ids[total] = END
+            yield ids, after[self.ends[at_chunk]]
 
 
 @cache
@@ -197,8 +209,9 @@ def pack(documents: DataFrame, path: str) -> DataFrame:
             schema = batch.schema.field(0).type
             for part, texts in at.slices(batch, "text"):
                 pieces = []
-                for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    pieces += packer.add(doc_id, *own.encode(text.as_buffer().to_pybytes()))
+                encoded = own.encode([t.as_buffer().to_pybytes() for t in texts])
+                for doc_id, (ids, sentences) in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    pieces += packer.add(doc_id, ids, sentences)
                 if pieces:
                     yield table(pieces)
         if pieces := packer.finish():
