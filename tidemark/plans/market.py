@@ -415,3 +415,212 @@ def normalised_bars(spark: SparkSession, folder: str) -> DataFrame:
 select symbol, bucket, case when k <= floor(n * 0.6) then 'train' when k <= floor(n * 0.8) then 'valid' else 'test' end as part from p""")
 def time_split(spark: SparkSession, folder: str) -> DataFrame:
     return features.split_by_time(bars(spark, folder), ["symbol"], ["bucket"], {"train": 0.6, "valid": 0.2, "test": 0.2}).select("symbol", "bucket", "part")
+
+
+MESSAGES = """ms as (
+  select event_type as symbol, event_id as seq, epoch_us(ts) as us, event_id % 50 = 0 as snap, case when user_id % 2 = 0 then 'bid' else 'ask' end as side, round(value) as price,
+         cast(case when cast(regexp_extract(props, '([0-9]+)', 1) as int) % 10 = 0 then 0 else cast(regexp_extract(props, '([0-9]+)', 1) as int) end as double) as size from events),
+ep as (select *, sum(cast(snap as int)) over (partition by symbol order by seq) as epoch from ms),
+lv as (select *, coalesce(lead(seq) over (partition by symbol, epoch, side, price order by seq), 9e18) as until, size - coalesce(lag(size) over (partition by symbol, epoch, side, price order by seq), 0) as change from ep)"""
+STATES = MESSAGES + """,
+bs as (select a.symbol, a.seq, a.us, max(b.price) filter (b.side = 'bid') as best_bid, min(b.price) filter (b.side = 'ask') as best_ask, coalesce(sum(b.size) filter (b.side = 'bid'), 0) as bid_depth, coalesce(sum(b.size) filter (b.side = 'ask'), 0) as ask_depth
+  from ep a left join lv b on b.symbol = a.symbol and b.epoch = a.epoch and b.seq <= a.seq and a.seq < b.until and (b.size <> 0 or b.snap) group by 1, 2, 3),
+bk as (select s.*, (best_bid + best_ask) / 2 as mid, best_ask - best_bid as spread, b.size as bid_size, a.size as ask_size, coalesce((bid_depth - ask_depth) / nullif(bid_depth + ask_depth, 0), 0) as imbalance
+  from bs s join ep e on e.symbol = s.symbol and e.seq = s.seq
+  left join lv b on b.symbol = s.symbol and b.epoch = e.epoch and b.side = 'bid' and b.price = s.best_bid and b.seq <= s.seq and s.seq < b.until
+  left join lv a on a.symbol = s.symbol and a.epoch = e.epoch and a.side = 'ask' and a.price = s.best_ask and a.seq <= s.seq and s.seq < a.until)"""
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Book messages made of the events: every fiftieth is a snapshot, the rest deltas, of one level each."""
+    events = market.table(spark, folder, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    level = F.struct(F.round("value").alias("price"), F.when(k % 10 == 0, 0).otherwise(k).cast("double").alias("size"))
+    none = F.array().cast("array<struct<price: double, size: double>>")
+    is_bid = F.col("user_id") % 2 == 0
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    return events.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), us.alias("us"), F.when(F.col("event_id") % 50 == 0, "snapshot").otherwise("delta").alias("type"), F.when(is_bid, F.array(level)).otherwise(none).alias("bids"), F.when(is_bid, none).otherwise(F.array(level)).alias("asks"))
+
+
+@query(f"with {MESSAGES}, p as (select symbol, epoch, seq, us, sum(case when side = 'bid' then change else 0 end) over w as bid_depth, sum(case when side = 'ask' then change else 0 end) over w as ask_depth from lv window w as (partition by symbol, epoch order by seq)) select symbol, seq, us, round(bid_depth, 6) as bid_depth, round(ask_depth, 6) as ask_depth, round(coalesce((bid_depth - ask_depth) / nullif(bid_depth + ask_depth, 0), 0), 6) as imbalance from p")
+def book_depths(spark: SparkSession, folder: str) -> DataFrame:
+    return book.depths(messages(spark, folder))
+
+
+@query(f"with {STATES} select symbol, seq, us, {r('best_bid', 'best_ask', 'bid_depth', 'ask_depth', 'mid', 'spread', 'imbalance')}, round(case when best_bid is not null and best_ask is not null and bid_size + ask_size > 0 then (best_bid * ask_size + best_ask * bid_size) / (bid_size + ask_size) else mid end, 6) as micro from bk")
+def book_states(spark: SparkSession, folder: str) -> DataFrame:
+    return book.states(messages(spark, folder)).select("symbol", "seq", "us", "best_bid", "best_ask", "bid_depth", "ask_depth", "mid", "spread", "imbalance", "micro")
+
+
+@query(f"""with {STATES}, l as (select *, ln(mid / lag(mid) over (partition by symbol order by seq)) as lr from bk)
+select symbol, seq, round(coalesce(spread, 0), 6) as spread, {", ".join(f"round(case when count(mid) over (partition by symbol order by seq rows {k - 1} preceding) >= {k} then stddev_pop(lr) over (partition by symbol order by seq rows {k - 2} preceding) else 0 end, 6) as vol_{k}, round(case when count(*) over (partition by symbol order by seq rows {k - 1} preceding) >= {k} then avg(imbalance) over (partition by symbol order by seq rows {k - 1} preceding) else 0 end, 6) as voi_{k}" for k in (10, 50, 100))},
+  round(sin(2 * pi() * (us % 86400000000) / 86400000000), 6) as time_sin, round(cos(2 * pi() * (us % 86400000000) / 86400000000), 6) as time_cos from l""")
+def book_features(spark: SparkSession, folder: str) -> DataFrame:
+    out = book.market_features(book.states(messages(spark, folder)))
+    return out.select("symbol", "seq", "spread", "vol_10", "voi_10", "vol_50", "voi_50", "vol_100", "voi_100", "time_sin", "time_cos")
+
+
+@query()
+def book_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return book.states(messages(spark, folder), 10).select("symbol", "seq", "bids", "asks")
+
+
+def stepped(spark: SparkSession, folder: str) -> DataFrame:
+    """Book states of each symbol and day as an episode, with actions in turn."""
+    s = book.states(messages(spark, folder))
+    number = F.pmod(F.xxhash64("symbol"), F.lit(1000)) * 100_000 + F.floor(F.col("us") / 86_400_000_000)
+    return s.select(number.cast("long").alias("episode"), "seq", "us", "best_bid", "best_ask", "mid", (F.col("seq") % 11).cast("int").alias("action"))
+
+
+@query()
+def market_making(spark: SparkSession, folder: str) -> DataFrame:
+    return simulate.episodes(stepped(spark, folder))
+
+
+@query()
+def episode_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return simulate.episode_metrics(simulate.episodes(stepped(spark, folder)))
+
+
+ADVANTAGES = f"""with recursive {TICKS}, s as (select symbol, trade_id as step, price / 100 as reward, quantity / 100 as value, trade_id % 97 = 0 as done, row_number() over (partition by symbol order by trade_id desc) as k,
+  coalesce(lead(quantity / 100) over (partition by symbol order by trade_id), 0) as ahead from ticks where trade_id < 2000),
+d as (select *, reward + 0.99 * case when done then 0 else ahead end - value as delta from s),
+g as (select symbol, step, k, value, delta as advantage from d where k = 1 union all select d.symbol, d.step, d.k, d.value, d.delta + 0.99 * 0.95 * case when d.done then 0 else g.advantage end from g join d on d.symbol = g.symbol and d.k = g.k + 1)
+select symbol, step, round(advantage, 6) as advantage, round(advantage + value, 6) as target, round((advantage - avg(advantage) over (partition by symbol)) / (stddev_pop(advantage) over (partition by symbol) + 1e-8), 6) as advantage_norm from g"""
+
+
+@query(ADVANTAGES)
+def advantage_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths are the first ticks by time of each symbol: an episode's length is the feature here."""
+    t = market.ticks(spark, folder).where("trade_id < 2000")
+    steps = t.select("symbol", F.col("trade_id").alias("step"), (F.col("price") / 100).alias("reward"), (F.col("quantity") / 100).alias("value"), (F.col("trade_id") % 97 == 0).alias("done"))
+    return simulate.advantages(steps, ["symbol"], "step").select("symbol", "step", "advantage", "target", "advantage_norm")
+
+
+@query(f"""with {STATES}, f as (select symbol, seq, case when seq % 2 = 0 then 'buy' else 'sell' end as side, mid as price, lead(mid, 9) over (partition by symbol order by seq) as later from bk)
+select symbol, seq, round(case when side = 'buy' then price - later else later - price end, 6) as markout from f where seq % 7 = 0""")
+def markouts(spark: SparkSession, folder: str) -> DataFrame:
+    s = book.states(messages(spark, folder)).select("symbol", "seq", "mid")
+    fills = s.where("seq % 7 = 0").select("symbol", "seq", F.when(F.col("seq") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("mid").alias("price"))
+    return book.markouts(fills, s).select("symbol", "seq", "markout")
+
+
+RETURNS = f"""with {TICKS}, {bars_sql()}, re as (select symbol, bucket, close, volume, ln(close / lag(close) over (partition by symbol order by bucket)) as ret from bars where close > 0),
+rt as (select * from re where ret is not null)"""
+
+
+def bar_returns(spark: SparkSession, folder: str) -> DataFrame:
+    w = series.ordered(["symbol"], ["bucket"])
+    df = bars(spark, folder).where("close > 0").withColumn("ret", F.ln(F.col("close") / F.lag("close").over(w)))
+    return df.where("ret is not null").select("symbol", "bucket", "close", "volume", "ret")
+
+
+@query(f"{RETURNS} select symbol, count(ret) as n, round(avg(ret), 8) as mean, round(var_pop(ret), 8) as variance, round(avg(ret) / (var_pop(ret) + avg(ret) * avg(ret)), 6) as kelly, round(avg(ret) / var_pop(ret), 6) as kelly_approx from rt group by 1", digits=8)
+def kelly(spark: SparkSession, folder: str) -> DataFrame:
+    return research.kelly(bar_returns(spark, folder), ["symbol"], "ret").withColumns({c: F.round(c, 6) for c in ("kelly", "kelly_approx")})
+
+
+AR1 = RETURNS + """, pr as (select *, lag(ret) over (partition by symbol order by bucket) as before from rt),
+ar as (select symbol, count(*) as n, regr_slope(ret, before) as rho, regr_intercept(ret, before) as intercept, var_pop(ret) as variance, regr_r2(ret, before) as r2 from pr where before is not null group by 1)"""
+
+
+@query(f"{AR1} select symbol, n, round(rho, 6) as rho, round(intercept / (1 - rho), 6) as mu, round(variance, 6) as variance, round(variance * (1 - r2), 6) as residual, round(1 - rho * rho, 6) as risk_share from ar")
+def ar1(spark: SparkSession, folder: str) -> DataFrame:
+    return research.ar1(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret")
+
+
+@query(f"""{AR1}, m as (select pr.symbol, bucket, intercept / (1 - rho) + rho * (before - intercept / (1 - rho)) as m, variance * (1 - r2) as residual from pr join ar using (symbol))
+select symbol, bucket, round(m, 6) as m, round(m / (residual + m * m), 6) as kelly, round(m / residual, 6) as kelly_approx from m""")
+def conditional_kelly(spark: SparkSession, folder: str) -> DataFrame:
+    return research.conditional_kelly(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret").select("symbol", "bucket", "m", "kelly", "kelly_approx")
+
+
+@query()
+def granger(spark: SparkSession, folder: str) -> DataFrame:
+    return research.granger(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret", "volume")
+
+
+@query(f"""{RETURNS}, d as (select symbol, close - lag(close) over w as d, lag(close) over w as b from rt window w as (partition by symbol order by bucket)),
+u as (select symbol, count(*) as n, regr_slope(d, b) as slope, regr_sxx(d, b) as sxx, regr_syy(d, b) as syy, regr_sxy(d, b) as sxy from d where b is not null group by 1)
+select symbol, n, round(slope, 6) as slope, round(slope / sqrt((syy - slope * sxy) / (n - 2) / sxx), 6) as t from u""")
+def unit_root(spark: SparkSession, folder: str) -> DataFrame:
+    return research.unit_root(bar_returns(spark, folder), ["symbol"], ["bucket"], "close")
+
+
+CHOW_AT = 1705276800_000000
+
+
+@query(f"""{RETURNS}, w as (select symbol, count(*) as n, regr_syy(ret, volume) * (1 - regr_r2(ret, volume)) as rss from rt group by 1),
+h as (select symbol, sum(rss) as rss from (select symbol, bucket >= {CHOW_AT} as late, regr_syy(ret, volume) * (1 - regr_r2(ret, volume)) as rss from rt group by 1, 2) group by 1)
+select symbol, n, round((w.rss - h.rss) / 2 / (h.rss / (n - 4)), 6) as f, 2 as df1, n - 4 as df2 from w join h using (symbol)""")
+def chow(spark: SparkSession, folder: str) -> DataFrame:
+    return research.chow(bar_returns(spark, folder), ["symbol"], "ret", "volume", F.col("bucket") >= CHOW_AT)
+
+
+@query(f"""{RETURNS}, f as (select *, ntile(5) over (partition by symbol order by bucket) as fold from rt),
+g as (select a.symbol, a.fold, (select stddev_samp(ret) from f b where b.symbol = a.symbol and b.fold < a.fold) as sd0, (select avg(ret) from f b where b.symbol = a.symbol and b.fold < a.fold) as m0, count(*) as n, avg(ret) as mean, avg(ret) / stddev_samp(ret) as sharpe from f a group by 1, 2)
+select symbol, cast(fold as int) as fold, n, {r('mean', 'sharpe')}, round(m0 / sd0, 6) as sharpe_before from g""")
+def walk_forward(spark: SparkSession, folder: str) -> DataFrame:
+    return research.fold_figures(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret", 5)
+
+
+@query(f"{RETURNS}, l as (select unnest([10.0, 50.0, 100.0, 200.0])::double as lim) select symbol, lim as \"limit\", count(*) as n, round(avg(ret), 6) as mean_return from rt, l where volume > lim group by 1, 2")
+def sensitivity(spark: SparkSession, folder: str) -> DataFrame:
+    return research.sensitivity(bar_returns(spark, folder), ["symbol"], "volume", "ret", [10.0, 50.0, 100.0, 200.0])
+
+
+@query(f"""{RETURNS} select symbol, bucket, round(case when count(*) over w >= 24 then stddev_samp(ret) over w end, 6) as roll_sd, round(case when count(*) over w >= 24 then avg(ret) over w / stddev_samp(ret) over w end, 6) as roll_sharpe,
+  round(case when count(*) over w >= 24 then corr(ret, volume) over w end, 6) as roll_corr from rt window w as (partition by symbol order by bucket rows 23 preceding)""")
+def rolling_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return research.rolling_relations(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret", "volume", 24).select("symbol", "bucket", "roll_sd", "roll_sharpe", "roll_corr")
+
+
+@query(f"""{RETURNS}, z as (select symbol, bucket, case when count(*) over w >= 24 then (volume - avg(volume) over w) / nullif(stddev_samp(volume) over w, 0) end as z from rt window w as (partition by symbol order by bucket rows between 24 preceding and 1 preceding))
+select symbol, bucket, round(z, 6) as z, coalesce(abs(z) > 3, false) as anomaly from z""")
+def anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    return research.anomalies(bar_returns(spark, folder), ["symbol"], ["bucket"], "volume", 24, 3.0).select("symbol", "bucket", "z", "anomaly")
+
+
+@query(f"""{RETURNS}, b as (select least(greatest(floor((ret + 5) / 10 * 10), 0), 9) as bin, bucket < {CHOW_AT} as ref from rt), n as (select count(*) filter (ref) as na, count(*) filter (not ref) as nb from b),
+c as (select range as bin, count(*) filter (ref) as a, count(*) filter (not ref and ref is not null) as b from range(10) left join b on b.bin = range group by 1)
+select round(sum(((a + 0.5) / (na + 5) - (b + 0.5) / (nb + 5)) * ln(((a + 0.5) / (na + 5)) / ((b + 0.5) / (nb + 5)))), 6) as psi from c, n""")
+def drift(spark: SparkSession, folder: str) -> DataFrame:
+    df = bar_returns(spark, folder)
+    return research.drift(df.where(F.col("bucket") < CHOW_AT), df.where(F.col("bucket") >= CHOW_AT), "ret", 10, -5.0, 5.0)
+
+
+@query(f"""{RETURNS}, e as (select *, case when count(*) over w >= 24 then stddev_samp(ret) over w end as sd, sum(ret) over (partition by symbol order by bucket) as equity from rt window w as (partition by symbol order by bucket rows 23 preceding)),
+d as (select *, greatest(max(equity) over (partition by symbol order by bucket), 0) - equity as drawdown from e),
+t as (select *, case when drawdown >= 6 then 3 when drawdown >= 4 then 2 when drawdown >= 2 then 1 else 0 end as tier from d)
+select symbol, bucket, round(case when tier = 3 then 0 else least(coalesce(1 / nullif(sd, 0), 2), 2) end, 6) as leverage, {r('equity', 'drawdown')}, tier from t""")
+def risk_levels(spark: SparkSession, folder: str) -> DataFrame:
+    out = research.risk_levels(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret", 24, 1.0, 2.0, (2.0, 4.0, 6.0))
+    return out.select("symbol", "bucket", "leverage", "equity", "drawdown", "tier")
+
+
+@query(f"{TRADES} select symbol, trade_id, round(exit_price / entry_price - 1 - 0.0015, 6) as pnl_net from tr where exit_us is not null")
+def repriced_trades(spark: SparkSession, folder: str) -> DataFrame:
+    return research.repriced(backtest.trades(positioned(spark, folder)), 15).select("symbol", "trade_id", "pnl_net")
+
+
+@query(f"""{SIZED} select symbol, us, round(avg(ret_net) over (partition by symbol) * 98280 / (case when count(ret_net) over (partition by symbol order by us rows 29 preceding) >= 30 then nullif(stddev_samp(ret_net) over (partition by symbol order by us rows 29 preceding), 0) * sqrt(98280) end), 5) as rolling_sharpe from eq""", digits=5)
+def rolling_sharpe(spark: SparkSession, folder: str) -> DataFrame:
+    return backtest.rolling_sharpe(equity(spark, folder), 30).select("symbol", "us", "rolling_sharpe")
+
+
+@query(f"with {TICKS}, {bars_sql()} select symbol, bucket, {r('open', 'high', 'low', 'close', 'volume')}, tick_count from bars")
+def streaming_candles(spark: SparkSession, folder: str) -> DataFrame:
+    """The events read as a stream until its end; the complete table of candles is written with each micro-batch."""
+    from tidemark.sources.shared import shared_folder
+    from tidemark.streaming import streams
+
+    out = shared_folder(spark, "streaming-candles")
+    schema = market.table(spark, folder, "events").schema
+    read = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    ticks = read.select(F.col("event_type").alias("symbol"), F.timestamp_micros(us).alias("ts"), F.col("value").alias("price"), (F.get_json_object("props", "$.k").cast("double") + 1).alias("quantity"), F.col("event_id").alias("trade_id"))
+    stream = streams.candles(ticks, HOUR, "1 hour")
+    running = stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/log").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/candles")).start()
+    running.awaitTermination()
+    found = spark.read.parquet(f"{out}/candles")
+    return found.select("symbol", F.unix_micros("bucket").alias("bucket"), "open", "high", "low", "close", "volume", "tick_count")
