@@ -21,7 +21,7 @@ def run(stream, name, tmp_path, mode="append"):
 
 
 def test_late_ticks_merge_within_the_watermark_and_drop_beyond_it(spark, tmp_path):
-    batches = [[("x", at(1), 5.0, 1.0, 1), ("x", at(12), 6.0, 1.0, 2)], [("x", at(3), 9.0, 1.0, 3), ("x", at(40), 1.0, 1.0, 4)], [("x", at(4), 99.0, 1.0, 5), ("x", at(80), 1.0, 1.0, 6)]]
+    batches = [[("x", at(1), 5.0, 1.0, 1), ("x", at(12), 6.0, 1.0, 2)], [("x", at(3), 9.0, 1.0, 3), ("x", at(40), 1.0, 1.0, 4)], [("x", at(41), 1.0, 1.0, 7)], [("x", at(4), 99.0, 1.0, 5), ("x", at(80), 1.0, 1.0, 6)]]
     got = run(streams.candles(feed(spark, str(tmp_path / "in"), batches, TICKS), 10, "15 seconds"), "late", tmp_path)
     first = min(got, key=lambda r: r["bucket"])
     assert (first["open"], first["high"], first["close"], first["tick_count"]) == (5.0, 9.0, 9.0, 2)
