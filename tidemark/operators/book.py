@@ -147,11 +147,3 @@ def markouts(fills: DataFrame, mids: DataFrame, steps: int = 10) -> DataFrame:
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     return fills.join(ahead, ["symbol", "seq"], "left").withColumn("markout", sign * (F.col("price") - F.col("_later"))).drop("_later")
 
-
-def first_fills(orders: DataFrame, states_: DataFrame) -> DataFrame:
-    """Orders (order_id, symbol, seq, side, price) with fill_seq: the first later message whose opposite best price reaches them.
-
-    An order meets its symbol's messages only after its own; both sides of the join are sorted and pruned to its direction."""
-    reach = states_.select("symbol", F.col("seq").alias("at"), "best_bid", "best_ask")
-    hit = ((F.col("side") == "buy") & (F.col("price") >= F.col("best_ask"))) | ((F.col("side") == "sell") & (F.col("price") <= F.col("best_bid")))
-    return orders.join(orders.join(reach, "symbol").where((F.col("at") > F.col("seq")) & hit).groupBy("order_id").agg(F.min("at").alias("fill_seq")), "order_id", "left")
