@@ -10,7 +10,7 @@ the same at any corpus size. They are dealt to ``SHARDS`` groups; in each epoch
 updates from the common state, and the driver averages the states (``SHARDS`` x 2 MB).
 
 Edge cases: a null text scores as the empty text; an empty text has no features, so its score is the sigmoid
-of the bias; rows with a null id or label don't train; repeated rows get the same score each; with no label
+of the bias; rows with a null id or label don't train; of rows that share an id one trains; repeated rows get the same score each; with no label
 rows, or one class only, every score follows from the bias alone; extra columns are ignored. Within a text
 longer than 4 MB, pairs across the 4 MB pieces it is read in are not counted; all its tokens are.
 """
@@ -179,6 +179,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "y", "index", "value"])
 
     sparse = texts.mapInArrow(vectors, f"id {dict(documents.dtypes)['doc_id']}, y int, index array<int>, value array<float>")
+    # of rows that share an id one trains, however many there are
+    sparse = sparse.groupBy("id", "y").agg(F.min(F.struct("index", "value")).alias("v")).select("id", "y", "v.*")
     sparse = sparse.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)))
     shards = cut(sparse.groupBy("shard").applyInArrow(_packed, "rows long, y binary, sizes binary, index binary, value binary"))
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)

@@ -12,7 +12,7 @@ beginnings found equally often, one within the other, the longest stays. Weights
 read, those with the smallest id hashes; counting is a Spark aggregation, and at most ``ENTRIES`` entries reach the driver.
 
 Edge cases: a null text scores as the empty text, which has no hits; repeated rows score alike; rows with a null id or label
-don't train; without toxic training rows the lexicon is ``BASE`` alone with default coefficients; extra columns are ignored.
+don't train; of rows that share an id one trains; without toxic training rows the lexicon is ``BASE`` alone with default coefficients; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,7 +126,8 @@ def _training(documents: DataFrame, labels: DataFrame, label: str, train_rows: i
         .groupBy("id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(train_rows)
     )
-    return documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    texts = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    return texts.groupBy("id", "y").agg(F.min("text").alias("text"))  # of rows that share an id one trains, however many there are
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Lexicon:
