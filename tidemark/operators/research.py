@@ -108,7 +108,7 @@ def rolling_relations(df: DataFrame, keys: list[str], order: list[str], a: str,
     w = series.ordered(keys, order)
     frame = w.rowsBetween(-(rows - 1), 0)
     full = F.count(a).over(frame) >= rows
-    return df.withColumns({"roll_sd": series.rolling(F.stddev_samp, a, w, rows), "roll_sharpe": series.safe_div(series.rolling(F.avg, a, w, rows), series.rolling(F.stddev_samp, a, w, rows)), "roll_corr": F.when(full, F.corr(a, b).over(frame))})
+    return df.withColumns({"roll_sd": series.rolling(F.stddev_samp, a, w, rows), "roll_sharpe": series.safe_div(series.rolling(F.avg, a, w, rows), series.rolling(F.stddev_samp, a, w, rows)), "roll_corr": F.when(full, series.safe_div(F.covar_samp(a, b).over(frame), F.stddev_samp(a).over(frame) * F.stddev_samp(b).over(frame)))})
 
 
 def anomalies(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int, limit: float) -> DataFrame:

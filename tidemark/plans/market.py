@@ -98,11 +98,10 @@ def group_by_reason(spark: SparkSession, folder: str) -> DataFrame:
     return candles.by_reason(market.table(spark, folder, "events"), "event_type", "value")
 
 
-@query(f"""with {TICKS}, found as (select (us // {HOUR * US}) % 24 as h, avg(price) as m, count(*) as n from ticks where symbol = 'purchase' and (us // {HOUR * US}) % 24 < 20 group by 1)
+@query(f"""with {TICKS}, found as (select (us // {HOUR * US}) % 24 as h, avg(price) as m, count(*) as n from ticks group by 1)
 select cast(range as int) as hour, round(m, 6) as mean_value, coalesce(n, 0) as n from range(24) left join found on h = range""")
 def hours_dense(spark: SparkSession, folder: str) -> DataFrame:
-    some = market.ticks(spark, folder).where((F.col("symbol") == "purchase") & (F.floor(F.col("us") / (HOUR * US)) % 24 < 20))
-    return candles.by_hour(some, "us", "price")
+    return candles.by_hour(market.ticks(spark, folder), "us", "price")
 
 
 @query(f"""with {TICKS} select symbol, count(price) as n, round(sum(price), 4) as total, round(avg(price), 4) as mean, round(stddev_samp(price), 4) as sd, round(stddev_pop(price), 4) as sd_pop,
@@ -483,7 +482,7 @@ def episode_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ADVANTAGES = f"""with recursive {TICKS}, s as (select symbol, trade_id as step, price / 100 as reward, quantity / 100 as value, trade_id % 97 = 0 as done, row_number() over (partition by symbol order by trade_id desc) as k,
-  coalesce(lead(quantity / 100) over (partition by symbol order by trade_id), 0) as ahead from ticks where trade_id < 2000),
+  coalesce(lead(quantity / 100) over (partition by symbol order by trade_id), 0) as ahead from ticks),
 d as (select *, reward + 0.99 * case when done then 0 else ahead end - value as delta from s),
 g as (select symbol, step, k, value, delta as advantage from d where k = 1 union all select d.symbol, d.step, d.k, d.value, d.delta + 0.99 * 0.95 * case when d.done then 0 else g.advantage end from g join d on d.symbol = g.symbol and d.k = g.k + 1)
 select symbol, step, round(advantage, 6) as advantage, round(advantage + value, 6) as target, round((advantage - avg(advantage) over (partition by symbol)) / (stddev_pop(advantage) over (partition by symbol) + 1e-8), 6) as advantage_norm from g"""
@@ -491,17 +490,16 @@ select symbol, step, round(advantage, 6) as advantage, round(advantage + value,
 
 @query(ADVANTAGES)
 def advantage_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths are the first ticks by time of each symbol: an episode's length is the feature here."""
-    t = market.ticks(spark, folder).where("trade_id < 2000")
-    steps = t.select("symbol", F.col("trade_id").alias("step"), (F.col("price") / 100).alias("reward"), (F.col("quantity") / 100).alias("value"), (F.col("trade_id") % 97 == 0).alias("done"))
+    """Each symbol's ticks are one path."""
+    steps = market.ticks(spark, folder).select("symbol", F.col("trade_id").alias("step"), (F.col("price") / 100).alias("reward"), (F.col("quantity") / 100).alias("value"), (F.col("trade_id") % 97 == 0).alias("done"))
     return simulate.advantages(steps, ["symbol"], "step").select("symbol", "step", "advantage", "target", "advantage_norm")
 
 
 @query(f"""with {STATES}, f as (select symbol, seq, case when seq % 2 = 0 then 'buy' else 'sell' end as side, mid as price, lead(mid, 9) over (partition by symbol order by seq) as later from bk)
-select symbol, seq, round(case when side = 'buy' then price - later else later - price end, 6) as markout from f where seq % 7 = 0""")
+select symbol, seq, round(case when side = 'buy' then price - later else later - price end, 6) as markout from f""")
 def markouts(spark: SparkSession, folder: str) -> DataFrame:
     s = book.states(messages(spark, folder)).select("symbol", "seq", "mid")
-    fills = s.where("seq % 7 = 0").select("symbol", "seq", F.when(F.col("seq") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("mid").alias("price"))
+    fills = s.select("symbol", "seq", F.when(F.col("seq") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("mid").alias("price"))
     return book.markouts(fills, s).select("symbol", "seq", "markout")
 
 
