@@ -173,9 +173,12 @@ def links(distinct: DataFrame) -> DataFrame:
     sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     if total < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    entries = []
+    entries, earlier = [], F.lit(False)
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     for k, (bits, t) in enumerate(layout(np.array(sample, np.int64).view(np.uint64), total)):
-        value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+        mask = F.lit(_signed(sum(1 << b for b in bits)))
+        value = F.col("fp").bitwiseAND(mask)
+        earlier |= (F.col("part") > k) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(mask)) <= t)
         entries.append(F.array(F.struct(F.lit(k).alias("part"), value.alias("value"), F.lit(True).alias("own"))))
         if t:
             entries.append(F.transform(_flips(value, bits, t), _probe(k)))
@@ -184,8 +187,8 @@ def links(distinct: DataFrame) -> DataFrame:
     live = cut(entered.join(sizes.select("part", "value", "n"), ["part", "value"]))
     few, many = live.where(F.col("n") <= BLOCK), live.where(F.col("n") > BLOCK)
     left, right = few.where("own").select("part", "value", F.col("fp").alias("a")), few.select("part", "value", F.col("fp").alias("b"), "own")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    met = left.join(right, ["part", "value"]).where((F.col("a") != F.col("b")) & (apart <= DISTANCE)).select("a", "b")
+    # each pair once: from its smaller end, in the first part that brings it together
+    met = left.join(right, ["part", "value"]).where((F.col("a") < F.col("b")) & (apart <= DISTANCE) & ~earlier).select("a", "b")
     midpoints = many.select("fp").distinct().select("fp", F.explode(F.concat(F.array("fp"), _flips(F.col("fp"), list(range(64)), 1))).alias("mid"))
     hubs = midpoints.groupBy("mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     at_hubs = hubs.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
