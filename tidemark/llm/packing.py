@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,9 +40,10 @@ SENTENCE, HARD, EACH = 4, 96, 16
 GAP = 256
 EXEMPT = (1024, 2048)
 END = 2
-KEPT = 800_000
-#: Trailing signs that a word can be parted from; an apostrophe may begin a token with what follows it.
-PUNCTUATION = b".,!?;:#$%&*|"
+#: Chunks kept per worker; 1.2 million take some 250 MB.
+KEPT = 1_200_000
+#: Between a letter or digit and signs after it; an apostrophe may begin a token with what follows it.
+SIGNS = re.compile(rb"(?<=[a-z0-9])(?=[.,!?;:#$%&*|])")
 
 
 class Chunks:
@@ -57,20 +59,12 @@ class Chunks:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 15, np.int64)
         self.ends = np.zeros(1 << 15, bool)
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Adds chunks to the table. A word and the punctuation after it are separate tokens, so each is encoded once."""
-        cut = []
-        for c in chunks:
-            base = c.rstrip(PUNCTUATION)
-            cut.append((base, c[len(base) :]) if base and len(base) < len(c) and base[-1:].isalnum() and self.special not in c else (c,))
-        new = list({p for ps in cut for p in ps} - self.parts.keys())
-        self.parts.update(zip(new, (e.ids for e in self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)), strict=True))
-        encoded = [self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]] for ps in cut]
+        encoded = [e.ids for e in self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
         k = len(self.known)
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         while k + len(chunks) + 1 > len(self.begin):
@@ -87,8 +81,9 @@ class Chunks:
         """(ids with the end token, places in them after which a sentence ends) of each text."""
         if len(self.known) > KEPT:
             self._forget()
-        # lower-casing is the tokenizer's own; done first, it makes fewer chunks. Special strings are matched before it.
-        chunked = [(t if self.special in t else t.lower()).split() for t in texts]
+        # lower-casing is the tokenizer's own, and a word and the signs after it are separate tokens; done first, both make
+        # fewer chunks. Special strings are matched before either.
+        chunked = [t.split() if self.special in t else SIGNS.sub(b" ", t.lower()).split() for t in texts]
         unknown = set().union(*chunked) - self.known.keys()
         if unknown:
             self._learn(list(unknown))
