@@ -1,4 +1,4 @@
-"""A corpus pipeline of four stages: quality rules, quality classifier, SimHash near-dedup, packing.
+"""A corpus pipeline of four stages: quality rules, quality classifier, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; ``run`` writes each stage's
 rows as Parquet beside the session's checkpoints and reads them again for the next. All but the last return the columns
@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, quality_classifier, quality_rules, shared, simhash
+from tidemark.llm import nearcopies, packing, quality_classifier, quality_rules, shared
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard at least 0.8), that with the smallest doc_id."""
+    return nearcopies.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", keep_by_rules), ("quality_classifier", keep_by_classifier), ("simhash_near_dedup", keep_one_of_near_duplicates), ("packing", pack)]
+STAGES = [("quality_rules", keep_by_rules), ("quality_classifier", keep_by_classifier), ("near_dedup", keep_one_of_near_duplicates), ("packing", pack)]
 
 #: Hashing, training and the tokenizer have no form in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
