@@ -9,7 +9,8 @@ the log of the summed weights, and the number of different entries hit; the scor
 The lexicon starts with ``BASE`` and is completed from labelled rows: folded word beginnings of 4 to 10 letters that occur in
 at least ``SHARE`` of the toxic training texts, and whose odds of being in a toxic text are at least ``ODDS`` times even; of
 beginnings found equally often, one within the other, the longest stays. Weights are log odds ratios. At most ``train_rows`` labelled rows are
-read, those with the smallest id hashes; counting is a Spark aggregation, and at most ``ENTRIES`` entries reach the driver.
+read, those with the smallest id hashes; counting is a Spark aggregation, and the entries that reach the driver are
+bounded by ``SHARE``: at most the mean number of beginnings in a toxic text / ``SHARE``.
 
 Edge cases: a null text scores as the empty text, which has no hits; repeated rows score alike; rows with a null id or label
 don't train; of rows that share an id one trains; without toxic training rows the lexicon is ``BASE`` alone with default coefficients; extra columns are ignored.
@@ -31,7 +32,6 @@ from .quality_classifier import held_out
 from .shared import cut
 
 TRAIN_ROWS = 16384
-ENTRIES = 256
 SHARE, ODDS = 0.02, 10.0
 THRESHOLD = 0.5
 MIN, MAX = 4, 10
@@ -153,7 +153,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", train_r
         rows.select("text", "y").mapInArrow(beginnings, "entry string, y int")
         .groupBy("entry").agg(n1.alias("n1"), n0.alias("n0"), odds.alias("weight"))
         .where((F.col("n1") >= max(3.0, SHARE * toxic)) & ((F.col("n1") + 0.5) / toxic >= ODDS * (F.col("n0") + 0.5) / clean))
-        .orderBy(F.desc("n1"), F.asc("n0"), F.length("entry"), "entry").limit(ENTRIES).collect()
+        .orderBy(F.desc("n1"), F.asc("n0"), F.length("entry"), "entry").collect()
     )
     support = {r["entry"]: (r["n1"], r["n0"]) for r in learned}
     longer = {e[:n] for e, n1n0 in support.items() for n in range(MIN, len(e)) if support.get(e[:n]) == n1n0}
