@@ -11,8 +11,9 @@ updates from the common state, and the driver averages the states (``SHARDS`` x
 
 Edge cases: a null text scores as the empty text; an empty text has no features, so its score is the sigmoid
 of the bias; rows with a null id or label don't train; of rows that share an id one trains; repeated rows get the same score each; with no label
-rows, or one class only, every score follows from the bias alone; extra columns are ignored. Within a text
-longer than 4 MB, pairs across the 4 MB pieces it is read in are not counted; all its tokens are.
+rows, or one class only, every score follows from the bias alone; extra columns are ignored. A text of over
+4 MB is read in pieces that end at white space, with the last two tokens and the triples seen so far carried from piece to piece, so
+its vector is that of the whole text.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 #: Length of a text's vector.
 LENGTH = 6.0
 THRESHOLD = 0.3
+#: Buckets of the two markers.
+REPEAT, SEEN = 1, 2
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[at.SPACE] = 0
@@ -48,62 +51,92 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row << 18 | bucket keys, counts) of a few megabytes of texts."""
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every token."""
     kind = _CLASS[data]
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    border = np.zeros(n + 1, bool)
+    border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
     border[1:-1] |= kind[1:] != kind[:-1]
     cuts = np.flatnonzero(border)
     starts, ends = cuts[:-1], cuts[1:]
     words = kind[starts] != 0
     starts, ends = starts[words], ends[words]
-    if len(starts) == 0:
+    return at.RollingHash(data).ranges(starts, ends), np.searchsorted(offsets, starts, "right") - 1
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(46)).astype(np.int64)
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    return at.mix(h[:-1] * _SALT[0] + h[1:])
+
+
+def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row << 18 | bucket keys, counts) of a few megabytes of texts."""
+    if len(data) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, row = _tokens(data, offsets)
+    if len(h) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = at.RollingHash(data).ranges(starts, ends)
-    row = np.searchsorted(offsets, starts, "right") - 1
     same = row[1:] == row[:-1]
-    pairs = at.mix(h[:-1] * _SALT[0] + h[1:])
+    pairs = _pairs(h)
     again = (h[1:] == h[:-1]) & same
-    keys = [row << 18 | (h >> np.uint64(46)).astype(np.int64), (row[1:] << 18 | (pairs >> np.uint64(46)).astype(np.int64))[same]]
-    keys.append(row[1:][again] << 18 | 1)
+    keys = [row << 18 | _bucket(h), (row[1:] << 18 | _bucket(pairs))[same]]
+    keys.append(row[1:][again] << 18 | REPEAT)
     if len(h) > 2:
         threes = at.mix(pairs[:-1] * _SALT[1] + h[2:] + row[2:].astype(np.uint64) * _SALT[2])[same[1:] & same[:-1]]
         owner = row[2:][same[1:] & same[:-1]]
         order = np.argsort(threes, kind="stable")
         seen = np.zeros(len(threes), bool)
         seen[order[1:]] = threes[order[1:]] == threes[order[:-1]]
-        keys.append(owner[seen] << 18 | 2)
+        keys.append(owner[seen] << 18 | SEEN)
     return np.unique(np.concatenate(keys), return_counts=True)
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in parts of about SLICE_BYTES that end at white space where there is some."""
+def _long_buckets(data: np.ndarray, size: int) -> np.ndarray:
+    """The counts of one text's buckets, read in pieces."""
+    total, before, triples, n_triples = np.zeros(DIM, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0
+    for piece in _pieces(data, size):
+        h, _ = _tokens(piece, np.array([0, len(piece)]))
+        total += np.bincount(_bucket(h), minlength=DIM)
+        h = np.concatenate([before, h])
+        pairs = _pairs(h)
+        fresh = max(0, len(before) - 1)  # the pair within what was carried is counted already
+        total += np.bincount(_bucket(pairs[fresh:]), minlength=DIM)
+        total[REPEAT] += int((h[1:] == h[:-1])[fresh:].sum())
+        if len(h) > 2:
+            threes = at.mix(pairs[:-1] * _SALT[1] + h[2:])
+            n_triples += len(threes)
+            triples = np.union1d(triples, threes)
+        before = h[-2:]
+    total[SEEN] += n_triples - len(triples)
+    return total
+
+
+def _pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """A text in parts of about ``size`` bytes that end at white space."""
     start = 0
     while start < len(data):
-        stop = min(len(data), start + at.SLICE_BYTES)
-        if stop < len(data):
-            gaps = np.flatnonzero(at.SPACE[data[max(start, stop - 4096) : stop]])
-            stop = max(start, stop - 4096) + int(gaps[-1]) + 1 if len(gaps) else stop
+        stop = start + size
+        while stop < len(data):
+            gaps = np.flatnonzero(at.SPACE[data[stop : stop + 4096]])
+            if len(gaps):
+                stop += int(gaps[0])
+                break
+            stop += 4096
         yield data[start:stop]
         start = stop
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: pa.Array, size: int = at.SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offsets, buckets, values): row r has the sparse vector at offsets[r]:offsets[r + 1], of length LENGTH or empty."""
     data, offsets = at.bytes_of(texts)
     n = len(offsets) - 1
-    if len(data) <= 2 * at.SLICE_BYTES:
+    if len(data) <= size or n > 1:  # slices hold several rows only up to their size
         keys, counts = _buckets(data, offsets)
-    else:  # one text longer than a slice
-        total = np.zeros(n << 18, np.int64)
-        for r in range(n):
-            for piece in _pieces(data[offsets[r] : offsets[r + 1]]):
-                k, c = _buckets(piece, np.array([0, len(piece)]))
-                total[(r << 18) + k] += c
+    else:
+        total = _long_buckets(data, size)
         keys = np.flatnonzero(total)
         counts = total[keys]
     row, values = keys >> 18, np.log1p(counts)
