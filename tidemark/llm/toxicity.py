@@ -10,7 +10,8 @@ The lexicon starts with ``BASE`` and is completed from labelled rows: folded wor
 at least ``SHARE`` of the toxic training texts, and whose odds of being in a toxic text are at least ``ODDS`` times even; of
 beginnings found equally often, one within the other, the longest stays. Weights are log odds ratios. At most ``train_rows`` labelled rows are
 read, those with the smallest id hashes; counting is a Spark aggregation, and the entries that reach the driver are
-bounded by ``SHARE``: at most the mean number of beginnings in a toxic text / ``SHARE``.
+bounded by ``SHARE``: at most the mean number of beginnings in a toxic text / ``SHARE``. Long texts are folded and matched in pieces
+of ``PIECE`` characters, each with the words around it that a phrase can reach, with the same result as whole.
 
 Edge cases: a null text scores as the empty text, which has no hits; repeated rows score alike; rows with a null id or label
 don't train; of rows that share an id one trains; without toxic training rows the lexicon is ``BASE`` alone with default coefficients; extra columns are ignored.
@@ -41,7 +42,10 @@ EXCEPTIONS = ("trash can", "trash bin", "class clown fish", "clown fish", "sore
 #: Look-alikes: Cyrillic and Greek letters, full-width letters are folded by rule.
 HOMOGLYPHS = dict(zip("аеіјорсухѕԁɡһкмтвнαειορτυχνκ", "aeijopcyxsdghkmtbhaeioptuxvk", strict=True))
 DIGITS = dict(zip("01345789@$!|", "oieastbgasil", strict=True))
-DEFAULT = np.array([-4.0, 1.0, 1.5, 0.5])
+DEFAULT = np.array([-4.0, 1.0, 0.75, 0.5])
+#: Shorter texts count as so many words, so that a single hit in a few words weighs no more than in these.
+LEAST_WORDS = 20
+PIECE = 1 << 20
 
 
 @cache
@@ -53,6 +57,7 @@ def folding() -> dict[int, str]:
 
 _SIGNS = re.compile(r"[0-9@$!|](?=[^\W\d_])|(?<=[^\W\d_])[0-9@$](?=[^\W_]|[@$])")
 _GAPS = re.compile(r"[\W\d_]+")
+_BLANK = re.compile(r"\s")
 
 
 def fold(text: str) -> str:
@@ -62,7 +67,20 @@ def fold(text: str) -> str:
         text = text.translate(folding())
     if any(c in text for c in DIGITS):
         text = _SIGNS.sub(lambda m: DIGITS.get(m[0], " "), text)
-    return " " + _GAPS.sub(" ", text).strip() + " "
+    words = _GAPS.sub(" ", text).strip()
+    return f" {words} " if words else " "
+
+
+def folded(text: str, size: int | None = None) -> Iterator[tuple[str, bool]]:
+    """The folded text in parts that end at white space, each with whether it is the last."""
+    size, start = size or PIECE, 0
+    while start + size < len(text):
+        gap = _BLANK.search(text, start + size)
+        if not gap:
+            break
+        yield fold(text[start : gap.start()]), False
+        start = gap.end()
+    yield fold(text[start:]), True
 
 
 class Lexicon:
@@ -84,22 +102,43 @@ class Lexicon:
             found.make_automaton()
         return found
 
+    def hits(self, text: str, automaton) -> tuple[float, set[str], int]:
+        """Summed weights and different entries of the hits outside exceptions, and the number of words."""
+        total, entries, words = 0.0, set(), 0
+        # a hit, and a phrase that spares it, lie within so many characters of its beginning
+        reach = max(map(len, (*self.exceptions, *self.weights)), default=0) + 2
+        buffer, done = " ", 0
+        for part, last in folded(text):
+            buffer += part[1:]
+            words += part.count(" ") - 1
+            limit = len(buffer) if last else max(done, len(buffer) - reach)
+            found: dict[int, tuple[str, float]] = {}
+            spared: list[tuple[int, int]] = []
+            for end, (size, entry, weight) in automaton.iter(buffer) if len(automaton) else ():
+                start = end - size + 1
+                if entry is None:
+                    spared.append((start, end - 1))  # the space at its end belongs to the next word
+                elif done <= start < limit and weight > found.get(start, ("", 0.0))[1]:
+                    found[start] = entry, weight  # of entries that begin the same word the heaviest
+            spared.sort()
+            k, until = 0, -1  # both in ascending order: the furthest end of the phrases begun so far decides
+            for start in sorted(found):
+                while k < len(spared) and spared[k][0] <= start:
+                    until = max(until, spared[k][1])
+                    k += 1
+                if start > until:
+                    total += found[start][1]
+                    entries.add(found[start][0])
+            cut = max(0, buffer.rfind(" ", 0, max(0, limit - reach) + 1)) if not last else 0
+            buffer, done = buffer[cut:], limit - cut
+        return total, entries, words
+
     def features(self, texts: list[str], automaton) -> np.ndarray:
         out = np.zeros((len(texts), 4))
         out[:, 0] = 1
         for r, text in enumerate(texts):
-            folded = fold(text)
-            hits, spared = {}, []
-            for end, (size, entry, weight) in automaton.iter(folded) if len(automaton) else ():
-                start = end - size + 1
-                if entry is None:
-                    spared.append((start, end))
-                elif weight > hits.get(start, ("", 0.0))[1]:
-                    hits[start] = entry, weight  # of entries that begin the same word the heaviest
-            kept = [h for s, h in hits.items() if not any(a <= s <= b for a, b in spared)]
-            if kept:
-                total = sum(w for _, w in kept)
-                out[r, 1:] = min(100 * total / max(20, folded.count(" ") - 1), 50) / 5, np.log1p(total) / 2, min(len({e for e, _ in kept}), 10) / 3
+            total, entries, words = self.hits(text, automaton)
+            out[r, 1:] = np.log1p(100 * total / max(LEAST_WORDS, words)), np.log1p(total), np.log1p(len(entries))
         return out
 
     def scores(self, texts: list[str], automaton) -> np.ndarray:
@@ -153,11 +192,12 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", train_r
         rows.select("text", "y").mapInArrow(beginnings, "entry string, y int")
         .groupBy("entry").agg(n1.alias("n1"), n0.alias("n0"), odds.alias("weight"))
         .where((F.col("n1") >= max(3.0, SHARE * toxic)) & ((F.col("n1") + 0.5) / toxic >= ODDS * (F.col("n0") + 0.5) / clean))
-        .orderBy(F.desc("n1"), F.asc("n0"), F.length("entry"), "entry").collect()
     )
-    support = {r["entry"]: (r["n1"], r["n0"]) for r in learned}
-    longer = {e[:n] for e, n1n0 in support.items() for n in range(MIN, len(e)) if support.get(e[:n]) == n1n0}
-    weights.update((r["entry"], float(r["weight"])) for r in learned if r["entry"] not in longer)
+    learned = cut(learned)
+    # an entry found as often as one a letter longer says no more than that one
+    shorter = learned.where(F.length("entry") > MIN).select(F.expr("left(entry, length(entry) - 1)").alias("entry"), "n1", "n0").distinct()
+    kept = learned.join(shorter, ["entry", "n1", "n0"], "left_anti").orderBy(F.desc("n1"), F.asc("n0"), F.length("entry"), "entry").collect()
+    weights.update((r["entry"], float(r["weight"])) for r in kept)
     lexicon = Lexicon(weights)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
