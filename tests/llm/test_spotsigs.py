@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import spotsigs as ss
 
@@ -9,17 +10,14 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain_signatures(text):
-    words = []
-    for k, line in enumerate((text or "").lower().split("\n")):
-        words += ["^"] + re.findall(r"[^\W_]+", line)
-    if not any(w != "^" for w in words):
-        return set()
-    content = [k for k, w in enumerate(words) if w not in ss.SKIPPED and w != "^"]
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    content = [k for k, w in enumerate(words) if w not in ss.ANCHORS]
+    sparse = (len(words) - len(content)) * ss.SPARSE < len(words)
     out = set()
     for k, w in enumerate(words):
-        if w == "^" or w in ss.ANCHORS:
-            chain = [words[c] for c in content if c > k][: ss.CHAIN]
-            out.add((w, *chain, *[""] * (ss.CHAIN - len(chain))))
+        if sparse and w not in ss.ANCHORS or not sparse and w in ss.ANCHORS:
+            chain = [words[c] for c in content if c > k or sparse and c == k][: ss.CHAIN]
+            out.add(("^" if sparse else w, *chain, *[""] * (ss.CHAIN - len(chain))))
     return out
 
 
@@ -39,19 +37,19 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("extra", [[], [(-5, ""), (10**9, "!! ?"), (10**9 + 1, "The\n\n of the"), (10**9 + 2, "of"), (10**9 + 3, "\n\nx ^ y\n")]])
+@pytest.mark.parametrize("extra", [[], [(-5, ""), (10**9, "!! ?"), (10**9 + 1, "The\n\n of the"), (10**9 + 2, "of"), (10**9 + 3, "\n\nx ^ y\n"), (10**9 + 4, "the cat sat " * 1_000), (10**9 + 5, "ein zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn of")]])
 def test_matches_brute_force(spark, extra):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     texts = [(r["doc_id"], r["text"]) for r in rows.collect()]
     want = expected(texts)
-    got = ss.edited_likeness(rows).collect()
+    got = ss.edited_likeness(rows.withColumns({c: F.lit("clash") for c in ("own", "range", "key", "edited", "firsts")})).collect()
     assert len(got) == len(want)
     by_text, of = {}, dict(texts)
     for r in got:
         n, sha, near, after = want[r["doc_id"]]
         assert (r["n_chars"], r["edited_sha256"]) == (n, sha)
-        assert r["near_edited"] == pytest.approx(near, abs=1e-3) and r["near_next"] == pytest.approx(after, abs=1e-3)
+        assert r["near_edited"] == pytest.approx(near, abs=1e-12) and r["near_next"] == pytest.approx(after, abs=1e-12)
         assert by_text.setdefault(of[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
 
 
@@ -64,6 +62,16 @@ def test_small_tables(spark):
     assert sorted(r["n_chars"] for r in got) == [4, 13, 18, 18, 18]
 
 
+def test_ids_of_any_type_and_one_hot_id(spark):
+    rows = [("a", "of one two"), ("b", "of three"), (None, "four")]
+    got = {r["doc_id"]: r["edited_sha256"] for r in ss.edited_likeness(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in (("a", "of one tof"), ("b", "of thrfo"), (None, "fouo"))}
+    hot = spark.range(400).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    dealt = ss.with_successors(hot, ss.signatures)
+    assert dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 300
+    assert sorted(r["text"] for r in dealt.collect()) == sorted(r["next_text"] for r in dealt.collect())
+
+
 def test_similar_finds_every_pair_over_the_threshold(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     asked = docs.where("doc_id % 5 = 0")

@@ -1,20 +1,23 @@
 """Document fingerprints: SpotSigs, on DataFrame functions only.
 
 A text's words are its runs of letters and digits, lower-cased. An anchor is one of the ``ANCHORS``, very common words of four
-languages, or the beginning of a line; its signature is the anchor with the ``CHAIN`` content words that follow it (words of
-``SKIPPED`` are passed over). A line's end doesn't break a chain, the text's end shortens it. The fingerprint is the set of the
-signatures' 32-bit hashes, written in ascending order; the likeness of two is the Jaccard coefficient of their sets.
+languages; its signature is the anchor with the ``CHAIN`` content words that follow it (anchors are passed over). The text's end
+shortens a chain. A text with fewer than one anchor in ``SPARSE`` words, such as a list, code or another language, would have a
+fingerprint of next to nothing: there the beginning of every content word is an anchor (written ``^``). The fingerprint is the set of
+the signatures' 64-bit hashes, written in ascending order; the likeness of two is the Jaccard coefficient of their sets.
 
 ``similar`` finds the rows like those of a query table: sets are partitioned by their size, so that only sizes that can reach the
 threshold meet, and within a partition they meet on their rarest signatures alone, as many as a pair over the threshold cannot all
-miss; then the sets are compared.
+miss; then the sets are compared. ``edited_likeness`` compares pairs that its contract fixes, so nothing is left to search or prune there.
 
-``edited`` needs each document's successor. Documents are dealt to ranges of doc_id, and the first documents of a range visit
-the range before it, so that a window within each range sees every successor; no range holds more than its share.
+``with_successors`` needs each document's successor. Spark sorts the documents' keys (doc_id and a hash of the text) into ranges; each
+range's first key is a row of a broadcast array, documents go to their range, and the first ones of a range visit the range before it
+as well, so that a window within each range sees every successor. No range holds more than its share, unless rows equal in doc_id and
+text alone are more.
 
 Edge cases: a null text counts as empty; a text without words has the empty fingerprint, '', and two empty ones have likeness 1;
-rows with one doc_id are ordered by a hash of their texts, rows with a null one come first; the only row of a table is its own
-successor; extra columns are ignored; an empty table gives no rows.
+rows with one doc_id are ordered by a hash of their texts, rows with a null one come first, and doc_id may be of any type that has an
+order; the only row of a table is its own successor; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +25,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that begin a signature, and further words that a chain passes over.
-ANCHORS = ("the", "of", "to", "is", "der", "die", "und", "zu", "de", "la", "que", "le", "et", "el", "en", "los")
-SKIPPED = (*ANCHORS, "a", "an", "and", "in", "that", "it", "for", "on", "was", "be", "with", "as", "by", "at", "are", "das", "den", "ein", "von", "mit", "ist", "les", "des", "du", "un", "une", "est", "y", "las", "del", "al")
+from .shared import cut
+
+#: Words that begin a signature, and that chains pass over.
+ANCHORS = (
+    "the", "of", "to", "is", "a", "an", "and", "in", "that", "it", "for", "on", "was", "be", "with", "as", "by", "at", "are",
+    "der", "die", "und", "zu", "das", "den", "ein", "von", "mit", "ist", "de", "la", "que", "le", "et", "les", "des", "du", "un", "une", "est",
+    "el", "en", "los", "y", "las", "del", "al",
+)
 CHAIN = 3
+#: Words for each anchor that a text has at the least, or else every content word is one.
+SPARSE = 12
 #: Ranges per shuffle partition; several even out their sizes.
 SPREAD = 4
 _GLUE = "\u0001"
-_FIRST = -(1 << 63)
 
 
 def _let(value: Column, body) -> Column:
@@ -40,21 +49,26 @@ def _let(value: Column, body) -> Column:
 def signatures(text: Column) -> Column:
     """Sorted distinct hashes of a text's signatures.
 
-    Skipped words are glued to the content word that follows them, so the text splits into content words, each with the anchors
+    Anchors are glued to the content word that follows them, so the text splits into content words, each with the anchors
     before it, and a chain is a slice of that array."""
-    anchors = F.array(F.lit("^"), *map(F.lit, ANCHORS))
-    none = F.array().cast("array<int>")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\\n]+", " "), " *\\n[ \\n]*", " ^ "))
-    glued = F.regexp_replace(F.concat(F.lit("^ "), plain, F.lit(" ")), f"(?<![^ ])(\\^|{'|'.join(SKIPPED)}) ", f"$1{_GLUE}")
+    none = F.array().cast("array<bigint>")
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
+    glued = F.regexp_replace(F.concat(plain, F.lit(" ")), f"(?<![^ ])({'|'.join(ANCHORS)}) ", f"$1{_GLUE}")
 
     def of_groups(groups: Column) -> Column:
-        return _let(F.transform(groups, lambda g: F.substring_index(g, _GLUE, -1)), lambda words: of_words(groups, words))
+        return _let(F.transform(groups, lambda g: F.substring_index(g, _GLUE, -1)), lambda words: with_words(groups, words))
+
+    def with_words(groups: Column, words: Column) -> Column:
+        anchors = F.aggregate(groups, F.lit(0), lambda n, g: n + F.size(F.split(g, _GLUE)) - 1)
+        content = F.size(F.filter(words, lambda w: w != ""))  # the last group may be anchors alone
+        return _let(anchors * SPARSE < content + anchors, lambda sparse: chains(groups, words, sparse))
 
-    def of_words(groups: Column, words: Column) -> Column:
+    def chains(groups: Column, words: Column, sparse: Column) -> Column:
         def of_group(g: Column, k: Column) -> Column:
             chain = [F.coalesce(F.get(words, k + i), F.lit("")) for i in range(CHAIN)]
-            before = F.filter(F.split(g, _GLUE), lambda w: F.array_contains(anchors, w))
-            return F.when(F.instr(g, _GLUE) > 0, F.transform(before, lambda a: F.hash(a, *chain))).otherwise(none)
+            parts = F.split(g, _GLUE)
+            every = F.when(chain[0] != "", F.array(F.lit("^"))).otherwise(F.array().cast("array<string>"))
+            return F.transform(F.when(sparse, every).otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1)), lambda a: F.xxhash64(a, *chain))
 
         return F.flatten(F.transform(groups, of_group))
 
@@ -72,40 +86,34 @@ def written(signature_set: Column) -> Column:
     return F.array_join(signature_set.cast("array<string>"), " ")
 
 
-def _range_of(key: Column, splits: list[int]) -> Column:
-    """How many of the ascending splits are at most ``key``, found in two steps."""
-    step = max(1, int(len(splits) ** 0.5))
-    groups = [splits[k : k + step] for k in range(0, len(splits), step)]
-    if not groups:
-        return F.lit(0)
+def _range_of(key: Column, firsts: Column, heads: Column, step: int) -> Column:
+    """How many of the ascending keys ``firsts`` are at most ``key``, less one; ``heads`` is every ``step``-th of them."""
     below = lambda values: F.size(F.filter(values, lambda s: s <= key))
-    heads = below(F.array(*(F.lit(g[0]) for g in groups)))
-    tables = F.array(*(F.array(*map(F.lit, g)) for g in groups))
-    return _let(heads, lambda n: F.when(n == 0, F.lit(0)).otherwise((n - 1) * step + below(F.get(tables, n - 1))))
+    return _let(below(heads), lambda n: (n - 1) * step + below(F.slice(firsts, (n - 1) * step + 1, F.lit(step))) - 1)
 
 
 def with_successors(documents: DataFrame, value) -> DataFrame:
     """doc_id, text, own = value(text) of every row, with next_text and next_own of the next row by ascending doc_id (the first
     row's after the last)."""
     spark = documents.sparkSession
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", text.alias("text"), F.struct("doc_id", F.xxhash64(text).alias("h")).alias("key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / (SPREAD * parts) for k in range(1, SPREAD * parts)]
-    splits = rows.agg(F.percentile_approx("key", shares, 100 * SPREAD * parts).alias("s")).first()["s"]
-    ranged = rows.withColumn("range", _range_of(F.col("key"), sorted(set(splits or ()))))
-    firsts = sorted((r["range"], r["first"]) for r in ranged.groupBy("range").agg(F.min("key").alias("first")).collect())  # a row a range
-    if not firsts:
-        firsts = [(0, _FIRST)]
-    table = spark.createDataFrame([(r, f, firsts[k - 1][0]) for k, (r, f) in enumerate(firsts)], "range int, first long, before int")
-    own, visit = F.struct(F.col("range"), F.lit(False).alias("visits")), F.struct(F.col("before").alias("range"), F.lit(True).alias("visits"))
+    # the first key of each range of the sorted keys: a row a range
+    ranges = rows.select("key").repartitionByRange(SPREAD * parts, "key").withColumn("range", F.spark_partition_id()).groupBy("range").agg(F.min("key").alias("first"))
+    firsts = cut(ranges.select("first")).agg(F.sort_array(F.collect_set("first")).alias("firsts"))
+    n = firsts.select(F.size("firsts")).first()[0]
+    step = max(1, int(n**0.5))
+    table = firsts.select("firsts", F.transform(F.sequence(F.lit(1), F.lit(max(1, n)), F.lit(step)), lambda k: F.get("firsts", k - 1)).alias("heads"))
+    ranged = rows.join(F.broadcast(table)).withColumn("range", _range_of(F.col("key"), F.col("firsts"), F.col("heads"), step))
+    own, visit = F.struct(F.col("range"), F.lit(False).alias("visits")), F.struct(F.pmod(F.col("range") - 1, F.lit(max(1, n))).alias("range"), F.lit(True).alias("visits"))
     dealt = (
-        ranged.join(F.broadcast(table), "range")
-        .select("doc_id", "text", "key", F.explode(F.when(F.col("key") == F.col("first"), F.array(own, visit)).otherwise(F.array(own))).alias("at"))
+        ranged.select("doc_id", "text", "key", F.explode(F.when(F.get("firsts", F.col("range")) == F.col("key"), F.array(own, visit)).otherwise(F.array(own))).alias("at"))
         .select("doc_id", "text", "key", "at.range", "at.visits")
         .repartition(parts, "range")
         .withColumn("own", value(F.col("text")))
     )
-    order = Window.partitionBy("range").orderBy("visits", "key", F.xxhash64("text"))
+    order = Window.partitionBy("range").orderBy("visits", "key")
     return dealt.withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)}).where("not visits").drop("key", "range", "visits")
 
 
