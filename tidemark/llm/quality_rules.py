@@ -2,19 +2,22 @@
 
 Every text gets counts (words, characters in words, symbols, repeated lines, repeated 8-word windows). From them
 a vector of ``TERMS`` transformed statistics is made, and for every language and source the minimum covariance
-determinant is estimated by concentration steps: begin with medians and median deviations, then ``STEPS`` times
-take the ``SUBSET`` share of the rows with the least Mahalanobis distance and estimate mean and covariance anew
-from them. A row is rejected if its squared distance, scaled so that the median row lies where a normal
-vector's would, exceeds ``CUTOFF``, or if it fails the base rules. ``FLOORS`` are standard deviations added to the
-covariance, so that a statistic that is zero in all sound texts doesn't reject a text for a single symbol.
-
-Sources with fewer than ``LEAST`` rows in a language are pooled within the language; a pool with fewer than
-``LEAST`` rows rejects nothing beyond the base rules. All sums and quantiles combine before the shuffle, so one
-source may hold any share of the rows.
+determinant is estimated: concentration steps (take the ``SUBSET`` share of the rows with the least Mahalanobis distance, estimate
+mean and covariance anew from them) begin from each of ``STARTS``; after ``TRIAL`` steps the start with the least determinant is kept
+for each group, and its steps go on until no group's determinant falls by more than a ``SETTLED`` share. A row is rejected if its
+squared distance, scaled so that the median row lies where a normal vector's would, exceeds ``CUTOFF``, or if it fails the base rules.
+``FLOORS`` are standard deviations added to the covariance, so that a statistic that is zero in all sound texts doesn't reject a text
+for a single symbol; with them every group has an estimate, down to a single row.
+
+Starts: medians with median deviations; the rows nearest to the medians in every single term, at least half of them (their
+mean and covariance); and a half of the rows chosen by a hash of their statistics. Sources with fewer than ``LEAST`` rows in a
+language are pooled within the language, and pools with fewer than ``LEAST`` rows are judged by an estimate of all rows of the table.
+Quantiles come from sketches of ``ACCURACY``, so a subset's share is exact for groups of up to that many rows and within
+1 / ``ACCURACY`` beyond. All sums and quantiles combine before the shuffle, so one source may hold any share of the rows.
 
 Edge cases: a null or empty text has no words and fails the base rules; null lang and source count as ''; repeated
 rows are judged alike; extra columns are ignored (``keep_good`` carries them through); an empty table gives no
-rows. Windows are compared by 64-bit hashes of their words.
+rows. Windows are compared by 64-bit hashes of their words, without a look at the words again.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, stored
 
 WINDOW = 8
 SUBSET = 0.6
-STEPS = 3
+STARTS = ("medians", "near", "half")
+#: Steps before starts are compared; the share of the determinant below which a fall counts as none; an end to steps that never settle.
+TRIAL, SETTLED, MOST_STEPS = 2, 1e-3, 12
 LEAST = 50
+ACCURACY = 10_000
 #: Log words, letters a word, symbols a letter, repeated lines a line, repeated words a word (the last three as square roots).
 TERMS = ("x0", "x1", "x2", "x3", "x4")
 FLOORS = (0.7, 0.35, 0.04, 0.16, 0.16)
@@ -38,6 +44,8 @@ CUTOFF, MEDIAN = 37.0, 4.351
 #: Up to so many groups their parameters (under 400 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
 
+#: Key of the estimate of all rows.
+ALL = "*"
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -102,17 +110,19 @@ def _distance() -> Column:
 
 
 def _estimate(kept: DataFrame) -> DataFrame:
-    """key, means m_i and Cholesky columns c_ij of the covariance (floors added) of each key's rows; rows are centred on o_i."""
+    """key, start, means m_i, Cholesky columns c_ij of the covariance (floors added) and log determinant of each group; rows are centred
+    on o_i."""
     d = range(len(TERMS))
     apart = [F.col(TERMS[i]) - F.col(f"o{i}") for i in d]
     sums = [F.avg(apart[i]).alias(f"a{i}") for i in d] + [F.avg(apart[i] * apart[j]).alias(f"p{i}{j}") for i in d for j in d if j <= i]
-    table = kept.groupBy("key").agg(*sums, *(F.first(f"o{i}").alias(f"o{i}") for i in d))
+    table = kept.groupBy("key", "start").agg(*sums, *(F.first(f"o{i}").alias(f"o{i}") for i in d))
     for i in d:
         for j in range(i + 1):
             spread = F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
             rest = reduce(lambda a, k: a - F.col(f"c{i}{k}") * F.col(f"c{j}{k}"), range(j), spread)  # noqa: B023
             table = table.withColumn(f"c{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"c{j}{j}"))
-    return table.select("key", *(f"o{i}" for i in d), *((F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in d), *(f"c{i}{j}" for i in d for j in range(i + 1)))
+    size = reduce(lambda a, i: a + F.ln(f"c{i}{i}"), d, F.lit(0.0))
+    return table.select("key", "start", *(f"o{i}" for i in d), *((F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in d), *(f"c{i}{j}" for i in d for j in range(i + 1)), (2 * size).alias("log_det"))
 
 
 class Rules:
@@ -129,27 +139,62 @@ class Rules:
         return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 
 
+def _quantile(column: Column | str, share: float) -> Column:
+    return F.percentile_approx(column, share, ACCURACY)
+
+
+def _stepped(keyed: DataFrame, table: DataFrame, groups: int) -> DataFrame:
+    """One concentration step of every group and start in ``table``."""
+    apart = _joined(keyed, table, groups).withColumn("far", _distance())
+    reach = cut(apart.groupBy("key", "start").agg(_quantile("far", SUBSET).alias("reach")))
+    near = apart.join(F.broadcast(reach) if groups <= BROADCAST_GROUPS else reach, ["key", "start"]).where("far <= reach")
+    return cut(_estimate(near))
+
+
+def concentrated(keyed: DataFrame, groups: int) -> DataFrame:
+    """The estimate of each key from rows (key, ``TERMS``): m_i, c_ij, log_det, and the start it came from."""
+    d = range(len(TERMS))
+    medians = cut(keyed.groupBy("key").agg(*(_quantile(TERMS[i], 0.5).alias(f"o{i}") for i in d)))
+    around = _joined(keyed, medians, groups)
+    scales = cut(around.groupBy("key").agg(*(F.greatest(1.4826 * _quantile(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")), 0.5), F.lit(FLOORS[i])).alias(f"c{i}{i}") for i in d)))
+    centred = medians.join(scales, "key")
+    flat = {f"c{i}{j}": F.lit(0.0) for i in d for j in range(i)}
+    first = centred.withColumns({f"m{i}": F.col(f"o{i}") for i in d} | flat | {"start": F.lit(STARTS[0]), "log_det": F.lit(0.0)})
+    scaled = _joined(keyed, centred, groups).withColumn("worst", F.greatest(*(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")) / F.col(f"c{i}{i}") for i in d)))
+    reach = cut(scaled.groupBy("key").agg(_quantile("worst", 0.5).alias("reach")))
+    near = _joined(scaled, reach, groups).where("worst <= reach").withColumn("start", F.lit(STARTS[1]))
+    half = _joined(keyed, medians, groups).where(F.pmod(F.xxhash64(*TERMS), F.lit(2)) == 0).withColumn("start", F.lit(STARTS[2]))
+    table = cut(_estimate(near).unionByName(_estimate(half)).unionByName(first, allowMissingColumns=True))
+    for _ in range(TRIAL):
+        table = _stepped(keyed, table, groups)
+    place = F.array_position(F.array(*map(F.lit, STARTS)), F.col("start"))
+    table = cut(table.groupBy("key").agg(F.min_by(F.struct(*table.columns[1:]), F.struct("log_det", place)).alias("b")).select("key", "b.*"))
+    for _ in range(MOST_STEPS - TRIAL):
+        after = _stepped(keyed, table, groups)
+        # an estimate that didn't get better is kept, so the rest may go on
+        both = after.join(table.select("key", F.struct(*table.columns[1:]).alias("was")), "key").withColumn("falls", F.col("was.log_det") - F.col("log_det"))
+        better = F.when(F.col("falls") > 0, F.struct(*table.columns[1:])).otherwise(F.col("was"))
+        moved = both.where(F.col("falls") > SETTLED).limit(1).count()
+        table = cut(both.select("key", better.alias("b")).select("key", "b.*"))
+        if not moved:
+            break
+    return table
+
+
 def estimate(rows: DataFrame) -> Rules:
     """Rules from rows with terms (read several times: pass a stored table)."""
     d = range(len(TERMS))
     sources = cut(rows.groupBy("k_source", "k_lang").agg(F.count("*").alias("n")))
     pools = sources.where(F.col("n") < LEAST).groupBy("k_lang").agg(F.sum("n").alias("pool"))
-    keys = sources.join(pools, "k_lang", "left").select("k_source", F.when(F.col("n") >= LEAST, F.col("k_source")).when(F.col("pool") >= LEAST, F.col("k_lang")).alias("key"))
-    keys = cut(keys)
-    n_sources, n_groups = keys.count(), keys.where("key is not null").select("key").distinct().count()
-    keyed = rows.join(F.broadcast(keys) if n_sources <= BROADCAST_GROUPS else keys, "k_source").where("key is not null").select("key", *TERMS)
-    quantile = lambda c, q: F.percentile_approx(c, q, 10_000)
-    medians = cut(keyed.groupBy("key").agg(*(quantile(TERMS[i], 0.5).alias(f"o{i}") for i in d)))
-    around = _joined(keyed, medians, n_groups)
-    scales = around.groupBy("key").agg(*(F.greatest(1.4826 * quantile(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")), 0.5), F.lit(FLOORS[i])).alias(f"c{i}{i}") for i in d))
-    flat = {f"c{i}{j}": F.lit(0.0) for i in d for j in range(i)}
-    table = cut(medians.join(scales, "key").withColumns({f"m{i}": F.col(f"o{i}") for i in d} | flat))
-    apart = lambda: _joined(keyed, table, n_groups).withColumn("far", _distance())
-    reach = lambda share: cut(apart().groupBy("key").agg(quantile("far", share).alias("reach")))
-    for _ in range(STEPS):
-        table = cut(_estimate(_joined(apart(), reach(SUBSET), n_groups).where("far <= reach")))
+    keys = cut(sources.join(pools, "k_lang", "left").select("k_source", F.when(F.col("n") >= LEAST, F.col("k_source")).when(F.col("pool") >= LEAST, F.col("k_lang")).otherwise(ALL).alias("key")))
+    n_sources, n_groups = keys.count(), keys.select("key").distinct().count()
+    keyed = rows.join(F.broadcast(keys) if n_sources <= BROADCAST_GROUPS else keys, "k_source").select("key", *TERMS)
+    if keys.where(F.col("key") == ALL).limit(1).count():
+        keyed = keyed.where(F.col("key") != ALL).unionByName(rows.select(F.lit(ALL).alias("key"), *TERMS))
+    table = concentrated(keyed, n_groups)
+    reach = cut(_joined(keyed, table, n_groups).withColumn("far", _distance()).groupBy("key").agg(_quantile("far", 0.5).alias("reach")))
     scaled = F.greatest(F.col("reach") / MEDIAN, F.lit(1.0)).alias("scale")
-    final = table.join(reach(0.5), "key").select("key", *(f"m{i}" for i in d), *(f"c{i}{j}" for i in d for j in range(i + 1)), scaled)
+    final = table.join(reach, "key").select("key", *(f"m{i}" for i in d), *(f"c{i}{j}" for i in d for j in range(i + 1)), scaled)
     return Rules(keys, cut(final), n_groups, n_sources)
 
 
@@ -160,9 +205,6 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The rows that the rules keep, with all their columns."""
-    counted = with_terms(with_counts(documents.select(F.struct("*").alias("row"), "text", "lang", "source")))
-    rules = estimate(cut(counted.select("k_source", "k_lang", *TERMS)))
-    # a generator keeps the filter from being pushed into, and the counts repeated in, the expressions below it
-    rows = counted.select(F.explode(F.array(F.struct("row", "base_failed", "k_source", *TERMS))).alias("e")).select("e.*")
-    return rules.judge(rows).where("kept").select("row.*")
+    """The rows that the rules keep, with all their columns. Rows and terms are stored once; estimating reads the terms alone."""
+    counted = stored(with_terms(with_counts(documents.select(F.struct("*").alias("row"), "text", "lang", "source"))).select("row", "base_failed", "k_source", "k_lang", *TERMS))
+    return estimate(counted.select("k_source", "k_lang", *TERMS)).judge(counted).where("kept").select("row.*")
