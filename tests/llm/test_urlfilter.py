@@ -1,4 +1,8 @@
 import random
+import subprocess
+import sys
+
+from pyspark.sql import functions as F
 
 from tidemark.llm import queries, urlfilter
 
@@ -34,11 +38,40 @@ def test_both_ways_match_brute_force(spark):
     assert urlfilter.judge(rows.where("false"), RULES).count() == 0
 
 
+def index_of(rules, folder):
+    return urlfilter.DigestIndex(urlfilter.DigestIndex.write(rules, str(folder))[0].removesuffix("-digests.npy"))
+
+
+def test_long_hosts_and_paths(spark):
+    rules = [("com", "/" + "a" * 300, "block"), ("b." * 60 + "com", "/", "block"), ("com", "", "allow")]
+    urls = ["x://" + "b." * 3000 + "com/" + "a" * 20_000, "x://com/" + "a" * 299, "x://" + "b." * 60 + "com/", "x://b.org/", None]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "verdict")})
+    want = ["com/" + "a" * 300, "com", "b." * 60 + "com/", None, None]
+    for found in (urlfilter.judge(rows, rules), urlfilter.judge_by_join(rows, spark.createDataFrame(rules, "host string, path string, action string"))):
+        assert [r["rule"] for r in found.orderBy("page_id").collect()] == want
+
+
+def test_a_million_rules_take_little_memory(tmp_path):
+    rules = [(f"host{k}.example{k % 977}.org", f"/{k % 31}/", "block") for k in range(1_000_000)]
+    prefix = urlfilter.DigestIndex.write(rules, str(tmp_path))[0].removesuffix("-digests.npy")
+    code = f"""
+from tidemark.llm import urlfilter
+def own():  # memory that isn't mapped from a file, in MB
+    return sum(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("RssAnon")) / 1024
+before = own()
+index = urlfilter.DigestIndex({prefix!r})
+found = index.decide([(f"a.host{{k}}.example{{k % 977}}.org", f"/{{k % 31}}/x") for k in range(0, 1_000_000, 100)])
+assert all(r for r, _ in found), found[:3]
+assert own() - before < 200, own() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
+
+
 def test_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda key: len(key))
     rng = random.Random(0)
     rules = [("".join(rng.choice("abc") for _ in range(6)), "/", "block") for _ in range(50)]
-    index = urlfilter.DigestIndex(*urlfilter.DigestIndex.write(rules, str(tmp_path)))
+    index = index_of(rules, tmp_path)
     keys = {h for h, _, _ in rules}
     tried = ["".join(rng.choice("abc") for _ in range(6)) for _ in range(300)] + sorted(keys)
     found = index.find([f"{h}\n/".encode() for h in tried])
