@@ -1,6 +1,8 @@
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import license_scan as ls
 
@@ -37,6 +39,103 @@ def test_base_matches_brute_force(spark):
     assert ls.scan(rows.where("false")).count() == 0
 
 
+def as_pattern(template):
+    """The template as a regular expression over words that are each followed by a space."""
+    out = []
+    for token in re.findall(r"\[\[|\]\]|<<\d+>>|[^\s\[\]<>]+", template):
+        if token == "[[":
+            out.append("(?:")
+        elif token == "]]":
+            out.append(")?")
+        elif token.startswith("<<"):
+            out.append(r"(?:\S+ ){0,%s}" % token[2:-2])
+        else:
+            out += [re.escape(w) + " " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", token.lower())]
+    return re.compile("".join(out))
+
+
+PATTERNS = [(as_pattern(t), label) for label, ts in ls.TEMPLATES.items() for t in ts]
+
+
+def plain_labels(text):
+    """(labels, score) by trying each end of a match at each word."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    labels, covered = set(), 0
+    for i in range(len(words)):
+        longest = 0
+        for phrase, label in ls.PHRASES.items():
+            if words[i : i + len(phrase.split())] == phrase.split():
+                labels.add(label)
+                longest = max(longest, len(phrase.split()))
+        rest = "".join(w + " " for w in words[i:])
+        for pattern, label in PATTERNS:
+            if pattern.match(rest):
+                ends = [k for k in range(1, len(words) - i + 1) if pattern.fullmatch("".join(w + " " for w in words[i : i + k]))]
+                if ends:
+                    labels.add(label)
+                    longest = max(longest, ends[-1])
+        covered += longest
+    return ",".join(sorted(labels)), 1 - 0.5 ** (covered / 2)
+
+
+def filled(template, rng):
+    """A text that the template accepts: optional parts in or out, random words in replaceable places."""
+    if not re.search(r"\[\[|<<", template):
+        return template
+    inner = re.search(r"\[\[((?:(?!\[\[|\]\]).)*)\]\]", template, re.S)
+    if inner:
+        return filled(template[: inner.start()] + (inner[1] if rng.random() < 0.5 else " ") + template[inner.end() :], rng)
+    return filled(re.sub(r"<<(\d+)>>", lambda m: " ".join(f"Name{rng.randrange(9)}" for _ in range(rng.randrange(int(m[1]) + 1))), template), rng)
+
+
+def written(words, rng):
+    return "".join((w.upper() if rng.random() < 0.2 else w) + rng.choice([" ", " ", "\n", ", ", " - "]) for w in words)
+
+
+def test_labels_and_score_match_brute_force(spark):
+    rng = random.Random(4)
+    texts = list(ODD)
+    for label, templates in ls.TEMPLATES.items():
+        for template in templates:
+            words = filled(template, rng).split()
+            texts.append("before it " + written(words, rng) + " after it")
+            texts.append(written([w for k, w in enumerate(words) if k != len(words) * 2 // 3], rng))  # a word is missing
+            texts.append(written([*words[: len(words) // 2], "not", *words[len(words) // 2 :]], rng))  # a word too many
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("labels", "score", "n_words")})
+    got = {r["doc_id"]: r for r in ls.scan(rows).collect()}
+    for i, text in enumerate(texts):
+        labels, score = plain_labels(text)
+        assert (got[i]["labels"], got[i]["score"]) == (labels, pytest.approx(score)), text
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '(?i)licen[sc]e|copyright|rights|cc by' or doc_id % 20 = 0")
+    of = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in ls.scan(docs).collect():
+        assert (r["labels"], r["score"]) == (plain_labels(of[r["doc_id"]])[0], pytest.approx(plain_labels(of[r["doc_id"]])[1]))
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2019-2021 Jane Roe <jane@example.org>
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to
+deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE.
+"""
+
+
+def test_a_whole_licence_and_its_altered_forms(spark):
+    altered = MIT.replace("subject to the following conditions", "subject to no conditions"), MIT.replace("Jane Roe", "Some Other Holder Ltd")
+    rows = spark.createDataFrame(list(enumerate([MIT, *altered, "word " * 400_000 + MIT])), "doc_id long, text string")
+    assert [r["labels"] for r in ls.scan(rows).orderBy("doc_id").collect()] == ["mit", "", "mit", "mit"]
+
+
 def words(text):
     tokens = text.encode().split()
     return tokens.__getitem__, 0, len(tokens)

@@ -2,7 +2,8 @@
 
 Words: A-Z are lower-cased, and a word is a run of characters other than U+0000-2F, U+3A-60 and U+7B-7F.
 A template is text with two kinds of markup: ``[[...]]`` may be missing, and ``<<n>>`` stands for 0 to n words of any
-kind. Each template is compiled to an automaton over words; a place matches where the mandatory wording stands exactly.
+kind (years, holders, versions). Short licences are there with their whole text, so one whose conditions or disclaimer were altered isn't
+taken for it; longer ones by the notice that applies them. References by name have templates of their own. Each template is compiled to an automaton over words; a place matches where the mandatory wording stands exactly.
 Only places whose word begins some template are tried: a batch's words are hashed at once, and the automaton confirms each
 place on the words themselves.
 
@@ -27,16 +28,86 @@ from . import arrowtext as at
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices and their labels, the published wording of each licence's notice or its first words.
+#: What may stand before or in a licence's text: the copyright line, and a holder's name in place of the usual words.
+_COPYRIGHT = "[[copyright [[c]] <<12>> [[all rights reserved]]]]"
+_HOLDER = "[[the]] [[copyright holder]] [[copyright owner]] [[authors]] [[author]] [[<<6>>]]"
+_DISCLAIMER = f"""this software is provided by {_HOLDER} [[and contributors]] as is and any express or implied warranties including but not limited to the
+implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {_HOLDER} [[or contributors]] be liable for
+any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort
+including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+and or other materials provided with the distribution"""
+_BSD3 = f"""[[3]] neither the name of {_HOLDER} nor the names of [[its]] [[their]] [[any]] contributors may be used to endorse or promote products derived from this
+software without specific prior written permission"""
+#: Labels and their templates: the whole wording of short licences, the notices that longer ones are applied by, and references by name.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license [[,]] version 2 0", "[[spdx]] license identifier apache 2 0"],
-    "mit": ["[[released]] [[licensed]] under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "license identifier mit"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "under the [[<<2>>]] bsd license", "license identifier bsd <<2>> clause"],
-    "gpl": ["under the [[terms of the]] gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]] [[either]] version <<2>>", "license identifier gpl"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v [[ersion]] 2 0", "license identifier mpl 2 0"],
+    "apache-2.0": [
+        """licensed under the apache license version 2 0 the license you may not use this [[file]] [[software]] [[work]] except in compliance with the license you may obtain a copy of
+        the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed
+        under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the
+        specific language governing permissions and limitations under the license""",
+        "licensed under the apache license [[,]] version 2 0", "[[spdx]] license identifier apache 2 0",
+    ],
+    "mit": [
+        f"""[[[[the]] mit license [[mit]]]] {_COPYRIGHT} permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
+        files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the
+        following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or
+        substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to
+        the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {_HOLDER} [[or copyright holders]] be liable
+        for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+        or the use or other dealings in the software""",
+        "[[released]] [[licensed]] under the mit license", "license identifier mit",
+    ],
+    "bsd-2-clause": [f"{_COPYRIGHT} {_BSD} {_DISCLAIMER}"],
+    "bsd-3-clause": [f"{_COPYRIGHT} {_BSD} {_BSD3} {_DISCLAIMER}"],
+    "bsd": ["under the [[<<2>>]] bsd license", "license identifier bsd <<2>> clause"],
+    "isc": [
+        f"""{_COPYRIGHT} permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above
+        copyright notice and this permission notice appear in all copies the software is provided as is and {_HOLDER} disclaims all warranties with regard to
+        this software including all implied warranties of merchantability and fitness in no event shall {_HOLDER} be liable for any special direct indirect or
+        consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other
+        tortious action arising out of or in connection with the use or performance of this software""",
+        "license identifier isc",
+    ],
+    "zlib": [
+        f"""{_COPYRIGHT} this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from
+        the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and
+        redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you
+        wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not
+        required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may
+        not be removed or altered from any source distribution""",
+        "license identifier zlib",
+    ],
+    "gpl": [
+        """[[this program is free software you can redistribute it and or modify it]] under the terms of the gnu [[lesser]] [[affero]] general public license as
+        published by the free software foundation either version <<1>> of the license or at your option any later version [[this program is distributed in the
+        hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the
+        gnu [[lesser]] [[affero]] general public license for more details]]""",
+        "under the [[terms of the]] gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]] [[either]] version <<2>>",
+        "license identifier gpl",
+    ],
+    "mpl-2.0": [
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can
+        obtain one at [[http]] [[https]] mozilla org mpl 2 0""",
+        "license identifier mpl 2 0",
+    ],
     "cc-by-nc": ["cc by nc", "creative commons attribution non commercial", "creative commons attribution noncommercial"],
     "cc-by": ["licensed under [[a]] [[the]] creative commons attribution [[<<2>>]] [[international]] license"],
-    "public-domain": ["dedicated to the public domain", "this is free and unencumbered software released into the public domain", "cc0"],
+    "unlicense": [
+        """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this
+        software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means [[in jurisdictions that
+        recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we
+        make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an
+        overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law]] the software is provided as is
+        without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and
+        noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+        arising from out of or in connection with the software or the use or other dealings in the software""",
+    ],
+    "public-domain": ["dedicated to the public domain", "cc0"],
     "copyright": ["copyright [[c]] <<6>> all rights reserved"],
 }
 
