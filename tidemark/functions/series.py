@@ -36,7 +36,7 @@ def rolling(aggregate: Callable[[str], Column], column: str, window: WindowSpec,
 
 
 def over_time(aggregate: Column, keys: Keys, micros: str, span: int) -> Column:
-    """An aggregate over (t - span, t], with t and span in microseconds."""
+    """An aggregate over (t - span, t], with t and span in microseconds; each row reads its whole span, so ``trailing`` suits long ones."""
     return aggregate.over(Window.partitionBy(*keys).orderBy(micros).rangeBetween(-(span - 1), 0))
 
 
@@ -46,10 +46,11 @@ def change(column: str, window: WindowSpec, periods: int = 1) -> Column:
 
 
 def filled(column: str, window: WindowSpec, default: float = 0.0) -> Column:
-    """Forward fill, then backward fill, then the default."""
+    """Forward fill, then the series' first value for the rows before it, then the default."""
     before = F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(column, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
-    return F.coalesce(before, after, F.lit(default))
+    # one value for the whole partition: a frame that ends at its end but moves its beginning would be read anew for every row
+    first = F.first(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.coalesce(before, first, F.lit(default))
 
 
 def first_rows(df: DataFrame, keys: Keys, order: Sequence[Column | str]) -> DataFrame:
@@ -97,3 +98,90 @@ def lagged(df: DataFrame, keys: Keys, order: Keys, micros: str, chunk: int, colu
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     marked = spread.withColumns({"_own": F.lag(column).over(within), "_n": F.row_number().over(within)})
     return marked.join(carried, [*keys, "_chunk"]).withColumn(name, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_own"))).drop("_chunk", "_own", "_n", "_before")
+
+
+def latest(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, found: dict[str, Column], ahead: bool = False) -> DataFrame:
+    """``df`` with each column of ``found`` (null where a row has none) taken from the last row up to this one in the order that has it, or
+    with ``ahead`` from the first row from this one on. ``order`` begins with the time ``at``.
+
+    Chunks of time are ordered side by side; each chunk's last value, a row a chunk, is carried to the chunks after it."""
+    turn = F.desc if ahead else F.asc
+    spread = df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long")).withColumns({f"_v_{n}": c for n, c in found.items()})
+    end = F.min_by if ahead else F.max_by
+    ends = spread.groupBy(*keys, "_chunk").agg(*(end(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}") for n in found))
+    earlier = Window.partitionBy(*keys).orderBy(turn("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_chunk", *(F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in found))
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, 0)
+    own = spread.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(within) for n in found}).join(carried, [*keys, "_chunk"])
+    return own.withColumns({n: F.coalesce(n, f"_c_{n}") for n in found}).drop("_chunk", *(f"{p}_{n}" for n in found for p in ("_v", "_c")))
+
+
+#: An aggregate over a trailing span of time: kind (sum, count, min, max, stddev_samp, stddev_pop), column, span in microseconds.
+Trailing = tuple[str, str, int]
+
+
+def trailing(df: DataFrame, keys: Keys, at: str, chunk: int, asked: dict[str, Trailing]) -> DataFrame:
+    """``df`` with aggregates over (t - span, t] by key, where t is the row's time ``at``; rows of one time see each other.
+
+    A span reaches over at most two of the blocks of its length that time is cut into: from its beginning to the end of one, and from the
+    beginning of the next to t. Both parts are running aggregates, forwards and backwards, so a row costs the same whatever the span holds,
+    and nothing is ever subtracted. Rows are dealt by key and chunk of time once, each chunk with the rows of the longest span
+    before it."""
+    spans: dict[int, dict[str, Trailing]] = {}
+    for name, item in asked.items():
+        spans.setdefault(item[2], {})[name] = item
+
+    def body(rows: DataFrame, chunk_column: str) -> DataFrame:
+        place = [*keys, chunk_column]
+        rows = rows.repartition(*place)
+        for span, items in sorted(spans.items()):
+            rows = _trailing(rows, place, at, span, {f"_r_{n}": item for n, item in items.items()})
+        return rows.drop(*asked).withColumnsRenamed({f"_r_{n}": n for n in asked})  # a result may have the name of a column it is made of
+
+    return with_halo(df, at, chunk, max(spans), body)
+
+
+def _parts(kind: str, column: Column, window: WindowSpec, name: str) -> dict[str, Column]:
+    over = {"sum": {"s": F.sum}, "count": {"s": F.count}, "min": {"s": F.min}, "max": {"s": F.max}}.get(kind, {"n": F.count, "m": F.avg, "v": F.var_pop})
+    return {f"{name}_{p}": f(column).over(window) for p, f in over.items()}
+
+
+def _merged(kind: str, a: str, b: str) -> Column:
+    if kind in ("min", "max"):
+        return (F.least if kind == "min" else F.greatest)(f"{a}_s", f"{b}_s")
+    if kind == "count":
+        return F.coalesce(f"{a}_s", F.lit(0)) + F.coalesce(f"{b}_s", F.lit(0))
+    if kind == "sum":
+        return F.when(F.col(f"{a}_s").isNotNull() | F.col(f"{b}_s").isNotNull(), F.coalesce(f"{a}_s", F.lit(0)) + F.coalesce(f"{b}_s", F.lit(0)))
+    (n1, m1, v1), (n2, m2, v2) = ([F.coalesce(f"{x}_{p}", F.lit(0)) for p in "nmv"] for x in (a, b))
+    n = n1 + n2
+    squares = v1 * n1 + v2 * n2 + F.try_divide(F.pow(m1 - m2, F.lit(2)) * n1 * n2, n)
+    least = 1 if kind == "stddev_samp" else 0
+    return F.when(n > least, F.sqrt(F.greatest(squares, F.lit(0.0)) / F.when(n > least, n - least)))
+
+
+def _trailing(rows: DataFrame, place: list[str], at: str, span: int, items: dict[str, Trailing]) -> DataFrame:
+    block = lambda t: F.floor(t / span).cast("long")
+    forwards = Window.partitionBy(*place, "_block").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    backwards = Window.partitionBy(*place, "_block").orderBy(F.desc("_at"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_block", block(F.col(at)))
+    rows = rows.withColumns({k: c for n, (kind, column, _) in items.items() for k, c in _parts(kind, F.col(column), forwards, f"_b_{n}").items()})
+    # every row is there as itself, and once more at its span's beginning, where it asks for what comes after in that block
+    sides = F.array(F.struct(F.col(at).alias("_at"), F.lit(False).alias("_asks")), F.struct((F.col(at) - span).alias("_at"), F.lit(True).alias("_asks")))
+    both = rows.select(*rows.columns, F.explode(sides).alias("_side")).select(*rows.columns, "_side.*").withColumn("_block", block(F.col("_at")))
+    after = {k: c for n, (kind, column, _) in items.items() for k, c in _parts(kind, F.when(~F.col("_asks"), F.col(column)), backwards, f"_a_{n}").items()}
+    asking = both.withColumns(after).where("_asks")
+    out = asking.withColumns({n: _merged(kind, f"_a_{n}", f"_b_{n}") for n, (kind, _, _) in items.items()})
+    return out.drop("_block", "_at", "_asks", *(c for c in out.columns if c.startswith(("_a_", "_b_"))))
+
+
+def in_row_chunks(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, rows: int, halo: int, body: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
+    """Applies ``body`` (with a window by key and order) to runs of ``rows`` rows, each preceded by the ``halo`` rows before it, for
+    windows that reach back by a number of rows; a single series is so spread over many tasks."""
+    numbered = running(df.withColumn("_one", F.lit(1)), keys, order, at, chunk, {"_row": ("sum", "_one")}).drop("_one")
+    return with_halo(numbered, "_row", rows, halo + 1, lambda d, c: body(d, ordered([*keys, c], ["_row"]))).drop("_row")
+
+
+def rolled(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, rows: int, halo: int, columns: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """``in_row_chunks`` for columns that are expressions of the window."""
+    return in_row_chunks(df, keys, order, at, chunk, rows, halo, lambda d, w: d.withColumns({n: c(w) for n, c in columns.items()}))

@@ -1,10 +1,15 @@
-"""As-of joins, interval aggregates and labels, made of one shuffle and windows instead of range joins."""
+"""As-of joins, interval aggregates and labels, made of unions and windows in chunks of time instead of range joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import series
+
+#: Chunks of time in which series are ordered side by side, in microseconds.
+DAY = 86_400_000_000
+
 
 def _stacked(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tie: str) -> DataFrame:
     """Both tables' rows by time; of equal times the right ones come first, in their tie order."""
@@ -13,42 +18,40 @@ def _stacked(left: DataFrame, right: DataFrame, keys: list[str], at: str, value:
     return l.unionByName(r)
 
 
-def backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tie: str, name: str) -> DataFrame:
+def backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tie: str, name: str, chunk: int = DAY) -> DataFrame:
     """``left`` with the ``value`` of the last right row at or before its time (by ``tie`` among equal times), null before the first."""
-    window = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("_side") == 0, F.struct("_v")), ignorenulls=True).over(window)
-    return _stacked(left, right, keys, at, value, tie).withColumn("_found", found).where("_side = 1").select("_row.*", F.col("_found._v").alias(name))
+    mark = F.when(F.col("_side") == 0, F.struct("_v"))
+    stacked = series.latest(_stacked(left, right, keys, at, value, tie), keys, ["_t", "_side", "_tie"], "_t", chunk, {"_found": mark})
+    return stacked.where("_side = 1").select("_row.*", F.col("_found._v").alias(name))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tie: str, name: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tie: str, name: str, chunk: int = DAY) -> DataFrame:
     """``left`` with the ``value`` and time (``name``_at) of the right row nearest in time; of two equally near the earlier, of
     right rows at one time the last looking back and the first looking ahead."""
-    base = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie")
-    mark = F.when(F.col("_side") == 0, F.struct("_vt", "_v"))
-    before = F.last(mark, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(base.rowsBetween(0, Window.unboundedFollowing))
-    stacked = _stacked(left, right, keys, at, value, tie).withColumns({"_b": before, "_a": after}).where("_side = 1")
+    order, mark = ["_t", "_side", "_tie"], F.when(F.col("_side") == 0, F.struct("_vt", "_v"))
+    stacked = _stacked(left, right, keys, at, value, tie)
+    stacked = series.latest(stacked, keys, order, "_t", chunk, {"_b": mark})
+    stacked = series.latest(stacked, keys, order, "_t", chunk, {"_a": mark}, ahead=True).where("_side = 1")
     ahead = F.col("_b").isNull() | (F.col("_a._vt") - F.col("_t") < F.col("_t") - F.col("_b._vt"))
     pick = F.when(ahead, F.coalesce("_a", "_b")).otherwise(F.col("_b"))
     return stacked.withColumn("_p", pick).select("_row.*", F.col("_p._v").alias(name), F.col("_p._vt").alias(f"{name}_at"))
 
 
-def over_interval(grid: DataFrame, ticks: DataFrame, keys: list[str], at: str, span: int, aggregates: dict[str, Column]) -> DataFrame:
-    """``grid`` with aggregates of the ticks in (t - span, t]. Grid rows enter the ticks' stream with null values, which the
-    aggregates skip, so that one window serves both."""
+def over_interval(grid: DataFrame, ticks: DataFrame, keys: list[str], at: str, aggregates: dict[str, series.Trailing], chunk: int = DAY) -> DataFrame:
+    """``grid`` with aggregates (kind, column, span) of the ticks in (t - span, t]. Grid rows enter the ticks' stream with null values,
+    which the aggregates skip."""
     extra = [c for c in ticks.columns if c not in (*keys, at)]
-    rows = ticks.select(*keys, at, *extra, F.lit(False).alias("_grid"), F.lit(None).cast(grid.schema).alias("_row"))
-    points = grid.select(*keys, at, *(F.lit(None).cast(dict(ticks.dtypes)[c]).alias(c) for c in extra), F.lit(True).alias("_grid"), F.struct(*grid.columns).alias("_row"))
-    window = Window.partitionBy(*keys).orderBy(at).rangeBetween(-(span - 1), 0)
-    return rows.unionByName(points).withColumns({n: a.over(window) for n, a in aggregates.items()}).where("_grid").select("_row.*", *aggregates)
+    rows = ticks.select(*keys, at, *extra, F.lit(None).cast(grid.schema).alias("_row"))
+    points = grid.select(*keys, at, *(F.lit(None).cast(dict(ticks.dtypes)[c]).alias(c) for c in extra), F.struct(*grid.columns).alias("_row"))
+    return series.trailing(rows.unionByName(points), keys, at, chunk, aggregates).where("_row is not null").select("_row.*", *aggregates)
 
 
-def labelled(bars: DataFrame, keys: list[str], at: str, price: str, horizon: int) -> DataFrame:
+def labelled(bars: DataFrame, keys: list[str], at: str, price: str, horizon: int, chunk: int = DAY) -> DataFrame:
     """Bars with the price nearest to ``horizon`` microseconds ahead, its return and its label (1 where it rose).
 
     The last bars match the last row, so none is without a label."""
     asked = bars.withColumn("_own", F.col(at)).withColumn(at, F.col(at) + horizon)
     right = bars.select(*keys, at, price, F.col(at).alias("_tie_at"))
-    found = nearest(asked, right, keys, at, price, "_tie_at", "future_price").withColumn(at, F.col("_own")).drop("_own")
+    found = nearest(asked, right, keys, at, price, "_tie_at", "future_price", chunk).withColumn(at, F.col("_own")).drop("_own")
     change = F.try_divide(F.col("future_price"), F.col(price)) - 1
     return found.withColumnRenamed("future_price_at", "future_at").withColumn("return_pct", change).withColumn("label", (F.col("return_pct") > 0).cast("int"))

@@ -271,31 +271,37 @@ from g4 window w as (partition by symbol order by bucket)"""
 
 @query(FEATURES, digits=8)
 def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return features.feature_matrix(market.ticks(spark, folder), HOUR)
+    return features.feature_matrix(market.ticks(spark, folder), HOUR, obi=6 * HOUR, short=12 * HOUR, long=120 * HOUR)
 
 
 def _grid_sql(sample: bool, back: int) -> str:
     sd = "stddev_samp" if sample else "stddev_pop"
-    return f"""with {TICKS}, t as (select *, case when not is_buyer_maker then quantity else 0 end as buy, case when is_buyer_maker then quantity else 0 end as sell, cast(ceil(us / {HOUR * US}.0) as bigint) * {HOUR * US} as bucket,
+    return f"""with {TICKS}, t as (select *, case when not is_buyer_maker then quantity else 0 end as buy, case when is_buyer_maker then quantity else 0 end as sell,
   case when price > lag(price) over w then 1 else 0 end as up, case when price < lag(price) over w then 1 else 0 end as down from ticks window w as (partition by symbol order by us, trade_id)),
-u as (select *, sum(up) over w as ups, sum(down) over w as downs from t window w as (partition by symbol order by us, trade_id rows {back} preceding)),
-g as (select symbol, bucket, sum(buy) as b, sum(sell) as s, count(*) as n, max(price) - min(price) as sp, arg_max(struct_pack(ups, downs), (us, trade_id)) as k from u group by 1, 2),
-j as (select g.symbol, g.bucket, sum(buy) filter (us > g.bucket - {6 * HOUR * US}) as wb, sum(sell) filter (us > g.bucket - {6 * HOUR * US}) as ws, case when count(*) > 1 then {sd}(price) else 0 end as sd
-  from g join t on t.symbol = g.symbol and t.us > g.bucket - {12 * HOUR * US} and t.us <= g.bucket group by 1, 2)
+u as (select *, sum(up) over w as ups, sum(down) over w as downs, count(*) over w as back from t window w as (partition by symbol order by us, trade_id rows {back} preceding)),
+g as (select symbol, unnest(range((min(us) // {HOUR * US}) * {HOUR * US}, max(us) + 1, {HOUR * US})) as bucket from ticks group by symbol),
+j as (select g.symbol, g.bucket, sum(buy) filter (us > bucket - {6 * HOUR * US}) as wb, sum(sell) filter (us > bucket - {6 * HOUR * US}) as ws, sum(buy) filter (us > bucket - {HOUR * US}) as b, sum(sell) filter (us > bucket - {HOUR * US}) as s,
+    count(price) filter (us > bucket - {HOUR * US}) as n, max(price) filter (us > bucket - {HOUR * US}) - min(price) filter (us > bucket - {HOUR * US}) as sp, case when count(price) > 1 then {sd}(price) else 0 end as sd
+  from g left join t on t.symbol = g.symbol and t.us > g.bucket - {12 * HOUR * US} and t.us <= g.bucket group by 1, 2),
+k as (select j.*, ups, downs from j asof left join (select symbol, us, case when back > {int(sample)} then ups end as ups, downs from u) v on v.symbol = j.symbol and v.us <= j.bucket)
 select symbol, bucket, round(coalesce((wb - ws) / nullif(wb + ws, 0), 0), 6) as order_book_imbalance, round(coalesce((b - s) / nullif(b + s, 0), 0), 6) as trade_flow_imbalance,
   round(case when avg(sd) over w > 0 then sd / avg(sd) over w else 1 end, 6) as volatility_cluster, round(case when n > 1 then sp else 0 end, 6) as spread_proxy, round(n / {HOUR}, 6) as trade_arrival_rate,
-  round(coalesce((k.ups - k.downs) / nullif(k.ups + k.downs, 0), 0), 6) as tick_imbalance
-from g join j using (symbol, bucket) window w as (partition by symbol order by bucket rows 11 preceding)"""
+  round(coalesce((ups - downs) / nullif(ups + downs, 0), 0), 6) as tick_imbalance
+from k window w as (partition by symbol order by bucket rows 11 preceding)"""
+
+
+#: The tables' ticks are sparse, so the spans are hours.
+GRID = {"near": 6 * HOUR, "spread": 12 * HOUR}
 
 
 @query(_grid_sql(False, 19))
 def grid_features(spark: SparkSession, folder: str) -> DataFrame:
-    return features.grid_features(market.ticks(spark, folder), HOUR)
+    return features.grid_features(market.ticks(spark, folder), HOUR, **GRID)
 
 
 @query(_grid_sql(True, 20))
 def grid_features_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return features.grid_features(market.ticks(spark, folder), HOUR, sample=True)
+    return features.grid_features(market.ticks(spark, folder), HOUR, sample=True, **GRID)
 
 
 @query(f"""with {TICKS}, {bars_sql()},
@@ -318,7 +324,7 @@ select g.symbol, g.us, count(t.price) as n, round(sum(t.quantity), 6) as volume,
 def interval_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     t = market.ticks(spark, folder).select("symbol", "us", "price", "quantity")
     grid = t.select("symbol", candles.bucket(F.col("us"), HOUR).alias("us")).distinct()
-    return asof.over_interval(grid, t, ["symbol"], "us", 6 * HOUR * US, {"n": F.count("price"), "volume": F.sum("quantity"), "high": F.max("price")})
+    return asof.over_interval(grid, t, ["symbol"], "us", {"n": ("count", "price", 6 * HOUR * US), "volume": ("sum", "quantity", 6 * HOUR * US), "high": ("max", "price", 6 * HOUR * US)})
 
 
 @query(f"with {TICKS} select trade_id, symbol, round(sum(quantity) over (partition by symbol order by us, trade_id), 6) as total, round(max(price) over (partition by symbol order by us, trade_id), 6) as peak from ticks")
