@@ -94,10 +94,10 @@ def lagged(df: DataFrame, keys: Keys, order: Keys, micros: str, chunk: int, colu
     the last value of the chunk before it, of which there is a row a chunk."""
     spread = df.withColumn("_chunk", F.floor(F.col(micros) / chunk).cast("long"))
     ends = spread.groupBy(*keys, "_chunk").agg(F.max(F.struct(*order, F.col(column).alias("_end"))).alias("_last"))
-    carried = ends.select(*keys, "_chunk", F.lag("_last._end").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_before"))
+    carried = ends.select(*keys, "_chunk", F.lag("_last._end").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carried"))
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     marked = spread.withColumns({"_own": F.lag(column).over(within), "_n": F.row_number().over(within)})
-    return marked.join(carried, [*keys, "_chunk"]).withColumn(name, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_own"))).drop("_chunk", "_own", "_n", "_before")
+    return marked.join(carried, [*keys, "_chunk"]).withColumn(name, F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_own"))).drop("_chunk", "_own", "_n", "_carried")
 
 
 def latest(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, found: dict[str, Column], ahead: bool = False) -> DataFrame:
@@ -160,7 +160,14 @@ def _merged(kind: str, a: str, b: str) -> Column:
     return F.when(n > least, F.sqrt(F.greatest(squares, F.lit(0.0)) / F.when(n > least, n - least)))
 
 
-def _trailing(rows: DataFrame, place: list[str], at: str, span: int, items: dict[str, Trailing]) -> DataFrame:
+def trailing_of(df: DataFrame, keys: Keys, at: str, chunk: int, span: str, longest: int, asked: dict[str, tuple[str, str]]) -> DataFrame:
+    """``trailing`` over spans that a column has, the same within a key and at most ``longest``: asked is name -> (kind, column)."""
+    items = {f"_r_{n}": (kind, column, 0) for n, (kind, column) in asked.items()}
+    body = lambda d, c: _trailing(d.repartition(*keys, c), [*keys, c], at, F.col(span), items)
+    return with_halo(df, at, chunk, longest, body).drop(*asked).withColumnsRenamed({f"_r_{n}": n for n in asked})
+
+
+def _trailing(rows: DataFrame, place: list[str], at: str, span: int | Column, items: dict[str, Trailing]) -> DataFrame:
     block = lambda t: F.floor(t / span).cast("long")
     forwards = Window.partitionBy(*place, "_block").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
     backwards = Window.partitionBy(*place, "_block").orderBy(F.desc("_at"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, 0)

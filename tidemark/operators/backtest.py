@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from tidemark.functions import series
 from tidemark.operators.indicators import YEAR_OF_MINUTES, Settings
 
+#: Chunks of time in which rows are numbered side by side, in microseconds.
+CHUNK = 30 * 86_400_000_000
 _ADDED = T.StructType([T.StructField("final_signal", T.IntegerType()), T.StructField("entry_price", T.DoubleType()), T.StructField("stop_price", T.DoubleType()), T.StructField("target_price", T.DoubleType()), T.StructField("trade_id", T.LongType()), T.StructField("exit_reason", T.StringType())])
 
 
@@ -118,12 +120,39 @@ def returns(df: DataFrame) -> DataFrame:
     return df.withColumn("drawdown", series.safe_div(F.col("cum_returns") - F.col("peak"), F.col("peak")))
 
 
-def rolling_sharpe(df: DataFrame, rows: int) -> DataFrame:
-    """Adds rolling_sharpe: the whole series' annualised mean return over the rolling annualised deviation."""
-    w = series.ordered(["symbol"], ["us"])
-    mean = F.avg("ret_net").over(Window.partitionBy("symbol"))
-    sd = series.rolling(F.stddev_samp, "ret_net", w, rows) * YEAR_OF_MINUTES**0.5
-    return df.withColumn("rolling_sharpe", series.safe_div(mean * YEAR_OF_MINUTES, sd))
+def rolling_sharpe(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Adds rolling_sharpe: the whole series' annualised mean return over the rolling annualised deviation, missing returns counted as 0.
+
+    The window is ``rows``, or a fifth of the series' rows, at most 390 and at least 10; it is null in series no longer than it."""
+    counts = df.groupBy("symbol").agg(F.count("*").alias("_n"), F.avg(F.coalesce("ret_net", F.lit(0.0))).alias("_mean"))
+    size = F.lit(rows) if rows else F.greatest(F.least(F.floor(F.col("_n") / 5), F.lit(390)), F.lit(10))
+    df = df.withColumns({"_r0": F.coalesce("ret_net", F.lit(0.0)), "_one": F.lit(1)}).join(counts.withColumn("_size", size.cast("long")), "symbol")
+    df = series.running(df, ["symbol"], ["us"], "us", CHUNK, {"_row": ("sum", "_one")})
+    df = series.trailing_of(df, ["symbol"], "_row", 20_000, "_size", rows or 390, {"_sd": ("stddev_samp", "_r0")})
+    sd = F.when((F.col("_n") > F.col("_size")) & (F.col("_row") >= F.col("_size")), F.col("_sd"))
+    value = series.safe_div(F.col("_mean") * YEAR_OF_MINUTES, sd * YEAR_OF_MINUTES**0.5)
+    return df.withColumn("rolling_sharpe", value).drop("_r0", "_one", "_row", "_sd", "_n", "_mean", "_size")
+
+
+def benchmark(df: DataFrame) -> DataFrame:
+    """Adds benchmark: the growth of one unit held from the first bar on."""
+    first = F.first("close").over(Window.partitionBy("symbol").orderBy("us").rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("benchmark", series.safe_div(F.col("close"), first))  # the product of all changes
+
+
+def cumulative_trades(closed: DataFrame) -> DataFrame:
+    """Trades with cum_pnl, the sum of pnl_pct so far in per cent, and the sum before each one (before), 0 for the first."""
+    w = series.ordered(["symbol"], ["trade_id"])
+    total = F.sum(F.col("pnl_pct") * 100).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return closed.withColumn("cum_pnl", total).withColumn("before", F.coalesce(F.lag("cum_pnl").over(w), F.lit(0.0)))
+
+
+def win_loss(closed: DataFrame) -> DataFrame:
+    """Wins and losses (trades without a gain) by symbol: counts, shares, and the greatest and least result."""
+    p = F.col("pnl_pct")
+    out = closed.groupBy("symbol").agg(F.count_if(p > 0).alias("wins"), F.count_if(p <= 0).alias("losses"), F.max(p).alias("largest_win"), F.min(p).alias("largest_loss"))
+    n = F.col("wins") + F.col("losses")
+    return out.withColumns({"win_share": F.col("wins") / n, "loss_share": F.col("losses") / n})
 
 
 def performance(df: DataFrame, closed: DataFrame, compat_years: bool = False) -> DataFrame:

@@ -1,20 +1,27 @@
-"""Order books from snapshots and deltas, and the features of a book's state.
+"""Order books from snapshots and deltas, and the features of a book's state, on DataFrame functions only.
 
 Messages have symbol, seq (their order), us, type ('snapshot' or 'delta', 'trade' optionally) and the sides bids and asks, arrays of
-(price, size). A snapshot replaces the book, and keeps levels of size zero; a delta sets levels, and removes those of size zero.
+(price, size). A snapshot replaces the book, and keeps levels of size zero; a delta sets levels, and removes those of size zero; a trade's first
+level holds its price.
+
+A snapshot begins an epoch, within which messages are numbered. A level that is set at message s and set again at u lives in [s, u), and what a
+message sees is the best of the lives that hold its number. So that no message meets all levels and no level all its messages, every
+life is cut into at most two aligned blocks of each power of two messages: a message lies in one block of each power, a block's best level is found
+once, and the two meet by equality. The work is in proportion to messages and updates times the logarithm of an epoch's messages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
+from tidemark.operators.asof import over_interval
 
 TICK = 0.01
+#: Chunks of seq in which running values are accumulated side by side, and of rows for windows over messages.
+CHUNK = 1_000_000
+_SIDE = "array<struct<price: double, size: double>>"
 
 
 def from_json(messages: DataFrame, symbol: str, order: str) -> DataFrame:
@@ -23,127 +30,148 @@ def from_json(messages: DataFrame, symbol: str, order: str) -> DataFrame:
     return messages.select(F.lit(symbol).alias("symbol"), F.col(order).alias("seq"), (F.col("ts") * 1000).alias("us"), "type", side(F.col("data.b")).alias("bids"), side(F.col("data.a")).alias("asks"))
 
 
-def level_updates(messages: DataFrame) -> DataFrame:
-    """One row a level of a message, with the epoch (snapshots so far) it belongs to."""
-    epoch = F.sum((F.col("type") == "snapshot").cast("int")).over(series.ordered(["symbol"], ["seq"]).rowsBetween(Window.unboundedPreceding, 0))
-    tagged = lambda c, name: F.transform(c, lambda l: F.struct(F.lit(name).alias("side"), l["price"].alias("price"), l["size"].alias("size")))
-    return messages.where("type in ('snapshot', 'delta')").withColumn("epoch", epoch).select("symbol", "seq", "us", "type", "epoch", F.explode(F.concat(tagged(F.col("bids"), "bid"), tagged(F.col("asks"), "ask"))).alias("l")).select("symbol", "seq", "us", "type", "epoch", "l.*")
+def numbered(messages: DataFrame) -> DataFrame:
+    """Messages with epoch (snapshots so far), pos (their number within it from 0, trades not counted) and n (the epoch's number of messages)."""
+    marked = messages.withColumn("_snap", (F.col("type") == "snapshot").cast("long"))
+    marked = series.running(marked, ["symbol"], ["seq"], "seq", CHUNK, {"epoch": ("sum", "_snap")}).drop("_snap")
+    of = Window.partitionBy("symbol", "epoch")
+    kept = F.when(F.col("type") != "trade", 1).otherwise(0)
+    return marked.withColumns({"pos": F.sum(kept).over(of.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - 1, "n": F.sum(kept).over(of)})
 
 
-def depths(messages: DataFrame) -> DataFrame:
-    """Size on each side after every message, and the imbalance: running sums of the changes of single levels within an epoch.
+def level_lives(messages: DataFrame) -> DataFrame:
+    """One row a level that a message sets, of numbered messages: side, price, size, the change of the side's depth, and until, the number of
+    the message that sets it next, or the epoch's end."""
+    tagged = lambda c, name: F.transform(c, lambda l: F.struct(F.lit(name).alias("side"), l["price"].alias("price"), l["size"].alias("size")))
+    both = F.concat(tagged(F.col("bids"), "bid"), tagged(F.col("asks"), "ask"))
+    rows = messages.where("type in ('snapshot', 'delta')").select("symbol", "epoch", "seq", "pos", "n", "type", F.posexplode(both).alias("k", "l")).select("symbol", "epoch", "seq", "pos", "n", "type", "k", "l.*")
+    of_level = Window.partitionBy("symbol", "epoch", "side", "price").orderBy("pos", "k")
+    return rows.withColumns({"until": F.coalesce(F.lead("pos").over(of_level), F.col("n")), "change": F.col("size") - F.coalesce(F.lag("size").over(of_level), F.lit(0.0))})
+
 
-    Levels are tracked by (symbol, epoch, side, price), and sums run within epochs, so that snapshots bound the windows."""
-    of_level = Window.partitionBy("symbol", "epoch", "side", "price").orderBy("seq")
-    changes = level_updates(messages).withColumn("change", F.col("size") - F.coalesce(F.lag("size").over(of_level), F.lit(0.0)))
-    per = changes.groupBy("symbol", "epoch", "seq", "us").agg(F.sum(F.when(F.col("side") == "bid", F.col("change")).otherwise(0.0)).alias("bid"), F.sum(F.when(F.col("side") == "ask", F.col("change")).otherwise(0.0)).alias("ask"))
+def _depths(messages: DataFrame, lives: DataFrame) -> DataFrame:
+    per = lives.groupBy("symbol", "epoch", "pos").agg(F.sum(F.when(F.col("side") == "bid", F.col("change")).otherwise(0.0)).alias("bid"), F.sum(F.when(F.col("side") == "ask", F.col("change")).otherwise(0.0)).alias("ask"))
     so_far = Window.partitionBy("symbol", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = per.withColumns({"bid_depth": F.sum("bid").over(so_far), "ask_depth": F.sum("ask").over(so_far)})
-    return out.select("symbol", "seq", "us", "bid_depth", "ask_depth", F.coalesce(series.safe_div(F.col("bid_depth") - F.col("ask_depth"), F.col("bid_depth") + F.col("ask_depth")), F.lit(0.0)).alias("imbalance"))
-
-
-class Book:
-    """Levels of one symbol while its messages go by."""
-
-    def __init__(self):
-        self.sides: tuple[dict[float, float], dict[float, float]] = ({}, {})
-        self.last_trade: float | None = None
-
-    def apply(self, kind: str, bids, asks) -> None:
-        if kind == "trade":
-            if len(bids) or len(asks):
-                self.last_trade = (bids if len(bids) else asks)[0]["price"]
-            return
-        for side, levels in zip(self.sides, (bids, asks), strict=True):
-            if kind == "snapshot":
-                side.clear()
-            for level in levels:
-                if kind == "delta" and level["size"] == 0:
-                    side.pop(level["price"], None)
-                else:
-                    side[level["price"]] = level["size"]
-
-    def best(self) -> tuple[float | None, float | None]:
-        return max(self.sides[0], default=None), min(self.sides[1], default=None)
-
-    def mid(self) -> float | None:
-        bid, ask = self.best()
-        return (bid + ask) / 2 if bid is not None and ask is not None else self.last_trade
-
-    def top(self, n: int, tick: float = TICK) -> list[list[tuple[float, float]]]:
-        """n levels a side, best first. Missing ones are padded a tick apart with size 0; an empty side's padding begins two
-        ticks from the other side's best price, the last trade or 1000."""
-        out, (bid, ask) = [], self.best()
-        for side, sign, other in ((self.sides[0], -1, ask), (self.sides[1], 1, bid)):
-            levels = sorted(side.items(), reverse=sign < 0)[:n]
-            edge = levels[-1][0] if levels else (other or self.last_trade or 1000.0) + sign * tick
-            levels += [(edge + sign * tick * (k + 1), 0.0) for k in range(n - len(levels))]
-            out.append(levels)
-        return out
-
-
-def states(messages: DataFrame, levels: int = 0) -> DataFrame:
-    """After each message: best prices and sizes, mid, spread, micro price, depths, imbalance and the top levels.
-
-    A symbol's messages pass in order through its book, which is all a task holds; symbols run side by side."""
-    side = "array<struct<price: double, size: double>>"
-    schema = f"symbol string, seq long, us long, type string, best_bid double, best_ask double, bid_size double, ask_size double, mid double, spread double, micro double, bid_depth double, ask_depth double, imbalance double, bids {side}, asks {side}"
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, book = None, Book()
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.symbol != symbol:
-                    symbol, book = row.symbol, Book()
-                book.apply(row.type, row.bids, row.asks)
-                bid, ask = book.best()
-                sizes = book.sides[0].get(bid, 0.0), book.sides[1].get(ask, 0.0)
-                mid = book.mid()
-                both = bid is not None and ask is not None
-                micro = (bid * sizes[1] + ask * sizes[0]) / sum(sizes) if both and sum(sizes) > 0 else mid
-                depth = sum(book.sides[0].values()), sum(book.sides[1].values())
-                tops = [[{"price": p, "size": s} for p, s in t] for t in book.top(levels)] if levels else [[], []]
-                out.append((symbol, row.seq, row.us, row.type, bid, ask, *sizes, mid, ask - bid if both else None, micro, *depth, (depth[0] - depth[1]) / sum(depth) if sum(depth) else 0.0, *tops))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ("symbol", "seq", "us", "type", "best_bid", "best_ask", "bid_size", "ask_size", "mid", "spread", "micro", "bid_depth", "ask_depth", "imbalance", "bids", "asks")])
-
-    ordered = messages.select("symbol", "seq", "us", "type", "bids", "asks").repartition("symbol").sortWithinPartitions("symbol", "seq")
-    return ordered.mapInPandas(walk, schema)
+    own = F.col("type") != "trade"
+    rows = messages.join(per, ["symbol", "epoch", "pos"], "left")
+    rows = rows.withColumns({f"{s}_depth": F.coalesce(F.sum(F.when(own, F.col(s))).over(so_far), F.lit(0.0)) for s in ("bid", "ask")})
+    total = F.col("bid_depth") + F.col("ask_depth")
+    return rows.withColumn("imbalance", F.coalesce(series.safe_div(F.col("bid_depth") - F.col("ask_depth"), total), F.lit(0.0))).drop("bid", "ask")
+
+
+def depths(messages: DataFrame) -> DataFrame:
+    """Size on each side after every message, and the imbalance: running sums of the changes of single levels within an epoch."""
+    rows = numbered(messages)
+    return _depths(rows, level_lives(rows)).select("symbol", "seq", "us", "bid_depth", "ask_depth", "imbalance")
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The aligned blocks (h, i), holding i * 2^h to (i + 1) * 2^h - 1, that make up [start, end)."""
+    heights = F.sequence(F.lit(0), F.ceil(F.log2((end - start).cast("double"))).cast("int"))
+
+    def at(h: Column) -> Column:
+        size = F.pow(F.lit(2), h).cast("long")
+        s, e = F.ceil(start / size), F.floor(end / size)
+        left = F.when((s < e) & (s % 2 == 1), F.struct(h.alias("h"), s.cast("long").alias("i")))
+        right = F.when((s < e) & (e % 2 == 1), F.struct(h.alias("h"), (e - 1).cast("long").alias("i")))
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(heights, at)))
+
+
+def _seen(messages: DataFrame, lives: DataFrame, levels: int) -> DataFrame:
+    """By symbol and seq: the best ``levels`` of each side that a message sees, arrays of (price, size), best first."""
+    live = lives.where("until > pos and (size <> 0 or type = 'snapshot')")
+    # asks by their negative price, so that the best of either side is the greatest
+    rank = F.when(F.col("side") == "bid", F.col("price")).otherwise(-F.col("price"))
+    cut = live.select("symbol", "epoch", "side", F.struct(rank.alias("r"), "size").alias("l"), F.explode(_blocks(F.col("pos"), F.col("until"))).alias("b")).select("symbol", "epoch", "side", "l", "b.*")
+    node = ["symbol", "epoch", "side", "h", "i"]
+    if levels == 1:
+        best = cut.groupBy(*node).agg(F.array(F.max("l")).alias("ls"))
+    else:
+        ranked = cut.withColumn("k", F.row_number().over(Window.partitionBy(*node).orderBy(F.desc("l")))).where(F.col("k") <= levels)
+        best = ranked.groupBy(*node).agg(F.collect_list("l").alias("ls"))  # ``levels`` at most
+    heights = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest("n", F.lit(1)).cast("double"))).cast("int")), lambda h: F.struct(h.alias("h"), F.floor(F.col("pos") / F.pow(F.lit(2), h)).cast("long").alias("i")))
+    asks = messages.where("pos >= 0").select("symbol", "epoch", "seq", F.explode(heights).alias("b")).select("symbol", "epoch", "seq", "b.*")
+    met = asks.join(best, ["symbol", "epoch", "h", "i"])
+    if levels == 1:
+        found = met.groupBy("symbol", "seq", "side").agg(F.array(F.max(F.get("ls", F.lit(0)))).alias("ls"))
+    else:  # a list a power of two, of ``levels`` each
+        found = met.groupBy("symbol", "seq", "side").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ls")), asc=False), 1, levels).alias("ls"))
+    priced = lambda side, sign: F.max(F.when(F.col("side") == side, F.transform("ls", lambda l: F.struct((l["r"] * sign).alias("price"), l["size"].alias("size")))))
+    return found.groupBy("symbol", "seq").agg(priced("bid", 1).alias("bid_levels"), priced("ask", -1).alias("ask_levels"))
+
+
+def _padded(levels: Column, n: int, sign: int, other: Column, tick: float) -> Column:
+    """Missing levels a tick apart with size 0; an empty side's padding begins two ticks from the other side's best price, the last trade or 1000."""
+    held = F.coalesce(levels, F.array().cast(_SIDE))
+    edge = F.when(F.size(held) > 0, F.element_at(held, F.size(held))["price"]).otherwise(F.coalesce(other, F.col("last_trade"), F.lit(1000.0)) + sign * tick)
+    pads = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct((edge + sign * tick * k).alias("price"), F.lit(0.0).alias("size")))
+    return F.slice(F.concat(held, pads), 1, n)
+
+
+def states(messages: DataFrame, levels: int = 0, tick: float = TICK) -> DataFrame:
+    """After each message: best prices and sizes, mid (the last trade's price while a side is empty), spread, micro price, depths, imbalance
+    and the top ``levels`` of both sides, padded."""
+    trade = F.coalesce(F.get("bids", F.lit(0))["price"], F.get("asks", F.lit(0))["price"])
+    rows = series.latest(messages, ["symbol"], ["seq"], "seq", CHUNK, {"last_trade": F.when(F.col("type") == "trade", trade)})
+    rows = numbered(rows)
+    lives = level_lives(rows)
+    rows = _depths(rows, lives).join(_seen(rows, lives, max(1, levels)), ["symbol", "seq"], "left")
+    best = {"bid": F.get("bid_levels", F.lit(0)), "ask": F.get("ask_levels", F.lit(0))}
+    rows = rows.withColumns({f"best_{s}": b["price"] for s, b in best.items()} | {f"{s}_size": F.coalesce(b["size"], F.lit(0.0)) for s, b in best.items()})
+    rows = rows.withColumns({"mid": F.coalesce((F.col("best_bid") + F.col("best_ask")) / 2, "last_trade"), "spread": F.col("best_ask") - F.col("best_bid")})
+    micro = series.safe_div(F.col("best_bid") * F.col("ask_size") + F.col("best_ask") * F.col("bid_size"), F.col("bid_size") + F.col("ask_size"))
+    tops = {"bids": _padded(F.col("bid_levels"), levels, -1, F.col("best_ask"), tick), "asks": _padded(F.col("ask_levels"), levels, 1, F.col("best_bid"), tick)} if levels else {}
+    rows = rows.withColumns({"micro": F.coalesce(micro, "mid")} | tops)
+    return rows.select("symbol", "seq", "us", "type", "best_bid", "best_ask", "bid_size", "ask_size", "mid", "spread", "micro", "bid_depth", "ask_depth", "imbalance", *tops)
 
 
 def market_features(states_: DataFrame, periods: tuple[int, ...] = (10, 50, 100), trades: DataFrame | None = None) -> DataFrame:
     """Per message: volatility of the last k mids' log returns, mean imbalance of the last k, order-flow imbalance of the trades of
     the last k * 100 ms (0 without trades), and the time of day as sine and cosine."""
-    w = series.ordered(["symbol"], ["seq"])
-    df = states_.withColumn("_lr", F.ln(series.safe_div(F.col("mid"), F.lag("mid").over(w))))
     day = 2 * 3.141592653589793 * (F.col("us") % 86_400_000_000) / 86_400_000_000
-    added = {"time_sin": F.sin(day), "time_cos": F.cos(day), "spread": F.coalesce("spread", F.lit(0.0))}
-    for k in periods:
-        frame, back = w.rowsBetween(-(k - 2), 0), w.rowsBetween(-(k - 1), 0)
-        added[f"vol_{k}"] = F.when(F.count("mid").over(back) >= k, F.stddev_pop("_lr").over(frame)).otherwise(0.0)
-        added[f"voi_{k}"] = F.when(F.count("imbalance").over(back) >= k, F.avg("imbalance").over(back)).otherwise(0.0)
-    df = df.withColumns(added).drop("_lr")
+    df = states_.withColumns({"time_sin": F.sin(day), "time_cos": F.cos(day), "spread": F.coalesce("spread", F.lit(0.0))})
+
+    def body(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows, added = rows.withColumn("_lr", F.ln(series.safe_div(F.col("mid"), F.lag("mid").over(w)))), {}
+        for k in periods:
+            frame, back = w.rowsBetween(-(k - 2), 0), w.rowsBetween(-(k - 1), 0)
+            added[f"vol_{k}"] = F.when(F.count("mid").over(back) >= k, F.stddev_pop("_lr").over(frame)).otherwise(0.0)
+            added[f"voi_{k}"] = F.when(F.count("imbalance").over(back) >= k, F.avg("imbalance").over(back)).otherwise(0.0)
+        return rows.withColumns(added).drop("_lr")
+
+    df = series.in_row_chunks(df, ["symbol"], ["seq"], "seq", CHUNK, 100_000, max(periods) + 1, body)
     if trades is None:
         return df.withColumns({f"ofi_{k}": F.lit(0.0) for k in periods})
-    flow = {}
-    from tidemark.operators.asof import over_interval
-
     rows = trades.select("symbol", "us", F.when(F.col("is_buyer_maker"), 0.0).otherwise(F.col("quantity")).alias("b"), F.when(F.col("is_buyer_maker"), F.col("quantity")).otherwise(0.0).alias("s"))
-    for k in periods:  # the interval's left edge belongs to it
-        df = over_interval(df, rows, ["symbol"], "us", k * 100_000 + 1, {f"_b{k}": F.sum("b"), f"_s{k}": F.sum("s")})
-        flow[f"ofi_{k}"] = F.coalesce(series.safe_div(F.col(f"_b{k}") - F.col(f"_s{k}"), F.col(f"_b{k}") + F.col(f"_s{k}")), F.lit(0.0))
+    # the interval's left edge belongs to it
+    df = over_interval(df, rows, ["symbol"], "us", {f"_{c}{k}": ("sum", c, k * 100_000 + 1) for k in periods for c in "bs"})
+    flow = {f"ofi_{k}": F.coalesce(series.safe_div(F.col(f"_b{k}") - F.col(f"_s{k}"), F.col(f"_b{k}") + F.col(f"_s{k}")), F.lit(0.0)) for k in periods}
     return df.withColumns(flow).drop(*(f"_{c}{k}" for k in periods for c in "bs"))
 
 
+def state_vector(features: DataFrame, length: int = 64, account: tuple[str, ...] = (), periods: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
+    """Adds vector, ``length`` numbers cut or filled with zeros: price over mid and size of each level (bids, then asks), the market features
+    by the alphabet, and the ``account`` columns."""
+    mid = F.when(F.coalesce("mid", F.lit(0.0)) == 0, 1.0).otherwise(F.col("mid"))
+    market = {"mid_price": F.coalesce("mid", F.lit(0.0)), "spread": F.col("spread"), "micro_price": F.coalesce("micro", "mid", F.lit(0.0)), **{c: F.col(c) for c in ("bid_depth", "ask_depth", "time_sin", "time_cos", *(f"{k}_{p}" for k in ("vol", "ofi", "voi") for p in periods))}}
+    flat = lambda c: F.flatten(F.transform(c, lambda l: F.array(l["price"] / mid, l["size"])))
+    parts = F.concat(flat("bids"), flat("asks"), F.array(*(market[k] for k in sorted(market))), F.array(*(F.col(c).cast("double") for c in account)).cast("array<double>"))
+    return features.withColumn("vector", F.slice(F.concat(parts, F.array_repeat(F.lit(0.0), length)), 1, length))
+
+
 def history(df: DataFrame, keys: list[str], order: list[str], vector: str, n: int = 20) -> DataFrame:
     """Adds history: the last n vectors, the oldest repeated in front where there are fewer."""
-    last = F.collect_list(vector).over(series.ordered(keys, order).rowsBetween(-(n - 1), 0))
-    return df.withColumn("_h", last).withColumn("history", F.concat(F.array_repeat(F.col("_h")[0], n - F.size("_h")), F.col("_h"))).drop("_h")
+    rows = series.rolled(df, keys, order, order[0], CHUNK, 100_000, n, {"_h": lambda w: F.collect_list(vector).over(w.rowsBetween(-(n - 1), 0))})
+    return rows.withColumn("history", F.concat(F.array_repeat(F.get("_h", F.lit(0)), n - F.size("_h")), F.col("_h"))).drop("_h")
 
 
 def markouts(fills: DataFrame, mids: DataFrame, steps: int = 10) -> DataFrame:
     """Adds markout: fill price against the mid ``steps`` - 1 messages later, positive where the price moved against the fill."""
-    ahead = mids.withColumn("_later", F.lead("mid", steps - 1).over(series.ordered(["symbol"], ["seq"]))).select("symbol", "seq", "_later")
+    # the row steps - 1 later is steps - 1 rows back in descending order
+    turned = mids.withColumn("_turn", -F.col("seq"))
+    ahead = series.rolled(turned, ["symbol"], ["_turn"], "_turn", CHUNK, 100_000, steps, {"_later": lambda w: F.lag("mid", steps - 1).over(w)}).select("symbol", "seq", "_later")
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     return fills.join(ahead, ["symbol", "seq"], "left").withColumn("markout", sign * (F.col("price") - F.col("_later"))).drop("_later")
 

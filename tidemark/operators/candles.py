@@ -94,9 +94,20 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
 
 
 def merged_stats(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, mean and sample deviation (n, mean, sd) of two tables' rows together, by key: exact parallel merging."""
+    """Count, mean and sample deviation (n, mean, sd) of two tables' rows together, by key: squares about the common mean, so that nothing large
+    is subtracted from something as large."""
     both = stored.select(*keys, "n", "mean", "sd").unionByName(batch.select(*keys, "n", "mean", "sd"))
-    n, m = F.col("n"), F.col("mean")
-    total = both.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * m).alias("s1"), F.sum(F.coalesce(F.col("sd"), F.lit(0.0)) ** 2 * (n - 1) + n * m * m).alias("s2"))
-    mean = F.col("s1") / F.col("n")
-    return total.select(*keys, "n", mean.alias("mean"), F.sqrt(F.greatest((F.col("s2") - F.col("n") * mean * mean) / F.when(F.col("n") > 1, F.col("n") - 1), F.lit(0.0))).alias("sd"))
+    base = both.groupBy(*keys).agg(F.min("mean").alias("_base"))  # a mean as origin keeps the weighted sum small
+    near = both.join(base, keys).withColumn("_d", F.col("mean") - F.col("_base"))
+    total = near.groupBy(*keys).agg(F.sum("n").alias("_n"), series.safe_div(F.sum(F.col("n") * F.col("_d")), F.sum("n")).alias("_m"))
+    squares = F.pow(F.coalesce("sd", F.lit(0.0)), F.lit(2)) * (F.col("n") - 1) + F.col("n") * F.pow(F.col("_d") - F.col("_m"), F.lit(2))
+    out = near.join(total, keys).groupBy(*keys).agg(F.first("_n").alias("n"), F.first(F.col("_base") + F.col("_m")).alias("mean"), F.sum(squares).alias("_q"))
+    return out.select(*keys, "n", "mean", F.sqrt(series.safe_div(F.col("_q"), F.when(F.col("n") > 1, F.col("n") - 1))).alias("sd"))
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a column: count, mean, sample deviation, extremes and approximate quartiles, all found in one pass."""
+    figures = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "low": F.min, "high": F.max}
+    one = df.agg(*(F.struct(*(f(c).cast("double").alias(n) for n, f in figures.items()), F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias("q")).alias(c) for c in columns))
+    rows = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), *(F.col(f"{c}.{n}").alias(n) for n in figures), *(F.col(f"{c}.q")[k].cast("double").alias(q) for k, q in enumerate(("q25", "q50", "q75")))) for c in columns))).alias("r"))
+    return rows.select("r.*").withColumn("n", F.col("n").cast("long"))

@@ -38,20 +38,24 @@ def conditional_kelly(df: DataFrame, keys: list[str], order: list[str], ret: str
 
 
 def least_squares(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
-    """Residual sum of squares of y on xs and a constant, by key: normal equations, solved by elimination in columns.
-
-    The sums of products combine before the shuffle; the solving is a projection of a row a key."""
-    names = ["_one", *xs]
-    rows = df.withColumn("_one", F.lit(1.0)).where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [y, *xs]]))
-    sums = {(a, b): F.sum(F.col(a) * F.col(b)).alias(f"_s{i}_{j}") for i, a in enumerate([*names, y]) for j, b in enumerate([*names, y]) if i <= j}
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums.values())
-    k = len(names)
+    """Residual sum of squares of y on xs and a constant, by key: normal equations of centred columns, solved by elimination.
+
+    The moments combine before the shuffle; the solving is a projection of a row a key."""
+    names = [*xs, y]
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names]))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(moment.alias(name) for name, moment in _moments(names).items()))
+    k = len(xs)
     at = lambda i, j: F.col(f"_s{min(i, j)}_{max(i, j)}")
     for p in range(k):  # each step takes one regressor out of the rest: the last cell becomes the residual
         out = out.withColumns({f"_s{i}_{j}": at(i, j) - F.coalesce(series.safe_div(at(p, i) * at(p, j), at(p, p)), F.lit(0.0)) for i in range(p + 1, k + 1) for j in range(i, k + 1)})
     return out.select(*keys, "n", F.greatest(at(k, k), F.lit(0.0)).alias("rss"))
 
 
+def _moments(names: list[str]) -> dict[str, Column]:
+    """Sums of products of every two columns about their means, found in one pass without large sums."""
+    return {f"_s{i}_{j}": F.covar_pop(a, b) * F.count("*") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j}
+
+
 def f_test(restricted: DataFrame, full: DataFrame, keys: list[str], dropped: int, parameters: int) -> DataFrame:
     """F statistic of ``dropped`` coefficients being zero, with its degrees of freedom."""
     both = full.withColumnRenamed("rss", "rss_full").join(restricted.select(*keys, F.col("rss").alias("rss_restricted")), keys)
@@ -76,6 +80,43 @@ def unit_root(df: DataFrame, keys: list[str], order: list[str], y: str) -> DataF
     return out.select(*keys, "n", "slope", series.safe_div(F.col("slope"), F.sqrt(series.safe_div(F.greatest(variance, F.lit(0.0)), F.col("sxx")))).alias("t"))
 
 
+def vector_regression(df: DataFrame, keys: list[str], order: list[str], a: str, b: str) -> DataFrame:
+    """VAR(1) of two series by key: each on a constant and both series' values before. Coefficients x_y (of y's value before in x's equation),
+    constants and residual variances."""
+    w = series.ordered(keys, order)
+    names = ["_a0", "_b0", a, b]
+    rows = df.withColumns({"_a0": F.lag(a).over(w), "_b0": F.lag(b).over(w)}).where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names]))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(m.alias(n) for n, m in _moments(names).items()), *(F.avg(c).alias(f"_m{k}") for k, c in enumerate(names)))
+    det = F.col("_s0_0") * F.col("_s1_1") - F.col("_s0_1") * F.col("_s0_1")
+    for place, name in ((2, "a"), (3, "b")):
+        p, q = F.col(f"_s0_{place}"), F.col(f"_s1_{place}")
+        out = out.withColumns({f"{name}_a": series.safe_div(p * F.col("_s1_1") - q * F.col("_s0_1"), det), f"{name}_b": series.safe_div(q * F.col("_s0_0") - p * F.col("_s0_1"), det)})
+        out = out.withColumns({f"{name}_const": F.col(f"_m{place}") - F.col(f"{name}_a") * F.col("_m0") - F.col(f"{name}_b") * F.col("_m1"), f"{name}_variance": (F.col(f"_s{place}_{place}") - F.col(f"{name}_a") * p - F.col(f"{name}_b") * q) / (F.col("n") - 3)})
+    return out.select(*keys, "n", *(f"{x}_{c}" for x in "ab" for c in ("a", "b", "const", "variance")))
+
+
+def johansen(df: DataFrame, keys: list[str], order: list[str], a: str, b: str) -> DataFrame:
+    """Johansen's test of two series by key (a constant, no lagged changes): both eigenvalues and the trace statistics of at most none and at most one
+    cointegrating relation. With two series the eigenvalues follow from a quadratic equation in the moments."""
+    w = series.ordered(keys, order)
+    names = ["_da", "_db", "_a0", "_b0"]
+    rows = df.withColumns({"_a0": F.lag(a).over(w), "_b0": F.lag(b).over(w)}).withColumns({"_da": F.col(a) - F.col("_a0"), "_db": F.col(b) - F.col("_b0")})
+    rows = rows.where(F.col("_da").isNotNull() & F.col("_db").isNotNull())
+    s = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(m.alias(n) for n, m in _moments(names).items()))
+    at = lambda i, j: F.col(f"_s{min(i, j)}_{max(i, j)}")
+    det0, det1 = at(0, 0) * at(1, 1) - at(0, 1) * at(0, 1), at(2, 2) * at(3, 3) - at(2, 3) * at(2, 3)
+    # m = s11^-1 s10 s00^-1 s01, by its cells
+    s = s.withColumns({f"_i{i}{j}": series.safe_div(c, det0) for (i, j), c in {(0, 0): at(1, 1), (0, 1): -at(0, 1), (1, 1): at(0, 0)}.items()} | {f"_k{i}{j}": series.safe_div(c, det1) for (i, j), c in {(0, 0): at(3, 3), (0, 1): -at(2, 3), (1, 1): at(2, 2)}.items()})
+    inner = lambda i, j: sum((at(x, 2 + i) * F.col(f"_i{min(x, y)}{max(x, y)}") * at(y, 2 + j) for x in (0, 1) for y in (0, 1)), F.lit(0.0))
+    s = s.withColumns({f"_q{i}{j}": inner(i, j) for i in (0, 1) for j in (0, 1)})
+    cell = lambda i, j: sum((F.col(f"_k{min(i, x)}{max(i, x)}") * F.col(f"_q{x}{j}") for x in (0, 1)), F.lit(0.0))
+    s = s.withColumns({"_t": cell(0, 0) + cell(1, 1), "_d": cell(0, 0) * cell(1, 1) - cell(0, 1) * cell(1, 0)})
+    root = F.sqrt(F.greatest(F.col("_t") * F.col("_t") / 4 - F.col("_d"), F.lit(0.0)))
+    s = s.withColumns({"lambda1": F.col("_t") / 2 + root, "lambda2": F.col("_t") / 2 - root})
+    trace = lambda *ls: -F.col("n") * sum((F.ln(1 - F.col(x)) for x in ls), F.lit(0.0))
+    return s.select(*keys, "n", "lambda1", "lambda2", trace("lambda1", "lambda2").alias("trace_none"), trace("lambda2").alias("trace_one"))
+
+
 def chow(df: DataFrame, keys: list[str], y: str, x: str, late: Column) -> DataFrame:
     """F test by key that one regression of y on x serves both the rows where ``late`` holds and the rest."""
     whole, halves = least_squares(df, keys, y, [x]), least_squares(df.withColumn("_late", late), [*keys, "_late"], y, [x])
@@ -90,11 +131,13 @@ def folds(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame
 
 def fold_figures(df: DataFrame, keys: list[str], order: list[str], ret: str, n: int) -> DataFrame:
     """Mean, deviation and Sharpe ratio of every fold next to those of all folds before it (walk-forward)."""
-    per = folds(df, keys, order, n).groupBy(*keys, "fold").agg(F.count(ret).alias("n"), F.sum(ret).alias("s"), F.sum(F.col(ret) * F.col(ret)).alias("q"))
+    # about the series' mean, so that squares stay small
+    centred = folds(df, keys, order, n).join(df.groupBy(*keys).agg(F.avg(ret).alias("_m")), keys).withColumn("_d", F.col(ret) - F.col("_m"))
+    per = centred.groupBy(*keys, "fold").agg(F.count(ret).alias("n"), F.sum("_d").alias("s"), F.sum(F.col("_d") * F.col("_d")).alias("q"), F.first("_m").alias("m"))
     before = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumns({"n0": F.sum("n").over(before), "s0": F.sum("s").over(before), "q0": F.sum("q").over(before)})
-    ratio = lambda c, s, q: series.safe_div(series.safe_div(F.col(s), F.col(c)), F.sqrt(F.greatest(series.safe_div(F.col(q) - F.col(s) * F.col(s) / F.nullif(F.col(c), F.lit(0)), F.col(c) - 1), F.lit(0.0))))
-    return per.select(*keys, "fold", "n", series.safe_div(F.col("s"), F.col("n")).alias("mean"), ratio("n", "s", "q").alias("sharpe"), ratio("n0", "s0", "q0").alias("sharpe_before"))
+    ratio = lambda c, s, q: series.safe_div(F.col("m") + series.safe_div(F.col(s), F.col(c)), F.sqrt(F.greatest(series.safe_div(F.col(q) - F.col(s) * F.col(s) / F.nullif(F.col(c), F.lit(0)), F.col(c) - 1), F.lit(0.0))))
+    return per.select(*keys, "fold", "n", (F.col("m") + series.safe_div(F.col("s"), F.col("n"))).alias("mean"), ratio("n", "s", "q").alias("sharpe"), ratio("n0", "s0", "q0").alias("sharpe_before"))
 
 
 def sensitivity(df: DataFrame, keys: list[str], value: str, ret: str, limits: list[float]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
-from tidemark.operators import asof, backtest, book, candles, features, indicators, learning, research, simulate
+from tidemark.operators import asof, backtest, book, candles, features, indicators, learning, paths, research
 from tidemark.sources import market
 
 HOUR = 3600
@@ -242,14 +242,14 @@ of_trades as (select symbol, avg(case when pnl > 0 then 1.0 else 0.0 end) as hit
   avg(case when exit_reason = 'take_profit' then 1.0 else 0 end) as take_profit_rate, avg((exit_us - entry_us) / 60000000) as avg_duration from closed group by 1),
 of_rows as (select symbol, (max(us) - min(us)) // 86400000000 / 365.25 as years, arg_max(cum_returns, us) - 1 as total_return, avg(ret_net) as m, stddev_samp(ret_net) as sd, stddev_samp(ret_net) filter (ret_net < 0) as down,
   min(drawdown) as max_drawdown, sum(abs(position_change)) as moved from eq group by 1)
-select symbol, round(total_return, 6) as total_return, round(pow(1 + total_return, 1 / years) - 1, 6) as cagr, round(coalesce(m / nullif(sd, 0) * sqrt(98280), 0), 4) as sharpe, round(coalesce(m / nullif(down, 0) * sqrt(98280), 0), 4) as sortino,
+select symbol, round(total_return, 6) as total_return, round(pow(1 + total_return, 1 / years) - 1, 6) as cagr, round(coalesce((pow(1 + total_return, 1 / years) - 1) / nullif(abs(max_drawdown), 0), 0), 4) as calmar, round(coalesce(m / nullif(sd, 0) * sqrt(98280), 0), 4) as sharpe, round(coalesce(m / nullif(down, 0) * sqrt(98280), 0), 4) as sortino,
   round(max_drawdown, 6) as max_drawdown, round(hit_rate, 6) as hit_rate, round(avg_profit, 6) as avg_profit, round(avg_win, 6) as avg_win, round(avg_loss, 6) as avg_loss, round(won / lost, 4) as profit_factor,
   round(moved / 2 / years, 4) as turnover, num_trades, round(stop_loss_rate, 6) as stop_loss_rate, round(take_profit_rate, 6) as take_profit_rate, round(avg_duration, 4) as avg_duration
 from of_rows join of_trades using (symbol)""", digits=12)
 def performance_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = equity(spark, folder)
-    out = backtest.performance(rows, backtest.trades(rows)).drop("calmar")
-    four = ("sharpe", "sortino", "profit_factor", "turnover", "avg_duration")
+    out = backtest.performance(rows, backtest.trades(rows))
+    four = ("calmar", "sharpe", "sortino", "profit_factor", "turnover", "avg_duration")
     return out.select(*(F.round(c, 4 if c in four else 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
@@ -344,22 +344,23 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
     return df.where("return_pct is not null").withColumn("label", (F.col("return_pct") > 0).cast("int"))
 
 
+COST = 0.0005
 THRESHOLDS = LABELLED + f""",
 cand as (select range as k, round(0.51 - 0.001 * range, 3) as threshold from range(21)),
-tried as (select k, threshold, 'long' as side, return_pct as gain from ok, cand where score > threshold union all select k, threshold, 'short', -return_pct from ok, cand where score < threshold),
+tried as (select k, threshold, 'long' as side, return_pct - {COST} as gain from ok, cand where score > threshold union all select k, threshold, 'short', -return_pct - {COST} from ok, cand where score < threshold),
 tt as (select k, threshold, side, count(*) as n, avg(case when gain > 0 then 1.0 else 0 end) as win_rate, avg(gain) as mean_return, coalesce(avg(gain) / nullif(stddev_samp(gain), 0), 0) as sharpe,
-  coalesce(sum(gain) filter (gain > 0) / nullif(-sum(gain) filter (gain < 0), 0), 0) as profit_factor from tried group by 1, 2, 3),
-th as (select *, 0.4 * win_rate + 0.4 * sharpe + 0.2 * profit_factor as score from tt)"""
+  coalesce(coalesce(sum(gain) filter (gain > 0), 0) / nullif(-sum(gain) filter (gain < 0), 0), 0) as profit_factor from tried group by 1, 2, 3),
+th as (select *, 0.4 * mean_return + 0.4 * sharpe + 0.2 * profit_factor as score from tt)"""
 
 
 @query(f"{THRESHOLDS} select cast(k as int) as k, threshold, side, n, {r('win_rate', 'mean_return', 'sharpe', 'profit_factor', 'score')} from th")
 def threshold_search(spark: SparkSession, folder: str) -> DataFrame:
-    return learning.threshold_table(scores(spark, folder))
+    return learning.threshold_table(scores(spark, folder), cost=COST)
 
 
 @query(f"""{THRESHOLDS} select side, case when max(score) > 0 then arg_max(threshold, (score, -k)) else (case side when 'long' then 0.55 else 0.45 end) end as threshold from th group by side""")
 def threshold_choice(spark: SparkSession, folder: str) -> DataFrame:
-    return learning.best_thresholds(learning.threshold_table(scores(spark, folder)))
+    return learning.best_thresholds(learning.threshold_table(scores(spark, folder), cost=COST))
 
 
 BACKTEST = LABELLED + """,
@@ -378,12 +379,16 @@ def signal_backtest(spark: SparkSession, folder: str) -> DataFrame:
     return backtested(spark, folder).select("symbol", "bucket", "signal_long", "signal_short", "pnl", "cum_pnl", "drawdown")
 
 
-@query(f"""{BACKTEST} select symbol, count(*) filter (signal_long = 1 or signal_short = 1) as total_trades, round(count(*) filter (cl or cs) / count(*) filter (signal_long = 1 or signal_short = 1), 6) as win_rate,
-  round(avg(pnl), 6) as avg_trade_return, round(avg(pnl) filter (pnl > 0), 6) as avg_win, round(avg(pnl) filter (pnl < 0), 6) as avg_loss, round(sum(pnl) filter (pnl > 0) / -sum(pnl) filter (pnl < 0), 6) as profit_factor,
-  round(arg_max(cum_pnl, bucket), 6) as final_pnl, round(max(drawdown), 6) as max_drawdown, round(avg(pnl) / stddev_samp(pnl) * sqrt(252), 6) as sharpe,
-  round(count(*) filter (cl) / sum(signal_long), 6) as long_precision, round(count(*) filter (cs) / sum(signal_short), 6) as short_precision from bt group by 1""")
+@query(f"""{BACKTEST}, pairs as (select a.symbol, avg(case when a.score > b.score then 1.0 when a.score = b.score then 0.5 else 0 end) as roc_auc from bt a join bt b on a.symbol = b.symbol and a.label = 1 and b.label = 0 group by 1),
+m as (select symbol, sum(signal_long + signal_short) as total_trades, count(*) filter (cl) + count(*) filter (cs) as right_, avg(pnl) as avg_trade_return, coalesce(avg(pnl) filter (pnl > 0), 0) as avg_win, coalesce(avg(pnl) filter (pnl < 0), 0) as avg_loss,
+  coalesce(sum(pnl) filter (pnl > 0), 0) as won, coalesce(-sum(pnl) filter (pnl < 0), 0) as lost, arg_max(cum_pnl, bucket) as final_pnl, max(drawdown) as max_drawdown, coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252), 0) as sharpe,
+  (max(bucket) - min(bucket)) / 86400000000 as days, coalesce(avg(label) filter (signal_long = 1), 0) as long_precision, coalesce(avg(1 - label) filter (signal_short = 1), 0) as short_precision from bt group by 1)
+select symbol, cast(total_trades as bigint) as total_trades, round(right_ / total_trades, 6) as win_rate, {r("avg_trade_return", "avg_win", "avg_loss")}, case when lost > 0 then round(won / lost, 6) when won > 0 then 'inf'::double else 0 end as profit_factor,
+  {r("final_pnl", "max_drawdown", "sharpe", "long_precision", "short_precision", "roc_auc")}, case when days > 0 and 1 + final_pnl >= 0 then round(ln(1 + final_pnl) * 365 / days, 6) end as log_annualised from m join pairs using (symbol)""")
 def backtest_figures(spark: SparkSession, folder: str) -> DataFrame:
-    return learning.backtest_metrics(backtested(spark, folder), ["symbol"], "bucket")
+    """The annualised return is shown as its logarithm: over a few weeks the power is out of proportion."""
+    out = learning.backtest_metrics(backtested(spark, folder), ["symbol"], "bucket", "label", "score")
+    return out.withColumn("log_annualised", F.log1p("annualised_return")).drop("annualised_return")
 
 
 @query(f"{LABELLED} select label, cast(score >= 0.5 as int) as predicted, count(*) as n from ok group by 1, 2")
@@ -400,11 +405,18 @@ def classification_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""{LABELLED}, s as (select round(score, 4) as s, sum(label) as pos, sum(1 - label) as neg from ok group by 1),
 k as (select *, sum(pos) over (order by s desc) as tp, sum(neg) over (order by s desc) as fp from s)
-select round(sum((tp - pos / 2) * neg) / (sum(pos) * sum(neg)), 6) as roc_auc, round(sum(tp / (tp + fp) * pos) / sum(pos), 6) as average_precision, cast(sum(pos) as bigint) as n_pos, cast(sum(neg) as bigint) as n_neg from k""")
+select round(sum((tp - pos / 2) * neg) / (sum(pos) * sum(neg)), 6) as roc_auc, round(sum(tp / (tp + fp) * pos) / sum(pos), 6) as average_precision,
+  round(sum((tp / (tp + fp) + case when tp - pos + fp - neg > 0 then (tp - pos) / (tp - pos + fp - neg) else 1 end) / 2 * pos) / sum(pos), 6) as pr_auc, cast(sum(pos) as bigint) as n_pos, cast(sum(neg) as bigint) as n_neg from k""")
 def roc_pr_auc(spark: SparkSession, folder: str) -> DataFrame:
     return learning.auc(scores(spark, folder).withColumn("score", F.round("score", 4)), "label", "score")
 
 
+@query(f"""{LABELLED}, s as (select round(score, 4) as score, sum(label) as pos, sum(1 - label) as neg from ok group by 1), k as (select *, sum(pos) over (order by score desc) as tp, sum(neg) over (order by score desc) as fp from s)
+select score, round(fp / (select sum(neg) from s), 6) as fpr, round(tp / (select sum(pos) from s), 6) as tpr, round(tp / (tp + fp), 6) as precision from k""")
+def roc_pr_curves(spark: SparkSession, folder: str) -> DataFrame:
+    return learning.curves(scores(spark, folder).withColumn("score", F.round("score", 4)), "label", "score")
+
+
 @query("select sum(quality) as positives, sum(1 - quality) as negatives, round(sum(1 - quality) / greatest(sum(quality), 1), 6) as weight from labels")
 def class_balance(spark: SparkSession, folder: str) -> DataFrame:
     return learning.class_balance(market.table(spark, folder, "labels"), "quality")
@@ -465,26 +477,46 @@ def book_features(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("symbol", "seq", "spread", "vol_10", "voi_10", "vol_50", "voi_50", "vol_100", "voi_100", "time_sin", "time_cos")
 
 
-@query()
+@query(f"""with {STATES}, live as (select s.symbol, s.seq, b.side, b.price, b.size, row_number() over (partition by s.symbol, s.seq, b.side order by case when b.side = 'bid' then -b.price else b.price end) as rank
+    from bs s join ep e on e.symbol = s.symbol and e.seq = s.seq join lv b on b.symbol = s.symbol and b.epoch = e.epoch and b.seq <= s.seq and s.seq < b.until and (b.size <> 0 or b.snap)),
+held as (select s.symbol, s.seq, d.side, d.sign, count(l.price) as n, coalesce(case when d.side = 'bid' then min(l.price) else max(l.price) end, coalesce(any_value(case when d.side = 'bid' then best_ask else best_bid end), 1000) + d.sign * 0.01) as edge
+    from bs s cross join (values ('bid', -1), ('ask', 1)) d(side, sign) left join (select * from live where rank <= 10) l on l.symbol = s.symbol and l.seq = s.seq and l.side = d.side group by 1, 2, 3, 4)
+select symbol, seq, side, cast(rank as int) as rank, round(price, 6) as price, size from live where rank <= 10
+union all select symbol, seq, side, cast(n + k as int), round(edge + sign * 0.01 * k, 6), 0 from held, (select unnest(range(1, 11)) as k) where n + k <= 10""")
 def book_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return book.states(messages(spark, folder), 10).select("symbol", "seq", "bids", "asks")
+    tops = book.states(messages(spark, folder), 10)
+    sides = [tops.select("symbol", "seq", F.lit(s[:-1]).alias("side"), F.posexplode(s).alias("rank", "l")) for s in ("bids", "asks")]
+    return sides[0].unionByName(sides[1]).select("symbol", "seq", "side", (F.col("rank") + 1).alias("rank"), "l.price", "l.size")
+
+
+def _order_flow(k: int) -> str:
+    span = f"t.us >= a.us - {k * 100_000} and t.us <= a.us"
+    return f"coalesce((sum(quantity) filter (not is_buyer_maker and {span}) - sum(quantity) filter (is_buyer_maker and {span})) / nullif(sum(quantity) filter ({span}), 0), case when sum(quantity) filter ({span}) > 0 then 2 * cast(bool_or(not is_buyer_maker) filter ({span}) as int) - 1 else 0 end)"
+
 
+#: Lookbacks of the order flow, in tenths of a second: the tables' ticks are sparse.
+FLOWS = (36_000, 216_000)
 
-def stepped(spark: SparkSession, folder: str) -> DataFrame:
-    """Book states of each symbol and day as an episode, with actions in turn."""
-    s = book.states(messages(spark, folder))
-    number = F.pmod(F.xxhash64("symbol"), F.lit(1000)) * 100_000 + F.floor(F.col("us") / 86_400_000_000)
-    return s.select(number.cast("long").alias("episode"), "seq", "us", "best_bid", "best_ask", "mid", (F.col("seq") % 11).cast("int").alias("action"))
+
+@query(f"""with {TICKS}, a as (select event_type as symbol, event_id as seq, epoch_us(ts) as us from events)
+select a.symbol, a.seq, {", ".join(f"round({_order_flow(k)}, 6) as ofi_{k}" for k in FLOWS)} from a left join ticks t on t.symbol = a.symbol and t.us <= a.us and t.us >= a.us - {max(FLOWS) * 100_000} group by 1, 2""")
+def order_flow(spark: SparkSession, folder: str) -> DataFrame:
+    """Imbalance of the trades of the last hour and six hours at every message."""
+    rows = messages(spark, folder).select("symbol", "seq", "us", F.lit(1.0).alias("mid"), F.lit(0.0).alias("imbalance"), F.lit(0.0).alias("spread"))
+    return book.market_features(rows, FLOWS, market.ticks(spark, folder)).select("symbol", "seq", *(f"ofi_{k}" for k in FLOWS))
 
 
 @query()
-def market_making(spark: SparkSession, folder: str) -> DataFrame:
-    return simulate.episodes(stepped(spark, folder))
+def state_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = book.market_features(book.states(messages(spark, folder), 10))
+    return book.state_vector(rows).select("symbol", "seq", "vector")
 
 
 @query()
-def episode_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return simulate.episode_metrics(simulate.episodes(stepped(spark, folder)))
+def state_histories(spark: SparkSession, folder: str) -> DataFrame:
+    """The last 20 pairs of mid and imbalance after each message."""
+    rows = book.states(messages(spark, folder)).withColumn("pair", F.array(F.coalesce("mid", F.lit(0.0)), F.col("imbalance")))
+    return book.history(rows, ["symbol"], ["seq"], "pair").select("symbol", "seq", "history")
 
 
 ADVANTAGES = f"""with recursive {TICKS}, s as (select symbol, trade_id as step, price / 100 as reward, quantity / 100 as value, trade_id % 97 = 0 as done, row_number() over (partition by symbol order by trade_id desc) as k,
@@ -498,7 +530,7 @@ select symbol, step, round(advantage, 6) as advantage, round(advantage + value,
 def advantage_estimates(spark: SparkSession, folder: str) -> DataFrame:
     """Each symbol's ticks are one path."""
     steps = market.ticks(spark, folder).select("symbol", F.col("trade_id").alias("step"), (F.col("price") / 100).alias("reward"), (F.col("quantity") / 100).alias("value"), (F.col("trade_id") % 97 == 0).alias("done"))
-    return simulate.advantages(steps, ["symbol"], "step").select("symbol", "step", "advantage", "target", "advantage_norm")
+    return paths.advantages(steps, ["symbol"], "step").select("symbol", "step", "advantage", "target", "advantage_norm")
 
 
 @query(f"""with {STATES}, f as (select symbol, seq, case when seq % 2 = 0 then 'buy' else 'sell' end as side, mid as price, lead(mid, 9) over (partition by symbol order by seq) as later from bk)
@@ -539,11 +571,46 @@ def conditional_kelly(spark: SparkSession, folder: str) -> DataFrame:
     return research.conditional_kelly(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret").select("symbol", "bucket", "m", "kelly", "kelly_approx")
 
 
-@query()
+def residual_sql(name: str, source: str, columns: list[str]) -> str:
+    """CTEs that end in ``name`` (symbol, n, rss): the squares of the last column left by the others and a constant."""
+    k = len(columns) - 1
+    at = lambda i, j: f"s{min(i, j)}_{max(i, j)}"
+    cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    steps = [f"{name}0 as (select symbol, count(*) as n, {', '.join(f'covar_pop({columns[i]}, {columns[j]}) * count(*) as {at(i, j)}' for i, j in cells)} from {source} group by 1)"]
+    for p in range(k):
+        left = [(i, j) for i, j in cells if i > p]
+        steps.append(f"{name}{p + 1} as (select symbol, n, {', '.join(f'{at(i, j)} - {at(p, i)} * {at(p, j)} / {at(p, p)} as {at(i, j)}' for i, j in left)} from {name}{p})")
+    return ", ".join(steps) + f", {name} as (select symbol, n, {at(k, k)} as rss from {name}{k})"
+
+
+@query(f"""{RETURNS}, lg as (select symbol, ret, lag(ret) over w as y1, lag(ret, 2) over w as y2, lag(volume) over w as x1, lag(volume, 2) over w as x2 from rt window w as (partition by symbol order by bucket)),
+gr as (select * from lg where y2 is not null and x2 is not null), {residual_sql("few", "gr", ["y1", "y2", "ret"])}, {residual_sql("full_", "gr", ["y1", "y2", "x1", "x2", "ret"])}
+select symbol, few.n, round((few.rss - full_.rss) / 2 / (full_.rss / (few.n - 5)), 6) as f, 2 as df1, few.n - 5 as df2 from few join full_ using (symbol)""")
 def granger(spark: SparkSession, folder: str) -> DataFrame:
     return research.granger(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret", "volume")
 
 
+PAIRS = RETURNS + """, vr as (select symbol, ret, volume, lag(ret) over w as a0, lag(volume) over w as b0, ret - lag(ret) over w as da, volume - lag(volume) over w as db from rt window w as (partition by symbol order by bucket)),
+mo as (select symbol, count(*) as n, avg(a0) as ma, avg(b0) as mb, avg(ret) as mr, avg(volume) as mv, var_pop(a0) as aa, var_pop(b0) as bb, covar_pop(a0, b0) as ab, covar_pop(a0, ret) as ar, covar_pop(b0, ret) as br, covar_pop(a0, volume) as av, covar_pop(b0, volume) as bv,
+  var_pop(ret) as rr, var_pop(volume) as vv, var_pop(da) as d00, covar_pop(da, db) as d01, var_pop(db) as d11, covar_pop(da, a0) as c00, covar_pop(da, b0) as c01, covar_pop(db, a0) as c10, covar_pop(db, b0) as c11 from vr where a0 is not null group by 1)"""
+
+
+@query(f"""{PAIRS}, co as (select *, aa * bb - ab * ab as det, (ar * bb - br * ab) / (aa * bb - ab * ab) as a_a, (br * aa - ar * ab) / (aa * bb - ab * ab) as a_b, (av * bb - bv * ab) / (aa * bb - ab * ab) as b_a, (bv * aa - av * ab) / (aa * bb - ab * ab) as b_b from mo)
+select symbol, n, {r("a_a", "a_b", "b_a", "b_b")}, round(mr - a_a * ma - a_b * mb, 6) as a_const, round(mv - b_a * ma - b_b * mb, 6) as b_const, round((rr - a_a * ar - a_b * br) * n / (n - 3), 6) as a_variance, round((vv - b_a * av - b_b * bv) * n / (n - 3), 6) as b_variance from co""")
+def vector_regression(spark: SparkSession, folder: str) -> DataFrame:
+    return research.vector_regression(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret", "volume")
+
+
+@query(f"""{PAIRS}, inv as (select *, d11 / (d00 * d11 - d01 * d01) as i00, -d01 / (d00 * d11 - d01 * d01) as i01, d00 / (d00 * d11 - d01 * d01) as i11, bb / (aa * bb - ab * ab) as k00, -ab / (aa * bb - ab * ab) as k01, aa / (aa * bb - ab * ab) as k11 from mo),
+q as (select *, c00 * i00 * c00 + 2 * c00 * i01 * c10 + c10 * i11 * c10 as q00, c00 * i00 * c01 + c00 * i01 * c11 + c10 * i01 * c01 + c10 * i11 * c11 as q01, c01 * i00 * c01 + 2 * c01 * i01 * c11 + c11 * i11 * c11 as q11 from inv),
+ms as (select symbol, n, k00 * q00 + k01 * q01 as m00, k00 * q01 + k01 * q11 as m01, k01 * q00 + k11 * q01 as m10, k01 * q01 + k11 * q11 as m11 from q),
+la as (select symbol, n, (m00 + m11) / 2 + sqrt((m00 + m11) ** 2 / 4 - (m00 * m11 - m01 * m10)) as lambda1, (m00 + m11) / 2 - sqrt((m00 + m11) ** 2 / 4 - (m00 * m11 - m01 * m10)) as lambda2 from ms)
+select symbol, n, {r("lambda1", "lambda2")}, round(-n * (ln(1 - lambda1) + ln(1 - lambda2)), 4) as trace_none, round(-n * ln(1 - lambda2), 4) as trace_one from la""")
+def johansen(spark: SparkSession, folder: str) -> DataFrame:
+    out = research.johansen(bar_returns(spark, folder), ["symbol"], ["bucket"], "ret", "volume")
+    return out.withColumns({c: F.round(c, 4) for c in ("trace_none", "trace_one")})
+
+
 @query(f"""{RETURNS}, d as (select symbol, close - lag(close) over w as d, lag(close) over w as b from rt window w as (partition by symbol order by bucket)),
 u as (select symbol, count(*) as n, regr_slope(d, b) as slope, regr_sxx(d, b) as sxx, regr_syy(d, b) as syy, regr_sxy(d, b) as sxy from d where b is not null group by 1)
 select symbol, n, round(slope, 6) as slope, round(slope / sqrt((syy - slope * sxy) / (n - 2) / sxx), 6) as t from u""")
@@ -607,9 +674,89 @@ def repriced_trades(spark: SparkSession, folder: str) -> DataFrame:
     return research.repriced(backtest.trades(positioned(spark, folder)), 15).select("symbol", "trade_id", "pnl_net")
 
 
-@query(f"""{SIZED} select symbol, us, round(avg(ret_net) over (partition by symbol) * 98280 / (case when count(ret_net) over (partition by symbol order by us rows 29 preceding) >= 30 then nullif(stddev_samp(ret_net) over (partition by symbol order by us rows 29 preceding), 0) * sqrt(98280) end), 5) as rolling_sharpe from eq""", digits=5)
+@query(f"""{SIZED}, ws as (select *, coalesce(ret_net, 0) as r0, count(*) over (partition by symbol) as n, row_number() over (partition by symbol order by us) as k from eq),
+z as (select *, greatest(least(n // 5, 390), 10) as size, avg(r0) over (partition by symbol) as mean from ws),
+rd as (select a.symbol, a.us, any_value(a.mean) as mean, case when any_value(a.n) > any_value(a.size) and any_value(a.k) >= any_value(a.size) then stddev_samp(b.r0) end as sd from z a join z b on b.symbol = a.symbol and b.k > a.k - a.size and b.k <= a.k group by 1, 2)
+select symbol, us, round(mean * 98280 / (nullif(sd, 0) * sqrt(98280)), 5) as rolling_sharpe from rd""", digits=5)
 def rolling_sharpe(spark: SparkSession, folder: str) -> DataFrame:
-    return backtest.rolling_sharpe(equity(spark, folder), 30).select("symbol", "us", "rolling_sharpe")
+    return backtest.rolling_sharpe(equity(spark, folder)).select("symbol", "us", "rolling_sharpe")
+
+
+@query(f"""{SIZED} select symbol, us, round(close / arg_min(close, us) over (partition by symbol), 6) as benchmark from eq""")
+def benchmark_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return backtest.benchmark(as_bars(bars(spark, folder))).select("symbol", "us", "benchmark")
+
+
+@query(f"""{TRADES}, ct as (select symbol, trade_id, sum(100 * (exit_price / entry_price - 1)) over (partition by symbol order by trade_id) as cum_pnl from tr where exit_us is not null)
+select symbol, trade_id, round(cum_pnl, 6) as cum_pnl, round(coalesce(lag(cum_pnl) over (partition by symbol order by trade_id), 0), 6) as before from ct""")
+def cumulative_trades(spark: SparkSession, folder: str) -> DataFrame:
+    return backtest.cumulative_trades(backtest.trades(positioned(spark, folder))).select("symbol", "trade_id", "cum_pnl", "before")
+
+
+@query(f"""{TRADES}, wl as (select symbol, exit_price / entry_price - 1 as p from tr where exit_us is not null)
+select symbol, count(*) filter (p > 0) as wins, count(*) filter (p <= 0) as losses, round(max(p), 6) as largest_win, round(min(p), 6) as largest_loss, round(count(*) filter (p > 0) / count(*), 6) as win_share, round(count(*) filter (p <= 0) / count(*), 6) as loss_share from wl group by 1""")
+def win_loss(spark: SparkSession, folder: str) -> DataFrame:
+    return backtest.win_loss(backtest.trades(positioned(spark, folder)))
+
+
+@query(f"{POSITIONS}, sc as (select symbol, pos - lag(pos) over (partition by symbol order by us) as d from pos) select symbol, count(*) filter (d > 0) as entries, count(*) filter (d < 0) as exits from sc group by 1")
+def signal_changes(spark: SparkSession, folder: str) -> DataFrame:
+    return backtest.signal_changes(positioned(spark, folder))
+
+
+@query(f"""{RETURNS}, late as (select symbol, bucket, bucket + case when bucket // {HOUR * US} % 7 = 0 then {HOUR * US} else 0 end as seen from rt) select symbol, bucket, seen from late where seen > bucket""")
+def lookahead(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions at a bar's beginning with data of which every seventh bar's came an hour later."""
+    rows = bar_returns(spark, folder).withColumn("seen", F.col("bucket") + F.when(F.floor(F.col("bucket") / (HOUR * US)) % 7 == 0, HOUR * US).otherwise(0))
+    return research.lookahead(rows, "seen", "bucket").select("symbol", "bucket", "seen")
+
+
+def _figure(c: str) -> str:
+    return f"select '{c}' as name, count({c}) as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as sd, round(min({c}), 6) as low, round(max({c}), 6) as high from bars"
+
+
+@query(f"with {TICKS}, {bars_sql()} {' union all '.join(map(_figure, ('open', 'high', 'low', 'close', 'volume')))}")
+def described(spark: SparkSession, folder: str) -> DataFrame:
+    return candles.described(bars(spark, folder), ["open", "high", "low", "close", "volume"]).drop("q25", "q50", "q75")
+
+
+#: A day of a symbol's signal backtest as one episode.
+EPISODES = BACKTEST + f""",
+ep as (select symbol, bucket // {24 * HOUR * US} as day, bucket, sum(pnl) over (partition by symbol, bucket // {24 * HOUR * US} order by bucket) as path from bt),
+df as (select *, path - lag(path) over (partition by symbol, day order by bucket) as d, max(path) over (partition by symbol, day order by bucket) - path as dd from ep),
+fg as (select symbol, day, arg_max(path, bucket) as final_pnl, case when count(d) < 1 or stddev_pop(d) = 0 then 0 else avg(d) / stddev_pop(d) * sqrt(362880) end as sharpe,
+  case when count(d) < 1 then 0 when coalesce(stddev_pop(d) filter (d < 0), 0) = 0 then 10 else avg(d) / stddev_pop(d) filter (d < 0) * sqrt(362880) end as sortino, max(dd) as max_drawdown from df group by 1, 2)"""
+FIGURES = ["final_pnl", "sharpe", "sortino", "max_drawdown"]
+
+
+def episodes(spark: SparkSession, folder: str) -> DataFrame:
+    day = F.floor(F.col("bucket") / (24 * HOUR * US))
+    rows = backtested(spark, folder).withColumn("day", day)
+    rows = rows.withColumn("path", F.sum("pnl").over(series.ordered(["symbol", "day"], ["bucket"])))
+    return paths.path_figures(rows, ["symbol", "day"], "bucket", "path", 24 * HOUR * US)
+
+
+@query(f"{EPISODES} select symbol, day, {r('final_pnl', 'max_drawdown')}, round(sharpe, 4) as sharpe, round(sortino, 4) as sortino from fg", digits=6)
+def path_figures(spark: SparkSession, folder: str) -> DataFrame:
+    return episodes(spark, folder).withColumns({c: F.round(c, 4) for c in ("sharpe", "sortino")})
+
+
+@query(f"{EPISODES} select count(*) as n, {', '.join(f'round(avg({c}), 4) as {c}' for c in FIGURES)} from fg", digits=4)
+def episode_means(spark: SparkSession, folder: str) -> DataFrame:
+    return paths.means(episodes(spark, folder), FIGURES)
+
+
+@query(f"{EPISODES} select symbol, day, {', '.join(f'round(avg({c}) over (partition by symbol order by day rows 49 preceding), 4) as {c}_mean' for c in FIGURES)} from fg", digits=4)
+def episode_rolling_means(spark: SparkSession, folder: str) -> DataFrame:
+    return paths.rolling_means(episodes(spark, folder), ["symbol"], "day", FIGURES).select("symbol", "day", *(f"{c}_mean" for c in FIGURES))
+
+
+@query(f"""with {TICKS} select symbol, round(coalesce(sum(price * quantity) filter (is_buyer_maker), 0), 4) as maker_volume, round(coalesce(sum(price * quantity) filter (not is_buyer_maker), 0), 4) as taker_volume, count(*) as n_fills,
+  round(sum(price * quantity * case when is_buyer_maker then -0.0002 else 0.0007 end), 6) as fees, round(coalesce(sum(price * quantity) filter (is_buyer_maker) / sum(price * quantity), 0), 6) as maker_ratio, round(avg(case when price > 50 then 1.0 else 0 end), 6) as adverse_ratio, round(avg(price - 50), 6) as mean_adverse_cost from ticks group by 1""")
+def fill_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """The ticks as fills whose cost is the price above 50."""
+    fills = market.ticks(spark, folder).select("symbol", "price", F.col("quantity").alias("size"), (F.col("price") * F.col("quantity") * F.when(F.col("is_buyer_maker"), -0.0002).otherwise(0.0007)).alias("fee"), F.col("is_buyer_maker").alias("is_maker"), (F.col("price") - 50).alias("cost"))
+    return paths.fill_figures(fills, ["symbol"]).withColumns({c: F.round(c, 4) for c in ("maker_volume", "taker_volume")})
 
 
 @query(f"with {TICKS}, {bars_sql()} select symbol, bucket, {r('open', 'high', 'low', 'close', 'volume')}, tick_count from bars")
