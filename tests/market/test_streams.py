@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from tidemark.streaming import streams
 
 TICKS = "symbol string, ts timestamp, price double, quantity double, trade_id long"
@@ -35,7 +37,42 @@ def test_sessions_and_alerts(spark, tmp_path):
     assert [r["reason"] for r in got] == ["range"]
 
 
-def test_books_keep_their_state_between_batches(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get(streams.ROCKS[0])
+    spark.conf.set(*streams.ROCKS)
+    yield
+    spark.conf.set(streams.ROCKS[0], before)
+
+
+def test_a_bounded_list_of_recent_values(spark, tmp_path, rocks):
+    batches = [[("x", 1, 1.0), ("x", 2, 3.0)], [("x", 3, 5.0)], [("x", 4, 1.0), ("y", 5, 2.0)]]
+    got = run(streams.recent(feed(spark, str(tmp_path / "in"), batches, "symbol string, seq long, value double"), "value", 2), "recent", tmp_path)
+    assert sorted((r["seq"], r["n"], r["mean"]) for r in got) == [(1, 1, 1.0), (2, 2, 2.0), (3, 2, 4.0), (4, 2, 3.0), (5, 1, 2.0)]
+
+
+def test_one_model_across_restarts(spark, tmp_path):
+    from tidemark.operators import learning
+
+    rows = [[("x", at(i), float(i % 7), float(i), i) for i in range(k * 40, k * 40 + 40)] for k in range(4)]
+    stream = feed(spark, str(tmp_path / "in"), rows, TICKS)
+    fits = []
+
+    def fit(df):
+        fits.append(df.count())
+        return learning.boosted_trees(df.withColumn("label", (df["price"] > 3).cast("int")), ["price"], rounds=2)
+
+    for _ in range(2):  # the second run starts anew over the same batches with another object
+        step = streams.TrainThenScore(fit, lambda m, df: learning.scored(m, df), str(tmp_path / "store"), str(tmp_path / "out"), 60)
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / f"log{len(fits)}")).trigger(availableNow=True).start().awaitTermination()
+    assert fits == [80] and spark.read.parquet(str(tmp_path / "out")).count() == 160
+    rest = streams.TrainThenScore(fit, lambda m, df: learning.scored(m, df), str(tmp_path / "store2"), str(tmp_path / "out2"), 1000)
+    stream.writeStream.foreachBatch(rest).option("checkpointLocation", str(tmp_path / "log-rest")).trigger(availableNow=True).start().awaitTermination()
+    rest.finish(spark)
+    assert fits == [80, 160] and spark.read.parquet(str(tmp_path / "out2")).count() == 160
+
+
+def test_books_keep_their_state_between_batches(spark, tmp_path, rocks):
     side = "array<struct<price: double, size: double>>"
     schema = f"symbol string, seq long, us long, type string, bids {side}, asks {side}"
     batches = [[("x", 1, 1, "snapshot", [(9.0, 1.0)], [(11.0, 1.0)])], [("x", 2, 2, "delta", [(10.0, 1.0)], [])], [("x", 3, 3, "delta", [(10.0, 0.0)], [(10.5, 2.0)])]]
@@ -49,11 +86,3 @@ def test_statistics_by_batch(spark, tmp_path):
     stream.writeStream.foreachBatch(streams.stats_by_batch(str(tmp_path / "stats"), ["symbol"], "price")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(str(tmp_path / "stats/v3")).first()
     assert (last["n"], last["mean"]) == (4, 1.5) and abs(last["sd"] - 1.2909944) < 1e-6
-
-
-def test_training_waits_for_enough_rows(spark, tmp_path):
-    batches = [[("x", at(i), float(i), 1.0, i)] for i in range(4)]
-    step = streams.train_then_score(lambda df: df.count(), lambda model, df: df.selectExpr("trade_id", f"{model} as rows_seen"), str(tmp_path / "store"), str(tmp_path / "out"), 2)
-    feed(spark, str(tmp_path / "in"), batches, TICKS).writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert len(got) == 3 and {r["rows_seen"] for r in got} == {2}

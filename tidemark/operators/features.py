@@ -136,3 +136,23 @@ def split_by_time(df: DataFrame, keys: list[str], order: list[str], shares: dict
         cases.append((F.floor(total * limit), name))
     part = reduce(lambda c, x: c.when(place <= x[0], F.lit(x[1])), cases[1:], F.when(place <= cases[0][0], F.lit(cases[0][1]))).otherwise(names[-1])
     return df.withColumn("part", part)
+
+
+def _share(key: str, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the key and the seed alone."""
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def sampled(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
+    """About a ``fraction`` of the rows, the same whatever the partitions."""
+    return df.where(_share(key, seed) < fraction)
+
+
+def split_at_random(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """Adds part: shares of the rows at random (they cumulate, the last takes the rest), the same whatever the partitions."""
+    names, limit, part = list(shares), 0.0, None
+    for name in names[:-1]:
+        limit += shares[name]
+        part = F.when(F.col("_share") < limit, name) if part is None else part.when(F.col("_share") < limit, name)
+    return df.withColumn("_share", _share(key, seed)).withColumn("part", F.lit(names[-1]) if part is None else part.otherwise(names[-1])).drop("_share")

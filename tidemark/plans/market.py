@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import series
 from tidemark.operators import asof, backtest, book, candles, features, indicators, learning, paths, research
 from tidemark.sources import market
+from tidemark.sources.shared import shared_folder
+from tidemark.streaming import streams
 
 HOUR = 3600
 US = 1_000_000
@@ -449,8 +451,11 @@ bk as (select s.*, (best_bid + best_ask) / 2 as mid, best_ask - best_bid as spre
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
+    return as_messages(market.table(spark, folder, "events"))
+
+
+def as_messages(events: DataFrame) -> DataFrame:
     """Book messages made of the events: every fiftieth is a snapshot, the rest deltas, of one level each."""
-    events = market.table(spark, folder, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     level = F.struct(F.round("value").alias("price"), F.when(k % 10 == 0, 0).otherwise(k).cast("double").alias("size"))
     none = F.array().cast("array<struct<price: double, size: double>>")
@@ -761,17 +766,75 @@ def fill_figures(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {TICKS}, {bars_sql()} select symbol, bucket, {r('open', 'high', 'low', 'close', 'volume')}, tick_count from bars")
 def streaming_candles(spark: SparkSession, folder: str) -> DataFrame:
-    """The events read as a stream until its end; the complete table of candles is written with each micro-batch."""
-    from tidemark.sources.shared import shared_folder
-    from tidemark.streaming import streams
-
+    """The events read as a stream until its end; each micro-batch writes the candles it changed, and the last version of each counts."""
     out = shared_folder(spark, "streaming-candles")
+    stream = streams.candles(streamed_ticks(spark, folder), HOUR, "1 hour")
+    ended(stream.writeStream.outputMode("update").foreachBatch(streams.versions(f"{out}/candles")), out)
+    found = streams.newest(spark, f"{out}/candles", ["symbol", "bucket"])
+    return found.select("symbol", F.unix_micros("bucket").alias("bucket"), "open", "high", "low", "close", "volume", "tick_count")
+
+
+def streamed(spark: SparkSession, folder: str) -> DataFrame:
     schema = market.table(spark, folder, "events").schema
-    read = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+
+
+def streamed_ticks(spark: SparkSession, folder: str) -> DataFrame:
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    ticks = read.select(F.col("event_type").alias("symbol"), F.timestamp_micros(us).alias("ts"), F.col("value").alias("price"), (F.get_json_object("props", "$.k").cast("double") + 1).alias("quantity"), F.col("event_id").alias("trade_id"))
-    stream = streams.candles(ticks, HOUR, "1 hour")
-    running = stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/log").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/candles")).start()
-    running.awaitTermination()
-    found = spark.read.parquet(f"{out}/candles")
-    return found.select("symbol", F.unix_micros("bucket").alias("bucket"), "open", "high", "low", "close", "volume", "tick_count")
+    return streamed(spark, folder).select(F.col("event_type").alias("symbol"), F.timestamp_micros(us).alias("ts"), F.col("value").alias("price"), (F.get_json_object("props", "$.k").cast("double") + 1).alias("quantity"), F.col("event_id").alias("trade_id"))
+
+
+def ended(writer, out: str) -> None:
+    """Runs a stream over what is there."""
+    writer.trigger(availableNow=True).option("checkpointLocation", f"{out}/log").start().awaitTermination()
+
+
+@query(f"with {TICKS} select symbol, count(*) as n, round(avg(price), 6) as mean, round(stddev_samp(price), 6) as sd from ticks group by 1")
+def streaming_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics kept from micro-batch to micro-batch; the newest version."""
+    out = shared_folder(spark, "streaming-statistics")
+    ended(streamed_ticks(spark, folder).writeStream.foreachBatch(streams.stats_by_batch(f"{out}/stats", ["symbol"], "price")), out)
+    last = max(k for k in range(1000) if market.exists(spark, f"{out}/stats/v{k}"))
+    return spark.read.parquet(f"{out}/stats/v{last}")
+
+
+@query(f"""with {TICKS}, g as (select *, us - lag(us) over (partition by symbol order by us) as gap from ticks), s as (select *, sum(case when gap < {2 * HOUR * US} then 0 else 1 end) over (partition by symbol order by us rows unbounded preceding) as k from g)
+select symbol, min(us) as begin_us, max(us) + {2 * HOUR * US} as end_us, count(*) as n, round(sum(quantity), 6) as volume from s group by symbol, k""")
+def streaming_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of ticks less than two hours apart."""
+    out = shared_folder(spark, "streaming-sessions")
+    stream = streams.sessions(streamed_ticks(spark, folder), "2 hours", "1 hour")
+    ended(stream.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/sessions")), out)
+    return spark.read.parquet(f"{out}/sessions").select("symbol", F.unix_micros("begin").alias("begin_us"), F.unix_micros("end").alias("end_us"), "n", "volume")
+
+
+@query(f"with {STATES} select symbol, seq, us, {r('best_bid', 'best_ask', 'mid', 'bid_depth', 'ask_depth')} from bk")
+def streaming_books(spark: SparkSession, folder: str) -> DataFrame:
+    """Book states from a stream of messages, with the levels as map state."""
+    out, before = shared_folder(spark, "streaming-books"), spark.conf.get(streams.ROCKS[0])
+    spark.conf.set(*streams.ROCKS)
+    try:
+        ended(streams.books(as_messages(streamed(spark, folder))).writeStream.foreachBatch(streams.versions(f"{out}/books")), out)
+    finally:
+        spark.conf.set(streams.ROCKS[0], before)
+    return spark.read.parquet(f"{out}/books").drop("batch")
+
+
+@query(f"""with {TICKS}, {bars_sql()}, t as (select trade_id, symbol, us, us - {HOUR * US} as seen from ticks)
+select trade_id, t.symbol, round(close, 6) as last_close from t asof left join bars on bars.symbol = t.symbol and bars.bucket <= t.seen""")
+def point_in_time(spark: SparkSession, folder: str) -> DataFrame:
+    """Each tick with the close of the last bar that had ended by then."""
+    rows = market.ticks(spark, folder).select("trade_id", "symbol", (F.col("us") - HOUR * US).alias("us"))
+    stored = bars(spark, folder).select("symbol", F.col("bucket").alias("us"), "close", F.col("bucket").alias("tie"))
+    return asof.backward(rows, stored, ["symbol"], "us", "close", "tie", "last_close").select("trade_id", "symbol", "last_close")
+
+
+@query("select event_id, case when cast('0x' || substr(md5(event_id || '|42'), 1, 8) as bigint) / 4294967296 < 0.6 then 'train' when cast('0x' || substr(md5(event_id || '|42'), 1, 8) as bigint) / 4294967296 < 0.8 then 'valid' else 'test' end as part from events")
+def random_split(spark: SparkSession, folder: str) -> DataFrame:
+    return features.split_at_random(market.table(spark, folder, "events"), "event_id", {"train": 0.6, "valid": 0.2, "test": 0.2}).select("event_id", "part")
+
+
+@query("select user_id, count(*) as n, round(sum(value), 4) as total from events group by 1 order by n desc, user_id limit 20", digits=4)
+def top_users(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty most active users: a top-k report."""
+    return market.table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).orderBy(F.desc("n"), "user_id").limit(20)

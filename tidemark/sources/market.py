@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,17 +39,40 @@ def read_spot_trades(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("timestamp", micros).withColumn("datetime", F.timestamp_micros("timestamp")).dropna(subset=["datetime"]).withColumns({"is_buyer_maker": flag(F.col("is_buyer_maker")), "is_best_match": flag(F.col("is_best_match")), "hour": F.date_format("datetime", "yyyyMMdd_HH")})
 
 
-def write_hours(trades: DataFrame, path: str) -> None:
-    """Parquet partitioned by hour; the rows of an hour are gathered first, so that it has few files, and a long hour several."""
-    trades.repartition("hour").write.partitionBy("hour").option("compression", "snappy").option("maxRecordsPerFile", 5_000_000).mode("overwrite").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def write_hours(trades: DataFrame, path: str, file_rows: int = 5_000_000) -> None:
+    """Parquet partitioned by hour, with first and last time and rows of every hour in <path>_manifest.
+
+    An hour's rows are dealt to as many tasks as it has files, so a long hour is no single task's work."""
+    manifest = hour_ranges(trades).withColumn("files", F.ceil(F.col("n_rows") / file_rows))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}_manifest")  # a row an hour
+    files = trades.sparkSession.read.json(f"{path}_manifest").select("hour", "files")
+    dealt = trades.join(F.broadcast(files), "hour").withColumn("salt", F.pmod(F.xxhash64("timestamp", "trade_id"), F.col("files")))
+    dealt.repartition("hour", "salt").drop("files", "salt").write.partitionBy("hour").option("compression", "snappy").option("maxRecordsPerFile", file_rows).mode("overwrite").parquet(path)
 
 
 def load_trades(spark: SparkSession, csv_path: str) -> DataFrame:
-    """Trades from ``<csv_path>_parquet``, which is written from the CSV the first time."""
+    """Trades from ``<csv_path>_parquet``, which is written from the CSV the first time.
+
+    A table without a manifest, or with other rows an hour than its manifest says, is set aside as <path>_backup_<n> and written anew."""
     target = f"{csv_path}_parquet"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        write_hours(read_spot_trades(spark, csv_path), target)
+    if exists(spark, target):
+        if exists(spark, f"{target}/_SUCCESS") and exists(spark, f"{target}_manifest/_SUCCESS"):
+            found = spark.read.parquet(target)
+            told = spark.read.json(f"{target}_manifest").select("hour", "n_rows")
+            counted = found.groupBy(F.col("hour").cast("string").alias("hour")).agg(F.count("*").alias("n"))
+            if not counted.join(told, "hour", "full_outer").where(~F.col("n").eqNullSafe(F.col("n_rows"))).limit(1).count():
+                return found
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        store = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        number = next(k for k in range(1, 10_000) if not exists(spark, f"{target}_backup_{k}"))
+        store.rename(hadoop(target), hadoop(f"{target}_backup_{number}"))
+    write_hours(read_spot_trades(spark, csv_path), target)
     return spark.read.parquet(target)
 
 
@@ -70,38 +95,68 @@ def valid_messages(messages: DataFrame) -> DataFrame:
     return messages.where("type in ('snapshot', 'delta') and ts is not null and ts <> 0 and data is not null and (data.b is not null or data.a is not null)")
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """A feature table in Parquet or CSV, by its ending."""
+def read_features(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A feature table in Parquet or CSV, by its ending. A CSV without a schema is read twice, once to find its types."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".csv"):
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        reader = spark.read.option("header", True)
+        return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     raise ValueError(f"neither .parquet nor .csv: {path}")
 
 
+def require(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``df``, or an error that names the columns it lacks."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing column: {', '.join(missing)}")
+    return df
+
+
 def price_columns(df: DataFrame) -> DataFrame:
-    """Columns renamed to Open, High, Low, Close, Volume by their usual names; an error names those missing."""
-    names = {}
+    """Columns renamed to Open, High, Low, Close, Volume: by their usual names, else by the first level of a header of several (``Close_SPY``,
+    ``('Close', 'SPY')``), else capitalised, else by their places where there are just five columns of numbers. An error names those missing."""
+    names: dict[str, str] = {}
+    first_level = {c: re.split(r"[^A-Za-z ]+", c.strip("(' \""))[0].strip() for c in df.columns}
     for wanted, others in PRICE_NAMES.items():
         found = next((o for o in (wanted, *others) if o in df.columns), None)
-        if found is None:
-            raise ValueError(f"missing column: {wanted}")
-        names[found] = wanted
-    return df.withColumnsRenamed(names).dropna(subset=list(PRICE_NAMES))
+        found = found or next((c for c, level in first_level.items() if level in (wanted, *others)), None)
+        found = found or next((c for c in df.columns if c.capitalize() == wanted), None)
+        if found:
+            names[found] = wanted
+    numbers = [c for c, t in df.dtypes if t in ("double", "float", "bigint", "int")]
+    if not names and len(numbers) == len(PRICE_NAMES):
+        names = dict(zip(numbers, PRICE_NAMES, strict=True))
+    return require(df.withColumnsRenamed(names), PRICE_NAMES).dropna(subset=list(PRICE_NAMES))
+
+
+def load_bars(spark: SparkSession, path: str, least: int = 100) -> DataFrame:
+    """Bars of a file with usual price columns, rows with gaps dropped; an error where fewer than ``least`` are left."""
+    bars = price_columns(read_features(spark, path))
+    if bars.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} bars: {path}")
+    return bars
+
+
+def first_lines(spark: SparkSession, path: str, size: int = 5 << 20) -> DataFrame:
+    """The whole lines (value) within a text file's first ``size`` bytes, for a sample file; they are at most ``size`` rows."""
+    lines = spark.read.text(path).limit(size).withColumn("_id", F.monotonically_increasing_id())
+    so_far = F.sum(F.octet_length("value") + 1).over(Window.orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("_end", so_far).where(F.col("_end") <= size).select("value")
 
 
 def random_ticks(spark: SparkSession, n: int, start: str = "2024-06-05 04:30:00", seed: int = 42, price: tuple[float, float] = (70000.0, 100.0), quantity: tuple[float, float] = (0.1, 0.2)) -> DataFrame:
-    """n ticks at random times of ten minutes, normal prices and sizes with floors, makers alternating."""
+    """n ticks at random times of ten minutes, normal prices and sizes with floors, makers alternating, by time."""
     return spark.range(n).select(
         F.lit("BTC").alias("symbol"), F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + (F.rand(seed) * 600_000_000).cast("long")).alias("ts"),
         F.greatest(F.randn(seed + 1) * price[1] + price[0], F.lit(0.01)).alias("price"), F.greatest(F.randn(seed + 2) * quantity[1] + quantity[0], F.lit(1e-5)).alias("quantity"),
         F.col("id").alias("trade_id"), (F.col("id") % 2 == 0).alias("is_buyer_maker"),
-    )
+    ).orderBy("ts", "trade_id")
 
 
 def from_random_start(messages: DataFrame, order: str, seed: int = 0, share: float = 0.8) -> DataFrame:
     """The messages from a random place in the first ``share`` of the order."""
-    place = messages.agg(F.floor(F.rand(seed) * share * F.max(order)).alias("start"))
+    place = messages.agg((F.min(order) + F.floor(F.rand(seed) * share * (F.max(order) - F.min(order)))).alias("start"))
     return messages.join(F.broadcast(place), F.col(order) >= F.col("start")).drop("start")
 
 
@@ -130,9 +185,16 @@ def write_candles(candles: DataFrame, path: str, zone: str = "UTC") -> None:
 
 
 def write_months(features: DataFrame, path: str, time: str = "timestamp") -> None:
-    """A feature table by month, doubles stored as floats."""
+    """A feature table by month, doubles stored as floats; beside it <path>_metadata (rows, first and last time, columns) and <path>_described
+    (count, mean, deviation, extremes and quartiles of each column of numbers)."""
+    from tidemark.operators.candles import described
+
     narrow = features.select(*(F.col(c).cast("float").alias(c) if t == "double" else F.col(c) for c, t in features.dtypes))
     narrow.withColumn("month", F.date_format(time, "yyyyMM")).write.mode("overwrite").partitionBy("month").parquet(path)
+    stored = features.sparkSession.read.parquet(path)
+    meta = stored.agg(F.count("*").alias("n_rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time")).withColumn("columns", F.array(*map(F.lit, features.columns)))
+    meta.coalesce(1).write.mode("overwrite").json(f"{path}_metadata")
+    described(stored, [c for c, t in stored.dtypes if t in ("double", "float", "bigint", "int") and c != "month"]).coalesce(1).write.mode("overwrite").json(f"{path}_described")
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
@@ -140,6 +202,12 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_predictions(predictions: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Predictions as Parquet and their metrics as JSON, in folders of ``path``."""
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    write_metrics(metrics, f"{path}/metrics")
+
+
 def read_config(path: str, defaults: dict) -> dict:
     """A JSON file's values over the defaults."""
     with open(path, encoding="utf-8") as file:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.book import Book
 from tidemark.operators.candles import merged_stats
+from tidemark.sources.market import exists
 
 
 def candles(ticks: DataFrame, seconds: int, lateness: str) -> DataFrame:
@@ -25,6 +24,19 @@ def candles(ticks: DataFrame, seconds: int, lateness: str) -> DataFrame:
     return out.select("symbol", F.col("w.start").alias("bucket"), F.col("first.ts").alias("open_time"), F.col("last.ts").alias("close_time"), F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "volume", "tick_count")
 
 
+def versions(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for update mode: the rows that a micro-batch changed go to ``path``/batch=n; a batch that is retried
+    writes the same folder again."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last version of every row that ``versions`` wrote."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(*keys, "r.*")
+
+
 def sessions(ticks: DataFrame, gap: str, lateness: str) -> DataFrame:
     """Activity by symbol and session: runs of ticks with gaps below ``gap``."""
     return ticks.withWatermark("ts", lateness).groupBy("symbol", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("quantity").alias("volume")).select("symbol", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n", "volume")
@@ -37,23 +49,97 @@ def alerts(ticks: DataFrame, seconds: int, lateness: str, max_range: float, max_
     return c.where(wide | busy).select("symbol", "bucket", F.when(wide & busy, "range,rate").when(wide, "range").otherwise("rate").alias("reason"), "tick_count")
 
 
+class _Levels:
+    """One side of a book: its levels in memory while a micro-batch lasts, every change written to the state at once."""
+
+    def __init__(self, state, sign: int):
+        self.state, self.sign = state, sign
+        self.sizes = {k[0]: v[0] for k, v in state.iterator()}
+        self.depth = sum(self.sizes.values())
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.sizes, self.depth = {}, 0.0
+
+    def set(self, price: float, size: float, keep_zero: bool) -> None:
+        self.depth -= self.sizes.pop(price, 0.0)
+        if size or keep_zero:
+            self.sizes[price] = size
+            self.depth += size
+            self.state.updateValue((price,), (size,))
+        elif self.state.containsKey((price,)):
+            self.state.removeKey((price,))
+
+    def best(self) -> float | None:
+        return (max if self.sign > 0 else min)(self.sizes, default=None)
+
+
+class _Books(StatefulProcessor):
+    """Each symbol's levels as map state, a row a level, so that a micro-batch writes the levels it changes and no more."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.maps = [handle.getMapState(side, "price double", "size double") for side in ("bids", "asks")]
+        self.trade = handle.getValueState("trade", "price double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        sides = [_Levels(m, s) for m, s in zip(self.maps, (1, -1), strict=True)]
+        trade, out = self.trade.get()[0] if self.trade.exists() else None, []
+        for row in pd.concat(rows).sort_values("seq").itertuples(index=False):
+            if row.type == "trade":
+                levels = row.bids if len(row.bids) else row.asks
+                if len(levels):
+                    trade = float(levels[0]["price"])
+                    self.trade.update((trade,))
+            else:
+                for side, levels in zip(sides, (row.bids, row.asks), strict=True):
+                    if row.type == "snapshot":
+                        side.clear()
+                    for level in levels:
+                        side.set(float(level["price"]), float(level["size"]), row.type == "snapshot")
+            bid, ask = (s.best() for s in sides)
+            mid = (bid + ask) / 2 if bid is not None and ask is not None else trade
+            out.append((key[0], row.seq, row.us, bid, ask, mid, sides[0].depth, sides[1].depth))
+        yield pd.DataFrame(out, columns=["symbol", "seq", "us", "best_bid", "best_ask", "mid", "bid_depth", "ask_depth"])
+
+    def close(self) -> None:
+        pass
+
+
 def books(messages: DataFrame) -> DataFrame:
     """Best prices, mid and depths after each message of a stream (symbol, seq, us, type, bids, asks).
 
-    Each symbol's book is its state; a micro-batch's messages of a symbol are applied by seq. State is as large as the book."""
+    A micro-batch's messages of a symbol are applied by seq. Needs the RocksDB state store (``ROCKS``)."""
     schema = "symbol string, seq long, us long, best_bid double, best_ask double, mid double, bid_depth double, ask_depth double"
+    return messages.groupBy("symbol").transformWithStateInPandas(_Books(), schema, "Append", "None")
+
+
+#: Setting and value of the state store that books and histories need.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
-    def apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book = pickle.loads(state.get[0]) if state.exists else Book()
-        out = []
-        for frame in frames:
-            for row in frame.sort_values("seq").itertuples(index=False):
-                book.apply(row.type, row.bids, row.asks)
-                out.append((key[0], row.seq, row.us, *book.best(), book.mid(), *(float(sum(s.values())) for s in book.sides)))
-        state.update((pickle.dumps(book),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+class _Recent(StatefulProcessor):
+    def __init__(self, value: str, n: int):
+        self.value, self.n = value, n
 
-    return messages.groupBy("symbol").applyInPandasWithState(apply, schema, "book binary", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.list = handle.getListState("recent", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        frame = pd.concat(rows).sort_values("seq")
+        held = [v[0] for v in self.list.get()] if self.list.exists() else []
+        values = pd.Series([*held, *frame[self.value].astype(float)])
+        rolled = values.rolling(self.n, min_periods=1)
+        out = pd.DataFrame({"symbol": key[0], "seq": frame["seq"].to_numpy(), "n": rolled.count().to_numpy()[len(held) :].astype("int64"), "mean": rolled.mean().to_numpy()[len(held) :]})
+        self.list.put([(v,) for v in values.tail(self.n).tolist()])
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def recent(rows: DataFrame, value: str, n: int) -> DataFrame:
+    """symbol, seq, n, mean of the last ``n`` values at each row of a stream (symbol, seq, value): a bounded list as state."""
+    return rows.groupBy("symbol").transformWithStateInPandas(_Recent(value, n), "symbol string, seq long, n long, mean double", "Append", "None")
 
 
 def stats_by_batch(path: str, keys: list[str], value: str) -> Callable[[DataFrame, int], None]:
@@ -70,17 +156,36 @@ def stats_by_batch(path: str, keys: list[str], value: str) -> Callable[[DataFram
     return merge
 
 
-def train_then_score(fit: Callable[[DataFrame], object], score: Callable[[object, DataFrame], DataFrame], store: str, out: str, rows: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that stores batches until ``rows`` rows are there, fits once, and scores every batch from then on."""
-    held: dict[str, object] = {}
+class TrainThenScore:
+    """A foreachBatch function that stores batches until ``rows`` rows are there, fits once, and scores every batch from then on.
+
+    The fitted model (a pipeline model) is saved beside the batches it was fitted on; a stream that starts again loads it, so all
+    batches are scored by one model. ``finish`` fits and scores what is stored when a stream ends before, given over ``least`` rows."""
+
+    def __init__(self, fit: Callable[[DataFrame], object], score: Callable[[object, DataFrame], DataFrame], store: str, out: str, rows: int, least: int = 100):
+        self.fit, self.score, self.store, self.out, self.rows, self.least = fit, score, store, out, rows, least
+
+    def model(self, spark: SparkSession):
+        from pyspark.ml import PipelineModel
+
+        return PipelineModel.load(f"{self.store}/model") if exists(spark, f"{self.store}/model/metadata/_SUCCESS") else None
+
+    def _fitted(self, spark: SparkSession, rows: int):
+        stored = spark.read.parquet(f"{self.store}/batches").drop("batch")
+        if stored.limit(rows).count() < rows:
+            return None
+        self.fit(stored).write().overwrite().save(f"{self.store}/model")
+        return self.model(spark)
 
-    def step(batch: DataFrame, number: int) -> None:
-        if "model" not in held:
-            batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-            stored = batch.sparkSession.read.parquet(store).drop("batch")
-            if stored.count() < rows:
-                return
-            held["model"] = fit(stored)
-        score(held["model"], batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        model = self.model(spark)
+        if model is None:
+            batch.write.mode("overwrite").parquet(f"{self.store}/batches/batch={number}")
+            model = self._fitted(spark, self.rows)
+        if model is not None:
+            self.score(model, batch).write.mode("overwrite").parquet(f"{self.out}/batch={number}")
 
-    return step
+    def finish(self, spark: SparkSession) -> None:
+        if self.model(spark) is None and exists(spark, f"{self.store}/batches") and (model := self._fitted(spark, self.least + 1)):
+            self.score(model, spark.read.parquet(f"{self.store}/batches").drop("batch")).write.mode("overwrite").parquet(f"{self.out}/batch=-1")
