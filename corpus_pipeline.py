@@ -27,7 +27,7 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard at least 0.8), that with the smallest doc_id."""
+    """One document of each group of near copies (SimHash of five-word shingles, Jaccard at least 0.8), that with the smallest doc_id."""
     return nearcopies.keep_one(docs)
 
 
@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", keep_by_rules), ("quality_classifier", keep_by_classifier), ("near_dedup", keep_one_of_near_duplicates), ("packing", pack)]
+STAGES = [("quality_rules", keep_by_rules), ("quality_classifier", keep_by_classifier), ("simhash_near_dedup", keep_one_of_near_duplicates), ("packing", pack)]
 
 #: Hashing, training and the tokenizer have no form in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None

@@ -1,7 +1,7 @@
 import __spark_entry__
 import corpus_pipeline
+from test_nearcopies import plain_kept
 from test_packing import check
-from test_simhash import expected
 
 from tidemark.llm import quality_classifier, quality_rules, queries
 
@@ -26,7 +26,7 @@ def test_stages_match_plain_versions(spark, tmp_path):
             model = quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
             assert ids == {r["doc_id"] for r in quality_classifier.score(kept, model).where("predicted = 1").collect()}
         elif k == 2:
-            assert ids == {c for _, _, c in expected([(i, r["text"]) for i, r in before.items()])} and out.count() == len(ids)
+            assert ids == set(plain_kept([(i, r["text"]) for i, r in before.items()])) and out.count() == len(ids)
         else:
             check(out.collect(), {i: r["text"] for i, r in before.items()})
         kept = out
@@ -38,3 +38,11 @@ def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(names)
+
+
+def test_empty_documents(spark, tmp_path):
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").where("false" if table == "documents" else "true").write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name in ("op1_quality_classifier", "op10_toxicity"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0

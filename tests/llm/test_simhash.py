@@ -80,7 +80,7 @@ LAYOUTS = [None, [(list(range(32)), 1), (list(range(32, 64)), 0)], [(list(range(
 def test_links_in_blocks_of_any_size(spark, monkeypatch, block, layout):
     monkeypatch.setattr(simhash, "BLOCK", block)
     if layout:
-        monkeypatch.setattr(simhash, "layout", lambda sample, total: LAYOUTS[layout])
+        monkeypatch.setattr(simhash, "layout", lambda sample, total, distance=2: LAYOUTS[layout])
     rng = random.Random(block)
     fps = set()
     for _ in range(12):
@@ -110,9 +110,3 @@ def test_layout_covers_the_distance(total):
     assert sum(t + 1 for _, t in parts) == simhash.DISTANCE + 1
     used = [b for bits, _ in parts for b in bits]
     assert len(used) == len(set(used))
-
-
-def test_keep_one_keeps_all_columns(spark):
-    rows = [(2, "a b c d e", "x"), (1, "a b c d e", "y"), (3, "quite another text here", "z"), (1, "a b c d e", "y")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
-    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e", "y"), (3, "quite another text here", "z")]

@@ -1,14 +1,17 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard coefficient of ``LIKE`` or more.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard coefficient of ``LIKE`` or more, found by SimHash.
 
 Words are those of ``simhash``: A-Z lower-cased, runs of bytes other than 0x20 and 0x09-0x0D; fewer than ``SHINGLE`` words form one
-shingle. Rows with equal sets are one node. Nodes meet where they share one of ``BANDS`` bands of ``ROWS`` minima (MinHash): two sets of
-coefficient j share none with a chance of (1 - j ** ROWS) ** BANDS, 0.00008 at 0.8. A pair that has met counts only after its
-sets are compared in full.
-
-Components are found in rounds, each over some bands. In a round one node of each band value meets the others there (a leader, by
-a hash), so its pairs are in proportion to the nodes; nodes already in one component aren't compared again. The last round
-compares all pairs of one band value that are still in different components, so no leader's choice decides a result.
-Its pairs can grow with the square of a group whose texts are much alike but mostly less than ``LIKE``.
+shingle. Rows with equal sets are one node, whatever their number. A node's fingerprint is the SimHash of its shingles; nodes within
+``DISTANCE`` bits meet by ``simhash``'s search (parts of correlated bits, thresholds by dynamic programming, probing) and count
+as near copies only after their sets are compared in full, so none is wrong. Some are missed: the bits of two texts of coefficient j
+differ by 64 / pi * arccos(2 j / (1 + j)) on average, 9.7 at 0.8, and the search finds those within ``DISTANCE``. The README has the
+measured share.
+
+Components are found in two rounds. In the first, one node of each part's value (a leader, by a hash) meets the others there, so its pairs are
+in proportion to the nodes. In the second all pairs of one value meet that are still in different components, so no leader's choice
+decides a result: a group of like texts is connected by then, and what is left to meet are the few within ``DISTANCE`` but below ``LIKE``.
+Comparing fingerprints of one value takes a few nanoseconds a pair and grows with the square of the values' sharers; the layout weighs that against
+wider parts with more probes, by the number of nodes.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
+from . import simhash
 from .components import components
 from .shared import cut
 from .simhash import STEP, _hashes, _words
@@ -29,14 +33,8 @@ from .simhash import STEP, _hashes, _words
 SHINGLE = 5
 #: Least Jaccard coefficient of near copies, as a fraction of whole numbers.
 LIKE = (4, 5)
-BANDS, ROWS = 24, 5
-#: Bands of each round of leaders.
-ROUNDS = (range(0, 4), range(4, BANDS), range(0, BANDS))
-_RANDOM = np.random.default_rng(7)
-_FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64)
-#: Hashes whose minima are taken at a time.
-_AT_ONCE = 1024
+#: Bits by which fingerprints may differ.
+DISTANCE = 8
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -52,34 +50,30 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set; 0 for the empty one."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), STEP):
+        counts += np.unpackbits(hashes[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(((2 * counts > len(hashes)).astype(np.uint64) << simhash._BITS).sum())
+
+
 def digest(hashes: np.ndarray) -> int:
     """One number for a set."""
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band; the empty set has the same in all."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), _AT_ONCE):
-        mixed = (hashes[None, k : k + _AT_ONCE] ^ _MASKS) * _FACTORS
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _FACTORS
-        np.minimum(least, mixed.min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
-
-
 def _sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, node, size, bands) of every row."""
+    """(doc_id, text_hash, node, fp) of every row."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_buffer().to_pybytes()) for t in at.text_array(batch.column(1))]
-            nodes = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
-            values = np.concatenate([bands(s) for s in sets]) if sets else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "node", "size", "bands"])
+            texts = [t.as_buffer().to_pybytes() for t in at.text_array(batch.column(2))]
+            sets = [shingles(t) for t in texts]
+            nodes, fps = np.array([digest(s) for s in sets], np.uint64).view(np.int64), np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps)], ["doc_id", "text_hash", "node", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(sketched, f"doc_id {dict(documents.dtypes)['doc_id']}, node long, size long, bands array<long>")
+    return documents.select("doc_id", F.xxhash64("text"), "text").mapInArrow(sketched, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, node long, fp long")
 
 
 def _sets(documents: DataFrame) -> DataFrame:
@@ -95,51 +89,44 @@ def _sets(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(hashed, "node long, hashes array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are near copies."""
+def _confirmed(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are near copies. Only the texts of the pairs' nodes are read again."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = met.join(first, "node").select("doc_id").distinct()
+    texts = documents.join(ids, "doc_id", "left_semi")  # a doc_id may have rows of several texts
+    sets = cut(_sets(texts).join(met, "node", "left_semi").dropDuplicates(["node"]))
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(left, "a").join(right, "b").where(LIKE[1] * both >= LIKE[0] * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
 def rooted(documents: DataFrame) -> DataFrame:
-    """(doc_id, node, root) of the rows with a doc_id: rows of one root are connected by near copies."""
+    """(doc_id, text_hash, node, root) of the rows with a doc_id: rows of one root are connected by near copies."""
     rows = cut(_sketches(documents.where("doc_id is not null")))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    entries = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
-    shared = entries.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    live = cut(entries.join(shared, ["band", "value"]))
-    met = live.select("node").distinct()
-    first = nodes.join(met, "node").select("node", "doc_id")
-    texts = documents.join(first.select("doc_id").distinct(), "doc_id", "left_semi")  # a doc_id may have rows of several texts
-    sets = cut(_sets(texts).join(met, "node", "left_semi").dropDuplicates(["node"]))
-    edges, root = None, met.withColumn("root", F.col("node"))
-    near = F.least("size", "b_size") * LIKE[1] >= F.greatest("size", "b_size") * LIKE[0]
-    for turn in range(len(ROUNDS) + 1):
-        last = turn == len(ROUNDS)
-        placed = live.join(root, "node")
-        if not last:
-            placed = placed.where(F.col("band").isin(*ROUNDS[turn]))
-        apart = placed.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", "band", F.lit(turn))).alias("l")).where("lo <> hi")
-        if last:
-            others = placed.join(apart.select("band", "value"), ["band", "value"])
-            heads = others.select("band", "value", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-            pairs = others.join(heads, ["band", "value"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root")) & near)
-        else:
-            heads = apart.select("band", "value", F.col("l.node").alias("b"), F.col("l.size").alias("b_size"), F.col("l.root").alias("b_root"))
-            pairs = placed.join(heads, ["band", "value"]).where((F.col("root") != F.col("b_root")) & near)
-        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        found = cut(_confirmed(pairs, sets))
-        edges = found if edges is None else edges.unionByName(found)
-        named = components(edges)
-        root = cut(met.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    return rows.select("doc_id", "node").join(root, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
+    first = nodes.select("node", "doc_id")
+    parts = simhash.planned(nodes.select("fp").distinct(), DISTANCE)
+    of = Window.partitionBy("part", "value")
+    leader = F.min_by(F.when(F.col("own"), F.struct("node", "fp")), F.when(F.col("own"), F.xxhash64("node", "value"))).over(of)
+    led = simhash.entered(nodes.select("node", "fp"), parts).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
+    near = led.where((F.col("node") != F.col("b")) & (simhash.apart("fp", "b_fp") <= DISTANCE))
+    found = cut(_confirmed(cut(near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()), documents, first))
+    named = nodes.select("node", "fp").join(components(found), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+    entries = simhash.entered(named, parts)
+    left, right = (entries.select("part", "value", "own", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "root"))) for s in "lr")
+    # each pair once: from its smaller end, in the first part that brings it together
+    apart = (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root")) & (simhash.apart("l_fp", "r_fp") <= DISTANCE) & ~simhash.earlier(parts, "l_fp", "r_fp")
+    rest = cut(left.where("own").drop("own").join(right.drop("own"), ["part", "value"]).where(apart).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")))
+    edges = found.unionByName(_confirmed(rest, documents, first))
+    return rows.select("doc_id", "text_hash", "node").join(components(edges), "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each component of near copies, the one with the smallest doc_id, with all its columns.
-
-    Of repeated rows of that doc_id one stays; rows with a null doc_id stay and connect nothing."""
-    first = rooted(documents).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = documents.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.where("doc_id is null"))
+    """One row of each component of near copies with all its columns, that with the smallest doc_id (of several texts with that id
+    the one with the smallest hash; of rows equal in both any one, as they are copies).
+
+    Rows with a null doc_id stay and connect nothing."""
+    kept = rooted(documents).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*").distinct()
+    keyed = documents.where("doc_id is not null").select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    found = keyed.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    return found.unionByName(documents.where("doc_id is null"))

@@ -16,12 +16,16 @@ most ``BLOCK`` entries and probes share a value, they are compared pair by pair
 pairs are made: two fingerprints are within two bits exactly if some value is within one bit of both, so each of
 the block's fingerprints goes to its 65 such midpoints, and those that meet at a midpoint (65 at most) are linked.
 That is as exact, and its work is in proportion to the block.
+
+``nearcopies`` uses the same search with a wider distance to find texts that are then compared by their shingles.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ SHINGLE = 3
 DISTANCE = 2
 SAMPLE = 2048
 BLOCK = 64
+#: Bits flipped at most in one part, and how many comparisons take as long as an entry, which is shuffled and sorted.
+MOST_FLIPS, ENTRY = 2, 100
 #: Words joined and hashed at a time, so that a very long text needs little memory.
 STEP = 100_000
 _BITS = np.arange(64, dtype=np.uint64)
@@ -114,7 +120,7 @@ def groups_of_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
 
 def ball(width: int, t: int) -> int:
     """Values within ``t`` bits of one."""
-    return {-1: 0, 0: 1, 1: 1 + width, 2: 1 + width + width * (width - 1) // 2}[t]
+    return sum(math.comb(width, k) for k in range(t + 1))
 
 
 def thresholds(costs: list[dict[int, float]], units: int = DISTANCE + 1) -> tuple[list[int], float]:
@@ -131,24 +137,27 @@ def thresholds(costs: list[dict[int, float]], units: int = DISTANCE + 1) -> tupl
     return best[units][1], best[units][0]
 
 
-def layout(sample: np.ndarray, total: int) -> list[tuple[list[int], int]]:
+def layout(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
     """(bits, threshold) of every part in use, for ``total`` distinct fingerprints like the sample's."""
     sample = np.unique(sample)[:SAMPLE]
+    reach = range(min(distance, MOST_FLIPS) + 1)
     choices = []
-    for parts in (2, 3, 4):
+    for parts in range(2, max(4, distance) + 1):
         groups, costs = groups_of_bits(sample, parts), []
+        if parts * len(reach) < distance + 1:
+            continue
         for group in groups:
             mask = np.uint64(sum(1 << b for b in group))
             part = sample & mask
-            near = np.zeros(3)
+            near = np.zeros(len(reach))
             for k in range(0, len(part), 128):
                 apart = np.bitwise_count(part[k : k + 128, None] ^ part[None, :])
-                near += [(apart <= t).sum() for t in range(3)]
+                near += [(apart <= t).sum() for t in reach]
             pairs = max(1, len(part) * (len(part) - 1))
             share = np.maximum(near - len(part), 0) / pairs
             # an unseen coincidence counts as one between even values
-            costs.append({-1: 0.0} | {t: total * (1 + ball(len(group), t)) + total * float(total) * max(share[t], ball(len(group), t) / 2.0 ** len(group)) / 2 for t in range(DISTANCE + 1)})
-        chosen, cost = thresholds(costs)
+            costs.append({-1: 0.0} | {t: total * ENTRY * (1 + ball(len(group), t)) + total * float(total) * max(share[t], ball(len(group), t) / 2.0 ** len(group)) / 2 for t in reach})
+        chosen, cost = thresholds(costs, distance + 1)
         choices.append((cost, parts, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(choices)[2]
 
@@ -157,9 +166,13 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
+def _mask(bits: list[int]) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
 def _flips(value: Column, bits: list[int], t: int) -> Column:
     """Array of the values within ``t`` flips of the given bits, the value itself left out."""
-    masks = [_signed(sum(1 << b for b in c)) for k in range(1, t + 1) for c in itertools.combinations(bits, k)]
+    masks = [_mask(c) for k in range(1, t + 1) for c in itertools.combinations(bits, k)]
     return F.transform(F.array(*map(F.lit, masks)), lambda m: value.bitwiseXOR(m))
 
 
@@ -167,28 +180,47 @@ def _probe(part: int):
     return lambda value: F.struct(F.lit(part).alias("part"), value.alias("value"), F.lit(False).alias("own"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links that connect every two of the distinct fingerprints (column fp) within DISTANCE bits, directly or by way of others."""
-    total = distinct.count()
-    sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    if total < 2:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    entries, earlier = [], F.lit(False)
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    for k, (bits, t) in enumerate(layout(np.array(sample, np.int64).view(np.uint64), total)):
-        mask = F.lit(_signed(sum(1 << b for b in bits)))
-        value = F.col("fp").bitwiseAND(mask)
-        earlier |= (F.col("part") > k) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(mask)) <= t)
+def apart(a: str, b: str, mask: int = -1) -> Column:
+    """How many bits of two fingerprint columns differ, within a mask."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.lit(mask)))
+
+
+def planned(distinct: DataFrame, distance: int) -> list[tuple[list[int], int]]:
+    """The layout for the fingerprints in column fp."""
+    sample = [r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    return layout(np.array(sample or [0], np.int64).view(np.uint64), distinct.count(), distance)
+
+
+def entered(distinct: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """``distinct`` with part, value and own: a row for each part's value of a fingerprint (own) and each value probed for it."""
+    entries = []
+    for k, (bits, t) in enumerate(parts):
+        value = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         entries.append(F.array(F.struct(F.lit(k).alias("part"), value.alias("value"), F.lit(True).alias("own"))))
         if t:
             entries.append(F.transform(_flips(value, bits, t), _probe(k)))
-    entered = distinct.select("fp", F.explode(F.concat(*entries)).alias("e")).select("fp", "e.*")
-    sizes = entered.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
-    live = cut(entered.join(sizes.select("part", "value", "n"), ["part", "value"]))
-    few, many = live.where(F.col("n") <= BLOCK), live.where(F.col("n") > BLOCK)
+    return distinct.select(*distinct.columns, F.explode(F.concat(*entries)).alias("e")).select(*distinct.columns, "e.*")
+
+
+def earlier(parts: list[tuple[list[int], int]], a: str, b: str) -> Column:
+    """Whether two fingerprint columns that have met in column part have met in an earlier part as well."""
+    return reduce(lambda found, p: found | (F.col("part") > p[0]) & (apart(a, b, _mask(p[1][0])) <= p[1][1]), enumerate(parts), F.lit(False))
+
+
+def live(entries: DataFrame) -> DataFrame:
+    """The entries that share their part's value with another, one of them its own, with their number n."""
+    sizes = entries.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
+    return cut(entries.join(sizes.select("part", "value", "n"), ["part", "value"]))
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links that connect every two of the distinct fingerprints (column fp) within DISTANCE bits, directly or by way of others."""
+    parts = planned(distinct, DISTANCE)
+    shared = live(entered(distinct, parts))
+    few, many = shared.where(F.col("n") <= BLOCK), shared.where(F.col("n") > BLOCK)
     left, right = few.where("own").select("part", "value", F.col("fp").alias("a")), few.select("part", "value", F.col("fp").alias("b"), "own")
     # each pair once: from its smaller end, in the first part that brings it together
-    met = left.join(right, ["part", "value"]).where((F.col("a") < F.col("b")) & (apart <= DISTANCE) & ~earlier).select("a", "b")
+    met = left.join(right, ["part", "value"]).where((F.col("a") < F.col("b")) & (apart("a", "b") <= DISTANCE) & ~earlier(parts, "a", "b")).select("a", "b")
     midpoints = many.select("fp").distinct().select("fp", F.explode(F.concat(F.array("fp"), _flips(F.col("fp"), list(range(64)), 1))).alias("mid"))
     hubs = midpoints.groupBy("mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     at_hubs = hubs.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
@@ -210,12 +242,3 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return hashed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, with all its columns.
-
-    Of repeated rows of that doc_id one stays; rows with a null doc_id stay."""
-    first = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.where("doc_id is null"))
