@@ -64,10 +64,11 @@ def positions(df: DataFrame, s: Settings = Settings()) -> DataFrame:
         symbol, book = None, _Book(s)
         for frame in frames:
             out = []
-            for row in frame[["symbol", "signal", "high", "low", "close", "atr", "z_score", "rsi"]].itertuples(index=False):
-                if row[0] != symbol:
-                    symbol, book = row[0], _Book(s)
-                out.append(book.step(*row[1:]))
+            columns = (frame[c].tolist() for c in ("symbol", "signal", "high", "low", "close", "atr", "z_score", "rsi"))
+            for name, *bar in zip(*columns, strict=True):
+                if name != symbol:
+                    symbol, book = name, _Book(s)
+                out.append(book.step(*bar))
             added = pd.DataFrame(out, columns=_ADDED.names, index=frame.index)
             yield pd.concat([frame, added], axis=1)
 

@@ -517,11 +517,13 @@ def state_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return book.state_vector(rows).select("symbol", "seq", "vector")
 
 
-@query()
+@query(f"""with {STATES}, hb as (select symbol, seq, round(coalesce(mid, 0), 6) as mid, round(imbalance, 6) as imbalance, row_number() over (partition by symbol order by seq) as k from bk), hp as (select unnest(range(20)) as place)
+select h.symbol, h.seq, cast(place as int) as place, c.mid, c.imbalance from hb h cross join hp join hb c on c.symbol = h.symbol and c.k = greatest(h.k - 19 + place, 1)""")
 def state_histories(spark: SparkSession, folder: str) -> DataFrame:
-    """The last 20 pairs of mid and imbalance after each message."""
-    rows = book.states(messages(spark, folder)).withColumn("pair", F.array(F.coalesce("mid", F.lit(0.0)), F.col("imbalance")))
-    return book.history(rows, ["symbol"], ["seq"], "pair").select("symbol", "seq", "history")
+    """The last 20 pairs of mid and imbalance after each message, a row a pair."""
+    rows = book.states(messages(spark, folder)).withColumn("pair", F.struct(F.coalesce("mid", F.lit(0.0)).alias("mid"), "imbalance"))
+    kept = book.history(rows, ["symbol"], ["seq"], "pair")
+    return kept.select("symbol", "seq", F.posexplode("history").alias("place", "pair")).select("symbol", "seq", "place", "pair.*")
 
 
 ADVANTAGES = f"""with recursive {TICKS}, s as (select symbol, trade_id as step, price / 100 as reward, quantity / 100 as value, trade_id % 97 = 0 as done, row_number() over (partition by symbol order by trade_id desc) as k,
