@@ -9,7 +9,8 @@ measured share.
 
 Components are found in two rounds. In the first, one node of each part's value (a leader, by a hash) meets the others there, so its pairs are
 in proportion to the nodes. In the second all pairs of one value meet that are still in different components, so no leader's choice
-decides a result: a group of like texts is connected by then, and what is left to meet are the few within ``DISTANCE`` but below ``LIKE``.
+decides a result. Of these pairs those within ``CLOSE`` bits are compared first, and then the others that they left in different components, so
+that a group of like texts, connected by then, isn't compared pair by pair.
 Comparing fingerprints of one value takes a few nanoseconds a pair and grows with the square of the values' sharers; the layout weighs that against
 wider parts with more probes, by the number of nodes.
 """
@@ -33,8 +34,10 @@ from .simhash import STEP, _hashes, _words
 SHINGLE = 5
 #: Least Jaccard coefficient of near copies, as a fraction of whole numbers.
 LIKE = (4, 5)
-#: Bits by which fingerprints may differ.
-DISTANCE = 8
+#: Bits by which fingerprints may differ, and by which they differ where they are mostly near copies.
+DISTANCE, CLOSE = 8, 4
+#: Sets of at most so many bytes in all are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -95,7 +98,10 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> Data
     ids = met.join(first, "node").select("doc_id").distinct()
     texts = documents.join(ids, "doc_id", "left_semi")  # a doc_id may have rows of several texts
     sets = cut(_sets(texts).join(met, "node", "left_semi").dropDuplicates(["node"]))
-    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
+    size = 8 * (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0)
+    # a group of like texts has few sets but many pairs: then each task gets the sets, else a pair's sets travel with it
+    near = F.broadcast(sets) if size <= BROADCAST_BYTES else sets
+    left, right = (near.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(left, "a").join(right, "b").where(LIKE[1] * both >= LIKE[0] * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
@@ -116,8 +122,16 @@ def rooted(documents: DataFrame) -> DataFrame:
     left, right = (entries.select("part", "value", "own", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "root"))) for s in "lr")
     # each pair once: from its smaller end, in the first part that brings it together
     apart = (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root")) & (simhash.apart("l_fp", "r_fp") <= DISTANCE) & ~simhash.earlier(parts, "l_fp", "r_fp")
-    rest = cut(left.where("own").drop("own").join(right.drop("own"), ["part", "value"]).where(apart).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")))
-    edges = found.unionByName(_confirmed(rest, documents, first))
+    met = left.where("own").drop("own").join(right.drop("own"), ["part", "value"]).where(apart)
+    rest = cut(met.select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), simhash.apart("l_fp", "r_fp").alias("d")))
+    close = cut(_confirmed(rest.where(F.col("d") <= CLOSE).select("a", "b"), documents, first))
+    edges = cut(found.unionByName(close))
+    joined = components(edges)
+    ends = rest.where(F.col("d") > CLOSE)
+    for end in "ab":
+        ends = ends.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    far = cut(ends.where("a_root <> b_root").select("a", "b"))
+    edges = edges.unionByName(_confirmed(far, documents, first))
     return rows.select("doc_id", "text_hash", "node").join(components(edges), "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 
 
