@@ -7,7 +7,7 @@ score is the sigmoid of the sparse dot product with the weights.
 
 Training takes at most ``train_rows`` labelled rows, those with the smallest hashes of their ids, so it costs
 the same at any corpus size. They are dealt to ``SHARDS`` groups; in each epoch every group runs FTRL-proximal
-updates from the common state, and the driver averages the states (``SHARDS`` x 2 MB).
+updates from the common state, and one task averages the states (``SHARDS`` x 2 MB), of which the driver gets the mean.
 
 Edge cases: a null text scores as the empty text; an empty text has no features, so its score is the sigmoid
 of the bias; rows with a null id or label don't train; of rows that share an id one trains; repeated rows get the same score each; with no label
@@ -172,13 +172,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.bincount(rows, self.weights[index] * value, len(texts)) + self.weights[DIM], -35, 35)))
 
 
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states of all groups (``SHARDS`` at most) as one, weighted by their rows, in the groups' order whatever that of arrival."""
+    states = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda s: s["shard"])
+    if states:
+        total = sum(s["rows"] for s in states)
+        means = [sum(np.frombuffer(s[c], "<f4").astype(float) * (s["rows"] / total) for s in states) for c in ("z", "n")]
+        yield pa.RecordBatch.from_arrays([pa.array([m.astype("<f8").tobytes()]) for m in means], ["z", "n"])
+
+
 def _packed(rows):
     """A group's rows as one: vectors back to back, in an order that depends on the rows alone."""
     ids, labels, index, value = (rows[c].to_pylist() if c in ("id", "y") else rows[c] for c in ("id", "y", "index", "value"))
     order = sorted(range(len(ids)), key=lambda k: (ids[k] * 0x9E3779B1 & 0xFFFFFFFF, ids[k], len(index[k]), labels[k]))
     vectors = [(index[k].values.to_numpy().astype("<i4"), value[k].values.to_numpy().astype("<f4")) for k in order]
     blobs = np.array([labels[k] for k in order], "<i4").tobytes(), np.array([len(i) for i, _ in vectors], "<i8").tobytes(), b"".join(i.tobytes() for i, _ in vectors), b"".join(v.tobytes() for _, v in vectors)
-    return pa.table({"rows": [len(ids)]} | dict(zip(("y", "sizes", "index", "value"), ([b] for b in blobs), strict=True)))
+    return pa.table({"shard": [rows["shard"][0].as_py()], "rows": [len(ids)]} | dict(zip(("y", "sizes", "index", "value"), ([b] for b in blobs), strict=True)))
 
 
 def _unpacked(shard: dict, epoch: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -215,7 +224,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
     # of rows that share an id one trains, however many there are
     sparse = sparse.groupBy("id", "y").agg(F.min(F.struct("index", "value")).alias("v")).select("id", "y", "v.*")
     sparse = sparse.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)))
-    shards = cut(sparse.groupBy("shard").applyInArrow(_packed, "rows long, y binary, sizes binary, index binary, value binary"))
+    shards = cut(sparse.groupBy("shard").applyInArrow(_packed, "shard long, rows long, y binary, sizes binary, index binary, value binary"))
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
     for epoch in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))
@@ -225,12 +234,11 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
                 for row in batch.to_pylist():
                     z, n = (x.copy() for x in state.value)
                     ftrl(_unpacked(row, epoch), z, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["rows"]]), pa.array([z.astype("<f4").tobytes()]), pa.array([n.astype("<f4").tobytes()])], ["rows", "z", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["shard"]]), pa.array([row["rows"]]), pa.array([z.astype("<f4").tobytes()]), pa.array([n.astype("<f4").tobytes()])], ["shard", "rows", "z", "n"])
 
-        states = shards.mapInArrow(learned, "rows long, z binary, n binary").collect()
-        if states:
-            share = np.array([s["rows"] for s in states], float)
-            z, n = (np.average([np.frombuffer(s[c], "<f4").astype(float) for s in states], axis=0, weights=share) for c in ("z", "n"))
+        states = shards.mapInArrow(learned, "shard long, rows long, z binary, n binary").repartition(1)
+        for row in states.mapInArrow(_averaged, "z binary, n binary").collect():
+            z, n = (np.frombuffer(row[c], "<f8") for c in ("z", "n"))
         state.unpersist()
     return Model(weights_of(z, n))
 
