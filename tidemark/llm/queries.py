@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, packing, quality_classifier, quality_rules, simhash, spotsigs, tokencount, toxicity, urlfilter
+from . import alignment, bpe, hashforest, lexical, license_scan, packing, quality_classifier, quality_rules, simhash, spotsigs, tokencount, toxicity, urlfilter
 
 
 #: (host, path, action)
@@ -63,7 +63,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_byte_bpe, op4_spotsigs, op5_url_filter, op6_packing, op7_token_counts, op8_license_scan, op9_quality_rules, op10_toxicity)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashforest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_byte_bpe, op4_spotsigs, op5_url_filter, op6_packing, op7_token_counts, op8_license_scan, op9_quality_rules, op10_toxicity, op11_token_alignment, op12_hash_forest, op13_lexical_search)}
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 ORACLE_SQL = {
     "op5_url_filter": f"""
@@ -78,5 +90,24 @@ fits as (
   from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
 select parts.page_id, host, path, rule, coalesce(action, 'allow') as verdict
 from parts left join fits on fits.page_id = parts.page_id and k = 1
+""",
+    "op13_lexical_search": r"""
+with words as (
+  select row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as row, doc_id, text from documents)),
+asked as (
+  select item_id, term, count(*) as times
+  from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark)
+  group by all),
+lengths as (select row, count(*) as n from words group by all),
+whole as (select count(*) as docs, sum(n)::bigint as total from lengths),
+tfs as (select row, doc_id, term, count(*) as tf from words semi join asked using (term) group by all),
+terms as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from tfs, whole group by term, docs),
+impacts as (
+  select row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))) as impact
+  from tfs join terms using (term) join lengths using (row), whole),
+scores as (select item_id, doc_id, sum(times * impact)::bigint as score from asked join impacts using (term) group by item_id, row, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scores where score > 0 qualify rank <= 10
 """,
 }
