@@ -7,7 +7,8 @@ occur, a group of tokens ends. Prefix sums of the counts say which tokens of A a
 are the texts' own figures. Between two neighbouring ends of either kind lies one link: one token of A and one of B that overlap there, and no
 two such cells have the same two tokens.
 
-A pair of ids counts its links in the whole corpus. Pairs with at least 1 / ``HEAVY`` of all links are at most ``HEAVY``, so they are given to
+A pair of ids counts its links in the whole corpus. Every text's distinct pairs are stored with its figures, so that texts are read once, and
+counted. Pairs with at least 1 / ``HEAVY`` of all links are at most ``HEAVY``, so they are given to
 every task; they hold most links, and texts sum them where they are read. The other links meet their pair's count by a join, in which no pair
 has more than 1 / ``HEAVY`` of all links.
 
@@ -37,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .shared import cut
+from .shared import cut, stored
 from .tokencount import byte_characters
 
 #: Pairs of at least one HEAVY-th of all links are broadcast; there are at most so many.
 HEAVY = 1 << 18
-#: Parts of texts whose ids a worker keeps, and distinct pairs that a task gathers before it passes their counts on.
-KEPT, GATHERED = 1_000_000, 2_000_000
+#: Parts of texts whose ids a worker keeps, bytes of text aligned at a time, and rows of pairs summed at a time.
+KEPT, SLICE, ROWS = 400_000, 1 << 20, 512
 #: Fixed value: the space of sentence pieces.
 SPACE_PIECE = "▁"
 _WHITE = [chr(c) + " " for c in range(sys.maxunicode + 1) if chr(c).isspace()]
@@ -218,74 +219,65 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def counted(codes: np.ndarray, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and how often each occurs, or the sum of its numbers."""
-    if numbers is None:
-        return np.unique(codes, return_counts=True)
-    order = np.argsort(codes, kind="stable")
-    codes, numbers = codes[order], numbers[order]
-    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(numbers, first) if len(first) else numbers
+_FIGURES = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
-def pair_counts(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(pair, count): for every pair of ids (A's id * 2^32 + B's id) the links that hold it."""
+def distinct_links(found: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, links, offsets): the distinct pairs of each text, how many of its links hold them, and where each text's begin and end."""
+    known, place = np.unique(found.pairs(), return_inverse=True)
+    held, links = np.unique(found.link_row * max(1, len(known)) + place, return_counts=True)
+    return known[held % max(1, len(known))], links, np.searchsorted(held, np.arange(len(found.n_links) + 1) * max(1, len(known)))
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def linked(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """row (a number of its own), doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the row's distinct pairs (A's id * 2^32 + B's id) with their links."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pair(a_path, b_path)
-        codes, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(codes), pa.array(numbers)], ["pair", "count"])
         for batch in batches:
-            for _, texts in at.slices(batch, "text"):
-                more, n = counted(Aligned(own, texts).pairs())
-                codes, numbers = counted(np.concatenate([codes, more]), np.concatenate([numbers, n]))
-                if len(codes) > GATHERED:
-                    yield out()
-                    codes, numbers = codes[:0], numbers[:0]
-        yield out()
+            for part, texts in at.slices(batch, "text", SLICE):
+                found = Aligned(own, texts)
+                pairs, links, offsets = distinct_links(found)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(v)) for v in (pairs, links.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), *map(pa.array, (found.n_a, found.n_b, found.n_groups, found.n_links)), pa.array(found.hashes(), pa.string()), *lists], names)
 
-    return documents.select("text").mapInArrow(gathered, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count"))
+    names = ["row", "doc_id", *(f.split()[0] for f in _FIGURES.split(", ")), "pairs", "links"]
+    rows = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(read, f"row long, doc_id {dict(documents.dtypes)['doc_id']}, {_FIGURES}, pairs array<long>, links array<int>")
 
 
 def align(documents: DataFrame, a_path: str, b_path: str, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
-    spark = documents.sparkSession
-    counts = cut(pair_counts(documents, a_path, b_path))
+    table = stored(linked(documents, a_path, b_path))
+    each = table.select(F.explode(F.arrays_zip("pairs", "links")).alias("l"))
+    counts = cut(each.groupBy(F.col("l.pairs").alias("pair")).agg(F.sum("l.links").alias("count")))
     b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     highest = counts.groupBy(b_id.alias("b")).agg(F.max("count").alias("highest"))  # an id of B a row
     marked = cut(counts.withColumn("b", b_id).join(highest, "b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best")))
     least = (marked.agg(F.sum("count")).first()[0] or 0) / heavy
     common = marked.where(F.col("count") >= least).orderBy("pair").toPandas()  # at most ``heavy`` rows
-    shipped = spark.sparkContext.broadcast((common["pair"].to_numpy(np.int64), common["count"].to_numpy(np.int64), common["best"].to_numpy(bool)))
-    figures = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    names = [f.split()[0] for f in figures.split(", ")]
+    shipped = documents.sparkSession.sparkContext.broadcast((common["pair"].to_numpy(np.int64), common["count"].to_numpy(np.int64), common["best"].to_numpy(bool)))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (pairs, totals, best) = pair(a_path, b_path), shipped.value
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of sums a text, with a pair of its own that nothing meets, and a row for each of its pairs that isn't common."""
+        pairs, totals, best = shipped.value
         for batch in batches:
-            for part, texts in at.slices(batch, "text"):
-                found = Aligned(own, texts)
-                codes = found.pairs()
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                row, n = part.column(0).to_numpy(), part.num_rows
+                codes, links = (np.asarray(part.column(c).flatten()).astype(np.int64) for c in (1, 2))
+                of = np.repeat(np.arange(n), np.diff(np.asarray(part.column(1).offsets)))
                 place = np.minimum(np.searchsorted(pairs, codes), max(len(pairs) - 1, 0))
                 hit = pairs[place] == codes if len(pairs) else np.zeros(len(codes), bool)
-                here, place, n = found.link_row[hit], place[hit], len(texts)
-                sums = np.concatenate([[0], np.cumsum(totals[place])])  # of whole numbers: bincount's weights are doubles
-                bests = np.concatenate([[0], np.cumsum(best[place].astype(np.int64))])
-                ends = np.searchsorted(here, np.arange(n), "right")
-                own_rows = [found.n_a, found.n_b, found.n_groups, found.n_links, np.diff(bests[ends], prepend=0), np.diff(sums[ends], prepend=0)]
-                row = part.column(2).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(-1 - row), pa.nulls(n, pa.int64()), part.column(0), *map(pa.array, own_rows), pa.array(found.hashes(), pa.string())], ["row", "pair", "links", "doc_id", *names])
-                rest, places = codes[~hit], found.link_row[~hit]
-                if len(rest):
-                    order = np.lexsort((rest, places))
-                    rest, places = rest[order], places[order]
-                    first = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (places[1:] != places[:-1])))
-                    m = len(first)
-                    nothing = [pa.nulls(m, t) for t in (part.schema.field(0).type, *[pa.int64()] * 6, pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[places[first]]), pa.array(rest[first]), pa.array(np.diff(np.append(first, len(rest)))), *nothing], ["row", "pair", "links", "doc_id", *names])
-
-    rows = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(read, f"row long, pair long, links long, doc_id {dict(documents.dtypes)['doc_id']}, {figures}")
-    met = rows.join(marked.where(F.col("count") < least), "pair", "left")
-    added = {"n_best": F.when(F.col("best"), F.col("links")), "count_sum": F.col("links") * F.col("count")}
-    figure = {c: F.sum(F.coalesce(c, added[c], F.lit(0))) if c in added else F.max(c) for c in names}
-    return met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(v.alias(c) for c, v in figure.items())).select("doc_id", *names)
+                ends = np.searchsorted(of[hit], np.arange(n), "right")
+                # prefix sums of whole numbers: bincount's weights are doubles
+                sums = [np.diff(np.concatenate([[0], np.cumsum(v)])[ends], prepend=0) for v in (links[hit] * best[place[hit]], links[hit] * totals[place[hit]])]
+                rest = ~hit
+                columns = [np.concatenate([x, y]) for x, y in ((row, row[of[rest]]), (-1 - row, codes[rest]), (np.zeros(n, np.int64), links[rest]), *((v, np.zeros(rest.sum(), np.int64)) for v in sums))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "pair", "links", "n_best", "count_sum"])
+
+    sums = table.select("row", "pairs", "links").mapInArrow(summed, "row long, pair long, links long, n_best long, count_sum long")
+    met = sums.join(marked.where(F.col("count") < least), "pair", "left")
+    added = {"n_best": F.when(F.col("best"), F.col("links")).otherwise(0), "count_sum": F.col("links") * F.coalesce("count", F.lit(0))}
+    whole = met.groupBy("row").agg(*(F.sum(F.col(c) + v).alias(c) for c, v in added.items()))
+    return table.drop("pairs", "links").join(whole, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
