@@ -100,6 +100,22 @@ def lagged(df: DataFrame, keys: Keys, order: Keys, micros: str, chunk: int, colu
     return marked.join(carried, [*keys, "_chunk"]).withColumn(name, F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_own"))).drop("_chunk", "_own", "_n", "_carried")
 
 
+def beside(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, before: dict[str, str], after: dict[str, str]) -> DataFrame:
+    """``df`` with values of the row before and of the row after in each series (name -> column). Chunks of ``at`` are ordered side by side; their first
+    and last rows take the neighbours' values from a row a chunk, and the rows are dealt once."""
+    spread = df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long"))
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    own = spread.withColumns({f"_b_{n}": F.lag(F.struct(c)).over(within) for n, c in before.items()} | {f"_a_{n}": F.lead(F.struct(c)).over(within) for n, c in after.items()})
+    place = F.struct(*order)
+    ends = spread.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(*before.values()), place).alias("_last"), F.min_by(F.struct(*after.values()), place).alias("_first"))
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = ends.select(*keys, "_chunk", F.lag("_last").over(by_chunk).alias("_last"), F.lead("_first").over(by_chunk).alias("_first"))
+    value = lambda side, end, n, c: F.when(F.col(f"{side}{n}").isNotNull(), F.col(f"{side}{n}.{c}")).otherwise(F.col(f"{end}.{c}"))
+    out = own.join(carried, [*keys, "_chunk"])
+    out = out.withColumns({n: value("_b_", "_last", n, c) for n, c in before.items()} | {n: value("_a_", "_first", n, c) for n, c in after.items()})
+    return out.drop("_chunk", "_last", "_first", *(f"_b_{n}" for n in before), *(f"_a_{n}" for n in after))
+
+
 def latest(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, found: dict[str, Column], ahead: bool = False) -> DataFrame:
     """``df`` with each column of ``found`` (null where a row has none) taken from the last row up to this one in the order that has it, or
     with ``ahead`` from the first row from this one on. ``order`` begins with the time ``at``.

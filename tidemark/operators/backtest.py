@@ -2,77 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import series
+from tidemark.operators import chains, crossing
 from tidemark.operators.indicators import YEAR_OF_MINUTES, Settings
+from tidemark.sources.shared import stored
 
 #: Chunks of time in which rows are numbered side by side, in microseconds.
 CHUNK = 30 * 86_400_000_000
-_ADDED = T.StructType([T.StructField("final_signal", T.IntegerType()), T.StructField("entry_price", T.DoubleType()), T.StructField("stop_price", T.DoubleType()), T.StructField("target_price", T.DoubleType()), T.StructField("trade_id", T.LongType()), T.StructField("exit_reason", T.StringType())])
-
-
-class _Book:
-    """One symbol's position while its bars go by."""
-
-    def __init__(self, s: Settings):
-        self.s, self.i, self.trades = s, -1, 0
-        self.last_exit = -s.cooldown
-        self.open = False
-        self.terms: tuple[float | None, float | None, float | None] = (None, None, None)
-        self.entered = 0
-
-    def step(self, signal: int, high: float, low: float, close: float, atr: float, z: float, rsi: float) -> tuple:
-        s = self.s
-        self.i += 1
-        if not self.open:
-            if signal == 1 and self.i - self.last_exit >= s.cooldown:
-                self.open, self.entered = True, self.i
-                self.trades += 1
-                self.terms = close, close - s.stop_loss * atr, close + s.take_profit * atr
-                return 1, *self.terms, self.trades, ""
-            return 0, None, None, None, 0, ""
-        _, stop, target = self.terms
-        held, reason = self.i - self.entered >= s.min_hold, ""
-        # the first condition that holds decides, even where the holding period keeps it from closing
-        if low <= stop:
-            reason = "stop_loss"
-        elif high >= target:
-            reason = "take_profit"
-        elif held and signal == 0:
-            reason = "signal"
-        elif held and (z > s.z_exit or rsi > s.rsi_exit):
-            reason = "indicator_exit"
-        if reason and held:
-            self.open, self.last_exit = False, self.i
-            return 0, *self.terms, self.trades, reason
-        return 1, *self.terms, self.trades, ""
+#: Bars whose last entry and next signal are looked up side by side.
+ROWS = 20_000
 
 
 def positions(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Bars with signal, atr, z_score and rsi, plus final_signal, entry, stop and target price, trade_id and exit_reason.
 
-    A symbol's bars pass in order through a small state; symbols run side by side, and no symbol's bars are gathered."""
-    schema = T.StructType([*df.schema.fields, *_ADDED.fields])
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, book = None, _Book(s)
-        for frame in frames:
-            out = []
-            columns = (frame[c].tolist() for c in ("symbol", "signal", "high", "low", "close", "atr", "z_score", "rsi"))
-            for name, *bar in zip(*columns, strict=True):
-                if name != symbol:
-                    symbol, book = name, _Book(s)
-                out.append(book.step(*bar))
-            added = pd.DataFrame(out, columns=_ADDED.names, index=frame.index)
-            yield pd.concat([frame, added], axis=1)
-
-    return df.repartition("symbol").sortWithinPartitions("symbol", "us").mapInPandas(walk, schema)
+    A position is entered at a bar with signal 1 and left at the first bar after the holding period that reaches its stop or target, has signal 0 or
+    passes the exit levels of z_score or rsi, the first of these that holds being the reason; the next is entered at the first bar with
+    signal 1 after the cooldown. All bars with signal 1 look side by side for the bar at which a position entered there would end
+    (``crossing``) and so for the one that would follow it; the chain from a symbol's first signal on tells which were entered (``chains``)."""
+    columns = df.columns
+    bars = stored(chains.numbered(df, ["symbol"], ["us"], "us", CHUNK, "_row"), "bars")
+    above = lambda c, level: F.coalesce((F.col(c) > level) & ~F.isnan(c), F.lit(False))
+    leaves = (F.col("signal") == 0) | above("z_score", s.z_exit) | above("rsi", s.rsi_exit)
+    entry = {"_stop": F.col("close") - s.stop_loss * F.col("atr"), "_target": F.col("close") + s.take_profit * F.col("atr")}
+    could = bars.where("signal = 1").select("symbol", "_row", F.col("close").alias("_entry"), *(v.alias(n) for n, v in entry.items()))
+    limits = could.withColumns({"_since": F.col("_row") + max(s.min_hold, 1), "_negative": -F.col("_target"), "_zero": F.lit(0.0)})
+    values = bars.select("symbol", "_row", "low", (-F.col("high")).alias("_high"), F.when(leaves, 0.0).otherwise(1.0).alias("_leaves"))
+    exits = crossing.first_at_most(limits, values, ["symbol"], ["_row"], "_since", "_row", {"low": "_stop", "_high": "_negative", "_leaves": "_zero"}, "_exit")
+    signals = series.latest(bars.select("symbol", "_row", "signal"), ["symbol"], ["_row"], "_row", ROWS, {"_next": F.when(F.col("signal") == 1, F.col("_row"))}, ahead=True).select("symbol", F.col("_row").alias("_free"), "_next")
+    links = stored(exits.withColumn("_free", F.col("_exit") + max(s.cooldown, 1)).join(signals, ["symbol", "_free"], "left").select("symbol", "_row", "_exit", "_next"), "position-links")
+    first = could.groupBy("symbol").agg(F.min("_row").alias("_row"))
+    chain = bars.select("symbol", "_row").join(links, ["symbol", "_row"], "left")
+    entered = chains.followed(chain, ["symbol"], "_row", "_next", first)
+    taken = chains.numbered(entered.join(links, ["symbol", "_row"]).join(could, ["symbol", "_row"]), ["symbol"], ["_row"], "_row", ROWS, "_number").select("symbol", "_row", F.struct((F.col("_number") + 1).alias("trade"), "_row", "_exit", "_entry", "_stop", "_target").alias("_opens"))
+    rows = series.latest(bars.join(taken, ["symbol", "_row"], "left"), ["symbol"], ["_row"], "_row", ROWS, {"_p": F.col("_opens")})
+    p = F.col("_p")
+    ends = F.coalesce(F.col("_row") == p["_exit"], F.lit(False))
+    within = p.isNotNull() & (p["_exit"].isNull() | (F.col("_row") <= p["_exit"]))
+    reached = lambda c: F.coalesce(c & ~F.isnan(p["_stop"]), F.lit(False))
+    reason = F.when(reached(F.col("low") <= p["_stop"]), "stop_loss").when(reached((F.col("high") >= p["_target"]) & ~F.isnan("high")), "take_profit").when(F.col("signal") == 0, "signal").otherwise("indicator_exit")
+    return rows.select(
+        *columns, F.when(within & ~ends, 1).otherwise(0).alias("final_signal"), *(F.when(within, p[f"_{c}"]).alias(f"{c}_price") for c in ("entry", "stop", "target")),
+        F.when(within, p["trade"]).otherwise(0).cast("long").alias("trade_id"), F.when(within & ends, reason).otherwise("").alias("exit_reason"),
+    )
 
 
 def trades(df: DataFrame) -> DataFrame:

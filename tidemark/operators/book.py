@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series
 from tidemark.operators.asof import over_interval
+from tidemark.sources.shared import stored
 
 TICK = 0.01
 #: Chunks of seq in which running values are accumulated side by side, and of rows for windows over messages.
 CHUNK = 1_000_000
+#: Blocks of at least 2^HIGH messages have COPIES copies.
+HIGH, COPIES = 10, 64
 _SIDE = "array<struct<price: double, size: double>>"
 
 
@@ -31,12 +34,16 @@ def from_json(messages: DataFrame, symbol: str, order: str) -> DataFrame:
 
 
 def numbered(messages: DataFrame) -> DataFrame:
-    """Messages with epoch (snapshots so far), pos (their number within it from 0, trades not counted) and n (the epoch's number of messages)."""
-    marked = messages.withColumn("_snap", (F.col("type") == "snapshot").cast("long"))
-    marked = series.running(marked, ["symbol"], ["seq"], "seq", CHUNK, {"epoch": ("sum", "_snap")}).drop("_snap")
-    of = Window.partitionBy("symbol", "epoch")
-    kept = F.when(F.col("type") != "trade", 1).otherwise(0)
-    return marked.withColumns({"pos": F.sum(kept).over(of.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - 1, "n": F.sum(kept).over(of)})
+    """Messages with epoch (snapshots so far), pos (their number within it from 0, trades not counted) and n (the epoch's number of messages).
+
+    Numbers run in chunks of seq, so an epoch may be a symbol's whole tape; the table is stored, as everything else reads it several times."""
+    snap, kept = F.col("type") == "snapshot", F.col("type") != "trade"
+    marked = messages.withColumns({"_snap": snap.cast("long"), "_kept": kept.cast("long")})
+    marked = series.running(marked, ["symbol"], ["seq"], "seq", CHUNK, {"epoch": ("sum", "_snap"), "_all": ("sum", "_kept")})
+    marked = series.latest(marked, ["symbol"], ["seq"], "seq", CHUNK, {"_base": F.when(F.col("_snap") == 1, F.col("_all") - 1)})
+    rows = stored(marked.withColumn("pos", F.col("_all") - F.coalesce("_base", F.lit(0)) - 1).drop("_snap", "_kept", "_all", "_base"), "book-messages")
+    sizes = rows.groupBy("symbol", "epoch").agg(F.count_if(kept).alias("n"))
+    return rows.join(sizes, ["symbol", "epoch"])
 
 
 def level_lives(messages: DataFrame) -> DataFrame:
@@ -45,16 +52,17 @@ def level_lives(messages: DataFrame) -> DataFrame:
     tagged = lambda c, name: F.transform(c, lambda l: F.struct(F.lit(name).alias("side"), l["price"].alias("price"), l["size"].alias("size")))
     both = F.concat(tagged(F.col("bids"), "bid"), tagged(F.col("asks"), "ask"))
     rows = messages.where("type in ('snapshot', 'delta')").select("symbol", "epoch", "seq", "pos", "n", "type", F.posexplode(both).alias("k", "l")).select("symbol", "epoch", "seq", "pos", "n", "type", "k", "l.*")
-    of_level = Window.partitionBy("symbol", "epoch", "side", "price").orderBy("pos", "k")
-    return rows.withColumns({"until": F.coalesce(F.lead("pos").over(of_level), F.col("n")), "change": F.col("size") - F.coalesce(F.lag("size").over(of_level), F.lit(0.0))})
+    rows = series.beside(rows, ["symbol", "epoch", "side", "price"], ["pos", "k"], "pos", CHUNK, {"_held": "size"}, {"_set": "pos"})
+    lives = rows.withColumns({"until": F.coalesce("_set", "n"), "change": F.col("size") - F.coalesce("_held", F.lit(0.0))}).drop("_set", "_held")
+    return stored(lives, "book-lives")
 
 
 def _depths(messages: DataFrame, lives: DataFrame) -> DataFrame:
     per = lives.groupBy("symbol", "epoch", "pos").agg(F.sum(F.when(F.col("side") == "bid", F.col("change")).otherwise(0.0)).alias("bid"), F.sum(F.when(F.col("side") == "ask", F.col("change")).otherwise(0.0)).alias("ask"))
-    so_far = Window.partitionBy("symbol", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     own = F.col("type") != "trade"
     rows = messages.join(per, ["symbol", "epoch", "pos"], "left")
-    rows = rows.withColumns({f"{s}_depth": F.coalesce(F.sum(F.when(own, F.col(s))).over(so_far), F.lit(0.0)) for s in ("bid", "ask")})
+    rows = rows.withColumns({f"_{s}": F.coalesce(F.when(own, F.col(s)), F.lit(0.0)) for s in ("bid", "ask")})
+    rows = series.running(rows, ["symbol", "epoch"], ["seq"], "seq", CHUNK, {f"{s}_depth": ("sum", f"_{s}") for s in ("bid", "ask")}).drop("_bid", "_ask")
     total = F.col("bid_depth") + F.col("ask_depth")
     return rows.withColumn("imbalance", F.coalesce(series.safe_div(F.col("bid_depth") - F.col("ask_depth"), total), F.lit(0.0))).drop("bid", "ask")
 
@@ -85,21 +93,24 @@ def _seen(messages: DataFrame, lives: DataFrame, levels: int) -> DataFrame:
     # asks by their negative price, so that the best of either side is the greatest
     rank = F.when(F.col("side") == "bid", F.col("price")).otherwise(-F.col("price"))
     cut = live.select("symbol", "epoch", "side", F.struct(rank.alias("r"), "size").alias("l"), F.explode(_blocks(F.col("pos"), F.col("until"))).alias("b")).select("symbol", "epoch", "side", "l", "b.*")
-    node = ["symbol", "epoch", "side", "h", "i"]
+    node, of = ["symbol", "epoch", "h", "i"], {x: F.when(F.col("side") == x, F.col("l")) for x in ("bid", "ask")}
     if levels == 1:
-        best = cut.groupBy(*node).agg(F.array(F.max("l")).alias("ls"))
+        best = cut.groupBy(*node).agg(*(F.max(c).alias(x) for x, c in of.items()))
     else:
-        ranked = cut.withColumn("k", F.row_number().over(Window.partitionBy(*node).orderBy(F.desc("l")))).where(F.col("k") <= levels)
-        best = ranked.groupBy(*node).agg(F.collect_list("l").alias("ls"))  # ``levels`` at most
-    heights = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest("n", F.lit(1)).cast("double"))).cast("int")), lambda h: F.struct(h.alias("h"), F.floor(F.col("pos") / F.pow(F.lit(2), h)).cast("long").alias("i")))
+        ranked = cut.withColumn("k", F.row_number().over(Window.partitionBy(*node, "side").orderBy(F.desc("l")))).where(F.col("k") <= levels)
+        best = ranked.groupBy(*node).agg(*(F.collect_list(c).alias(x) for x, c in of.items()))  # ``levels`` at most
+    # a block of many messages is repeated, and each of them meets one of its copies
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("h") >= HIGH, COPIES - 1).otherwise(0))))
+    block = lambda h: F.struct(h.alias("h"), F.floor(F.col("pos") / F.pow(F.lit(2), h)).cast("long").alias("i"), F.when(h >= HIGH, F.pmod("pos", F.lit(COPIES))).otherwise(0).cast("int").alias("copy"))
+    heights = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest("n", F.lit(1)).cast("double"))).cast("int")), block)
     asks = messages.where("pos >= 0").select("symbol", "epoch", "seq", F.explode(heights).alias("b")).select("symbol", "epoch", "seq", "b.*")
-    met = asks.join(best, ["symbol", "epoch", "h", "i"])
+    met = asks.join(best, ["symbol", "epoch", "h", "i", "copy"])
     if levels == 1:
-        found = met.groupBy("symbol", "seq", "side").agg(F.array(F.max(F.get("ls", F.lit(0)))).alias("ls"))
+        found = met.groupBy("symbol", "seq").agg(*(F.array_compact(F.array(F.max(x))).alias(x) for x in of))
     else:  # a list a power of two, of ``levels`` each
-        found = met.groupBy("symbol", "seq", "side").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ls")), asc=False), 1, levels).alias("ls"))
-    priced = lambda side, sign: F.max(F.when(F.col("side") == side, F.transform("ls", lambda l: F.struct((l["r"] * sign).alias("price"), l["size"].alias("size")))))
-    return found.groupBy("symbol", "seq").agg(priced("bid", 1).alias("bid_levels"), priced("ask", -1).alias("ask_levels"))
+        found = met.groupBy("symbol", "seq").agg(*(F.slice(F.sort_array(F.flatten(F.collect_list(x)), asc=False), 1, levels).alias(x) for x in of))
+    priced = lambda x, sign: F.transform(x, lambda l: F.struct((l["r"] * sign).alias("price"), l["size"].alias("size")))
+    return found.select("symbol", "seq", priced("bid", 1).alias("bid_levels"), priced("ask", -1).alias("ask_levels"))
 
 
 def _padded(levels: Column, n: int, sign: int, other: Column, tick: float) -> Column:

@@ -71,11 +71,16 @@ def advantages(steps: DataFrame, keys: list[str], order: str, gamma: float = 0.9
     return out.join(figures, keys).withColumns({"target": F.col("advantage") + F.col("value"), "advantage_norm": (F.col("advantage") - F.col("_m")) / (F.col("_s") + 1e-8)}).drop("_m", "_s")
 
 
-def path_figures(steps: DataFrame, keys: list[str], order: str, pnl: str, chunk: int = CHUNK) -> DataFrame:
+def path_figures(steps: DataFrame, keys: list[str], order: str, pnl: str, chunk: int = CHUNK, change: str | None = None) -> DataFrame:
     """Final P&L, the Sharpe and Sortino ratios of its changes (minutes, annualised) and its greatest drawdown by path.
 
-    The Sharpe ratio is 0 without two steps or any dispersion; the Sortino ratio is 10 without dispersion of losses (0 without two steps)."""
-    paths = series.lagged(steps, keys, [order], order, chunk, pnl, "_before").withColumn("_d", F.col(pnl) - F.col("_before"))
+    The Sharpe ratio is 0 without two steps or any dispersion; the Sortino ratio is 10 without dispersion of losses (0 without two steps).
+    A step's own ``change`` is taken where there is such a column (a path's first step has none before it); else neighbouring sums are subtracted, and
+    differences within 1e-12 of them count as none, since sums of the same changes differ by as much."""
+    paths = series.lagged(steps, keys, [order], order, chunk, pnl, "_before")
+    d = F.col(pnl) - F.col("_before")
+    d = F.when(F.col("_before").isNotNull(), F.col(change)) if change else F.when(F.abs(d) <= 1e-12 * F.greatest(F.abs(pnl), F.abs("_before")), 0.0).otherwise(d)
+    paths = paths.withColumn("_d", d)
     paths = series.running(paths, keys, [order], order, chunk, {"_peak": ("max", pnl)})
     d = F.col("_d")
     out = paths.groupBy(*keys).agg(F.max(F.struct(order, F.col(pnl).alias("_p"))).alias("_end"), F.count(d).alias("_n"), F.avg(d).alias("_mean"), F.stddev_pop(d).alias("_sd"), F.stddev_pop(F.when(d < 0, d)).alias("_down"), F.max(F.col("_peak") - F.col(pnl)).alias("max_drawdown"))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
-from tidemark.operators import asof, backtest, book, candles, features, indicators, learning, paths, research
+from tidemark.operators import asof, backtest, book, candles, chains, cointegration, crossing, features, indicators, learning, paths, research
 from tidemark.sources import market
-from tidemark.sources.shared import shared_folder
+from tidemark.sources.shared import shared_folder, stored
 from tidemark.streaming import streams
 
 HOUR = 3600
@@ -625,6 +625,63 @@ def unit_root(spark: SparkSession, folder: str) -> DataFrame:
     return research.unit_root(bar_returns(spark, folder), ["symbol"], ["bucket"], "close")
 
 
+def swept_sql(name: str, source: str, columns: list[str], out: list[str]) -> str:
+    """CTEs that end in ``name``: sums of products (s_a_b) of the columns about their means, after the columns ``out`` are regressed out of the rest."""
+    at = lambda a, b: f"s_{a}_{b}" if columns.index(a) <= columns.index(b) else f"s_{b}_{a}"
+    pairs = [(a, b) for a in columns for b in columns[columns.index(a) :]]
+    steps = [f"{name}_0 as (select symbol, count(*) as n, {', '.join(f'covar_pop({a}, {b}) * count(*) as {at(a, b)}' for a, b in pairs)} from {source} group by 1)"]
+    for k, p in enumerate(out):
+        pairs = [(a, b) for a, b in pairs if p not in (a, b)]
+        steps.append(f"{name}_{k + 1} as (select symbol, n, {', '.join(f'{at(a, b)} - {at(p, a)} * {at(p, b)} / {at(p, p)} as {at(a, b)}' for a, b in pairs)} from {name}_{k})")
+    return ", ".join(steps) + f", {name} as (select * from {name}_{len(out)})"
+
+
+ROOT_VALUE = "(-2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.040 / n ** 3)"
+
+
+def root_sql(name: str, source: str, level: str, lagged: list[str], change: str) -> str:
+    """CTEs that end in ``name`` (symbol, n, lag, slope, t): the regression of the change on the level and as many lagged changes as Akaike's criterion takes."""
+    fits, steps = [], []
+    for p in range(len(lagged) + 1):
+        steps.append(swept_sql(f"{name}_f{p}", source, [*lagged[:p], level, change], lagged[:p]))
+        ll, ld, dd = f"s_{level}_{level}", f"s_{level}_{change}", f"s_{change}_{change}"
+        rest = f"({dd} - {ld} * {ld} / {ll})"
+        fits.append(f"select symbol, n, {p} as lag, {ld} / {ll} as slope, {ld} / {ll} / sqrt({rest} / (n - {p + 2}) / {ll}) as t, n * ln({rest} / n) + 2 * {p + 2} as aic from {name}_f{p}")
+    return ", ".join(steps) + f", {name} as (select * from ({' union all '.join(fits)}) qualify row_number() over (partition by symbol order by aic, lag) = 1)"
+
+
+@query(f"""{RETURNS}, lv as (select symbol, bucket, close - lag(close) over w as d, lag(close) over w as l from rt window w as (partition by symbol order by bucket)),
+lg as (select *, {", ".join(f"lag(d, {k}) over w as d{k}" for k in (1, 2, 3))} from lv window w as (partition by symbol order by bucket)), lr as (select * from lg where d3 is not null),
+{root_sql("ur", "lr", "l", ["d1", "d2", "d3"], "d")}
+select symbol, n, lag, round(slope, 6) as slope, round(t, 5) as t, round({ROOT_VALUE}, 6) as critical, t < {ROOT_VALUE} as stationary from ur""")
+def augmented_unit_root(spark: SparkSession, folder: str) -> DataFrame:
+    out = cointegration.augmented_unit_root(bar_returns(spark, folder), ["symbol"], ["bucket"], "close", 3)
+    return out.withColumn("t", F.round("t", 5))
+
+
+@query(f"""{RETURNS}, lv as (select symbol, bucket, close - lag(close) over w as dy, lag(close) over w as ly, volume - lag(volume) over w as dx, lag(volume) over w as lx from rt window w as (partition by symbol order by bucket)),
+lg as (select *, lag(dy) over w as dy1, lag(dx) over w as dx1 from lv window w as (partition by symbol order by bucket)), lr as (select * from lg where dy1 is not null and dx1 is not null),
+{root_sql("uy", "lr", "ly", ["dy1"], "dy")}, {root_sql("ux", "lr", "lx", ["dx1"], "dx")},
+{swept_sql("b", "lr", ["dy1", "dx1", "ly", "lx", "dy", "dx"], ["dy1", "dx1"])},
+inv as (select *, s_dy_dy * s_dx_dx - s_dy_dx ** 2 as d0, s_ly_ly * s_lx_lx - s_ly_lx ** 2 as d1 from b),
+q as (select *, (s_ly_dy * s_dx_dx * s_ly_dy - 2 * s_ly_dy * s_dy_dx * s_ly_dx + s_ly_dx * s_dy_dy * s_ly_dx) / d0 as q00, (s_ly_dy * s_dx_dx * s_lx_dy - s_ly_dy * s_dy_dx * s_lx_dx - s_ly_dx * s_dy_dx * s_lx_dy + s_ly_dx * s_dy_dy * s_lx_dx) / d0 as q01,
+  (s_lx_dy * s_dx_dx * s_lx_dy - 2 * s_lx_dy * s_dy_dx * s_lx_dx + s_lx_dx * s_dy_dy * s_lx_dx) / d0 as q11 from inv),
+m as (select *, (s_lx_lx * q00 - s_ly_lx * q01) / d1 as m00, (s_lx_lx * q01 - s_ly_lx * q11) / d1 as m01, (s_ly_ly * q01 - s_ly_lx * q00) / d1 as m10, (s_ly_ly * q11 - s_ly_lx * q01) / d1 as m11 from q),
+e as (select *, (m00 + m11) / 2 + sqrt((m00 + m11) ** 2 / 4 - (m00 * m11 - m01 * m10)) as e1, (m00 + m11) / 2 - sqrt((m00 + m11) ** 2 / 4 - (m00 * m11 - m01 * m10)) as e2 from m),
+t as (select *, -n * (ln(1 - e1) + ln(1 - e2)) as t0, -n * ln(1 - e2) as t1, (e1 - m00) / m01 as beta from e),
+j as (select *, case when t0 < 15.4943 then 0 when t1 < 3.8415 then 1 else 2 end as rank, s_ly_ly + 2 * beta * s_ly_lx + beta ** 2 * s_lx_lx as ee, s_ly_dy + beta * s_lx_dy as ed, s_ly_dx + beta * s_lx_dx as ex from t),
+{swept_sql("lf", "lr", ["ly", "lx", "dy"], ["ly"])}, {swept_sql("lu", "lr", ["ly", "lx", "dy"], ["ly", "lx"])}, {swept_sql("cf", "lr", ["dy1", "dx1", "dy"], ["dy1"])}, {swept_sql("cu", "lr", ["dy1", "dx1", "dy"], ["dy1", "dx1"])},
+md as (select j.*, uy.lag as lag_y, uy.t as t_y, ux.lag as lag_x, ux.t as t_x, case when uy.t < {ROOT_VALUE.replace("n", "j.n")} and ux.t < {ROOT_VALUE.replace("n", "j.n")} then 'levels' when rank > 0 then 'error correction' else 'changes' end as model,
+  lf.s_dy_dy as lf, lu.s_dy_dy as lu, cf.s_dy_dy as cf, cu.s_dy_dy as cu from j join uy using (symbol) join ux using (symbol) join lf using (symbol) join lu using (symbol) join cf using (symbol) join cu using (symbol))
+select symbol, n, lag_y, round(t_y, 5) as t_y, lag_x, round(t_x, 5) as t_x, round(t0, 4) as trace_none, round(t1, 4) as trace_one, rank, round(beta, 6) as beta, round(ed / ee, 6) as alpha_y, round(ex / ee, 6) as alpha_x, model,
+  round(case model when 'levels' then (lf - lu) / (lu / (n - 3)) when 'changes' then (cf - cu) / (cu / (n - 3)) else (cf - (s_dy_dy - ed ** 2 / ee)) / 2 / ((s_dy_dy - ed ** 2 / ee) / (n - 4)) end, 5) as f,
+  case when model = 'error correction' then 2 else 1 end as df1, n - case when model = 'error correction' then 4 else 3 end as df2 from md""")
+def influence(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether volume helps to predict the close, each symbol by the model that fits its series."""
+    out = cointegration.influence(bar_returns(spark, folder), ["symbol"], ["bucket"], "close", "volume", 1)
+    return out.withColumns({c: F.round(c, d) for c, d in {"t_y": 5, "t_x": 5, "trace_none": 4, "trace_one": 4, "f": 5}.items()})
+
+
 CHOW_AT = 1705276800_000000
 
 
@@ -729,8 +786,8 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
 
 #: A day of a symbol's signal backtest as one episode.
 EPISODES = BACKTEST + f""",
-ep as (select symbol, bucket // {24 * HOUR * US} as day, bucket, sum(pnl) over (partition by symbol, bucket // {24 * HOUR * US} order by bucket) as path from bt),
-df as (select *, path - lag(path) over (partition by symbol, day order by bucket) as d, max(path) over (partition by symbol, day order by bucket) - path as dd from ep),
+ep as (select symbol, bucket // {24 * HOUR * US} as day, bucket, pnl, sum(pnl) over (partition by symbol, bucket // {24 * HOUR * US} order by bucket) as path from bt),
+df as (select *, case when lag(path) over (partition by symbol, day order by bucket) is not null then pnl end as d, max(path) over (partition by symbol, day order by bucket) - path as dd from ep),
 fg as (select symbol, day, arg_max(path, bucket) as final_pnl, case when count(d) < 1 or stddev_pop(d) = 0 then 0 else avg(d) / stddev_pop(d) * sqrt(362880) end as sharpe,
   case when count(d) < 1 then 0 when coalesce(stddev_pop(d) filter (d < 0), 0) = 0 then 10 else avg(d) / stddev_pop(d) filter (d < 0) * sqrt(362880) end as sortino, max(dd) as max_drawdown from df group by 1, 2)"""
 FIGURES = ["final_pnl", "sharpe", "sortino", "max_drawdown"]
@@ -740,7 +797,7 @@ def episodes(spark: SparkSession, folder: str) -> DataFrame:
     day = F.floor(F.col("bucket") / (24 * HOUR * US))
     rows = backtested(spark, folder).withColumn("day", day)
     rows = rows.withColumn("path", F.sum("pnl").over(series.ordered(["symbol", "day"], ["bucket"])))
-    return paths.path_figures(rows, ["symbol", "day"], "bucket", "path", 24 * HOUR * US)
+    return paths.path_figures(rows, ["symbol", "day"], "bucket", "path", 24 * HOUR * US, "pnl")
 
 
 @query(f"{EPISODES} select symbol, day, {r('final_pnl', 'max_drawdown')}, round(sharpe, 4) as sharpe, round(sortino, 4) as sortino from fg", digits=6)
@@ -810,6 +867,50 @@ def streaming_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{out}/sessions").select("symbol", F.unix_micros("begin").alias("begin_us"), F.unix_micros("end").alias("end_us"), "n", "volume")
 
 
+def elapsed_sql(closing: bool) -> str:
+    """Sessions as a recursion over each symbol's ticks."""
+    over = f"t.us - s.begin_us >= {6 * HOUR * US}"
+    over = "s.over" if closing else over
+    ends = f"t.us - case when {over} then t.us else s.begin_us end >= {6 * HOUR * US}" if closing else "false"
+    return f"""with recursive {TICKS}, t as (select *, row_number() over (partition by symbol order by us, trade_id) as k from ticks),
+step as (select symbol, k, us, quantity, us as begin_us, 1 as session, false as over from t where k = 1
+  union all select t.symbol, t.k, t.us, t.quantity, case when {over} then t.us else s.begin_us end, s.session + case when {over} then 1 else 0 end, {ends} from step s join t on t.symbol = s.symbol and t.k = s.k + 1)
+select symbol, session::bigint as session, min(us) as begin_us, max(us) as last_us, count(*) as n, round(sum(quantity), 6) as volume from step group by 1, 2"""
+
+
+def in_sessions(spark: SparkSession, folder: str, closing: bool) -> DataFrame:
+    rows = chains.elapsed_sessions(market.ticks(spark, folder), ["symbol"], "us", "trade_id", 6 * HOUR * US, closing)
+    return rows.groupBy("symbol", "session").agg(F.min("us").alias("begin_us"), F.max("us").alias("last_us"), F.count("*").alias("n"), F.sum("quantity").alias("volume"))
+
+
+FILL = 1.0
+
+
+@query(f"""with {STATES}, q as (select symbol, row_number() over (partition by symbol order by seq) - 1 as k, seq, best_bid, best_ask from bk),
+l as (select symbol, k, seq, unnest([struct_pack(side := 'buy', price := best_bid - {FILL}), struct_pack(side := 'sell', price := best_ask + {FILL})], recursive := true) from q)
+select symbol, seq, side, round(price, 6) as price, (select min(x.seq) from q x where x.symbol = l.symbol and x.k > l.k and case side when 'buy' then x.best_ask <= price else x.best_bid >= price end) as reached from l where price is not null""")
+def first_crossings(spark: SparkSession, folder: str) -> DataFrame:
+    """After every message a buy limit below the best bid and a sell limit above the best ask, and the first later message whose opposite best reaches it."""
+    found = stored(chains.numbered(book.states(messages(spark, folder)), ["symbol"], ["seq"], "seq", 1_000_000, "k"), "states")
+    sides = F.array(F.struct(F.lit("buy").alias("side"), (F.col("best_bid") - FILL).alias("price")), F.struct(F.lit("sell").alias("side"), (F.col("best_ask") + FILL).alias("price")))
+    limits = found.select("symbol", "seq", (F.col("k") + 1).alias("since"), F.explode(sides).alias("l")).select("symbol", "seq", "since", "l.*").where("price is not null")
+    met = crossing.first_reach(limits, found, ["symbol"], ["seq", "side"], "since", "k", "hit")
+    named = met.join(found.select("symbol", F.col("k").alias("hit"), F.col("seq").alias("reached")), ["symbol", "hit"], "left")
+    return limits.join(named, ["symbol", "seq", "side"]).select("symbol", "seq", "side", "price", "reached")
+
+
+@query(elapsed_sql(False))
+def elapsed_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of six hours from their first tick on; the first tick after that begins the next."""
+    return in_sessions(spark, folder, False)
+
+
+@query(elapsed_sql(True))
+def elapsed_episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, each with the tick that ended it."""
+    return in_sessions(spark, folder, True)
+
+
 @query(f"with {STATES} select symbol, seq, us, {r('best_bid', 'best_ask', 'mid', 'bid_depth', 'ask_depth')} from bk")
 def streaming_books(spark: SparkSession, folder: str) -> DataFrame:
     """Book states from a stream of messages, with the levels as map state."""
