@@ -1,23 +1,25 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard coefficient of ``LIKE`` or more, found by SimHash.
 
 Words are those of ``simhash``: A-Z lower-cased, runs of bytes other than 0x20 and 0x09-0x0D; fewer than ``SHINGLE`` words form one
-shingle. Rows with equal sets are one node, whatever their number. A node's fingerprint is the SimHash of its shingles; nodes within
-``DISTANCE`` bits meet by ``simhash``'s search (parts of correlated bits, thresholds by dynamic programming, probing) and count
-as near copies only after their sets are compared in full, so none is wrong. Some are missed: the bits of two texts of coefficient j
-differ by 64 / pi * arccos(2 j / (1 + j)) on average, 9.7 at 0.8, and the search finds those within ``DISTANCE``. The README has the
-measured share.
+shingle. Rows with equal sets are one node, whatever their number. A node has ``SEEDS`` fingerprints, each the SimHash of its shingles hashed anew. Each
+is searched by ``simhash``'s generalised pigeonhole (parts of correlated bits, thresholds by dynamic programming, probing), laid out so that all within
+``DISTANCE`` bits meet. Those that meet and differ in at most ``REACH`` bits count as near copies only after their sets are compared in full, so
+none is wrong. Some are missed: the bits of two texts of coefficient j differ by 64 / pi * arccos(2 j / (1 + j)) on average, 9.7 at 0.8, so one
+fingerprint's search finds a part of them; but the fingerprints are independent, and what all of them miss is little. The README has the measured share.
 
 Components are found in two rounds. In the first, one node of each part's value (a leader, by a hash) meets the others there, so its pairs are
 in proportion to the nodes. In the second all pairs of one value meet that are still in different components, so no leader's choice
 decides a result. Of these pairs those within ``CLOSE`` bits are compared first, and then the others that they left in different components, so
-that a group of like texts, connected by then, isn't compared pair by pair.
-Comparing fingerprints of one value takes a few nanoseconds a pair and grows with the square of the values' sharers; the layout weighs that against
-wider parts with more probes, by the number of nodes.
+that a group of like texts, connected by then, isn't compared pair by pair. Only ids meet; sets join the pairs that are left.
+
+Edge cases: null and wordless texts have the empty set, one node; rows with a null id connect nothing; repeated rows are one node; a very long text is
+hashed in pieces, its set held by one task; extra columns are ignored by the search and kept by ``keep_one``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from .simhash import STEP, _hashes, _words
 SHINGLE = 5
 #: Least Jaccard coefficient of near copies, as a fraction of whole numbers.
 LIKE = (4, 5)
-#: Bits by which fingerprints may differ, and by which they differ where they are mostly near copies.
-DISTANCE, CLOSE = 8, 4
+#: Fingerprints of a set; bits within which all that differ meet, by which those that met may differ, and by which mostly near copies differ.
+SEEDS, DISTANCE, REACH, CLOSE = 4, 5, 11, 4
 #: Sets of at most so many bytes in all are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -53,11 +55,14 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """The SimHash of a set; 0 for the empty one."""
+def fingerprint(hashes: np.ndarray, seed: int = 0) -> int:
+    """The SimHash of a set whose hashes are mixed with a seed; 0 for the empty one."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), STEP):
-        counts += np.unpackbits(hashes[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        own = hashes[k : k + STEP]
+        if seed:
+            own = at.mix(own * np.uint64(2 * seed * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1) + np.uint64(seed))
+        counts += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(((2 * counts > len(hashes)).astype(np.uint64) << simhash._BITS).sum())
 
 
@@ -67,16 +72,17 @@ def digest(hashes: np.ndarray) -> int:
 
 
 def _sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fp) of every row."""
+    """(doc_id, text_hash, node, fps) of every row."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() for t in at.text_array(batch.column(2))]
             sets = [shingles(t) for t in texts]
-            nodes, fps = np.array([digest(s) for s in sets], np.uint64).view(np.int64), np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps)], ["doc_id", "text_hash", "node", "fp"])
+            nodes = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([[fingerprint(s, k) for k in range(SEEDS)] for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(list(fps), pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "fps"])
 
-    return documents.select("doc_id", F.xxhash64("text"), "text").mapInArrow(sketched, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, node long, fp long")
+    return documents.select("doc_id", F.xxhash64("text"), "text").mapInArrow(sketched, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, node long, fps array<long>")
 
 
 def _sets(documents: DataFrame) -> DataFrame:
@@ -106,24 +112,38 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> Data
     return pairs.join(left, "a").join(right, "b").where(LIKE[1] * both >= LIKE[0] * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def _entries(nodes: DataFrame) -> DataFrame:
+    """The nodes' columns without fps, with fp, part, value and own: what each fingerprint's parts enter and probe."""
+    sample = [r["fps"] for r in nodes.select("fps").orderBy(F.xxhash64("fps"), "fps").limit(simhash.SAMPLE).collect()]
+    seen, total = np.array(sample or [[0] * SEEDS], np.int64).view(np.uint64), nodes.count()
+    kept = [c for c in nodes.columns if c != "fps"]
+    out = []
+    for k in range(SEEDS):
+        parts = simhash.layout(seen[:, k], total, DISTANCE)
+        own = simhash.entered(nodes.select(*kept, F.get("fps", F.lit(k)).alias("fp")), parts)
+        out.append(own.withColumn("part", F.col("part") + k * 64))
+    return reduce(DataFrame.unionByName, out)
+
+
 def rooted(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, node, root) of the rows with a doc_id: rows of one root are connected by near copies."""
     rows = cut(_sketches(documents.where("doc_id is not null")))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")))
     first = nodes.select("node", "doc_id")
-    parts = simhash.planned(nodes.select("fp").distinct(), DISTANCE)
     of = Window.partitionBy("part", "value")
     leader = F.min_by(F.when(F.col("own"), F.struct("node", "fp")), F.when(F.col("own"), F.xxhash64("node", "value"))).over(of)
-    led = simhash.entered(nodes.select("node", "fp"), parts).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
-    near = led.where((F.col("node") != F.col("b")) & (simhash.apart("fp", "b_fp") <= DISTANCE))
+    led = _entries(nodes.select("node", "fps")).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
+    near = led.where((F.col("node") != F.col("b")) & (simhash.apart("fp", "b_fp") <= REACH))
     found = cut(_confirmed(cut(near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()), documents, first))
-    named = nodes.select("node", "fp").join(components(found), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
-    entries = simhash.entered(named, parts)
+    named = nodes.select("node", "fps").join(components(found), "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root"))
+    entries = _entries(cut(named))
     left, right = (entries.select("part", "value", "own", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "root"))) for s in "lr")
-    # each pair once: from its smaller end, in the first part that brings it together
-    apart = (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root")) & (simhash.apart("l_fp", "r_fp") <= DISTANCE) & ~simhash.earlier(parts, "l_fp", "r_fp")
+    apart = (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root")) & (simhash.apart("l_fp", "r_fp") <= REACH)
+    # from either end: the smaller one may be the one that probes
     met = left.where("own").drop("own").join(right.drop("own"), ["part", "value"]).where(apart)
-    rest = cut(met.select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), simhash.apart("l_fp", "r_fp").alias("d")))
+    back = right.where("own").drop("own").join(left.where("not own").drop("own"), ["part", "value"]).where(apart)
+    pair = lambda m: m.select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), simhash.apart("l_fp", "r_fp").alias("d"))
+    rest = cut(pair(met).unionByName(pair(back)).groupBy("a", "b").agg(F.min("d").alias("d")))
     close = cut(_confirmed(rest.where(F.col("d") <= CLOSE).select("a", "b"), documents, first))
     edges = cut(found.unionByName(close))
     joined = components(edges)
