@@ -2,9 +2,10 @@
 
 A text's words are its runs of letters and digits, lower-cased. An anchor is one of the ``ANCHORS``, very common words of four
 languages; its signature is the anchor with the ``CHAIN`` content words that follow it (anchors are passed over). The text's end
-shortens a chain. A text with fewer than one anchor in ``SPARSE`` words, such as a list, code or another language, would have a
-fingerprint of next to nothing: there the beginning of every content word is an anchor (written ``^``). The fingerprint is the set of
-the signatures' 64-bit hashes, written in ascending order; the likeness of two is the Jaccard coefficient of their sets.
+shortens a chain. Lists, code and other languages have few anchors; so that every text has signatures all along, content words begin chains as
+well (written ``^``): the first one of a text, and every one whose own hash is a multiple of ``SHARE``. That depends on the word alone, so an edit
+changes the signatures that it touches and no others. The fingerprint is the set of the signatures' 64-bit hashes, written in ascending
+order; the likeness of two is the Jaccard coefficient of their sets.
 
 ``similar`` finds the rows like those of a query table: sets are partitioned by their size, so that only sizes that can reach the
 threshold meet, and within a partition they meet on their rarest signatures alone, as many as a pair over the threshold cannot all
@@ -34,8 +35,8 @@ ANCHORS = (
     "el", "en", "los", "y", "las", "del", "al",
 )
 CHAIN = 3
-#: Words for each anchor that a text has at the least, or else every content word is one.
-SPARSE = 12
+#: One in so many content words begins a chain, by its hash.
+SHARE = 4
 #: Ranges per shuffle partition; several even out their sizes.
 SPREAD = 4
 _GLUE = "\u0001"
@@ -56,19 +57,15 @@ def signatures(text: Column) -> Column:
     glued = F.regexp_replace(F.concat(plain, F.lit(" ")), f"(?<![^ ])({'|'.join(ANCHORS)}) ", f"$1{_GLUE}")
 
     def of_groups(groups: Column) -> Column:
-        return _let(F.transform(groups, lambda g: F.substring_index(g, _GLUE, -1)), lambda words: with_words(groups, words))
+        return _let(F.transform(groups, lambda g: F.substring_index(g, _GLUE, -1)), lambda words: chains(groups, words))
 
-    def with_words(groups: Column, words: Column) -> Column:
-        anchors = F.aggregate(groups, F.lit(0), lambda n, g: n + F.size(F.split(g, _GLUE)) - 1)
-        content = F.size(F.filter(words, lambda w: w != ""))  # the last group may be anchors alone
-        return _let(anchors * SPARSE < content + anchors, lambda sparse: chains(groups, words, sparse))
-
-    def chains(groups: Column, words: Column, sparse: Column) -> Column:
+    def chains(groups: Column, words: Column) -> Column:
         def of_group(g: Column, k: Column) -> Column:
             chain = [F.coalesce(F.get(words, k + i), F.lit("")) for i in range(CHAIN)]
             parts = F.split(g, _GLUE)
-            every = F.when(chain[0] != "", F.array(F.lit("^"))).otherwise(F.array().cast("array<string>"))
-            return F.transform(F.when(sparse, every).otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1)), lambda a: F.xxhash64(a, *chain))
+            begins = (chain[0] != "") & ((k == 0) | (F.pmod(F.xxhash64(chain[0]), F.lit(SHARE)) == 0))  # the last group may be anchors alone
+            marks = F.when(begins, F.array(F.lit("^"))).otherwise(F.array().cast("array<string>"))
+            return F.transform(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), marks), lambda a: F.xxhash64(a, *chain))
 
         return F.flatten(F.transform(groups, of_group))
 
