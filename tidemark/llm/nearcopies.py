@@ -3,7 +3,7 @@
 Words are those of ``simhash``: A-Z lower-cased, runs of bytes other than 0x20 and 0x09-0x0D; fewer than ``SHINGLE`` words form one
 shingle. Rows with equal sets are one node, whatever their number. A node has ``SEEDS`` fingerprints, each the SimHash of its shingles hashed anew. Each
 is searched by ``simhash``'s generalised pigeonhole (parts of correlated bits, thresholds by dynamic programming, probing), laid out so that all within
-``DISTANCE`` bits meet. Those that meet and differ in at most ``REACH`` bits count as near copies only after their sets are compared in full, so
+``DISTANCE`` bits meet. Those that meet, differ in at most ``REACH`` bits and in ``ALL`` a fingerprint over all their fingerprints count as near copies only after their sets are compared in full, so
 none is wrong. Some are missed: the bits of two texts of coefficient j differ by 64 / pi * arccos(2 j / (1 + j)) on average, 9.7 at 0.8, so one
 fingerprint's search finds a part of them; but the fingerprints are independent, and what all of them miss is little. The README has the measured share.
 
@@ -38,6 +38,8 @@ SHINGLE = 5
 LIKE = (4, 5)
 #: Fingerprints of a set; bits within which all that differ meet, by which those that met may differ, and by which mostly near copies differ.
 SEEDS, DISTANCE, REACH, CLOSE = 4, 5, 11, 4
+#: Bits a fingerprint by which those that met may differ on average over all of a set's; texts of coefficient 0.8 pass 13 with a chance of 0.99.
+ALL = 13
 #: Sets of at most so many bytes in all are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -112,6 +114,14 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> Data
     return pairs.join(left, "a").join(right, "b").where(LIKE[1] * both >= LIKE[0] * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose fingerprints differ in at most SEEDS * ALL bits in all. Only fingerprints travel, so that few sets have to."""
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("fps").alias(f"{end}_fps")), end)
+    differ = [F.bit_count(F.get("a_fps", F.lit(k)).bitwiseXOR(F.get("b_fps", F.lit(k)))) for k in range(SEEDS)]
+    return pairs.where(reduce(lambda x, y: x + y, differ) <= SEEDS * ALL).drop("a_fps", "b_fps")
+
+
 def _entries(nodes: DataFrame) -> DataFrame:
     """The nodes' columns without fps, with fp, part, value and own: what each fingerprint's parts enter and probe."""
     sample = [r["fps"] for r in nodes.select("fps").orderBy(F.xxhash64("fps"), "fps").limit(simhash.SAMPLE).collect()]
@@ -134,7 +144,7 @@ def rooted(documents: DataFrame) -> DataFrame:
     leader = F.min_by(F.when(F.col("own"), F.struct("node", "fp")), F.when(F.col("own"), F.xxhash64("node", "value"))).over(of)
     led = _entries(nodes.select("node", "fps")).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
     near = led.where((F.col("node") != F.col("b")) & (simhash.apart("fp", "b_fp") <= REACH))
-    found = cut(_confirmed(cut(near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()), documents, first))
+    found = cut(_confirmed(cut(_likely(near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), nodes)), documents, first))
     named = nodes.select("node", "fps").join(components(found), "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root"))
     entries = _entries(cut(named))
     left, right = (entries.select("part", "value", "own", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "root"))) for s in "lr")
@@ -143,7 +153,7 @@ def rooted(documents: DataFrame) -> DataFrame:
     met = left.where("own").drop("own").join(right.drop("own"), ["part", "value"]).where(apart)
     back = right.where("own").drop("own").join(left.where("not own").drop("own"), ["part", "value"]).where(apart)
     pair = lambda m: m.select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), simhash.apart("l_fp", "r_fp").alias("d"))
-    rest = cut(pair(met).unionByName(pair(back)).groupBy("a", "b").agg(F.min("d").alias("d")))
+    rest = cut(_likely(pair(met).unionByName(pair(back)).groupBy("a", "b").agg(F.min("d").alias("d")), nodes))
     close = cut(_confirmed(rest.where(F.col("d") <= CLOSE).select("a", "b"), documents, first))
     edges = cut(found.unionByName(close))
     joined = components(edges)
