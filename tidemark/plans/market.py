@@ -5,6 +5,8 @@ Bars are one hour, the tick windows hours rather than seconds, since the tables'
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -853,7 +855,7 @@ def streaming_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics kept from micro-batch to micro-batch; the newest version."""
     out = shared_folder(spark, "streaming-statistics")
     ended(streamed_ticks(spark, folder).writeStream.foreachBatch(streams.stats_by_batch(f"{out}/stats", ["symbol"], "price")), out)
-    last = max(k for k in range(1000) if market.exists(spark, f"{out}/stats/v{k}"))
+    last = next(k for k in itertools.count() if not market.exists(spark, f"{out}/stats/v{k + 1}"))
     return spark.read.parquet(f"{out}/stats/v{last}")
 
 
