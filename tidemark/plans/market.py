@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
-from tidemark.operators import asof, backtest, book, candles, chains, cointegration, crossing, features, indicators, learning, paths, research
+from tidemark.operators import asof, backtest, book, candles, chains, cointegration, crossing, features, indicators, learning, paths, research, rules
 from tidemark.sources import market
 from tidemark.sources.shared import shared_folder, stored
+from tidemark.streaming import rules as stream_rules
 from tidemark.streaming import streams
 
 HOUR = 3600
@@ -885,6 +886,46 @@ def in_sessions(spark: SparkSession, folder: str, closing: bool) -> DataFrame:
     return rows.groupBy("symbol", "session").agg(F.min("us").alias("begin_us"), F.max("us").alias("last_us"), F.count("*").alias("n"), F.sum("quantity").alias("volume"))
 
 
+#: An alarm's rule over ticks' prices: tiers, breaches in a row, quiet time, and how late a stream's ticks may come.
+TIERS, IN_ROW, QUIET, LATENESS = (60.0, 80.0, 95.0), 2, 2 * HOUR * US, 1
+
+
+def actions_sql(until: str | None = None) -> str:
+    """Alarms from windows over each symbol's breaches."""
+    end = f"(select {until} from ticks)"
+    seen = f"where us <= {end}" if until else ""
+    due = f"where action <> 'release' or us <= {end}" if until else ""
+    return f"""with {TICKS}, lv as (select symbol, us, trade_id, (price > {TIERS[0]})::int + (price > {TIERS[1]})::int + (price > {TIERS[2]})::int as lv from ticks {seen}),
+cl as (select *, sum((coalesce(lv, 0) = 0)::int) over (partition by symbol order by us, trade_id rows unbounded preceding) as clean from lv),
+br as (select *, coalesce(us - lag(us) over w >= {QUIET}, true) as apart, coalesce(lag(clean) over w <> clean, true) as other from cl where lv > 0 window w as (partition by symbol order by us, trade_id)),
+al as (select *, sum(apart::int) over w as alarm, sum((apart or other)::int) over w as run from br window w as (partition by symbol order by us, trade_id rows unbounded preceding)),
+ps as (select *, row_number() over (partition by symbol, run order by us, trade_id) as place, max(lv) over (partition by symbol, alarm order by us, trade_id rows unbounded preceding) as tier from al),
+ra as (select *, count(*) filter (place >= {IN_ROW}) over (partition by symbol, alarm order by us, trade_id rows unbounded preceding) as raised, lag(tier) over (partition by symbol, alarm order by us, trade_id) as before from ps),
+ev as (select symbol, us, 'raise' as action, tier from ra where raised = 1 and place >= {IN_ROW}
+  union all select symbol, us, 'escalate', tier from ra where tier > before and raised > (place >= {IN_ROW})::int
+  union all select symbol, max(us) + {QUIET}, 'release', max(tier) from ra group by symbol, alarm having max(raised) > 0)
+select symbol, us, action, tier from ev {due}"""
+
+
+@query(actions_sql())
+def stateful_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Alarms of each symbol's prices: raised by breaches in a row, escalated by tier, released after quiet hours."""
+    return rules.actions(market.ticks(spark, folder), ["symbol"], "us", "trade_id", "price", TIERS, IN_ROW, QUIET)
+
+
+@query(actions_sql(f"max(us) // 1000 * 1000 - {LATENESS * HOUR * US}"))
+def streaming_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The same alarms as state of a stream with timers, as far as its watermark comes."""
+    out, before = shared_folder(spark, "streaming-rules"), spark.conf.get(streams.ROCKS[0])
+    spark.conf.set(*streams.ROCKS)
+    try:
+        rows = streamed_ticks(spark, folder).withColumn("tie", F.col("trade_id"))
+        ended(stream_rules.actions(rows, "price", TIERS, IN_ROW, QUIET, f"{LATENESS} hour").writeStream.foreachBatch(streams.versions(f"{out}/actions")), out)
+    finally:
+        spark.conf.set(streams.ROCKS[0], before)
+    return spark.read.parquet(f"{out}/actions").drop("batch")
+
+
 FILL = 1.0
 
 
