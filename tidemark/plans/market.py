@@ -14,6 +14,7 @@ from tidemark.functions import series
 from tidemark.operators import asof, backtest, book, candles, chains, cointegration, crossing, features, indicators, learning, paths, research, rules
 from tidemark.sources import market
 from tidemark.sources.shared import shared_folder, stored
+from tidemark.streaming import online
 from tidemark.streaming import rules as stream_rules
 from tidemark.streaming import streams
 
@@ -926,6 +927,50 @@ def streaming_rules(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{out}/actions").drop("batch")
 
 
+@query("select user_id, max(epoch_us(ts)) as us, round(arg_max(value, (epoch_us(ts), event_id)), 6) as price, arg_max(event_id, (epoch_us(ts), event_id)) as trade_id from events group by 1")
+def online_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's last value, kept online from a stream of eight files, a file a micro-batch, compacted every third."""
+    out = shared_folder(spark, "online-features")
+    rows = market.ticks(spark, folder).select("us", "price", "trade_id").join(market.table(spark, folder, "events").select(F.col("event_id").alias("trade_id"), "user_id"), "trade_id")
+    rows.repartition(8, "trade_id").write.parquet(f"{out}/in")
+    table = online.OnlineTable(f"{out}/table", ["user_id"], ["us", "trade_id"], every=3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    ended(stream.writeStream.foreachBatch(table), out)
+    return table.read(spark).select("user_id", "us", "price", "trade_id")
+
+
+@query(f"with {TICKS} select trade_id, round((price - avg(price) over ()) / stddev_samp(price) over (), 6) as price, round((quantity - avg(quantity) over ()) / stddev_samp(quantity) over (), 6) as quantity from ticks")
+def streaming_scaled(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices and sizes of a stream scaled by the statistics so far; the table is one file, so one micro-batch."""
+    out = shared_folder(spark, "streaming-scaled")
+    scale, write = streams.RunningScale(f"{out}/statistics", ["price", "quantity"]), streams.versions(f"{out}/scaled")
+    ended(streamed_ticks(spark, folder).writeStream.foreachBatch(lambda batch, number: write(scale(batch, number), number)), out)
+    return spark.read.parquet(f"{out}/scaled").select("trade_id", "price", "quantity")
+
+
+HOURS = f"with {TICKS} select strftime(make_timestamp(us), '%Y%m%d_%H') as hour, min(us) as first_time, max(us) as last_time, count(*) as n_rows from ticks group by 1"
+
+
+@query(HOURS)
+def footer_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The ticks written by hours, and each hour's range from the files' footers."""
+    out = shared_folder(spark, "hours")
+    trades = market.ticks(spark, folder).select("trade_id", "price", "quantity", F.col("us").alias("timestamp"), F.col("ts").alias("datetime"), F.date_format(F.timestamp_micros("us"), "yyyyMMdd_HH").alias("hour"))
+    market.write_hours(trades, out)
+    return market.footer_ranges(spark, out).withColumn("hour", F.col("hour").cast("string"))
+
+
+@query(f"{HOURS.replace('count(*) as n_rows', 'count(*) as n_rows, sum(trade_id)::bigint as ids')}")
+def converted_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """The ticks written as CSV files of trades, these converted chunk by chunk and read back."""
+    out = shared_folder(spark, "trades")
+    lines = market.ticks(spark, folder).select("trade_id", "price", "quantity", (F.col("price") * F.col("quantity")).alias("trade_value"), F.col("us").cast("string").alias("timestamp"), F.col("is_buyer_maker").cast("string").alias("maker"), F.lit("True").alias("best"))
+    lines.repartition(4, "trade_id").write.csv(f"{out}/csv")
+    size = sum(market._files(spark, f"{out}/csv").values())
+    rows = market.convert_in_chunks(spark, f"{out}/csv", f"{out}/trades", size // 2)
+    return rows.groupBy("hour").agg(F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"), F.count("*").alias("n_rows"), F.sum("trade_id").alias("ids"))
+
+
 FILL = 1.0
 
 

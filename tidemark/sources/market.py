@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.shared import stored
+
 #: Aggregated trades, with a header line; timestamps in milliseconds.
 AGGREGATED = T.StructType([T.StructField("aggTradeId", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("qty", T.DoubleType()), T.StructField("firstTradeId", T.LongType()), T.StructField("lastTradeId", T.LongType()), T.StructField("timestamp", T.LongType()), T.StructField("maker", T.StringType())])
 #: Spot trades, without a header; timestamps in microseconds.
@@ -32,7 +35,7 @@ def read_aggregated_trades(spark: SparkSession, path: str, symbol: str = "BTC")
     return raw.where("timestamp is not null").select(F.lit(symbol).alias("symbol"), F.timestamp_millis("timestamp").alias("ts"), "price", F.col("qty").alias("quantity"), F.col("aggTradeId").alias("trade_id"), "firstTradeId", "lastTradeId", F.coalesce(F.trim("maker") == "True", F.lit(False)).alias("is_buyer_maker"))
 
 
-def read_spot_trades(spark: SparkSession, path: str) -> DataFrame:
+def read_spot_trades(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Trades of a headerless CSV with datetime and hour keys; malformed lines and unreadable times are dropped."""
     raw = spark.read.schema(SPOT).option("mode", "DROPMALFORMED").csv(path)
     micros = F.col("timestamp").try_cast("long")
@@ -86,6 +89,85 @@ def hour_ranges(trades: DataFrame, time: str = "datetime") -> DataFrame:
     return trades.groupBy("hour").agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.count("*").alias("n_rows"))
 
 
+def footer_ranges(spark: SparkSession, path: str, time: str = "timestamp") -> DataFrame:
+    """First and last ``time`` (a number, such as microseconds) and rows of each hour of a table by hours, from the statistics in its files' footers: no column is read.
+
+    The table of a row an hour is stored; the session's settings are put back."""
+    asked = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in asked}
+    for k, v in asked.items():
+        spark.conf.set(k, v)
+    try:
+        return stored(footer_plan(spark, path, time), "ranges")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def footer_plan(spark: SparkSession, path: str, time: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("hour").agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.count("*").alias("n_rows"))
+
+
+def read_between(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """Trades of a table that ``write_hours`` wrote with first <= datetime <= last (UTC or the session's zone). The manifest tells the hours that reach into that span,
+    and the scan is given these folders alone."""
+    a, b = (F.lit(x).cast("timestamp") for x in (first, last))
+    hours = spark.read.json(f"{path}_manifest").where((F.col("last_time").cast("timestamp") >= a) & (F.col("first_time").cast("timestamp") <= b)).select("hour")
+    trades = spark.read.option("basePath", path).parquet(path).withColumn("hour", F.col("hour").cast("string"))
+    return trades.join(hours, "hour", "left_semi").where(F.col("datetime").between(a, b))
+
+
+def _files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Name and length of a file, or of a folder's files."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().toString(): f.getLen() for f in store.listStatus(place) if f.isFile() and not f.getPath().getName().startswith(("_", "."))}
+
+
+def _finish(spark: SparkSession, target: str, chunk: str, files: dict[str, int]) -> None:
+    """The record that makes a chunk part of the table."""
+    spark.createDataFrame([(chunk, f, n) for f, n in files.items()], "chunk string, file string, bytes long").coalesce(1).write.json(f"{target}_done/{chunk}")
+
+
+def convert_in_chunks(spark: SparkSession, csv_folder: str, target: str, chunk_bytes: int = 64 << 30) -> DataFrame:
+    """The trades of a folder's CSV files as Parquet by chunk and hour, a chunk of about ``chunk_bytes`` of files at a time.
+
+    A chunk counts once its record is in <target>_done, which is written after its rows and its hours' ranges. Called again after a stop, or with more files in the
+    folder, finished files are skipped, rows without a record stay unread, and only the rest is converted. A finished file of another length is an error."""
+    files = _files(spark, csv_folder)
+    done = {r["file"]: r["bytes"] for r in spark.read.json(f"{target}_done/*").collect()} if exists(spark, f"{target}_done") else {}  # a row a file
+    if changed := [f for f, n in done.items() if files.get(f, n) != n]:
+        raise ValueError(f"changed since it was converted: {changed[0]}")
+    chunks: list[dict[str, int]] = []
+    for name in sorted(files.keys() - done.keys()):
+        if not chunks or sum(chunks[-1].values()) + files[name] > chunk_bytes:
+            chunks.append({})
+        chunks[-1][name] = files[name]
+    for part in chunks:
+        chunk = uuid.uuid4().hex
+        out = f"{target}/chunk={chunk}"
+        read_spot_trades(spark, list(part)).hint("rebalance", "hour").write.partitionBy("hour").option("maxRecordsPerFile", 5_000_000).parquet(out)
+        footer_ranges(spark, out).coalesce(1).write.json(f"{target}_ranges/chunk={chunk}")
+        _finish(spark, target, chunk, part)
+    return read_converted(spark, target)
+
+
+def _finished(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema("chunk string").json(f"{target}_done/*").distinct()
+
+
+def read_converted(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of all finished chunks."""
+    rows = spark.read.parquet(target)
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("chunk", "hour")}).join(F.broadcast(_finished(spark, target)), "chunk", "left_semi").drop("chunk")  # a row a chunk
+
+
+def converted_ranges(spark: SparkSession, target: str) -> DataFrame:
+    """The manifest of all finished chunks: hour, first_time, last_time (microseconds), n_rows."""
+    ranges = spark.read.json(f"{target}_ranges").withColumns({c: F.col(c).cast("string") for c in ("chunk", "hour")}).join(F.broadcast(_finished(spark, target)), "chunk", "left_semi")
+    return ranges.groupBy("hour").agg(F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"), F.sum("n_rows").alias("n_rows"))
+
+
 def read_book_messages(spark: SparkSession, path: str) -> DataFrame:
     """Snapshots and deltas of JSON lines; lines that can't be read, other types, and empty times or data are skipped."""
     return valid_messages(spark.read.schema(BOOK).option("mode", "PERMISSIVE").json(path))

@@ -156,6 +156,32 @@ def stats_by_batch(path: str, keys: list[str], value: str) -> Callable[[DataFram
     return merge
 
 
+class RunningScale:
+    """Scales each micro-batch by mean and deviation of all rows so far, its own included; the statistics are a version a batch in ``path``/v<batch>.
+
+    A batch that is retried reads the version before it and writes its own again, so its rows count once and are scaled alike. Missing values are not
+    counted and stay missing; a feature that doesn't vary is only centred."""
+
+    def __init__(self, path: str, features: list[str]):
+        self.path, self.features = path, features
+
+    def __call__(self, batch: DataFrame, number: int) -> DataFrame:
+        long = batch.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in self.features))).alias("x")).select("x.*")
+        stats_by_batch(self.path, ["feature"], "value")(long, number)
+        return self.scaled(batch, number)
+
+    def statistics(self, spark: SparkSession, number: int) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/v{number}")
+
+    def scaled(self, rows: DataFrame, number: int) -> DataFrame:
+        """``rows`` by the statistics of a version, with that version's number."""
+        figure = lambda c, f: F.max(F.when(F.col("feature") == f, F.col(c)))
+        row = self.statistics(rows.sparkSession, number).agg(*(figure(c, f).alias(f"_{c}_{f}") for f in self.features for c in ("mean", "sd")))
+        out = rows.crossJoin(F.broadcast(row))  # one row of statistics
+        out = out.withColumns({f: (F.col(f) - F.col(f"_mean_{f}")) / F.when(F.col(f"_sd_{f}") > 0, F.col(f"_sd_{f}")).otherwise(1.0) for f in self.features})
+        return out.select(*rows.columns, F.lit(number).cast("long").alias("stats_version"))
+
+
 class TrainThenScore:
     """A foreachBatch function that stores batches until ``rows`` rows are there, fits once, and scores every batch from then on.
 
@@ -189,3 +215,19 @@ class TrainThenScore:
     def finish(self, spark: SparkSession) -> None:
         if self.model(spark) is None and exists(spark, f"{self.store}/batches") and (model := self._fitted(spark, self.least + 1)):
             self.score(model, spark.read.parquet(f"{self.store}/batches").drop("batch")).write.mode("overwrite").parquet(f"{self.out}/batch=-1")
+
+
+class NormaliseTrainThenScore(TrainThenScore):
+    """``TrainThenScore`` on batches that ``RunningScale`` has scaled, in training and scoring alike. Scored rows tell the version of the statistics and that of the model, the
+    number of the last batch it was fitted on."""
+
+    def __init__(self, features: list[str], fit: Callable[[DataFrame], object], score: Callable[[object, DataFrame], DataFrame], store: str, out: str, rows: int, least: int = 100):
+        def versioned(model, df: DataFrame) -> DataFrame:
+            fitted = df.sparkSession.read.parquet(f"{store}/batches").agg(F.max("batch").cast("long").alias("model_version"))  # folders' names alone
+            return score(model, df).crossJoin(F.broadcast(fitted))
+
+        super().__init__(fit, versioned, store, out, rows, least)
+        self.scale = RunningScale(f"{store}/statistics", features)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        super().__call__(self.scale(batch, number), number)
