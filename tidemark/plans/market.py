@@ -962,12 +962,12 @@ def footer_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{HOURS.replace('count(*) as n_rows', 'count(*) as n_rows, sum(trade_id)::bigint as ids')}")
 def converted_trades(spark: SparkSession, folder: str) -> DataFrame:
-    """The ticks written as CSV files of trades, these converted chunk by chunk and read back."""
+    """The ticks written as four CSV files of trades, these converted chunk by chunk (two files each, or so) and read back."""
     out = shared_folder(spark, "trades")
     lines = market.ticks(spark, folder).select("trade_id", "price", "quantity", (F.col("price") * F.col("quantity")).alias("trade_value"), F.col("us").cast("string").alias("timestamp"), F.col("is_buyer_maker").cast("string").alias("maker"), F.lit("True").alias("best"))
     lines.repartition(4, "trade_id").write.csv(f"{out}/csv")
     size = sum(market._files(spark, f"{out}/csv").values())
-    rows = market.convert_in_chunks(spark, f"{out}/csv", f"{out}/trades", size // 2)
+    rows = market.convert_in_chunks(spark, f"{out}/csv", f"{out}/trades", size * 6 // 10)
     return rows.groupBy("hour").agg(F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"), F.count("*").alias("n_rows"), F.sum("trade_id").alias("ids"))
 
 
