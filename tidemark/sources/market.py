@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
@@ -73,7 +74,7 @@ def load_trades(spark: SparkSession, csv_path: str) -> DataFrame:
                 return found
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         store = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        number = next(k for k in range(1, 10_000) if not exists(spark, f"{target}_backup_{k}"))
+        number = next(k for k in itertools.count(1) if not exists(spark, f"{target}_backup_{k}"))
         store.rename(hadoop(target), hadoop(f"{target}_backup_{number}"))
     write_hours(read_spot_trades(spark, csv_path), target)
     return spark.read.parquet(target)
