@@ -116,22 +116,31 @@ def beside(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, before:
     return out.drop("_chunk", "_last", "_first", *(f"_b_{n}" for n in before), *(f"_a_{n}" for n in after))
 
 
-def latest(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, found: dict[str, Column], ahead: bool = False) -> DataFrame:
-    """``df`` with each column of ``found`` (null where a row has none) taken from the last row up to this one in the order that has it, or
-    with ``ahead`` from the first row from this one on. ``order`` begins with the time ``at``.
+def around(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
+    """``df`` with each column of ``before`` (null where a row has none) taken from the last row up to this one in the order that has it, and each
+    of ``after`` from the first row from this one on. ``order`` begins with the time ``at``.
 
-    Chunks of time are ordered side by side; each chunk's last value, a row a chunk, is carried to the chunks after it."""
-    turn = F.desc if ahead else F.asc
+    Chunks of time are ordered side by side; each chunk's last and first values, a row a chunk, are carried to the chunks after and before it.
+    Rows are dealt once for both directions."""
+    found = before | after
     spread = df.withColumn("_chunk", F.floor(F.col(at) / chunk).cast("long")).withColumns({f"_v_{n}": c for n, c in found.items()})
-    end = F.min_by if ahead else F.max_by
-    ends = spread.groupBy(*keys, "_chunk").agg(*(end(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}") for n in found))
-    earlier = Window.partitionBy(*keys).orderBy(turn("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_chunk", *(F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in found))
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, 0)
-    own = spread.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(within) for n in found}).join(carried, [*keys, "_chunk"])
+    end = lambda n: (F.min_by if n in after else F.max_by)(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}")
+    ends = spread.groupBy(*keys, "_chunk").agg(*map(end, found))
+
+    def last(name: str, n: str, place: Sequence[str], by: Keys, to: int) -> Column:
+        turn = F.desc if n in after else F.asc
+        return F.last(name, ignorenulls=True).over(Window.partitionBy(*place).orderBy(*map(turn, by)).rowsBetween(Window.unboundedPreceding, to))
+
+    carried = ends.select(*keys, "_chunk", *(last(f"_e_{n}", n, keys, ["_chunk"], -1).alias(f"_c_{n}") for n in found))
+    own = spread.withColumns({n: last(f"_v_{n}", n, [*keys, "_chunk"], order, 0) for n in found}).join(carried, [*keys, "_chunk"])
     return own.withColumns({n: F.coalesce(n, f"_c_{n}") for n in found}).drop("_chunk", *(f"{p}_{n}" for n in found for p in ("_v", "_c")))
 
 
+def latest(df: DataFrame, keys: Keys, order: Keys, at: str, chunk: int, found: dict[str, Column], ahead: bool = False) -> DataFrame:
+    """``around`` in one direction: each column from the last row up to this one that has it, or with ``ahead`` from the first from this one on."""
+    return around(df, keys, order, at, chunk, *(({}, found) if ahead else (found, {})))
+
+
 #: An aggregate over a trailing span of time: kind (sum, count, min, max, stddev_samp, stddev_pop), column, span in microseconds.
 Trailing = tuple[str, str, int]
 

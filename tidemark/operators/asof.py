@@ -28,13 +28,15 @@ def backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value:
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tie: str, name: str, chunk: int = DAY) -> DataFrame:
     """``left`` with the ``value`` and time (``name``_at) of the right row nearest in time; of two equally near the earlier, of
     right rows at one time the last looking back and the first looking ahead."""
-    order, mark = ["_t", "_side", "_tie"], F.when(F.col("_side") == 0, F.struct("_vt", "_v"))
-    stacked = _stacked(left, right, keys, at, value, tie)
-    stacked = series.latest(stacked, keys, order, "_t", chunk, {"_b": mark})
-    stacked = series.latest(stacked, keys, order, "_t", chunk, {"_a": mark}, ahead=True).where("_side = 1")
+    return _nearest(_stacked(left, right, keys, at, value, tie), keys, name, chunk)
+
+
+def _nearest(stacked: DataFrame, keys: list[str], name: str, chunk: int) -> DataFrame:
+    mark = F.when(F.col("_side") == 0, F.struct("_vt", "_v"))
+    found = series.around(stacked, keys, ["_t", "_side", "_tie"], "_t", chunk, {"_b": mark}, {"_a": mark}).where("_side = 1")
     ahead = F.col("_b").isNull() | (F.col("_a._vt") - F.col("_t") < F.col("_t") - F.col("_b._vt"))
     pick = F.when(ahead, F.coalesce("_a", "_b")).otherwise(F.col("_b"))
-    return stacked.withColumn("_p", pick).select("_row.*", F.col("_p._v").alias(name), F.col("_p._vt").alias(f"{name}_at"))
+    return found.withColumn("_p", pick).select("_row.*", F.col("_p._v").alias(name), F.col("_p._vt").alias(f"{name}_at"))
 
 
 def over_interval(grid: DataFrame, ticks: DataFrame, keys: list[str], at: str, aggregates: dict[str, series.Trailing], chunk: int = DAY) -> DataFrame:
@@ -50,8 +52,12 @@ def labelled(bars: DataFrame, keys: list[str], at: str, price: str, horizon: int
     """Bars with the price nearest to ``horizon`` microseconds ahead, its return and its label (1 where it rose).
 
     The last bars match the last row, so none is without a label."""
-    asked = bars.withColumn("_own", F.col(at)).withColumn(at, F.col(at) + horizon)
-    right = bars.select(*keys, at, price, F.col(at).alias("_tie_at"))
-    found = nearest(asked, right, keys, at, price, "_tie_at", "future_price", chunk).withColumn(at, F.col("_own")).drop("_own")
+    kinds = dict(bars.dtypes)
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    # every bar is there twice, as one that asks for the price at its horizon and as one that has a price
+    asks = F.struct((F.col(at) + horizon).alias("_t"), F.lit(1).alias("_side"), none("long", "_tie"), none(kinds[price], "_v"), none(kinds[at], "_vt"), F.struct(*bars.columns).alias("_row"))
+    has = F.struct(F.col(at).alias("_t"), F.lit(0).alias("_side"), F.col(at).cast("long").alias("_tie"), F.col(price).alias("_v"), F.col(at).alias("_vt"), none(bars.schema, "_row"))
+    stacked = bars.select(*keys, F.explode(F.array(asks, has)).alias("_s")).select(*keys, "_s.*")
+    found = _nearest(stacked, keys, "future_price", chunk)
     change = F.try_divide(F.col("future_price"), F.col(price)) - 1
     return found.withColumnRenamed("future_price_at", "future_at").withColumn("return_pct", change).withColumn("label", (F.col("return_pct") > 0).cast("int"))

@@ -486,12 +486,15 @@ def book_features(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("symbol", "seq", "spread", "vol_10", "voi_10", "vol_50", "voi_50", "vol_100", "voi_100", "time_sin", "time_cos")
 
 
-@query(f"""with {STATES}, live as (select s.symbol, s.seq, b.side, b.price, b.size, row_number() over (partition by s.symbol, s.seq, b.side order by case when b.side = 'bid' then -b.price else b.price end) as rank
+LEVELS = STATES + """, live as (select s.symbol, s.seq, b.side, b.price, b.size, row_number() over (partition by s.symbol, s.seq, b.side order by case when b.side = 'bid' then -b.price else b.price end) as rank
     from bs s join ep e on e.symbol = s.symbol and e.seq = s.seq join lv b on b.symbol = s.symbol and b.epoch = e.epoch and b.seq <= s.seq and s.seq < b.until and (b.size <> 0 or b.snap)),
 held as (select s.symbol, s.seq, d.side, d.sign, count(l.price) as n, coalesce(case when d.side = 'bid' then min(l.price) else max(l.price) end, coalesce(any_value(case when d.side = 'bid' then best_ask else best_bid end), 1000) + d.sign * 0.01) as edge
-    from bs s cross join (values ('bid', -1), ('ask', 1)) d(side, sign) left join (select * from live where rank <= 10) l on l.symbol = s.symbol and l.seq = s.seq and l.side = d.side group by 1, 2, 3, 4)
-select symbol, seq, side, cast(rank as int) as rank, round(price, 6) as price, size from live where rank <= 10
-union all select symbol, seq, side, cast(n + k as int), round(edge + sign * 0.01 * k, 6), 0 from held, (select unnest(range(1, 11)) as k) where n + k <= 10""")
+    from bs s cross join (values ('bid', -1), ('ask', 1)) d(side, sign) left join (select * from live where rank <= 10) l on l.symbol = s.symbol and l.seq = s.seq and l.side = d.side group by 1, 2, 3, 4),
+tops as (select symbol, seq, side, cast(rank as int) as rank, price, size from live where rank <= 10
+  union all select symbol, seq, side, cast(n + k as int), edge + sign * 0.01 * k, 0 from held, (select unnest(range(1, 11)) as k) where n + k <= 10)"""
+
+
+@query(f"with {LEVELS} select symbol, seq, side, rank, round(price, 6) as price, size from tops")
 def book_levels(spark: SparkSession, folder: str) -> DataFrame:
     tops = book.states(messages(spark, folder), 10)
     sides = [tops.select("symbol", "seq", F.lit(s[:-1]).alias("side"), F.posexplode(s).alias("rank", "l")) for s in ("bids", "asks")]
@@ -515,10 +518,29 @@ def order_flow(spark: SparkSession, folder: str) -> DataFrame:
     return book.market_features(rows, FLOWS, market.ticks(spark, folder)).select("symbol", "seq", *(f"ofi_{k}" for k in FLOWS))
 
 
-@query()
+def _back(k: int) -> str:
+    return f"over (partition by symbol order by seq rows {k - 1} preceding)"
+
+
+_VOL = {f"vol_{k}": f"case when count(mid) {_back(k)} >= {k} then stddev_pop(lr) {_back(k - 1)} else 0 end" for k in (10, 50, 100)}
+_VOI = {f"voi_{k}": f"case when count(*) {_back(k)} >= {k} then avg(imbalance) {_back(k)} else 0 end" for k in (10, 50, 100)}
+#: The market features in the vector's order, that of the alphabet.
+_MARKET = sorted((_VOL | _VOI | {f"ofi_{k}": "0" for k in (10, 50, 100)} | {
+    "mid_price": "coalesce(mid, 0)", "spread": "coalesce(spread, 0)", "bid_depth": "bid_depth", "ask_depth": "ask_depth", "time_sin": "sin(2 * pi() * (us % 86400000000) / 86400000000)", "time_cos": "cos(2 * pi() * (us % 86400000000) / 86400000000)",
+    "micro_price": "coalesce(case when best_bid is not null and best_ask is not null and bid_size + ask_size > 0 then (best_bid * ask_size + best_ask * bid_size) / (bid_size + ask_size) else mid end, 0)",
+}).items())
+
+
+@query(f"""with {LEVELS}, l as (select *, ln(mid / lag(mid) over (partition by symbol order by seq)) as lr from bk),
+ft as (select symbol, seq, [{", ".join(f"cast({sql} as double)" for _, sql in _MARKET)}] as v from l),
+lt as (select t.*, case when coalesce(b.mid, 0) = 0 then 1 else b.mid end as mid, case when side = 'ask' then 20 else 0 end + 2 * (rank - 1) as first from tops t join bk b on b.symbol = t.symbol and b.seq = t.seq)
+select symbol, seq, cast(first as int) as place, round(price / mid, 6) as value from lt
+union all select symbol, seq, cast(first + 1 as int), round(size, 6) from lt
+union all select symbol, seq, cast(40 + k as int), round(case when k < {len(_MARKET)} then v[k + 1] else 0 end, 6) from ft, (select unnest(range(24)) as k)""")
 def state_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 64 numbers of the state after each message, a row a number."""
     rows = book.market_features(book.states(messages(spark, folder), 10))
-    return book.state_vector(rows).select("symbol", "seq", "vector")
+    return book.state_vector(rows).select("symbol", "seq", F.posexplode("vector").alias("place", "value"))
 
 
 @query(f"""with {STATES}, hb as (select symbol, seq, round(coalesce(mid, 0), 6) as mid, round(imbalance, 6) as imbalance, row_number() over (partition by symbol order by seq) as k from bk), hp as (select unnest(range(20)) as place)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -50,20 +52,28 @@ def alerts(ticks: DataFrame, seconds: int, lateness: str, max_range: float, max_
 
 
 class _Levels:
-    """One side of a book: its levels in memory while a micro-batch lasts, every change written to the state at once."""
+    """One side of a book: its levels in memory while a micro-batch lasts, every change written to the state at once.
+
+    The best price is on top of a heap, from which prices that are gone are taken when they come up, so a message costs the logarithm of its levels. The depth is summed anew
+    at each snapshot and at each micro-batch's beginning."""
 
     def __init__(self, state, sign: int):
         self.state, self.sign = state, sign
         self.sizes = {k[0]: v[0] for k, v in state.iterator()}
-        self.depth = sum(self.sizes.values())
+        self.heap = [-sign * price for price in self.sizes]
+        heapq.heapify(self.heap)
+        self.depth = math.fsum(self.sizes.values())
 
     def clear(self) -> None:
         self.state.clear()
-        self.sizes, self.depth = {}, 0.0
+        self.sizes, self.heap, self.depth = {}, [], 0.0
 
     def set(self, price: float, size: float, keep_zero: bool) -> None:
+        new = price not in self.sizes
         self.depth -= self.sizes.pop(price, 0.0)
         if size or keep_zero:
+            if new:
+                heapq.heappush(self.heap, -self.sign * price)
             self.sizes[price] = size
             self.depth += size
             self.state.updateValue((price,), (size,))
@@ -71,7 +81,9 @@ class _Levels:
             self.state.removeKey((price,))
 
     def best(self) -> float | None:
-        return (max if self.sign > 0 else min)(self.sizes, default=None)
+        while self.heap and -self.sign * self.heap[0] not in self.sizes:
+            heapq.heappop(self.heap)
+        return -self.sign * self.heap[0] if self.heap else None
 
 
 class _Books(StatefulProcessor):
