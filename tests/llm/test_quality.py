@@ -50,9 +50,9 @@ def plain_distances(x, half):
     best = min(found, key=lambda s: s[2])
     for _ in range(quality_rules.MOST_STEPS - quality_rules.TRIAL):
         after = step(*best[:2])
-        if after[2] >= best[2]:
+        falls, best = best[2] - after[2], min(after, best, key=lambda s: s[2])
+        if falls <= quality_rules.SETTLED:
             break
-        best = after
     mean, inverse, _ = best
     d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
     return d / max(1.0, quantile(d, 0.5) / quality_rules.MEDIAN)
@@ -91,6 +91,22 @@ def test_rules_match_brute_force(spark):
     assert quality_rules.quality_rules(rows.where("false")).count() == 0
 
 
+def test_a_group_is_estimated_alone_as_among_others(spark, monkeypatch):
+    """Groups that settle at different steps; with fewer steps allowed some don't settle, and say so."""
+    rng = np.random.default_rng(11)
+    group = {"still": rng.normal(0, 0.01, (200, 5)), "mixed": np.concatenate([rng.normal(0, 1, (300, 5)), rng.normal(3, 2, (250, 5))]), "wide": rng.standard_t(2, (600, 5)) * 3}
+    rows = spark.createDataFrame([(k, *map(float, x)) for k, xs in group.items() for x in xs], "key string, x0 double, x1 double, x2 double, x3 double, x4 double").coalesce(1).cache()
+    steps, stepped = [], quality_rules._stepped
+    monkeypatch.setattr(quality_rules, "_stepped", lambda k, t, n: (steps.append(t.select("key").distinct().count()), stepped(k, t, n))[1])
+    among = {r["key"]: r for r in quality_rules.concentrated(rows, 3).collect()}
+    assert set(among) == set(group) and steps[quality_rules.TRIAL] == 3 and 0 < steps[-1] < 3
+    for key in ("still", "wide"):
+        (alone,) = quality_rules.concentrated(rows.where(F.col("key") == key), 1).collect()
+        assert alone["settled"] and all(among[key][c] == v if isinstance(v, str) else among[key][c] == pytest.approx(v, abs=1e-9) for c, v in alone.asDict().items())
+    monkeypatch.setattr(quality_rules, "MOST_STEPS", quality_rules.TRIAL + 1)
+    assert {r["settled"] for r in quality_rules.concentrated(rows, 3).collect()} == {True, False}
+
+
 def plain_vector(text):
     kind = lambda b: 0 if b in b" \t\n\v\f\r" else 1 if b >= 128 or chr(b).isalpha() else 2 if 48 <= b < 58 else 3
     tokens, data = [], (text or "").encode()

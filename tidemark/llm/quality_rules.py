@@ -4,7 +4,8 @@ Every text gets counts (words, characters in words, symbols, repeated lines, rep
 a vector of ``TERMS`` transformed statistics is made, and for every language and source the minimum covariance
 determinant is estimated: concentration steps (take the ``SUBSET`` share of the rows with the least Mahalanobis distance, estimate
 mean and covariance anew from them) begin from each of ``STARTS``; after ``TRIAL`` steps the start with the least determinant is kept
-for each group, and its steps go on until no group's determinant falls by more than a ``SETTLED`` share. A row is rejected if its
+for each group, and its steps go on until its determinant falls by no more than a ``SETTLED`` share. A settled group is stepped no further, so
+other groups' rows never move its estimate; one that hasn't settled after ``MOST_STEPS`` is marked in ``Rules.table``. A row is rejected if its
 squared distance, scaled so that the median row lies where a normal vector's would, exceeds ``CUTOFF``, or if it fails the base rules.
 ``FLOORS`` are standard deviations added to the covariance, so that a statistic that is zero in all sound texts doesn't reject a text
 for a single symbol; with them every group has an estimate, down to a single row.
@@ -32,7 +33,7 @@ from .shared import cut, stored
 WINDOW = 8
 SUBSET = 0.6
 STARTS = ("medians", "near", "half")
-#: Steps before starts are compared; the share of the determinant below which a fall counts as none; an end to steps that never settle.
+#: Steps before starts are compared; the share of the determinant below which a fall counts as none; a group's steps at most.
 TRIAL, SETTLED, MOST_STEPS = 2, 1e-3, 12
 LEAST = 50
 ACCURACY = 10_000
@@ -152,7 +153,7 @@ def _stepped(keyed: DataFrame, table: DataFrame, groups: int) -> DataFrame:
 
 
 def concentrated(keyed: DataFrame, groups: int) -> DataFrame:
-    """The estimate of each key from rows (key, ``TERMS``): m_i, c_ij, log_det, and the start it came from."""
+    """The estimate of each key from rows (key, ``TERMS``): m_i, c_ij, log_det, the start it came from, and whether it settled."""
     d = range(len(TERMS))
     medians = cut(keyed.groupBy("key").agg(*(_quantile(TERMS[i], 0.5).alias(f"o{i}") for i in d)))
     around = _joined(keyed, medians, groups)
@@ -169,16 +170,18 @@ def concentrated(keyed: DataFrame, groups: int) -> DataFrame:
         table = _stepped(keyed, table, groups)
     place = F.array_position(F.array(*map(F.lit, STARTS)), F.col("start"))
     table = cut(table.groupBy("key").agg(F.min_by(F.struct(*table.columns[1:]), F.struct("log_det", place)).alias("b")).select("key", "b.*"))
+    done = []
     for _ in range(MOST_STEPS - TRIAL):
         after = _stepped(keyed, table, groups)
-        # an estimate that didn't get better is kept, so the rest may go on
+        # an estimate that didn't get better is kept; the groups that moved go on alone
         both = after.join(table.select("key", F.struct(*table.columns[1:]).alias("was")), "key").withColumn("falls", F.col("was.log_det") - F.col("log_det"))
         better = F.when(F.col("falls") > 0, F.struct(*table.columns[1:])).otherwise(F.col("was"))
-        moved = both.where(F.col("falls") > SETTLED).limit(1).count()
-        table = cut(both.select("key", better.alias("b")).select("key", "b.*"))
-        if not moved:
+        both = cut(both.select("key", better.alias("b"), (F.col("falls") > SETTLED).alias("moves")).select("key", "b.*", "moves"))
+        done.append(both.where("not moves").drop("moves"))
+        table = both.where("moves").drop("moves")
+        if not table.limit(1).count():
             break
-    return table
+    return cut(reduce(DataFrame.unionByName, [d.withColumn("settled", F.lit(True)) for d in done], table.withColumn("settled", F.lit(False))))
 
 
 def estimate(rows: DataFrame) -> Rules:
@@ -194,7 +197,7 @@ def estimate(rows: DataFrame) -> Rules:
     table = concentrated(keyed, n_groups)
     reach = cut(_joined(keyed, table, n_groups).withColumn("far", _distance()).groupBy("key").agg(_quantile("far", 0.5).alias("reach")))
     scaled = F.greatest(F.col("reach") / MEDIAN, F.lit(1.0)).alias("scale")
-    final = table.join(reach, "key").select("key", *(f"m{i}" for i in d), *(f"c{i}{j}" for i in d for j in range(i + 1)), scaled)
+    final = table.join(reach, "key").select("key", *(f"m{i}" for i in d), *(f"c{i}{j}" for i in d for j in range(i + 1)), scaled, "settled")
     return Rules(keys, cut(final), n_groups, n_sources)
 
 
