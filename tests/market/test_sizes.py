@@ -1,5 +1,7 @@
 """What the queries over the book and the ticks must keep to as the tables grow."""
 
+import math
+
 from tidemark.operators import book
 from tidemark.plans import market
 
@@ -21,3 +23,11 @@ def test_order_flow_by_hand(spark):
     rows = spark.createDataFrame([("a", 1, 200_000), ("a", 2, 250_000), ("a", 3, 900_000), ("b", 4, 0)], "symbol string, seq long, us long")
     got = {r["seq"]: (r["ofi_1"], r["ofi_2"]) for r in book.order_flow(rows, ticks, (1, 2)).collect()}
     assert got == {1: (-1.0, -0.5), 2: (1.0, -0.2), 3: (0.0, 0.0), 4: (0.0, 0.0)}
+
+
+def test_volatility_after_a_mid_of_zero(spark):
+    """The log return from or to a price of zero is infinite, so the deviations over it are no numbers; before, it was left out of them."""
+    mids = [4.0] * 12 + [0.0] + [2.0] * 12
+    rows = spark.createDataFrame([("a", k, k, m, 0.0, 0.0) for k, m in enumerate(mids)], "symbol string, seq long, us long, mid double, imbalance double, spread double")
+    got = [r["vol_3"] for r in book.market_features(rows, (3,)).orderBy("seq").collect()]
+    assert all(math.isnan(v) for v in got[12:15]) and got[:12] == [0.0] * 12 and got[15:] == [0.0] * 10
