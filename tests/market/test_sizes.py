@@ -2,8 +2,11 @@
 
 import math
 
+import pandas as pd
+
 from tidemark.operators import book
 from tidemark.plans import market
+from tidemark.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +34,41 @@ def test_volatility_after_a_mid_of_zero(spark):
     rows = spark.createDataFrame([("a", k, k, m, 0.0, 0.0) for k, m in enumerate(mids)], "symbol string, seq long, us long, mid double, imbalance double, spread double")
     got = [r["vol_3"] for r in book.market_features(rows, (3,)).orderBy("seq").collect()]
     assert all(math.isnan(v) for v in got[12:15]) and got[:12] == [0.0] * 12 and got[15:] == [0.0] * 10
+
+
+def test_a_table_streams_in_order_by_parts(spark, tmp_path):
+    """Micro-batches of a bounded number of rows, in order, however the table is dealt; before, a table was one micro-batch."""
+    stream = streams.in_order(spark.range(1000, numPartitions=3).repartition(5), "id", str(tmp_path / "in"), 250)
+    seen = []
+    stream.writeStream.foreachBatch(lambda df, n: seen.append((df.agg({"id": "min"}).first()[0], df.count()))).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and [a for a, _ in seen] == sorted(a for a, _ in seen) and sum(n for _, n in seen) == 1000 and max(n for _, n in seen) < 400
+
+
+class _Map(dict):
+    """A map state that counts what it is asked."""
+
+    calls = 0
+
+    def iterator(self):
+        return iter(self.items())
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self[key]
+
+
+def test_books_tell_and_write_in_bounded_parts():
+    """Books come in frames of at most OUT_ROWS rows and each changed level is written once; before, a symbol's micro-batch was one frame and every change one call."""
+    state, kept = streams._Books(), {}
+    state.maps, state.trade = [_Map({(3.0,): (1.0,)}), _Map()], type("", (), {"exists": lambda s: "t" in kept, "update": lambda s, v: kept.update(t=v)})()
+    n = streams.OUT_ROWS + 5
+    level = lambda k: [{"price": float(k % 2), "size": float(k)}]
+    frames = [pd.DataFrame({"seq": [k], "us": [k], "type": ["snapshot" if k == 1 else "delta"], "bids": [level(k)], "asks": [[]]}) for k in range(n, 0, -1)]
+    out = list(state.handleInputRows(("a",), iter(frames), None))
+    assert [len(f) for f in out] == [streams.OUT_ROWS, 5] and out[0]["seq"].tolist() == list(range(1, streams.OUT_ROWS + 1))
+    assert state.maps[0] == {(1.0,): (float(n),), (0.0,): (float(n - 1),)} and state.maps[0].calls == 3 and state.maps[1].calls == 0
+    assert out[1]["bid_depth"].tolist()[-1] == n + n - 1 and not kept
