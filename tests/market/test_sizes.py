@@ -3,7 +3,9 @@
 import math
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from tidemark.functions import series
 from tidemark.operators import book
 from tidemark.plans import market
 from tidemark.streaming import streams
@@ -72,3 +74,23 @@ def test_books_tell_and_write_in_bounded_parts():
     assert [len(f) for f in out] == [streams.OUT_ROWS, 5] and out[0]["seq"].tolist() == list(range(1, streams.OUT_ROWS + 1))
     assert state.maps[0] == {(1.0,): (float(n),), (0.0,): (float(n - 1),)} and state.maps[0].calls == 3 and state.maps[1].calls == 0
     assert out[1]["bid_depth"].tolist()[-1] == n + n - 1 and not kept
+
+
+def test_spans_across_many_chunks(spark):
+    """Spans longer than a chunk take whole chunks from a row a chunk; before, every row was copied into each chunk that its span reaches."""
+    ticks = spark.range(600).selectExpr("if(id % 3 = 0, 'a', 'b') as symbol", "id * id % 1009 as us", "if(id % 7 = 0, null, cast(hash(id) % 50 as double)) as v")
+    kinds = ("sum", "count", "min", "max", "stddev_samp", "stddev_pop")
+    asked = {f"{kind}_{span}": (kind, "v", span) for kind in kinds for span in (7, 40, 95, 400)}
+    far, near = series.trailing(ticks, ["symbol"], "us", 20, asked), series.trailing(ticks, ["symbol"], "us", 5000, asked)
+    order = ["symbol", "us", "v"]
+    for a, b in zip(far.orderBy(*order).collect(), near.orderBy(*order).collect(), strict=True):
+        assert a.asDict().keys() == b.asDict().keys()
+        assert all(x == y or x is not None and y is not None and isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b, strict=True)), (a, b)
+    assert "sequence" not in plan(series.trailing(ticks, ["symbol"], "us", 20, {"s": ("sum", "v", 400)}))
+
+
+def test_chunks_are_as_short_as_rows_are_dense(spark):
+    dense = spark.range(4096).selectExpr("'a' as symbol", "id * 16 as us").unionByName(spark.range(10).selectExpr("'b' as symbol", "id * 16 as us"))
+    chunk, tasks = series.chunk_for(dense, ["symbol"], "us", 1 << 20, 128)
+    assert chunk == 2048 and tasks == 33 and dense.groupBy("symbol", (F.col("us") / chunk).cast("long")).count().agg(F.max("count")).first()[0] == 128
+    assert series.chunk_for(dense, ["symbol"], "us", 1 << 20) == (1 << 20, 4) and series.chunk_for(dense.limit(0), ["symbol"], "us", 1000) == (1000, 4)

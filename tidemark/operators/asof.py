@@ -39,13 +39,13 @@ def _nearest(stacked: DataFrame, keys: list[str], name: str, chunk: int) -> Data
     return found.withColumn("_p", pick).select("_row.*", F.col("_p._v").alias(name), F.col("_p._vt").alias(f"{name}_at"))
 
 
-def over_interval(grid: DataFrame, ticks: DataFrame, keys: list[str], at: str, aggregates: dict[str, series.Trailing], chunk: int = DAY) -> DataFrame:
+def over_interval(grid: DataFrame, ticks: DataFrame, keys: list[str], at: str, aggregates: dict[str, series.Trailing], chunk: int = DAY, tasks: int | None = None) -> DataFrame:
     """``grid`` with aggregates (kind, column, span) of the ticks in (t - span, t]. Grid rows enter the ticks' stream with null values,
     which the aggregates skip."""
     extra = [c for c in ticks.columns if c not in (*keys, at)]
     rows = ticks.select(*keys, at, *extra, F.lit(None).cast(grid.schema).alias("_row"))
     points = grid.select(*keys, at, *(F.lit(None).cast(dict(ticks.dtypes)[c]).alias(c) for c in extra), F.struct(*grid.columns).alias("_row"))
-    return series.trailing(rows.unionByName(points), keys, at, chunk, aggregates).where("_row is not null").select("_row.*", *aggregates)
+    return series.trailing(rows.unionByName(points), keys, at, chunk, aggregates, tasks).where("_row is not null").select("_row.*", *aggregates)
 
 
 def labelled(bars: DataFrame, keys: list[str], at: str, price: str, horizon: int, chunk: int = DAY) -> DataFrame:

@@ -31,8 +31,8 @@ def tick_windows(ticks: DataFrame, step: int, obi: int = 30, short: int = 60, lo
     """The first tick of each time with flow and arrivals of the last ``step`` seconds, book imbalance of the last ``obi``, and the
     volatility of tick returns over ``short`` against ``long`` seconds (left edges open).
 
-    Spans run in chunks of time with a halo, so one symbol fills as many tasks as it has chunks."""
-    chunk = (chunk_seconds or 20 * max(step, obi, short, long)) * US
+    Spans run in chunks of time, so one symbol fills as many tasks as it has chunks; without ``chunk_seconds`` they are as short as the ticks are dense."""
+    chunk, tasks = (chunk_seconds * US, None) if chunk_seconds else series.chunk_for(ticks, ["symbol"], "us", 20 * max(step, obi, short, long) * US)
     once = first_per_time(ticks).drop("bucket")
     priced = series.lagged(once, ["symbol"], ["us", "trade_id"], "us", chunk, "price", "before")
     rows = sided(priced).withColumn("ret", series.safe_div(F.col("price"), F.col("before")) - 1)
@@ -40,7 +40,7 @@ def tick_windows(ticks: DataFrame, step: int, obi: int = 30, short: int = 60, lo
         "tfi_buy": ("sum", "buy", step * US), "tfi_sell": ("sum", "sell", step * US), "arrivals": ("count", "price", step * US), "obi_buy": ("sum", "buy", obi * US),
         "obi_sell": ("sum", "sell", obi * US), "sd_short": ("stddev_samp", "ret", short * US), "sd_long": ("stddev_samp", "ret", long * US),
     }
-    windowed = series.trailing(rows.select("symbol", "us", "trade_id", "price", "buy", "sell", "ret"), ["symbol"], "us", chunk, asked)
+    windowed = series.trailing(rows.select("symbol", "us", "trade_id", "price", "buy", "sell", "ret"), ["symbol"], "us", chunk, asked, tasks)
     return windowed.select("symbol", "us", "trade_id", "price", _imbalance("tfi").alias("tfi"), _imbalance("obi").alias("obi"), (F.col("arrivals") / step).alias("arrival_rate"), (F.col("sd_short") / (F.col("sd_long") + EPS)).alias("volatility_cluster"))
 
 
