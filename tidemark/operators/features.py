@@ -95,13 +95,13 @@ def grid_features(ticks: DataFrame, step: int, ticks_back: int = 20, sample: boo
 
     ``sample`` takes sample deviations and one tick more, and at least two ticks for their imbalance, as the first version did."""
     near, micros, share = near or max(30, 3 * step), step * US, lambda a, b: F.coalesce(series.safe_div(a - b, a + b), F.lit(0.0))
-    chunk = (chunk_seconds or 100 * max(near, step, spread)) * US
+    chunk, tasks = (chunk_seconds * US, None) if chunk_seconds else series.chunk_for(ticks, ["symbol"], "us", 100 * max(near, step, spread) * US)
     grid = dense_grid(ticks, step)
     asked = {
         "near_buy": ("sum", "buy", near * US), "near_sell": ("sum", "sell", near * US), "buy": ("sum", "buy", micros), "sell": ("sum", "sell", micros), "n": ("count", "price", micros),
         "high": ("max", "price", micros), "low": ("min", "price", micros), "sd": ("stddev_samp" if sample else "stddev_pop", "price", spread * US), "n_spread": ("count", "price", spread * US),
     }
-    rows = over_interval(grid, sided(ticks).select("symbol", "us", F.col("price").alias("price"), F.col("buy"), F.col("sell")), ["symbol"], "us", asked, chunk)
+    rows = over_interval(grid, sided(ticks).select("symbol", "us", F.col("price").alias("price"), F.col("buy"), F.col("sell")), ["symbol"], "us", asked, chunk, tasks)
     moves = tick_balance(ticks, ticks_back + sample, chunk).withColumn("moves", F.when(F.col("n") > int(sample), F.struct("ups", "downs")))
     rows = backward(rows, moves.select("symbol", "us", "trade_id", "moves"), ["symbol"], "us", "moves", "trade_id", "moves", chunk)
     rows = rows.withColumn("sd", F.when(F.col("n_spread") > 1, F.col("sd")).otherwise(0.0))
