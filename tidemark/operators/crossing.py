@@ -3,7 +3,7 @@
 A range join would pair every limit with all rows up to its crossing. Instead rows are grouped by ``FAN`` into blocks, those by ``FAN`` into larger
 ones and so on, and each block holds the least values of its parts. A limit climbs: in the block of its row it looks at the parts behind its
 own, and in the block around that one likewise; the lowest block with a part that has a value within the limit holds the crossing. From there it descends, at
-each height to the first such part. Everything meets by equality, in proportion to the rows and to the limits times the heights, of which there are
+each height to the first such part. Most limits are crossed soon: those that find it in the lowest block climb no further. Everything meets by equality, in proportion to the rows and to the limits times the heights, of which there are
 log(rows) / log(FAN). Blocks above the lowest are few, and are repeated ``SALTS`` times, as many limits meet there.
 """
 
@@ -54,7 +54,13 @@ def first_at_most(limits: DataFrame, values: DataFrame, keys: list[str], ids: li
     held = [f"_l{k}" for k in range(len(columns))]
     at = F.col("_s")
     climb = [F.struct(F.lit(h).alias("_h"), F.floor(at / fan**h).cast("long").alias("_i"), (F.floor(at / fan ** (h - 1)) % fan + int(h > 1)).cast("long").alias("_least"), (F.pmod(at, F.lit(SALTS)) if h > 1 else F.lit(0)).cast("int").alias("_salt")) for h in range(1, top + 1)]
-    asks = limits.select(*keys, *ids, *own, F.greatest(F.col(since), F.lit(0)).cast("long").alias("_s")).withColumn("_c", F.explode(F.array(*climb))).select(*keys, *ids, *held, "_c.*")
+    asking = limits.select(*keys, *ids, *own, F.greatest(F.col(since), F.lit(0)).cast("long").alias("_s"))
+    lowest = nodes.where("_h = 1").drop("_h", "_salt")
+    near = asking.withColumns({"_i": climb[0]["_i"], "_least": climb[0]["_least"]}).join(lowest, [*keys, "_i"], "left")
+    near = stored(near.select(*keys, *ids, *held, "_s", (F.col("_i") * fan + _first_part([F.col(c) for c in held], F.col("_least"))).alias("_at")), "crossing-near")
+    if top == 1:
+        return near.select(*keys, *ids, F.col("_at").alias(name))
+    asks = near.where("_at is null").withColumn("_c", F.explode(F.array(*climb[1:]))).select(*keys, *ids, *held, "_c.*")
     met = asks.join(nodes, [*keys, "_h", "_i", "_salt"]).withColumn("_part", _first_part([F.col(c) for c in held], F.col("_least"))).where("_part is not null")
     found = met.groupBy(*keys, *ids).agg(F.min(F.struct("_h", (F.col("_i") * fan + F.col("_part")).alias("_at"), *held)).alias("_f")).select(*keys, *ids, "_f.*")
     for h in range(top, 1, -1):  # from a block of height h - 1 to its part
@@ -63,7 +69,8 @@ def first_at_most(limits: DataFrame, values: DataFrame, keys: list[str], ids: li
         going = found.withColumns({"_block": F.when(F.col("_h") == h, F.col("_at")).otherwise(-1 - F.col("_at")), "_salt": F.when((F.col("_h") == h) & F.lit(h > 2), F.pmod("_at", F.lit(SALTS))).otherwise(0).cast("int")})
         met = going.join(below, [*keys, "_block", "_salt"], "left")
         found = met.select(*keys, *ids, F.when(F.col("_h") == h, h - 1).otherwise(F.col("_h")).alias("_h"), F.when(F.col("_h") == h, F.col("_at") * fan + _first_part([F.col(c) for c in held], F.lit(0))).otherwise(F.col("_at")).alias("_at"), *held)
-    return limits.select(*keys, *ids).join(found.select(*keys, *ids, F.col("_at").alias(name)), [*keys, *ids], "left")
+    far = near.where("_at is null").select(*keys, *ids).join(found.select(*keys, *ids, F.col("_at").alias(name)), [*keys, *ids], "left")
+    return near.where("_at is not null").select(*keys, *ids, F.col("_at").alias(name)).unionByName(far)
 
 
 def first_reach(limits: DataFrame, states: DataFrame, keys: list[str], ids: list[str], since: str, order: str, name: str) -> DataFrame:
