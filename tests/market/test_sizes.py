@@ -1,12 +1,14 @@
 """What the queries over the book and the ticks must keep to as the tables grow."""
 
 import math
+import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
-from tidemark.operators import book
+from tidemark.operators import book, crossing
 from tidemark.plans import market
 from tidemark.streaming import streams
 
@@ -94,3 +96,35 @@ def test_chunks_are_as_short_as_rows_are_dense(spark):
     chunk, tasks = series.chunk_for(dense, ["symbol"], "us", 1 << 20, 128)
     assert chunk == 2048 and tasks == 33 and dense.groupBy("symbol", (F.col("us") / chunk).cast("long")).count().agg(F.max("count")).first()[0] == 128
     assert series.chunk_for(dense, ["symbol"], "us", 1 << 20) == (1 << 20, 4) and series.chunk_for(dense.limit(0), ["symbol"], "us", 1000) == (1000, 4)
+
+
+def book_rows(spark, seed, odd):
+    """Messages of two symbols: snapshots, deltas and trades of one to three levels, with sizes of zero and, if asked, missing and undefined numbers."""
+    pick = random.Random(seed)
+    size = lambda symbol: pick.choice([0.0, 1.0, 2.5, 4.0, *([None, math.nan] if odd and symbol == "b" else [])])
+    side = lambda symbol, least: [(float(pick.randrange(least, least + 6)), size(symbol)) for _ in range(pick.randrange(4))]
+    rows = [(symbol, seq, seq * 10, "snapshot" if seq % 17 == 5 else "trade" if seq % 5 == 0 else "delta", side(symbol, 90), side(symbol, 94)) for symbol in "ab" for seq in range(120)]
+    return spark.createDataFrame(rows, f"symbol string, seq long, us long, type string, bids {book._SIDE}, asks {book._SIDE}")
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_replayed_epochs_are_as_those_of_blocks(spark, monkeypatch, odd):
+    """Short epochs are replayed, without a row a message and power of two; before, all were."""
+    messages = book_rows(spark, 3, odd)
+    ran = []
+    real = book._replayed
+    monkeypatch.setattr(book, "_replayed", lambda rows, levels: ran.append(rows.count()) or real(rows, levels))
+    short = book.states(messages, 3).orderBy("symbol", "seq").collect()
+    monkeypatch.setattr(book, "REPLAYED", 0)
+    assert str(short) == str(book.states(messages, 3).orderBy("symbol", "seq").collect())
+    assert ran[1] == 0 and (0 < ran[0] < 240 if odd else ran[0] == 240)
+
+
+def test_near_crossings_climb_no_further(spark):
+    """Limits that are crossed in the lowest block are asked for there alone; before, each asked at every height."""
+    values = spark.range(300).selectExpr("'a' as symbol", "id as k", "cast(if(id = 299, -5, id % 4) as double) as v")
+    limits = spark.createDataFrame([("a", k, k, 0.0 if k % 3 else -1.0) for k in range(300)], "symbol string, id long, since long, l double")
+    got = {r["id"]: r["hit"] for r in crossing.first_at_most(limits, values, ["symbol"], ["id"], "since", "k", {"v": "l"}, "hit", fan=4).collect()}
+    value = lambda k: -5 if k == 299 else k % 4
+    assert got == {k: next((j for j in range(k, 300) if value(j) <= (0 if k % 3 else -1)), None) for k in range(300)}
+    assert any("crossing-near" in f for f in crossing.first_at_most(limits, values, ["symbol"], ["id"], "since", "k", {"v": "l"}, "hit", fan=4).inputFiles())
