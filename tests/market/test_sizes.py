@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import series
 from tidemark.operators import book, crossing
 from tidemark.plans import market
+from tidemark.streaming import rules as stream_rules
 from tidemark.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -128,3 +129,30 @@ def test_near_crossings_climb_no_further(spark):
     value = lambda k: -5 if k == 299 else k % 4
     assert got == {k: next((j for j in range(k, 300) if value(j) <= (0 if k % 3 else -1)), None) for k in range(300)}
     assert any("crossing-near" in f for f in crossing.first_at_most(limits, values, ["symbol"], ["id"], "since", "k", {"v": "l"}, "hit", fan=4).inputFiles())
+
+
+class _List:
+    """A list state, and the calls it gets."""
+
+    def __init__(self):
+        self.held, self.calls = [], 0
+
+    def appendValue(self, value):  # noqa: N802
+        self.calls += 1
+        self.held.append(value)
+
+    def appendList(self, values):  # noqa: N802
+        self.calls += len(values)
+        self.held += values
+
+    def get(self):
+        return iter(self.held)
+
+
+def test_waiting_rows_are_state_by_frames(spark):
+    """A frame of rows is one element of the state, and one timer waits for all of a micro-batch; before, each row was an element and each frame had a timer."""
+    alarms, timers = stream_rules._Alarms(2, 100), []
+    alarms.waiting, alarms.handle = _List(), type("", (), {"registerTimer": lambda s, ms: timers.append(ms)})()
+    frames = [pd.DataFrame({"us": range(k, k + 500), "tie": 1, "level": 0}) for k in (9_000, 4_000, 6_000)]
+    list(alarms.handleInputRows(("a",), iter(frames), type("", (), {"getCurrentWatermarkInMs": lambda s: 1})()))
+    assert alarms.waiting.calls == 3 and timers == [4]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +12,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.rules import level
 
+#: Waiting rows in one element of the state.
+FRAME = 10_000
+
 
 class _Alarms(StatefulProcessor):
     """A key's rows that the watermark hasn't passed, and its alarm: last breach, breaches in a row, highest tier, raised or not.
 
-    A timer stands at the first waiting row and at the alarm's end. One that comes too early finds nothing to do and is set anew;
+    Waiting rows are state by frames of them, columns of us, tie and level as 64-bit numbers. A timer stands at the first waiting row and at the alarm's end. One that comes too early finds nothing to do and is set anew;
     a key whose alarm is over and that has no row waiting keeps no state."""
 
     def __init__(self, in_row: int, quiet: int):
@@ -23,7 +27,7 @@ class _Alarms(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, tie long, level int")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.alarm = handle.getValueState("alarm", "last long, run int, tier int, raised boolean")
 
     def _wake(self, us: int) -> None:
@@ -31,19 +35,25 @@ class _Alarms(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        first = None
         for frame in rows:
-            new = [(int(u), int(t), int(n)) for u, t, n in zip(frame["us"], frame["tie"], frame["level"], strict=True) if u > passed]
-            if new:
-                self.waiting.appendList(new)
-                self._wake(min(new)[0])
+            new = frame.loc[frame["us"] > passed, ["us", "tie", "level"]].to_numpy("int64")
+            if len(new):
+                self.waiting.appendValue((new.tobytes(),))
+                first = min(int(new[:, 0].min()), first if first is not None else int(new[0, 0]))
+        if first is not None:  # one timer, however many frames came
+            self._wake(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        held = np.concatenate([np.empty((0, 3), "int64"), *(np.frombuffer(v[0], "int64").reshape(-1, 3) for v in self.waiting.get())]) if self.waiting.exists() else np.empty((0, 3), "int64")
+        held = held[np.lexsort(held.T[::-1])]
         alarm, out = (self.alarm.get() if self.alarm.exists() else None), []
-        due = [r for r in held if r[0] <= passed]
-        for us, _, tier in due:
+        due = int(np.searchsorted(held[:, 0], passed, side="right"))
+        tiers = held[:due, 2]
+        # of clean rows in a row the first tells it all
+        for us, _, tier in held[:due][(tiers > 0) | np.append(True, tiers[:-1] > 0)[:due]].tolist():
             alarm = self._until(alarm, us, key[0], out)
             if not tier:
                 alarm = alarm and (alarm[0], 0, alarm[2], alarm[3])
@@ -58,14 +68,14 @@ class _Alarms(StatefulProcessor):
                 out.append((key[0], us, "raise", highest))
             alarm = (us, run, highest, raised)
         alarm = self._until(alarm, passed, key[0], out)
+        rest = held[due:]
         if due:
-            rest = held[len(due) :]
-            if rest:
-                self.waiting.put(rest)
+            if len(rest):
+                self.waiting.put([(rest[k : k + FRAME].tobytes(),) for k in range(0, len(rest), FRAME)])
             else:
                 self.waiting.clear()
-        if len(held) > len(due):
-            self._wake(held[len(due)][0])
+        if len(rest):
+            self._wake(int(rest[0, 0]))
         if alarm:
             self.alarm.update(alarm)
             self._wake(alarm[0] + self.quiet)
