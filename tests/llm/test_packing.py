@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,3 +70,23 @@ def test_sequence_ids_differ_between_partitions(spark):
     rows = spark.createDataFrame([(i, "some words here") for i in range(40)], "doc_id long, text string").repartition(4)
     texts = {i: "some words here" for i in range(40)}
     check(packing.pack(rows, PATH).collect(), texts)
+
+
+def test_chunks_as_one_by_one():
+    """Slices cut and encoded at once have the ids of whole texts; new words go to the library some at a time."""
+    texts = ["", "  ", " . a", "A.B,c!d", "<|endoftext|>Ab.c <|x", ".x", "'s it's a's", "straße é́ éx ÿ", "a\x1cb\x0bc", "x1.2..3", "%", *(f"neu{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}o." for k in range(1000))]
+    library = Tokenizer.from_file(PATH)
+    own, asked = packing.Chunks(PATH), []
+
+    class Counting:
+        def encode_batch_fast(self, batch, **how):
+            asked.append(len(batch))
+            return library.encode_batch_fast(batch, **how)
+
+    own.library = Counting()
+    array = pa.array(["before", *texts], pa.large_string())[1:]
+    for text, (ids, ends) in zip(texts, own.encode(array), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
+        assert all(0 <= e < len(ids) for e in ends.tolist())
+    assert sum(asked) < 100
+    assert [e.tolist() for _, e in own.encode(pa.array(["one two. three!", "no end"], pa.large_string()))] == [[3, 5], []]

@@ -9,7 +9,8 @@ What follows the last cut of a block is carried into the next one; at the end of
 two where that costs less than padding it.
 
 Tokens: the tokenizers library's ids. White space separates tokens of this tokenizer and is dropped, so a text's ids are those of its
-chunks between white space; each distinct chunk is encoded by the library once and kept in a table of bounded size.
+chunks between white space; each distinct chunk is encoded by the library once and kept in a table of bounded size. Arrow cuts a slice of texts
+into chunks and finds the distinct ones; words of lower-case Latin letters are new to the library some at a time, in one text.
 
 The tokenizer file is read by each worker from ``path``. Edge cases: a null or empty text is its end token alone; repeated rows
 are packed each; a text longer than a sequence spans several; extra columns are ignored; an empty table gives no pieces. A
@@ -28,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -42,8 +44,12 @@ EXEMPT = (1024, 2048)
 END = 2
 #: Chunks kept per worker; 1.2 million take some 250 MB.
 KEPT = 1_200_000
-#: Between a letter or digit and signs after it; an apostrophe may begin a token with what follows it.
-SIGNS = re.compile(rb"(?<=[a-z0-9])(?=[.,!?;:#$%&*|])")
+#: Words that are one unit to the tokenizer, whose last token ends with ``LAST``; and how many of them are encoded as one text.
+PLAIN, LAST, TOGETHER = re.compile("[a-zß-öø-ÿ]+"), "</w>", 32
+#: 1: lower-case letters and digits; 2: signs that are tokens of their own after these; an apostrophe may begin a token with what follows it.
+KIND = np.zeros(256, np.uint8)
+KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
+KIND[list(b".,!?;:#$%&*|")] = 2
 
 
 class Chunks:
@@ -54,50 +60,86 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = b"<|"
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(LAST)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 15, np.int64)
         self.ends = np.zeros(1 << 15, bool)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        encoded = [e.ids for e in self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids back to back, their number by text)."""
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if PLAIN.fullmatch(c)]
+        ids, _ = self._encoded([" ".join(plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(plain):  # else this vocabulary doesn't mark ends of words
+            chunks = plain + [c for c in chunks if not PLAIN.fullmatch(c)]
+            others, sizes = self._encoded(chunks[len(plain) :])
+            ids, sizes = np.concatenate([ids, others]), np.concatenate([np.diff(ends, prepend=0), sizes])
+        else:
+            ids, sizes = self._encoded(chunks)
         k = len(self.known)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         while k + len(chunks) + 1 > len(self.begin):
             self.begin, self.ends = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.ends, 2 * len(self.ends))
-        total, more = int(self.begin[k]), int(sizes.sum())
-        while total + more > len(self.flat):
+        total = int(self.begin[k])
+        while total + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[total : total + more] = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, more)
+        self.flat[total : total + len(ids)] = ids
         self.begin[k + 1 : k + 1 + len(chunks)] = total + np.cumsum(sizes)
-        self.ends[k : k + len(chunks)] = [c[-1] in b".!?" for c in chunks]
+        self.ends[k : k + len(chunks)] = [c[-1:] in (".", "!", "?") for c in chunks]
         self.known.update(zip(chunks, range(k, k + len(chunks)), strict=True))
 
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids with the end token, places in them after which a sentence ends) of each text."""
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids with the end token, places in them after which a sentence ends) of each text of a large_string array without nulls."""
         if len(self.known) > KEPT:
             self._forget()
-        # lower-casing is the tokenizer's own, and a word and the signs after it are separate tokens; done first, both make
-        # fewer chunks. Special strings are matched before either.
-        chunked = [t.split() if self.special in t else SIGNS.sub(b" ", t.lower()).split() for t in texts]
-        unknown = set().union(*chunked) - self.known.keys()
-        if unknown:
-            self._learn(list(unknown))
-        place_of = self.known.__getitem__
-        for chunks in chunked:
-            at_chunk = np.fromiter(map(place_of, chunks), np.int64, len(chunks))
-            first = self.begin[at_chunk]
-            counts = self.begin[at_chunk + 1] - first
-            after = np.cumsum(counts)
-            total = int(after[-1]) if len(after) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(first - (after - counts), counts) + np.arange(total)]
-            ids[total] = END
-            yield ids, after[self.ends[at_chunk]]
+        chunked = pc.ascii_split_whitespace(prepared(texts))
+        # a text of white space alone has empty chunks, which have no ids
+        distinct = chunked.flatten().dictionary_encode()
+        chunks = distinct.dictionary.to_pylist()
+        if unknown := [c for c in chunks if c not in self.known]:
+            self._learn(unknown)
+        places = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[distinct.indices.to_numpy()]
+        first = self.begin[places]
+        counts = self.begin[places + 1] - first
+        after = np.concatenate([[0], np.cumsum(counts)])
+        total = int(after[-1])
+        flat = self.flat[np.repeat(first - after[:-1], counts) + np.arange(total)]
+        stops = self.ends[places]
+        rows = np.diff(chunked.offsets.to_numpy(), prepend=chunked.offsets[0].as_py())
+        borders = np.cumsum(rows).tolist()
+        for a, b in itertools.pairwise(borders):
+            start = after[a]
+            ids = np.empty(int(after[b] - start) + 1, np.uint32)
+            ids[:-1] = flat[start : after[b]]
+            ids[-1] = END
+            yield ids, (after[a + 1 : b + 1] - start)[stops[a:b]]
+
+
+def prepared(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z lower-cased and a space between letters or digits and the signs after them: both are the tokenizer's own way,
+    and done first they make fewer chunks. Texts that may hold special strings, which are matched before either, stay as they are."""
+    data, offsets = at.bytes_of(texts)
+    lowered = at.LOWER[data]
+    kind = KIND[lowered]
+    gaps = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+    special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    if len(special):
+        for r in np.unique(np.searchsorted(offsets, special, "right") - 1).tolist():
+            lowered[offsets[r] : offsets[r + 1]] = data[offsets[r] : offsets[r + 1]]
+            gaps = gaps[(gaps <= offsets[r]) | (gaps >= offsets[r + 1])]
+    # a space between two texts, where the next begins with a sign, becomes the end of the first one
+    moved = offsets + np.searchsorted(gaps, offsets, "right")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(np.insert(lowered, gaps, np.uint8(32))))
 
 
 @cache
@@ -110,29 +152,36 @@ def cuts(total: int, documents: np.ndarray, sentences: np.ndarray, last: bool) -
     """Ends of the windows of tokens 0 to ``total``; documents and sentences: places where these end.
 
     Unless ``last``, the final window is left out: its tokens are to be packed with what follows."""
-    penalty = dict.fromkeys(sentences.tolist(), SENTENCE)
-    penalty.update(dict.fromkeys(documents.tolist(), 0))
     soft = np.unique(np.concatenate([[0, total], documents, sentences]))
     wide = np.flatnonzero(np.diff(soft) > GAP)
     hard = [np.arange(soft[i] + GAP // 2, soft[i + 1], GAP // 2) for i in wide]
-    places = np.unique(np.concatenate([soft, *hard])).tolist()
-    where = {p: i for i, p in enumerate(places)}
-    cost, came = [0.0] * len(places), [0] * len(places)
-    queue: deque[tuple[float, int]] = deque()  # (f(q) + q, index of q), increasing in both
-    for j in range(1, len(places)):
-        p = places[j]
+    at_places = np.unique(np.concatenate([soft, *hard]))
+    fees = np.full(len(at_places), HARD)
+    fees[np.searchsorted(at_places, sentences)] = SENTENCE
+    fees[np.searchsorted(at_places, documents)] = 0
+    exempt = []  # by size: the index of the place so far before each one, -1 if there is none
+    for size in EXEMPT:
+        i = np.searchsorted(at_places, at_places - size)
+        exempt.append(np.where(at_places[i] == at_places - size, i, -1).tolist())
+    least = np.searchsorted(at_places, at_places - LENGTH).tolist()
+    places, fees = at_places.tolist(), (fees + EACH).tolist()
+    cost, came = [0] * len(places), [0] * len(places)
+    queue: deque[tuple[int, int]] = deque()  # (f(q) + q, index of q), increasing in both
+    for j, (p, fee, low, *whole) in enumerate(zip(places, fees, least, *exempt, strict=True)):
+        if j == 0:
+            continue
         g = cost[j - 1] + places[j - 1]
         while queue and queue[-1][0] >= g:
             queue.pop()
         queue.append((g, j - 1))
-        while places[queue[0][1]] < p - LENGTH:
+        while queue[0][1] < low:
             queue.popleft()
-        best, came[j] = queue[0][0] + LENGTH - p, queue[0][1]
-        for size in EXEMPT:
-            i = where.get(p - size)
-            if i is not None and cost[i] < best:
+        best, came[j] = queue[0]
+        best += LENGTH - p
+        for i in whole:
+            if i >= 0 and cost[i] < best:
                 best, came[j] = cost[i], i
-        cost[j] = best + EACH + penalty.get(p, HARD)
+        cost[j] = best + fee
     out, j = [], len(places) - 1
     while j:
         out.append(places[j])
@@ -204,7 +253,7 @@ def pack(documents: DataFrame, path: str) -> DataFrame:
             schema = batch.schema.field(0).type
             for part, texts in at.slices(batch, "text"):
                 pieces = []
-                encoded = own.encode([t.as_buffer().to_pybytes() for t in texts])
+                encoded = own.encode(texts)
                 for doc_id, (ids, sentences) in zip(part.column(0).to_pylist(), encoded, strict=True):
                     pieces += packer.add(doc_id, ids, sentences)
                 if pieces:
