@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrowtext, quality_classifier, quality_rules, toxicity
+from tidemark.llm import arrowtext, components, quality_classifier, quality_rules, toxicity
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -289,3 +289,22 @@ def test_toxicity_on_held_out_rows(spark):
     automaton = lexicon.automaton()
     some = [r["text"] for r in docs.where("doc_id % 997 = 0").collect()]
     assert np.allclose(lexicon.features(some, automaton), [plain_features(lexicon, t) for t in some])
+
+
+def test_small_tables_have_few_parts(spark):
+    """A table of a row a group isn't stored, and read in every step, in as many parts as a shuffle has."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        rows = quality_rules.with_terms(quality_rules.with_counts(spark.read.parquet(f"{SF}/documents.parquet"))).select("k_source", "k_lang", *quality_rules.TERMS).localCheckpoint()
+        rules = quality_rules.estimate(rows)
+        assert max(t.rdd.getNumPartitions() for t in (rules.table, rules.keys)) <= max(1, rules.sources // quality_rules.TASK_GROUPS) < 40
+        edges = spark.createDataFrame([(k, k + 1) for k in range(30) if k % 10], "a long, b long")
+        found = components.components(edges)
+        assert found.select("node").rdd.getNumPartitions() <= 1 + 40
+        assert {(r["node"], r["root"]) for r in found.collect()} == {(k + 1, k // 10 * 10 + 1) for k in range(30)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -41,7 +41,9 @@ SEEDS, DISTANCE, REACH, CLOSE = 4, 5, 11, 4
 #: Bits a fingerprint by which those that met may differ on average over all of a set's; texts of coefficient 0.8 pass 13 with a chance of 0.99.
 ALL = 13
 #: Sets of at most so many bytes in all are broadcast.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 12 << 20
+#: Rows of the table of nodes that a task holds on average.
+TASK_NODES = 10_000
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -135,18 +137,32 @@ def _entries(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _with_roots(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs with a_root and b_root, by ``named`` (node, root), which has every node."""
+    for end in "ab":
+        pairs = pairs.join(named.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+    return pairs
+
+
+def _connected(named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``named`` (node, root) with the roots that pairs connect as one: only roots go through the rounds again, not all that was connected before."""
+    links = components(_with_roots(pairs, named).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    return named.join(links.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+
+
 def rooted(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, node, root) of the rows with a doc_id: rows of one root are connected by near copies."""
     rows = cut(_sketches(documents.where("doc_id is not null")))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")))
+    tasks = max(1, rows.count() // TASK_NODES)
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")), tasks)
     first = nodes.select("node", "doc_id")
     of = Window.partitionBy("part", "value")
     leader = F.min_by(F.when(F.col("own"), F.struct("node", "fp")), F.when(F.col("own"), F.xxhash64("node", "value"))).over(of)
     led = _entries(nodes.select("node", "fps")).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
     near = led.where((F.col("node") != F.col("b")) & (simhash.apart("fp", "b_fp") <= REACH))
     found = cut(_confirmed(cut(_likely(near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), nodes)), documents, first))
-    named = nodes.select("node", "fps").join(components(found), "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root"))
-    entries = _entries(cut(named))
+    named = cut(nodes.select("node", "fps").join(components(found), "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root")), tasks)
+    entries = _entries(named)
     left, right = (entries.select("part", "value", "own", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "root"))) for s in "lr")
     apart = (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root")) & (simhash.apart("l_fp", "r_fp") <= REACH)
     # from either end: the smaller one may be the one that probes
@@ -155,14 +171,9 @@ def rooted(documents: DataFrame) -> DataFrame:
     pair = lambda m: m.select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), simhash.apart("l_fp", "r_fp").alias("d"))
     rest = cut(_likely(pair(met).unionByName(pair(back)).groupBy("a", "b").agg(F.min("d").alias("d")), nodes))
     close = cut(_confirmed(rest.where(F.col("d") <= CLOSE).select("a", "b"), documents, first))
-    edges = cut(found.unionByName(close))
-    joined = components(edges)
-    ends = rest.where(F.col("d") > CLOSE)
-    for end in "ab":
-        ends = ends.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    far = cut(ends.where("a_root <> b_root").select("a", "b"))
-    edges = edges.unionByName(_confirmed(far, documents, first))
-    return rows.select("doc_id", "text_hash", "node").join(components(edges), "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
+    named = cut(_connected(named.select("node", "root"), close), tasks)
+    far = cut(_with_roots(rest.where(F.col("d") > CLOSE), named).where("a_root <> b_root").select("a", "b"))
+    return rows.select("doc_id", "text_hash", "node").join(_connected(named, _confirmed(far, documents, first)), "node")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:

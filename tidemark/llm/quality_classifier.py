@@ -224,7 +224,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
     # of rows that share an id one trains, however many there are
     sparse = sparse.groupBy("id", "y").agg(F.min(F.struct("index", "value")).alias("v")).select("id", "y", "v.*")
     sparse = sparse.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)))
-    shards = cut(sparse.groupBy("shard").applyInArrow(_packed, "shard long, rows long, y binary, sizes binary, index binary, value binary"))
+    shards = cut(sparse.groupBy("shard").applyInArrow(_packed, "shard long, rows long, y binary, sizes binary, index binary, value binary"), SHARDS)
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
     for epoch in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))

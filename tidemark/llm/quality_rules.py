@@ -44,6 +44,8 @@ FLOORS = (0.7, 0.35, 0.04, 0.16, 0.16)
 CUTOFF, MEDIAN = 37.0, 4.351
 #: Up to so many groups their parameters (under 400 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
+#: Groups that a task holds on average in the tables that have a row a group.
+TASK_GROUPS = 10
 
 #: Key of the estimate of all rows.
 ALL = "*"
@@ -99,6 +101,11 @@ def _joined(rows: DataFrame, table: DataFrame, groups: int, how: str = "inner")
     return rows.join(F.broadcast(table) if groups <= BROADCAST_GROUPS else table, "key", how)
 
 
+def _small(table: DataFrame, groups: int) -> DataFrame:
+    """A table of a row or a few for each group, stored in few parts: it is read in every step."""
+    return cut(table, max(1, groups // TASK_GROUPS))
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance: forward substitution through the Cholesky factor's columns c_ij."""
     def extended(i: int):
@@ -147,58 +154,60 @@ def _quantile(column: Column | str, share: float) -> Column:
 def _stepped(keyed: DataFrame, table: DataFrame, groups: int) -> DataFrame:
     """One concentration step of every group and start in ``table``."""
     apart = _joined(keyed, table, groups).withColumn("far", _distance())
-    reach = cut(apart.groupBy("key", "start").agg(_quantile("far", SUBSET).alias("reach")))
+    reach = _small(apart.groupBy("key", "start").agg(_quantile("far", SUBSET).alias("reach")), groups)
     near = apart.join(F.broadcast(reach) if groups <= BROADCAST_GROUPS else reach, ["key", "start"]).where("far <= reach")
-    return cut(_estimate(near))
+    return _small(_estimate(near), groups)
 
 
 def concentrated(keyed: DataFrame, groups: int) -> DataFrame:
     """The estimate of each key from rows (key, ``TERMS``): m_i, c_ij, log_det, the start it came from, and whether it settled."""
     d = range(len(TERMS))
-    medians = cut(keyed.groupBy("key").agg(*(_quantile(TERMS[i], 0.5).alias(f"o{i}") for i in d)))
+    medians = _small(keyed.groupBy("key").agg(*(_quantile(TERMS[i], 0.5).alias(f"o{i}") for i in d)), groups)
     around = _joined(keyed, medians, groups)
-    scales = cut(around.groupBy("key").agg(*(F.greatest(1.4826 * _quantile(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")), 0.5), F.lit(FLOORS[i])).alias(f"c{i}{i}") for i in d)))
+    scales = _small(around.groupBy("key").agg(*(F.greatest(1.4826 * _quantile(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")), 0.5), F.lit(FLOORS[i])).alias(f"c{i}{i}") for i in d)), groups)
     centred = medians.join(scales, "key")
     flat = {f"c{i}{j}": F.lit(0.0) for i in d for j in range(i)}
     first = centred.withColumns({f"m{i}": F.col(f"o{i}") for i in d} | flat | {"start": F.lit(STARTS[0]), "log_det": F.lit(0.0)})
     scaled = _joined(keyed, centred, groups).withColumn("worst", F.greatest(*(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")) / F.col(f"c{i}{i}") for i in d)))
-    reach = cut(scaled.groupBy("key").agg(_quantile("worst", 0.5).alias("reach")))
+    reach = _small(scaled.groupBy("key").agg(_quantile("worst", 0.5).alias("reach")), groups)
     near = _joined(scaled, reach, groups).where("worst <= reach").withColumn("start", F.lit(STARTS[1]))
     half = _joined(keyed, medians, groups).where(F.pmod(F.xxhash64(*TERMS), F.lit(2)) == 0).withColumn("start", F.lit(STARTS[2]))
-    table = cut(_estimate(near).unionByName(_estimate(half)).unionByName(first, allowMissingColumns=True))
+    table = _small(_estimate(near).unionByName(_estimate(half)).unionByName(first, allowMissingColumns=True), groups)
     for _ in range(TRIAL):
         table = _stepped(keyed, table, groups)
     place = F.array_position(F.array(*map(F.lit, STARTS)), F.col("start"))
-    table = cut(table.groupBy("key").agg(F.min_by(F.struct(*table.columns[1:]), F.struct("log_det", place)).alias("b")).select("key", "b.*"))
+    table = _small(table.groupBy("key").agg(F.min_by(F.struct(*table.columns[1:]), F.struct("log_det", place)).alias("b")).select("key", "b.*"), groups)
     done = []
     for _ in range(MOST_STEPS - TRIAL):
         after = _stepped(keyed, table, groups)
         # an estimate that didn't get better is kept; the groups that moved go on alone
         both = after.join(table.select("key", F.struct(*table.columns[1:]).alias("was")), "key").withColumn("falls", F.col("was.log_det") - F.col("log_det"))
         better = F.when(F.col("falls") > 0, F.struct(*table.columns[1:])).otherwise(F.col("was"))
-        both = cut(both.select("key", better.alias("b"), (F.col("falls") > SETTLED).alias("moves")).select("key", "b.*", "moves"))
+        both = _small(both.select("key", better.alias("b"), (F.col("falls") > SETTLED).alias("moves")).select("key", "b.*", "moves"), groups)
         done.append(both.where("not moves").drop("moves"))
         table = both.where("moves").drop("moves")
         if not table.limit(1).count():
             break
-    return cut(reduce(DataFrame.unionByName, [d.withColumn("settled", F.lit(True)) for d in done], table.withColumn("settled", F.lit(False))))
+    return _small(reduce(DataFrame.unionByName, [d.withColumn("settled", F.lit(True)) for d in done], table.withColumn("settled", F.lit(False))), groups)
 
 
 def estimate(rows: DataFrame) -> Rules:
     """Rules from rows with terms (read several times: pass a stored table)."""
     d = range(len(TERMS))
     sources = cut(rows.groupBy("k_source", "k_lang").agg(F.count("*").alias("n")))
+    n_sources = sources.count()
+    sources = sources.coalesce(max(1, n_sources // TASK_GROUPS))
     pools = sources.where(F.col("n") < LEAST).groupBy("k_lang").agg(F.sum("n").alias("pool"))
-    keys = cut(sources.join(pools, "k_lang", "left").select("k_source", F.when(F.col("n") >= LEAST, F.col("k_source")).when(F.col("pool") >= LEAST, F.col("k_lang")).otherwise(ALL).alias("key")))
-    n_sources, n_groups = keys.count(), keys.select("key").distinct().count()
+    keys = _small(sources.join(pools, "k_lang", "left").select("k_source", F.when(F.col("n") >= LEAST, F.col("k_source")).when(F.col("pool") >= LEAST, F.col("k_lang")).otherwise(ALL).alias("key")), n_sources)
+    n_groups = keys.select("key").distinct().count()
     keyed = rows.join(F.broadcast(keys) if n_sources <= BROADCAST_GROUPS else keys, "k_source").select("key", *TERMS)
     if keys.where(F.col("key") == ALL).limit(1).count():
         keyed = keyed.where(F.col("key") != ALL).unionByName(rows.select(F.lit(ALL).alias("key"), *TERMS))
     table = concentrated(keyed, n_groups)
-    reach = cut(_joined(keyed, table, n_groups).withColumn("far", _distance()).groupBy("key").agg(_quantile("far", 0.5).alias("reach")))
+    reach = _small(_joined(keyed, table, n_groups).withColumn("far", _distance()).groupBy("key").agg(_quantile("far", 0.5).alias("reach")), n_groups)
     scaled = F.greatest(F.col("reach") / MEDIAN, F.lit(1.0)).alias("scale")
     final = table.join(reach, "key").select("key", *(f"m{i}" for i in d), *(f"c{i}{j}" for i in d for j in range(i + 1)), scaled, "settled")
-    return Rules(keys, cut(final), n_groups, n_sources)
+    return Rules(keys, _small(final, n_groups), n_groups, n_sources)
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:

@@ -22,10 +22,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder."""
+def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The same rows read back from the shared checkpoint folder; in ``tasks`` parts at most, where a table is known to be small.
+
+    The driver keeps figures of every task, and every part is a file: a table of a few rows in hundreds of parts costs both each time it is read."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(tasks) if tasks else df).checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
