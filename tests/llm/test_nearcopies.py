@@ -132,3 +132,23 @@ def test_long_text_in_steps(monkeypatch):
     monkeypatch.setattr("tidemark.llm.simhash.at.SLICE_BYTES", 1000)
     monkeypatch.setattr(nc, "STEP", 7)
     assert (nc.shingles(text) == whole).all()
+
+
+def test_pairs_that_cannot_be_near_copies_are_told_by_sketches(spark):
+    """No pair at 0.8 or more whose fingerprints are alike is lost, and of those well below it few are left to be compared in full."""
+    rng = np.random.default_rng(8)
+    own = [rng.integers(0, 1 << 63, 300).astype(np.uint64)]
+    for changed in np.linspace(2, 90, 60).astype(int):
+        own.append(np.concatenate([own[0][changed:], rng.integers(0, 1 << 63, changed + int(rng.integers(0, 5))).astype(np.uint64)]))
+    own.append(own[0][:200])
+    sets = [np.unique(s) for s in own]
+    sketch = [(k, [nc.fingerprint(s, j) for j in range(nc.SEEDS)], nc.parities(s).tolist(), len(s)) for k, s in enumerate(sets)]
+    signed = lambda fps: np.array(fps, np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(k, signed(f), o, n) for k, f, o, n in sketch], "node long, fps array<long>, odd array<long>, size long")
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    left = {(r["a"], r["b"]) for r in nc._likely(spark.createDataFrame(pairs, "a long, b long"), nodes).collect()}
+    alike = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in pairs}
+    by_prints = {(a, b) for a, b in pairs if sum((x ^ y).bit_count() for x, y in zip(sketch[a][1], sketch[b][1], strict=True)) <= nc.SEEDS * nc.ALL}
+    assert {p for p in by_prints if alike[p] >= 0.8} == {p for p in left if alike[p] >= 0.8}
+    below = {p for p in by_prints if alike[p] < 0.7}
+    assert left <= by_prints and len(below) > 50 and len(below & left) < len(below) / 10

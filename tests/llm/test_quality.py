@@ -308,3 +308,13 @@ def test_small_tables_have_few_parts(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_steps_ask_little_of_the_driver(spark, monkeypatch):
+    """A step of the rules broadcasts one table in each of its two passes over the rows."""
+    plans, to = [], quality_rules.cut
+    monkeypatch.setattr(quality_rules, "cut", lambda df, *tasks: (plans.append(df._jdf.queryExecution().executedPlan().toString()), to(df, *tasks))[1])
+    rows = quality_rules.with_terms(quality_rules.with_counts(spark.read.parquet(f"{SF}/documents.parquet"))).select("k_source", "k_lang", *quality_rules.TERMS).localCheckpoint()
+    quality_rules.estimate(rows)
+    reaches = [p for p in plans if "percentile_approx(far" in p]
+    assert len(reaches) > quality_rules.TRIAL and max(p.count("BroadcastHashJoin") for p in reaches) == 1

@@ -4,13 +4,14 @@ Words are those of ``simhash``: A-Z lower-cased, runs of bytes other than 0x20 a
 shingle. Rows with equal sets are one node, whatever their number. A node has ``SEEDS`` fingerprints, each the SimHash of its shingles hashed anew. Each
 is searched by ``simhash``'s generalised pigeonhole (parts of correlated bits, thresholds by dynamic programming, probing), laid out so that all within
 ``DISTANCE`` bits meet. Those that meet, differ in at most ``REACH`` bits and in ``ALL`` a fingerprint over all their fingerprints count as near copies only after their sets are compared in full, so
-none is wrong. Some are missed: the bits of two texts of coefficient j differ by 64 / pi * arccos(2 j / (1 + j)) on average, 9.7 at 0.8, so one
+none is wrong. Before that, pairs that can't be near copies are told by ``ODD`` parities of each set (of how many of its hashes fall into each of so many
+cells): sets differ in at least as many hashes as parities, so no near copy is lost, and the sets of few other pairs have to travel. Some are missed: the bits of two texts of coefficient j differ by 64 / pi * arccos(2 j / (1 + j)) on average, 9.7 at 0.8, so one
 fingerprint's search finds a part of them; but the fingerprints are independent, and what all of them miss is little. The README has the measured share.
 
 Components are found in two rounds. In the first, one node of each part's value (a leader, by a hash) meets the others there, so its pairs are
 in proportion to the nodes. In the second all pairs of one value meet that are still in different components, so no leader's choice
 decides a result. Of these pairs those within ``CLOSE`` bits are compared first, and then the others that they left in different components, so
-that a group of like texts, connected by then, isn't compared pair by pair. Only ids meet; sets join the pairs that are left.
+that a group of like texts, connected by then, isn't compared pair by pair. Only ids meet; sets join the pairs that are left, by shuffles.
 
 Edge cases: null and wordless texts have the empty set, one node; rows with a null id connect nothing; repeated rows are one node; a very long text is
 hashed in pieces, its set held by one task; extra columns are ignored by the search and kept by ``keep_one``; an empty table gives no rows.
@@ -40,8 +41,8 @@ LIKE = (4, 5)
 SEEDS, DISTANCE, REACH, CLOSE = 4, 5, 11, 4
 #: Bits a fingerprint by which those that met may differ on average over all of a set's; texts of coefficient 0.8 pass 13 with a chance of 0.99.
 ALL = 13
-#: Sets of at most so many bytes in all are broadcast.
-BROADCAST_BYTES = 12 << 20
+#: Parities of a set, a multiple of 64.
+ODD = 512
 #: Rows of the table of nodes that a task holds on average.
 TASK_NODES = 10_000
 
@@ -75,8 +76,14 @@ def digest(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``ODD`` cells whether an odd number of the set's hashes falls into it, as 64-bit numbers."""
+    odd = np.bincount((hashes % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fps) of every row."""
+    """(doc_id, text_hash, node, fps, odd, size) of every row."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +91,10 @@ def _sketches(documents: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts]
             nodes = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
             fps = np.array([[fingerprint(s, k) for k in range(SEEDS)] for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(list(fps), pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "fps"])
+            sketches = [pa.array(list(fps), pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), *sketches], ["doc_id", "text_hash", "node", "fps", "odd", "size"])
 
-    return documents.select("doc_id", F.xxhash64("text"), "text").mapInArrow(sketched, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, node long, fps array<long>")
+    return documents.select("doc_id", F.xxhash64("text"), "text").mapInArrow(sketched, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, node long, fps array<long>, odd array<long>, size long")
 
 
 def _sets(documents: DataFrame) -> DataFrame:
@@ -108,30 +116,34 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> Data
     ids = met.join(first, "node").select("doc_id").distinct()
     texts = documents.join(ids, "doc_id", "left_semi")  # a doc_id may have rows of several texts
     sets = cut(_sets(texts).join(met, "node", "left_semi").dropDuplicates(["node"]))
-    size = 8 * (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0)
-    # a group of like texts has few sets but many pairs: then each task gets the sets, else a pair's sets travel with it
-    near = F.broadcast(sets) if size <= BROADCAST_BYTES else sets
-    left, right = (near.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
+    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(left, "a").join(right, "b").where(LIKE[1] * both >= LIKE[0] * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose fingerprints differ in at most SEEDS * ALL bits in all. Only fingerprints travel, so that few sets have to."""
+    """The pairs whose fingerprints differ in at most SEEDS * ALL bits in all, and whose sets can be near copies by their sizes and parities: sets of
+    that likeness differ in at most ``most`` hashes. Only sketches travel, so that few sets have to."""
     for end in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("fps").alias(f"{end}_fps")), end)
-    differ = [F.bit_count(F.get("a_fps", F.lit(k)).bitwiseXOR(F.get("b_fps", F.lit(k)))) for k in range(SEEDS)]
-    return pairs.where(reduce(lambda x, y: x + y, differ) <= SEEDS * ALL).drop("a_fps", "b_fps")
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.struct("fps", "odd", "size").alias(f"of_{end}")), end)
+    differ = lambda c, n: reduce(lambda x, y: x + y, (F.bit_count(F.get(f"of_a.{c}", F.lit(k)).bitwiseXOR(F.get(f"of_b.{c}", F.lit(k)))) for k in range(n)))
+    most = (F.col("of_a.size") + F.col("of_b.size")) * (LIKE[1] - LIKE[0]) / sum(LIKE)
+    least = F.greatest(F.abs(F.col("of_a.size") - F.col("of_b.size")), differ("odd", ODD // 64))
+    return pairs.where((differ("fps", SEEDS) <= SEEDS * ALL) & (least <= most)).drop("of_a", "of_b")
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
-    """The nodes' columns without fps, with fp, part, value and own: what each fingerprint's parts enter and probe."""
+def _layouts(nodes: DataFrame) -> list[list[tuple[list[int], int]]]:
+    """Of each fingerprint the parts that it is searched by."""
     sample = [r["fps"] for r in nodes.select("fps").orderBy(F.xxhash64("fps"), "fps").limit(simhash.SAMPLE).collect()]
     seen, total = np.array(sample or [[0] * SEEDS], np.int64).view(np.uint64), nodes.count()
+    return [simhash.layout(seen[:, k], total, DISTANCE) for k in range(SEEDS)]
+
+
+def _entries(nodes: DataFrame, layouts: list[list[tuple[list[int], int]]]) -> DataFrame:
+    """The nodes' columns without fps, with fp, part, value and own: what each fingerprint's parts enter and probe."""
     kept = [c for c in nodes.columns if c != "fps"]
     out = []
-    for k in range(SEEDS):
-        parts = simhash.layout(seen[:, k], total, DISTANCE)
+    for k, parts in enumerate(layouts):
         own = simhash.entered(nodes.select(*kept, F.get("fps", F.lit(k)).alias("fp")), parts)
         out.append(own.withColumn("part", F.col("part") + k * 64))
     return reduce(DataFrame.unionByName, out)
@@ -154,22 +166,22 @@ def rooted(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, node, root) of the rows with a doc_id: rows of one root are connected by near copies."""
     rows = cut(_sketches(documents.where("doc_id is not null")))
     tasks = max(1, rows.count() // TASK_NODES)
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")), tasks)
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fps", "odd", "size"))), tasks)
+    layouts = _layouts(nodes)
     first = nodes.select("node", "doc_id")
     of = Window.partitionBy("part", "value")
     leader = F.min_by(F.when(F.col("own"), F.struct("node", "fp")), F.when(F.col("own"), F.xxhash64("node", "value"))).over(of)
-    led = _entries(nodes.select("node", "fps")).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
+    led = _entries(nodes.select("node", "fps"), layouts).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
     near = led.where((F.col("node") != F.col("b")) & (simhash.apart("fp", "b_fp") <= REACH))
     found = cut(_confirmed(cut(_likely(near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), nodes)), documents, first))
     named = cut(nodes.select("node", "fps").join(components(found), "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root")), tasks)
-    entries = _entries(named)
-    left, right = (entries.select("part", "value", "own", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "root"))) for s in "lr")
-    apart = (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root")) & (simhash.apart("l_fp", "r_fp") <= REACH)
-    # from either end: the smaller one may be the one that probes
-    met = left.where("own").drop("own").join(right.drop("own"), ["part", "value"]).where(apart)
-    back = right.where("own").drop("own").join(left.where("not own").drop("own"), ["part", "value"]).where(apart)
-    pair = lambda m: m.select(F.col("l_node").alias("a"), F.col("r_node").alias("b"), simhash.apart("l_fp", "r_fp").alias("d"))
-    rest = cut(_likely(pair(met).unionByName(pair(back)).groupBy("a", "b").agg(F.min("d").alias("d")), nodes))
+    entries = _entries(named, layouts)
+    left, right = (entries.select("part", "value", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "root", "own"))) for s in "lr")
+    # two own entries once; a probe meets those whose own it finds, be they smaller or greater
+    once = ~F.col("r_own") & (F.col("l_node") != F.col("r_node")) | (F.col("l_node") < F.col("r_node"))
+    met = left.where("l_own").join(right, ["part", "value"]).where(once & (F.col("l_root") != F.col("r_root")) & (simhash.apart("l_fp", "r_fp") <= REACH))
+    pair = met.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"), simhash.apart("l_fp", "r_fp").alias("d"))
+    rest = cut(_likely(pair.groupBy("a", "b").agg(F.min("d").alias("d")), nodes))
     close = cut(_confirmed(rest.where(F.col("d") <= CLOSE).select("a", "b"), documents, first))
     named = cut(_connected(named.select("node", "root"), close), tasks)
     far = cut(_with_roots(rest.where(F.col("d") > CLOSE), named).where("a_root <> b_root").select("a", "b"))

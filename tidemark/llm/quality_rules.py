@@ -44,8 +44,8 @@ FLOORS = (0.7, 0.35, 0.04, 0.16, 0.16)
 CUTOFF, MEDIAN = 37.0, 4.351
 #: Up to so many groups their parameters (under 400 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
-#: Groups that a task holds on average in the tables that have a row a group.
-TASK_GROUPS = 10
+#: Groups that a task holds on average in the tables that have a row a group; rows in the table of terms.
+TASK_GROUPS, TASK_ROWS = 10, 10_000
 
 #: Key of the estimate of all rows.
 ALL = "*"
@@ -151,12 +151,17 @@ def _quantile(column: Column | str, share: float) -> Column:
     return F.percentile_approx(column, share, ACCURACY)
 
 
+def _reached(rows: DataFrame, far: str, share: float, columns: list[str]) -> DataFrame:
+    """The groups' own ``columns``, which their rows carry, with reach: the quantile of column ``far``. One table then has all that the next pass joins."""
+    by = [c for c in ("key", "start") if c in columns]
+    return rows.groupBy(by).agg(_quantile(far, share).alias("reach"), *(F.first(c).alias(c) for c in columns if c not in by))
+
+
 def _stepped(keyed: DataFrame, table: DataFrame, groups: int) -> DataFrame:
-    """One concentration step of every group and start in ``table``."""
+    """One concentration step of every group and start in ``table``; to be stored by the caller."""
     apart = _joined(keyed, table, groups).withColumn("far", _distance())
-    reach = _small(apart.groupBy("key", "start").agg(_quantile("far", SUBSET).alias("reach")), groups)
-    near = apart.join(F.broadcast(reach) if groups <= BROADCAST_GROUPS else reach, ["key", "start"]).where("far <= reach")
-    return _small(_estimate(near), groups)
+    reach = _small(_reached(apart, "far", SUBSET, table.columns), groups)
+    return _estimate(_joined(keyed, reach, groups).where(_distance() <= F.col("reach")))
 
 
 def concentrated(keyed: DataFrame, groups: int) -> DataFrame:
@@ -164,17 +169,17 @@ def concentrated(keyed: DataFrame, groups: int) -> DataFrame:
     d = range(len(TERMS))
     medians = _small(keyed.groupBy("key").agg(*(_quantile(TERMS[i], 0.5).alias(f"o{i}") for i in d)), groups)
     around = _joined(keyed, medians, groups)
-    scales = _small(around.groupBy("key").agg(*(F.greatest(1.4826 * _quantile(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")), 0.5), F.lit(FLOORS[i])).alias(f"c{i}{i}") for i in d)), groups)
-    centred = medians.join(scales, "key")
+    scales = (F.greatest(1.4826 * _quantile(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")), 0.5), F.lit(FLOORS[i])).alias(f"c{i}{i}") for i in d)
+    centred = _small(around.groupBy("key").agg(*scales, *(F.first(f"o{i}").alias(f"o{i}") for i in d)), groups)
     flat = {f"c{i}{j}": F.lit(0.0) for i in d for j in range(i)}
     first = centred.withColumns({f"m{i}": F.col(f"o{i}") for i in d} | flat | {"start": F.lit(STARTS[0]), "log_det": F.lit(0.0)})
-    scaled = _joined(keyed, centred, groups).withColumn("worst", F.greatest(*(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")) / F.col(f"c{i}{i}") for i in d)))
-    reach = _small(scaled.groupBy("key").agg(_quantile("worst", 0.5).alias("reach")), groups)
-    near = _joined(scaled, reach, groups).where("worst <= reach").withColumn("start", F.lit(STARTS[1]))
-    half = _joined(keyed, medians, groups).where(F.pmod(F.xxhash64(*TERMS), F.lit(2)) == 0).withColumn("start", F.lit(STARTS[2]))
+    worst = F.greatest(*(F.abs(F.col(TERMS[i]) - F.col(f"o{i}")) / F.col(f"c{i}{i}") for i in d))
+    reach = _small(_reached(_joined(keyed, centred, groups).withColumn("worst", worst), "worst", 0.5, centred.columns), groups)
+    near = _joined(keyed, reach, groups).where(worst <= F.col("reach")).withColumn("start", F.lit(STARTS[1]))
+    half = _joined(keyed, centred, groups).where(F.pmod(F.xxhash64(*TERMS), F.lit(2)) == 0).withColumn("start", F.lit(STARTS[2]))
     table = _small(_estimate(near).unionByName(_estimate(half)).unionByName(first, allowMissingColumns=True), groups)
     for _ in range(TRIAL):
-        table = _stepped(keyed, table, groups)
+        table = _small(_stepped(keyed, table, groups), groups)
     place = F.array_position(F.array(*map(F.lit, STARTS)), F.col("start"))
     table = _small(table.groupBy("key").agg(F.min_by(F.struct(*table.columns[1:]), F.struct("log_det", place)).alias("b")).select("key", "b.*"), groups)
     done = []
@@ -195,7 +200,7 @@ def estimate(rows: DataFrame) -> Rules:
     """Rules from rows with terms (read several times: pass a stored table)."""
     d = range(len(TERMS))
     sources = cut(rows.groupBy("k_source", "k_lang").agg(F.count("*").alias("n")))
-    n_sources = sources.count()
+    n_sources, n_rows = sources.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     sources = sources.coalesce(max(1, n_sources // TASK_GROUPS))
     pools = sources.where(F.col("n") < LEAST).groupBy("k_lang").agg(F.sum("n").alias("pool"))
     keys = _small(sources.join(pools, "k_lang", "left").select("k_source", F.when(F.col("n") >= LEAST, F.col("k_source")).when(F.col("pool") >= LEAST, F.col("k_lang")).otherwise(ALL).alias("key")), n_sources)
@@ -203,6 +208,7 @@ def estimate(rows: DataFrame) -> Rules:
     keyed = rows.join(F.broadcast(keys) if n_sources <= BROADCAST_GROUPS else keys, "k_source").select("key", *TERMS)
     if keys.where(F.col("key") == ALL).limit(1).count():
         keyed = keyed.where(F.col("key") != ALL).unionByName(rows.select(F.lit(ALL).alias("key"), *TERMS))
+    keyed = cut(keyed, max(1, n_rows // TASK_ROWS))
     table = concentrated(keyed, n_groups)
     reach = _small(_joined(keyed, table, n_groups).withColumn("far", _distance()).groupBy("key").agg(_quantile("far", 0.5).alias("reach")), n_groups)
     scaled = F.greatest(F.col("reach") / MEDIAN, F.lit(1.0)).alias("scale")
