@@ -121,6 +121,24 @@ def test_replayed_epochs_are_as_those_of_blocks(spark, monkeypatch, odd):
     assert ran[1] == 0 and (0 < ran[0] < 240 if odd else ran[0] == 240)
 
 
+def test_epochs_are_replayed_whole_whatever_the_join_becomes(spark, tmp_path):
+    """A join that turns out small enough to be broadcast leaves rows where they lie; before, an epoch's messages of several files were then replayed apart."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        level = f"cast(array(named_struct('price', cast(id % 8 as double), 'size', 1.0D)) as {book._SIDE})"
+        rows = spark.range(320).selectExpr("'a' as symbol", "id div 8 as epoch", "id as seq", "id as us", "'delta' as type", f"{level} as bids", f"cast(array() as {book._SIDE}) as asks")
+        rows.repartition(4, "seq").write.parquet(str(tmp_path / "m"))
+        rows = spark.read.parquet(str(tmp_path / "m"))
+        rows = rows.join(rows.groupBy("symbol", "epoch").agg(F.count("*").alias("n")), ["symbol", "epoch"])
+        assert {r["seq"]: r["bid_depth"] for r in book._replayed(rows, 1).collect()} == {k: k % 8 + 1 for k in range(320)}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_near_crossings_climb_no_further(spark):
     """Limits that are crossed in the lowest block are asked for there alone; before, each asked at every height."""
     values = spark.range(300).selectExpr("'a' as symbol", "id as k", "cast(if(id = 299, -5, id % 4) as double) as v")
