@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from tidemark.llm import nearcopies as nc
+from tidemark.llm import shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -152,3 +153,33 @@ def test_pairs_that_cannot_be_near_copies_are_told_by_sketches(spark):
     assert {p for p in by_prints if alike[p] >= 0.8} == {p for p in left if alike[p] >= 0.8}
     below = {p for p in by_prints if alike[p] < 0.7}
     assert left <= by_prints and len(below) > 50 and len(below & left) < len(below) / 10
+
+
+def test_rows_are_split_without_being_dealt_out(spark, tmp_path):
+    """All rows whose keys are asked for are in the first part, few others are, and those that stay are read without a shuffle."""
+    spark.range(2000).selectExpr("if(id % 100 = 7, null, id) as k", "cast(id as string) as t").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    asked = spark.range(0, 2000, 10).selectExpr("id as k")
+    may, stay = shared.split(rows, asked, ["k"])
+    first, second = ([tuple(r) for r in part.collect()] for part in (may, stay))
+    assert sorted(first + second, key=str) == sorted(map(tuple, rows.collect()), key=str) and may.columns == rows.columns
+    assert {k for k, _ in first} >= set(range(0, 2000, 10)) and len(first) < 220
+    assert "hashpartitioning" not in stay._jdf.queryExecution().executedPlan().toString()
+    nothing = shared.split(rows, asked.where("false"), ["k"])
+    assert nothing[0].count() == 0 and nothing[1].count() == 2000
+
+
+def test_few_texts_are_dealt_out(spark, monkeypatch):
+    """Only texts that may be compared, dropped or repeated are shuffled; before, each comparison and the last step dealt out all of them."""
+    dealt = []
+
+    def counted(df, rows, keys):
+        may, stay = shared.split(df, rows, keys)
+        dealt.append(may.count())
+        return may, stay
+
+    monkeypatch.setattr(nc, "split", counted)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = [r["doc_id"] for r in nc.keep_one(docs).select("doc_id").collect()]
+    between(ids, [(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert len(dealt) == 4 and max(dealt) < docs.count() / 2 and dealt[-1] >= docs.count() - len(ids)

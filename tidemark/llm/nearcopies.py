@@ -8,10 +8,11 @@ none is wrong. Before that, pairs that can't be near copies are told by ``ODD``
 cells): sets differ in at least as many hashes as parities, so no near copy is lost, and the sets of few other pairs have to travel. Some are missed: the bits of two texts of coefficient j differ by 64 / pi * arccos(2 j / (1 + j)) on average, 9.7 at 0.8, so one
 fingerprint's search finds a part of them; but the fingerprints are independent, and what all of them miss is little. The README has the measured share.
 
-Components are found in two rounds. In the first, one node of each part's value (a leader, by a hash) meets the others there, so its pairs are
+Components are found in two rounds. In the first, one node of each part's value (a leader, by a hash) meets the others of that value, so its pairs are
 in proportion to the nodes. In the second all pairs of one value meet that are still in different components, so no leader's choice
 decides a result. Of these pairs those within ``CLOSE`` bits are compared first, and then the others that they left in different components, so
-that a group of like texts, connected by then, isn't compared pair by pair. Only ids meet; sets join the pairs that are left, by shuffles.
+that a group of like texts, connected by then, isn't compared pair by pair. Only ids meet; sets join the pairs that are left, by shuffles. Texts are dealt out only where a mask of hashed ids
+(``shared.split``) can't tell that they aren't needed.
 
 Edge cases: null and wordless texts have the empty set, one node; rows with a null id connect nothing; repeated rows are one node; a very long text is
 hashed in pieces, its set held by one task; extra columns are ignored by the search and kept by ``keep_one``; an empty table gives no rows.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import arrowtext as at
 from . import simhash
 from .components import components
-from .shared import cut
+from .shared import cut, split
 from .simhash import STEP, _hashes, _words
 
 SHINGLE = 5
@@ -111,10 +112,10 @@ def _sets(documents: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, documents: DataFrame, first: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are near copies. Only the texts of the pairs' nodes are read again."""
+    """The pairs (a, b) whose sets are near copies. Only the texts of the pairs' nodes are hashed again, and few others are dealt out to meet them."""
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = met.join(first, "node").select("doc_id").distinct()
-    texts = documents.join(ids, "doc_id", "left_semi")  # a doc_id may have rows of several texts
+    ids = cut(met.join(first, "node").select("doc_id").distinct())
+    texts = split(documents, ids, ["doc_id"])[0].join(ids, "doc_id", "left_semi")  # a doc_id may have rows of several texts
     sets = cut(_sets(texts).join(met, "node", "left_semi").dropDuplicates(["node"]))
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -170,16 +171,19 @@ def rooted(documents: DataFrame) -> DataFrame:
     layouts = _layouts(nodes)
     first = nodes.select("node", "doc_id")
     of = Window.partitionBy("part", "value")
-    leader = F.min_by(F.when(F.col("own"), F.struct("node", "fp")), F.when(F.col("own"), F.xxhash64("node", "value"))).over(of)
-    led = _entries(nodes.select("node", "fps"), layouts).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
+    leader = F.min_by(F.struct("node", "fp"), F.xxhash64("node", "value")).over(of)
+    # whom a probe alone finds is left to the second round
+    led = _entries(nodes.select("node", "fps"), [[(bits, 0) for bits, _ in parts] for parts in layouts]).withColumn("l", leader).select("node", "fp", F.col("l.node").alias("b"), F.col("l.fp").alias("b_fp"))
     near = led.where((F.col("node") != F.col("b")) & (simhash.apart("fp", "b_fp") <= REACH))
     found = cut(_confirmed(cut(_likely(near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), nodes)), documents, first))
     named = cut(nodes.select("node", "fps").join(components(found), "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root")), tasks)
-    entries = _entries(named, layouts)
+    # most nodes are their own root: an entry so has one number less
+    entries = _entries(named.withColumn("root", F.expr("nullif(root, node)")), layouts)
+    root = lambda s: F.coalesce(f"{s}_root", f"{s}_node")
     left, right = (entries.select("part", "value", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "root", "own"))) for s in "lr")
     # two own entries once; a probe meets those whose own it finds, be they smaller or greater
     once = ~F.col("r_own") & (F.col("l_node") != F.col("r_node")) | (F.col("l_node") < F.col("r_node"))
-    met = left.where("l_own").join(right, ["part", "value"]).where(once & (F.col("l_root") != F.col("r_root")) & (simhash.apart("l_fp", "r_fp") <= REACH))
+    met = left.where("l_own").join(right, ["part", "value"]).where(once & (root("l") != root("r")) & (simhash.apart("l_fp", "r_fp") <= REACH))
     pair = met.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"), simhash.apart("l_fp", "r_fp").alias("d"))
     rest = cut(_likely(pair.groupBy("a", "b").agg(F.min("d").alias("d")), nodes))
     close = cut(_confirmed(rest.where(F.col("d") <= CLOSE).select("a", "b"), documents, first))
@@ -193,7 +197,12 @@ def keep_one(documents: DataFrame) -> DataFrame:
     the one with the smallest hash; of rows equal in both any one, as they are copies).
 
     Rows with a null doc_id stay and connect nothing."""
-    kept = rooted(documents).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*").distinct()
+    rows = cut(rooted(documents).select("doc_id", "text_hash", "root"))
+    kept = cut(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*").distinct())
+    keys = ["doc_id", "text_hash"]
+    # texts of rows that are neither dropped nor repeated stay where they are
+    known = rows.groupBy(*keys).agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), keys, "left")
     keyed = documents.where("doc_id is not null").select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    found = keyed.join(kept, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
-    return found.unionByName(documents.where("doc_id is null"))
+    may, stay = split(keyed, known.where("n > 1 or kept is null").select(*keys), keys)
+    found = may.join(kept, keys, "left_semi").dropDuplicates(keys)
+    return stay.unionByName(found).select("row.*").unionByName(documents.where("doc_id is null"))

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Words of 64 bits in a mask of keys, which is broadcast: its size is bounded, whatever the number of keys.
+WORDS = 1 << 18
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -37,3 +41,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _placed(df: DataFrame, keys: list[str]) -> DataFrame:
+    h = F.xxhash64(*keys)
+    return df.withColumns({"_word": F.pmod(h, F.lit(WORDS)).cast("int"), "_bit": F.shiftrightunsigned(h, 58).cast("int")})
+
+
+def split(df: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``df`` whose keys may be among those of ``rows``, those whose keys are not), told by a bit of each key's hash. Neither is shuffled, so that an exact
+    join of the first part need not deal out all texts of ``df``. Keys of 2^24 rows and more would leave most of ``df`` in the first part."""
+    masks = cut(_placed(rows, keys).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
+    told = _placed(df, keys).join(F.broadcast(masks), "_word", "left")
+    may = F.coalesce(F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, _bit)")) != 0, F.lit(False))
+    return told.where(may).select(*df.columns), told.where(~may).select(*df.columns)
